@@ -152,7 +152,13 @@ def _grow(threshold: float, region_rows: int, last: bool):
         held: pa.Table | None = None
         over: int | None = None
 
+        def marked(t: pa.Table) -> pa.RecordBatch:
+            fp = t["fp"].combine_chunks()
+            return out(fp, pa.nulls(len(fp), pa.binary()))
+
         def edges(t: pa.Table, reg: np.ndarray) -> pa.RecordBatch | None:
+            if not len(reg):
+                return None
             lone = np.ones(len(reg), bool)
             lone[1:] &= reg[1:] != reg[:-1]
             lone[:-1] &= reg[1:] != reg[:-1]
@@ -165,48 +171,39 @@ def _grow(threshold: float, region_rows: int, last: bool):
             return out(fp.take(pa.array(own)), fp.take(pa.array(label[own]))) if len(own) else None
 
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([held, t]) if held is not None else t
             reg = t["region"].to_numpy()
-            if not len(reg):
-                continue
-            tail = int(np.searchsorted(reg, reg[-1])) if (reg[:-1] <= reg[1:]).all() else int(np.flatnonzero(reg != reg[-1])[-1] + 1)
-            done, held = (t.slice(0, tail), reg[:tail]), t.slice(tail)
-            start = np.flatnonzero(np.r_[True, done[1][1:] != done[1][:-1]]) if tail else np.zeros(0, np.int64)
-            size = np.diff(np.r_[start, tail])
-            big = (size > region_rows) | (done[1][start] == over if over is not None else False)
-            if big.any() and not last:
-                mask = np.repeat(big, size)
-                fp = done[0].filter(pa.array(mask))["fp"].combine_chunks()
-                yield out(fp, pa.nulls(len(fp), pa.binary()))
-                done = done[0].filter(pa.array(~mask)), done[1][~mask]
-            elif big.any():  # the deepest level: neighbours in sorted order, in overlapping blocks
-                block = np.arange(tail) // region_rows
-                if (r := edges(done[0], done[1] ^ mix(block.astype(np.uint64)).view(np.int64))) is not None:
+            tail = int(np.searchsorted(reg, reg[-1]))
+            done, reg_done, held = t.slice(0, tail), reg[:tail], t.slice(tail)
+            if tail:
+                start = np.flatnonzero(np.r_[True, reg_done[1:] != reg_done[:-1]])
+                size = np.diff(np.r_[start, tail])
+                big = np.repeat((size > region_rows) | (over is not None and reg_done[start] == over), size)
+                if big.any() and not last:
+                    yield marked(done.filter(pa.array(big)))
+                elif big.any():  # the deepest level: neighbours in sorted order, in blocks that overlap
+                    part, own = done.filter(pa.array(big)), reg_done[big]
+                    for shift in (0, region_rows // 2):
+                        block = mix(((np.arange(len(own)) + shift) // region_rows).astype(np.uint64)).view(np.int64)
+                        if (r := edges(part, own ^ block)) is not None:
+                            yield r
+                if (r := edges(done.filter(pa.array(~big)), reg_done[~big])) is not None:
                     yield r
-                if (r := edges(done[0], done[1] ^ mix((np.arange(tail) + region_rows // 2) // region_rows).view(np.int64))) is not None:
-                    yield r
-                done = done[0].slice(0, 0), done[1][:0]
-            over = None
-            if len(done[1]) and (r := edges(*done)) is not None:
-                yield r
-            if held.num_rows > region_rows:
+                over = None
+            if held.num_rows > region_rows or over == int(reg[-1]):
                 over = int(reg[-1])
                 if not last:
-                    fp = held["fp"].combine_chunks()
-                    yield out(fp, pa.nulls(len(fp), pa.binary()))
+                    yield marked(held)
+                    held = None
                 else:
                     if (r := edges(held, held["region"].to_numpy())) is not None:
                         yield r
-                held = held.slice(held.num_rows - (1 if last else 0)) if last else held.slice(0, 0)
-                held = None if held.num_rows == 0 else held
-        if held is not None and held.num_rows:
-            reg = held["region"].to_numpy()
-            if (held.num_rows > region_rows or over == int(reg[-1])) and not last:
-                fp = held["fp"].combine_chunks()
-                yield out(fp, pa.nulls(len(fp), pa.binary()))
-            elif (r := edges(held, reg)) is not None:
-                yield r
+                    held = held.slice(held.num_rows - region_rows // 2)
+        if held is not None and held.num_rows and (r := edges(held, held["region"].to_numpy())) is not None:
+            yield r
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mixture
 from .near_dup import near_duplicates
 
 from .quality_rules import quality_verdicts
@@ -20,6 +21,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_linked", F.sha2(F.encode("base_text", "utf-8"), 256).alias("base_sha256"), F.col("spans_text").alias("spans"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixture(_table(spark, sf_dir, "documents"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
 
@@ -30,6 +36,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op6_source_mixing": op6_source_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }

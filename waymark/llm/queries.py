@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import attach
 from .decontaminate import benchmark_hits, contaminated
+from .langid import fit, identify
 from .mixing import mixture
 from .near_dup import near_duplicates
 
@@ -38,6 +39,13 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = identify(docs, fit(docs.where(~held_out), "doc_id", "text", "lang"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixture(_table(spark, sf_dir, "documents"))
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
@@ -55,6 +63,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_shards": op4_token_shards,
+    "op5_language_id": op5_language_id,
     "op6_source_mixing": op6_source_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,

@@ -11,6 +11,7 @@ from .langid import fit, identify
 from .mixing import mixture
 from .near_dup import near_duplicates
 
+from .quality_classifier import fit_quality, grade_documents
 from .quality_rules import quality_verdicts
 from .secrets import scan_secrets
 from .token_shards import read_shards, write_shards
@@ -20,6 +21,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 of good quality but toxic, 2 of good quality and not toxic."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    model = fit_quality(docs, labels.select("doc_id", grade.alias("grade")))
+    return grade_documents(docs, model)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -60,6 +69,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_shards": op4_token_shards,

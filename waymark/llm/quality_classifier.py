@@ -4,7 +4,7 @@ One weight per hashed token, shared by all grades, gives a text its score s; ord
 P(grade >= k) = 1 / (1 + exp(t_k - s)). Outputs are the expected grade and the tail probability of the top grade.
 
 Tokens are A-Z lower-cased words (letters, digits, non-ASCII) and their first 4 and 5 bytes, runs of other visible
-characters, whether these are joined to a word, and that a word stands three times in a row; each counts once per text.
+characters, whether these are joined to a word, and that a word stands REPEATS times in a row; each counts once per text.
 Weights are evidence against a text, never for it (w <= 0), so a long text cannot outweigh what a few words show and a
 text without known defects has the grade of clean ones. Fitting takes at most MAX_TRAIN rated
 documents, first by a hash; tokens are screened by how far their document frequency departs between grades, and the
@@ -27,6 +27,7 @@ from .near_dup import SIGNATURE, _settle, _signatures, shingle_sets
 from .textvec import ALNUM, BYTE_VALUE_LOWER, NONSPACE, chunks, hash_ranges, mix, runs
 
 BITS = 22
+REPEATS = 6
 MAX_TRAIN = 16_000
 #: A token stays if it is in MIN_DOCS texts and its frequency departs by MIN_Z standard errors.
 MIN_DOCS, MIN_Z = 5, 6.0
@@ -49,7 +50,8 @@ def token_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     for k in (4, 5):
         long = e - s > k
         add(s[long], mix(hash_ranges(data, s[long], s[long] + k, BYTE_VALUE_LOWER) + np.uint64(10 + k)))
-    again = np.flatnonzero((words[2:] == words[1:-1]) & (words[1:-1] == words[:-2])) + 2
+    same = np.r_[0, np.cumsum(words[1:] == words[:-1])] if len(words) else np.zeros(0, np.int64)
+    again = np.flatnonzero(same[REPEATS - 1 :] - same[: max(0, len(words) - REPEATS + 1)] == REPEATS - 1) + REPEATS - 1
     add(s[again], np.full(len(again), mix(np.array([101], np.uint64))[0]))
     s2, e2 = runs(NONSPACE[data] & ~ALNUM[data], offs)
     marks = hash_ranges(data, s2, e2, BYTE_VALUE_LOWER)

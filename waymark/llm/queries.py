@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import attach
 from .decontaminate import benchmark_hits, contaminated
 from .langid import fit, identify
+from .line_dedup import line_verdicts
 from .mixing import mixture
 from .near_dup import near_duplicates
 
@@ -68,6 +69,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_verdicts(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_equal", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -77,6 +83,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: Windows of 13 words (an item of fewer is one window), joined to the windows of every document of the same length.

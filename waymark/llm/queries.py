@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import attach
 from .decontaminate import benchmark_hits, contaminated
+from .html_extract import extract_main_text
 from .langid import fit, identify
 from .line_dedup import line_verdicts
 from .mixing import mixture
@@ -69,6 +70,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_verdicts(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_equal", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
@@ -83,6 +88,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
 

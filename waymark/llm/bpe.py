@@ -18,6 +18,8 @@ from .textvec import _power, mix
 
 #: Pieces of a line that goes to the library.
 LINE_PIECES = 500
+#: Size of the direct-mapped table, as a power of 2.
+NEAR_BITS = 18
 _OTHER, _LETTER, _DIGIT, _BLANK = range(4)
 _classes: list[np.ndarray] = []
 
@@ -87,6 +89,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.hash, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.near_hash, self.near_at, self.near_size = np.zeros(1 << NEAR_BITS, np.uint64), np.zeros(1 << NEAR_BITS, np.int64), np.zeros(1 << NEAR_BITS, np.int64)
 
     def _learn(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         new, at = np.unique(hashes, return_index=True)
@@ -116,11 +119,23 @@ class Encoder:
         to = np.searchsorted(self.hash, new)
         self.hash, self.at, self.size = np.insert(self.hash, to, new), np.insert(self.at, to, where), np.insert(self.size, to, size)
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hash):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        i = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return i, self.hash[i] == hashes
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's ids are, how many it has, and whether it is known.
+
+        A direct-mapped table of pieces seen of late answers for most; the sorted arrays are searched for the others.
+        """
+        slot = (hashes >> np.uint64(64 - NEAR_BITS)).astype(np.int64)
+        known = self.near_hash[slot] == hashes
+        at, size = self.near_at[slot], self.near_size[slot]
+        far = np.flatnonzero(~known)
+        if len(far) and len(self.hash):
+            own = hashes[far]
+            i = np.minimum(np.searchsorted(self.hash, own), len(self.hash) - 1)
+            found = self.hash[i] == own
+            far, i = far[found], i[found]
+            known[far], at[far], size[far] = True, self.at[i], self.size[i]
+            self.near_hash[slot[far]], self.near_at[slot[far]], self.near_size[slot[far]] = hashes[far], at[far], size[far]
+        return at, size, known
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes and their offsets) in a row, and each text's number of ids."""
@@ -135,16 +150,15 @@ class Encoder:
         total = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * p[: len(cp)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        i, known = self._find(hashes)
+        at, size, known = self._find(hashes)
         if not known.all():
             if len(self.hash) > self.most:
                 self._clear()
                 known[:] = False
             self._learn(text, starts[~known], ends[~known], hashes[~known])
-            i, _ = self._find(hashes)
-        size = self.size[i]
+            at, size, _ = self._find(hashes)
         last = np.cumsum(size)
-        ids = self.ids[np.repeat(self.at[i] - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+        ids = self.ids[np.repeat(at - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
         bound = np.searchsorted(starts, place)
         count = np.diff(np.r_[0, last][bound])
         if whole:

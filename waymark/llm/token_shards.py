@@ -114,6 +114,7 @@ class Shard:
     """A payload, read."""
 
     def __init__(self, payload: bytes):
+        self._rules_flat: tuple[np.ndarray, np.ndarray] | None = None
         if payload[:4] != MAGIC:
             raise ValueError("not a token shard")
         version, self.base, docs, rules, symbols, width, self.stride = struct.unpack_from("<7I", payload, 4)
@@ -139,19 +140,32 @@ class Shard:
     def _size(self, seq: np.ndarray) -> np.ndarray:
         return np.where(seq < self.base, 1, self.length[np.maximum(seq - self.base, 0)] if len(self.length) else 1)
 
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Terminals of all rules in a row, and where each rule's begin; made when first asked for."""
+        if self._rules_flat is None:
+            seq = np.arange(len(self.rules)) + self.base
+            while (deep := seq >= self.base).any():  # all nonterminals at once, level by level
+                size = np.where(deep, 2, 1)
+                at = np.cumsum(size) - size
+                out = np.empty(int(size.sum()), np.int64)
+                out[at[~deep]] = seq[~deep]
+                pair = self.rules[seq[deep] - self.base]
+                out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
+                seq = out
+            self._rules_flat = seq.astype(np.uint32), np.cumsum(self.length) - self.length
+        return self._rules_flat
+
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        """Terminals of symbols: all nonterminals are replaced at once, level by level."""
-        while True:
-            deep = seq >= self.base
-            if not deep.any():
-                return seq.astype(np.uint32)
-            size = np.where(deep, 2, 1)
-            at = np.cumsum(size) - size
-            out = np.empty(int(size.sum()), np.int64)
-            out[at[~deep]] = seq[~deep]
-            pair = self.rules[seq[deep] - self.base]
-            out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-            seq = out
+        """Terminals of symbols: one gather from the terminals themselves and those of the rules."""
+        flat, begin = self._flat()
+        size = self._size(seq)
+        end = np.cumsum(size)
+        out = np.repeat(seq, size)
+        deep = np.flatnonzero(out >= self.base)
+        if len(deep):
+            k = out[deep] - self.base
+            out[deep] = flat[begin[k] + (deep - np.repeat(end - size, size)[deep])]
+        return out.astype(np.uint32)
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.seq)

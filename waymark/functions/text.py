@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sentences that lose their truth soon (fixed values, as patterns).
 PERISHABLE = (
@@ -94,7 +95,7 @@ def jaro_winkler_of(a: str, b: str, scale: float = 0.1) -> float:
     return j + k * scale * (1 - j)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

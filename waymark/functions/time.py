@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WEEK = 7 * 24 * 60
 _DAYS = ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su")
@@ -80,7 +81,7 @@ def open_state(spec: str | None, minute: int, margin: int = 60) -> bool | None:
     return state[0] if all(s == state[0] for s in state) else None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def opening_state(spec: pd.Series, minute: pd.Series) -> pd.Series:
     return pd.Series([open_state(s, int(m)) for s, m in zip(spec, minute, strict=True)], dtype="boolean")
 

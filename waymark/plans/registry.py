@@ -1,6 +1,9 @@
-"""Every registered query of the reference's operators, and its DuckDB SQL."""
+"""Every registered query of the location and event operators, and its DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import cost_queries, table_queries, trajectory_queries
+
+_ALL = [e for m in (cost_queries, trajectory_queries, table_queries) for e in m.ENTRIES]
+QUERIES = {name: fn for name, fn, _ in _ALL}
+ORACLES = {name: sql for name, _, sql in _ALL if sql is not None}

@@ -71,7 +71,7 @@ def jaro(a: str, b: str) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
     taken, hits = [False] * len(b), []
     for i, c in enumerate(a):
         for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
@@ -82,7 +82,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 

@@ -36,7 +36,7 @@ def corridor_cells(routes: DataFrame, width_m: float, lat: str = "lat", lng: str
     r = r.withColumn("_t", F.explode(F.sequence(F.lit(0), steps.cast("int"))))
     share = F.when(steps > 0, F.col("_t") / steps).otherwise(0.0)
     on = cell_of(F.col(lat) + (F.col(to_lat) - F.col(lat)) * share, F.col(lng) + (F.col(to_lng) - F.col(lng)) * share)
-    r = r.withColumn("cell", F.explode(disc(on, k))).drop("_t").distinct().withColumn("_c", cell_centre(F.col("cell")))
+    r = r.withColumn("_on", on).withColumn("cell", F.explode(disc(F.col("_on"), k))).drop("_t", "_on").distinct().withColumn("_c", cell_centre(F.col("cell")))
     east = F.cos(F.radians(F.col(lat)))
     vx, vy = (F.col(to_lng) - F.col(lng)) * east, F.col(to_lat) - F.col(lat)
     px, py = (F.col("_c.lng") - F.col(lng)) * east, F.col("_c.lat") - F.col(lat)
@@ -48,7 +48,7 @@ def corridor_cells(routes: DataFrame, width_m: float, lat: str = "lat", lng: str
 
 def occupied(cells: DataFrame, places: DataFrame) -> DataFrame:
     """Cells whose coarser parent holds a place; places(lat, lng)."""
-    parents = places.select(parent_of(cell_of(F.col("lat"), F.col("lng"))).alias("_p")).distinct()
+    parents = places.select(cell_of(F.col("lat"), F.col("lng")).alias("_c")).distinct().select(parent_of(F.col("_c")).alias("_p")).distinct()
     return cells.withColumn("_p", parent_of(F.col("cell"))).join(parents, "_p", "left_semi").drop("_p")
 
 

@@ -74,7 +74,7 @@ def r15_learning(spark, d):
 
 _R15 = """WITH e AS (SELECT user_id, 'f' || event_id % 5 AS facet, list(CAST(CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 1008 WHEN 'signup' THEN 1015 WHEN 'purchase' THEN 1030 ELSE 25 END AS DOUBLE) ORDER BY ts, event_id) AS l
   FROM events WHERE user_id IS NOT NULL AND event_type IN ('view', 'click', 'signup', 'purchase', 'error') GROUP BY 1, 2)
-SELECT user_id, facet, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), l), lambda a, x: CAST(round(CAST(a + (x % 1000) / 100 * (floor(x / 1000) - a) AS DECIMAL(18, 12)), 4) AS DOUBLE)) AS weight FROM e"""
+SELECT user_id, facet, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), l), lambda a, x: CAST(round(CAST(CAST(a + (x % 1000) / 100 * (floor(x / 1000) - a) AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE)) AS weight FROM e"""
 
 
 def x07_idle_sessions(spark, d):

@@ -100,5 +100,5 @@ def solar_elevation(lat: Column, lng: Column, at: Column) -> Column:
 def minutes_until_below(lat: Column, lng: Column, at: Column, degrees: float, lookahead: int = 16 * 60) -> Column:
     """Minutes until the sun is first below some elevation; null if it is not within the lookahead."""
     start = at.cast("timestamp")
-    crossing = F.filter(F.sequence(F.lit(0), F.lit(lookahead)), lambda m: solar_elevation(lat, lng, F.timestamp_micros(F.unix_micros(start) + m * 60_000_000)) < degrees)
+    crossing = F.filter(F.sequence(F.lit(0), F.lit(lookahead)), lambda m: solar_elevation(lat, lng, F.timestamp_micros(F.unix_micros(start) + m.cast("long") * 60_000_000)) < degrees)
     return F.get(crossing, F.lit(0))

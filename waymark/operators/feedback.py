@@ -40,7 +40,7 @@ def learned_weight(events: Column, start: float = 0.5) -> Column:
         for name, (target, rate) in LEARNING.items():
             was = F.coalesce(a, F.lit(start))
             out = F.when(e == name, F.round(was + rate * (target - was), 4)).otherwise(out)
-        undone = F.round(F.least(F.lit(1.0), a / (1 - LEARNING[UNDOES][1])), 4)
+        undone = F.when(a.isNotNull(), F.round(F.least(F.lit(1.0), a / (1 - LEARNING[UNDOES][1])), 4))
         return F.when(e == UNDO, undone).otherwise(F.coalesce(out, a))
 
     return F.aggregate(events, F.lit(None).cast("double"), step)

@@ -21,14 +21,15 @@ from waymark.session import attach
 
 def _without(docs: DataFrame, verdicts: DataFrame, gone: str) -> DataFrame:
     """docs without the rows whose (doc_id, hash of text) have a verdict `gone`."""
-    out = verdicts.where(gone).select(F.col("doc_id").alias("_id"), F.col("_of").alias("_gone")).distinct()
-    keyed = docs.withColumn("_of", F.xxhash64("text"))
-    return keyed.join(out, keyed["doc_id"].eqNullSafe(out["_id"]) & (keyed["_of"] == out["_gone"]), "left_anti").select(*docs.columns)
+    out = verdicts.where(gone).select(F.col("doc_id").alias("__wm_id"), F.col("_of").alias("__wm_gone")).distinct()
+    keyed = docs.withColumn("__wm_of", F.xxhash64("text"))
+    gone_rows = F.col("doc_id").eqNullSafe(F.col("__wm_id")) & (F.col("__wm_of") == F.col("__wm_gone"))
+    return keyed.join(out, gone_rows, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Verdicts are on (doc_id, text), as an id may be repeated with other texts."""
-    own = docs.withColumn("_key", F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("of")))
+    own = docs.select(F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("of")).alias("_key"), "doc_id", "text", "lang")
     labels = attach(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     keyed = own.select("_key", "doc_id").distinct().join(labels, "doc_id").select("_key", "quality")
     found = quality_verdicts(own.select("_key", "text", "lang"), keyed, id_col="_key")
@@ -43,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    own = docs.withColumn("_key", F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("of")))
+    own = docs.select(F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("of")).alias("_key"), "doc_id", "text", "lang")
     items = attach(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     found = benchmark_hits(own.select("_key", "text"), items, id_col="_key").withColumn("gone", contaminated())
     return _without(docs, found.select("_key.doc_id", F.col("_key.of").alias("_of"), "gone"), "gone")

@@ -125,6 +125,9 @@ class _Counts:
 class LanguageModels:
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.order, self.languages = order, sorted(texts)
+        self.slope, self.shift, self.limit = 20.0, 0.0, np.full(len(self.languages), np.inf)
+        if not texts:
+            return
         held, counts = [], []
         for lang in self.languages:
             raw = [t.encode() for t in texts[lang]]
@@ -153,7 +156,6 @@ class LanguageModels:
             name = np.unique(np.concatenate([c.contexts[m][0] for c in counts]))
             self.contexts[m] = (name, np.stack([np.log(c.backoff(m, name)) for c in counts], axis=1).astype(np.float32))
         self.floor = np.log([c.backoff(1, np.zeros(1, np.uint64))[0] / (c.size + 1) for c in counts]).astype(np.float32)
-        self.slope, self.shift, self.limit = 20.0, 0.0, np.full(len(self.languages), np.inf)
 
     def _log_p(self, keys: list[np.ndarray], at: np.ndarray, m: int) -> np.ndarray:
         if m == 0:

@@ -208,11 +208,14 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """docs with text_col cut to the lines that stay, all other columns as they were; a null text stays null."""
-    v = line_verdicts(docs, id_col, text_col, min_chars).where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_gone"))
-    own = docs.withColumn("_of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = own.join(v, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_tie")), "left")
+    v = line_verdicts(docs, id_col, text_col, min_chars).where(F.size("removed") > 0).select(F.col(id_col).alias("__wm_id"), F.col("tie").alias("__wm_tie"), F.col("removed").alias("__wm_gone"))
+    own = docs.withColumn("__wm_of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = own.join(v, F.col(f"`{id_col}`").eqNullSafe(F.col("__wm_id")) & (F.col("__wm_of") == F.col("__wm_tie")), "left")
     numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    numbers = F.map_from_entries(F.transform("_gone", lambda g: F.struct(g, F.lit(True))))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.map_contains_key(F.col("_map"), s["i"])), lambda s: s["x"]), "\n")
-    joined = joined.withColumn("_map", numbers)
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    # removed numbers are looked up among the lines by one sort of both, which stays linear for long texts
+    marks = F.transform("__wm_gone", lambda g: F.struct(g.alias("i"), F.lit(None).cast("string").alias("x")))
+    both = F.sort_array(F.concat(marks, numbered))  # a mark stands right before its line
+    joined = joined.withColumn("__wm_both", F.when(F.col("__wm_gone").isNotNull(), both))
+    kept = F.filter("__wm_both", lambda s, i: s["x"].isNotNull() & ~((i > 0) & (F.get("__wm_both", i - 1)["i"] == s["i"])))
+    text = F.when(F.col("__wm_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@
    verified exactly on the full sets until no unverified pair joins two components. A cluster beyond
    `cluster_values` is dealt out as pairs of blocks, so no task holds it whole.
 
-Level l misses a pair of similarity s with probability (1 - s**depth)**trees: 6e-9 at s = 0.85 and 4e-7 at s = 0.8 for the first level.
+Level l misses a pair of similarity s with probability (1 - s**depth)**trees: 6e-9 at s = 0.85 and 6e-7 at s = 0.8 for the first level.
 """
 
 from __future__ import annotations
@@ -390,13 +390,18 @@ def _small(df: DataFrame) -> bool:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without all but one document of each group of near duplicates, its columns as they were.
 
-    The document of the smallest id stays; of repeated rows of that id, one.
+    The document of the smallest id stays (null first), of equal ids with different texts the one of the smaller hash, of
+    equal rows one. Texts without words are in no group and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    stay = written(found.where("kept").groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "stay")
-    key = docs[id_col].eqNullSafe(stay["_id"])
-    lone = docs.join(stay.where("_rows = 1"), key, "left_semi")
-    again = stay.where("_rows > 1")
-    if again.isEmpty():
-        return lone
-    return lone.unionByName(docs.join(again, key, "left_semi").dropDuplicates([id_col]))
+    hashed = F.xxhash64(text_col)
+    own = docs.select(F.struct(F.col(id_col).alias("id"), hashed.alias("of")).alias("k"), F.col(text_col).alias("t"))
+    found = near_duplicates(own, "k", "t", **how).where("kept")
+    stay = found.groupBy(F.col("k.id").alias("__wm_id"), F.col("k.of").alias("__wm_of")).agg(F.count_if(F.col("n_shingles") > 0).alias("__wm_rows"))
+    stay = written(stay, "stay")
+    keyed = docs.withColumn("__wm_key", hashed)
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__wm_id")) & (F.col("__wm_key") == F.col("__wm_of"))
+    lone = keyed.join(stay.where("__wm_rows <= 1"), on, "left_semi")
+    again = stay.where("__wm_rows > 1")
+    if not again.isEmpty():
+        lone = lone.unionByName(keyed.join(again, on, "left_semi").dropDuplicates([id_col, "__wm_key"]))
+    return lone.select(*[F.col(f"`{c}`") for c in docs.columns])

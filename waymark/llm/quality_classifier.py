@@ -83,7 +83,7 @@ class OrdinalModel:
         i = np.minimum(np.searchsorted(self.bucket, bucket), len(self.bucket) - 1)
         own = self.bucket[i] == bucket
         bucket, row = _distinct(bucket[own], row[own])
-        return np.bincount(row, self.weight[np.searchsorted(self.bucket, bucket)], minlength=len(offs) - 1)
+        return np.bincount(row, self.weight[np.searchsorted(self.bucket, bucket)], minlength=len(offs) - 1).astype(np.float64)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""

@@ -15,6 +15,7 @@ from .near_dup import near_duplicates
 
 from .quality_classifier import fit_quality, grade_documents
 from .quality_rules import quality_verdicts
+from .rules_sql import quality_rules_sql
 from .secrets import scan_secrets
 from .token_shards import read_shards, write_shards
 
@@ -67,7 +68,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    found = quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("failed_signal", F.coalesce("failed_signal", F.lit("-")))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +123,5 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2_SQL,
+    "op8_quality_rules": quality_rules_sql(),
 }

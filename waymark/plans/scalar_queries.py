@@ -229,7 +229,7 @@ def _scored(s, d):
 
 
 def r03(s, d):
-    return _scored(s, d).select("place_id", "temporal_urgency", "novelty", "confidence", "route_fit", "friction_raw", "alpha", F.round("composite", 2).alias("composite"))
+    return _scored(s, d).select("place_id", "temporal_urgency", "novelty", "confidence", "route_fit", "friction_raw", "alpha")
 
 
 _SCORES = f"""{PLACES}, s0 AS (SELECT *, place_id AS k, size AS z, round(place_id % 17 / 17, 4) AS personal_fit, round(place_id % 11 / 11, 4) AS uniqueness,
@@ -389,7 +389,7 @@ SELECT g AS place_id, coalesce(first(name ORDER BY id) FILTER (name IS NOT NULL)
     ("a27_confusion", a27, """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn FROM labels)
 SELECT tp, fp, fn, tn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1 FROM c"""),
     ("r02_reachability", r02, f"WITH {PLACES} SELECT 2 * round({_HK} * 1.3 / 15.0 * 60, 2) + size <= 180 AS ok, count(*) AS n FROM places GROUP BY 1"),
-    ("r03_sub_scores", r03, f"WITH {_SCORES} SELECT place_id, temporal_urgency, novelty, confidence, route_fit, friction_raw, alpha, round(composite, 2) AS composite FROM scored"),
+    ("r03_sub_scores", r03, f"WITH {_SCORES} SELECT place_id, temporal_urgency, novelty, confidence, route_fit, friction_raw, alpha FROM scored"),
     ("r11_evidence_gate", r11, f"WITH {PLACES} SELECT place_id, CASE WHEN place_id % 5 = 0 THEN 'no_evidence' WHEN place_id % 5 = 1 THEN 'tier_d_only' WHEN place_id % 100 < 25 THEN 'below_confidence_floor' ELSE 'served' END AS reason FROM places"),
     ("r12_greedy", r12, None),
     ("r14_rank_all", r14, f"WITH {_SCORES}, r AS (SELECT place_id % 25 AS session_id, place_id, row_number() OVER (PARTITION BY place_id % 25 ORDER BY round(composite, 2) DESC, place_id) AS position FROM scored) SELECT * FROM r WHERE position <= 20"),

@@ -28,7 +28,7 @@ from .textvec import ALNUM, BYTE_VALUE_LOWER, NONSPACE, chunks, hash_ranges, mix
 
 BITS = 22
 REPEATS = 6
-MAX_TRAIN = 16_000
+MAX_TRAIN = 8_000
 #: A token stays if it is in MIN_DOCS texts and its frequency departs by MIN_Z standard errors.
 MIN_DOCS, MIN_Z = 5, 6.0
 STEPS, RATE, PENALTY = 500, 0.4, 1e-5

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import langid, quality_classifier, quality_rules
+from waymark.llm import langid, near_dup, quality_classifier, quality_rules
 from waymark.llm.decontaminate import benchmark_hits, contaminated
 from waymark.llm.html_blocks import blocks
 from waymark.llm.html_extract import extract_main_text, trained
@@ -101,6 +101,23 @@ def test_large_clusters_are_verified_in_blocks(docs):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in near_duplicates(docs, cluster_values=200).collect()) == want
 
 
+def test_all_pairs_of_a_crowded_region_meet(spark, monkeypatch):
+    """One tree whose only region is beyond region_rows; twins stand far apart in its order and nothing else is alike."""
+    monkeypatch.setattr(near_dup, "LEVELS", ((1, 1),))
+    rng, n = np.random.default_rng(1), 60
+    sig = rng.integers(1, 1 << 16, (n, near_dup.SIGNATURE)).astype(np.uint16)
+    sig[n // 2 :] = sig[: n // 2]
+    sig[:, 0], sig[:, 1] = 7, (np.arange(n) + 1) << 8  # slot 0 is the region; slot 1 sorts
+    rows = [(i.to_bytes(16, "big"), 50, r.tobytes()) for i, r in enumerate(sig)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        edges = near_dup.candidate_edges(spark.createDataFrame(rows, "fp binary, n long, sig binary"), 0.8, 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {tuple(sorted(int.from_bytes(x, "big") for x in e)) for e in edges}
+    assert got == {(i, i + n // 2) for i in range(n // 2)}
+
+
 def test_one_of_each(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     left = one_of_each(docs)

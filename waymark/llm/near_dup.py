@@ -5,7 +5,9 @@
 2. Forest: each tree holds the classes in the order of one permutation of the signature. Classes whose longest common
    prefix reaches the tree's depth form a region; within a region signatures are compared in sorted order, nearest
    neighbours first, and a pair already connected is not compared again. A region beyond `region_rows` is not cut:
-   its classes go to the next level, of deeper prefixes and more trees (adaptive depth).
+   its classes go to the next level, of deeper prefixes and more trees (adaptive depth). On the deepest level such a
+   region is dealt out as pairs of blocks, each pair a task of its own, so that all its pairs meet; pairs that
+   candidates connect already are left out, as step 3 verifies them anyway.
 3. Connected candidates form clusters. The shingle sets of a cluster meet once, and pairs of different components are
    verified exactly on the full sets until no unverified pair joins two components. A cluster beyond
    `cluster_values` is dealt out as pairs of blocks, so no task holds it whole.
@@ -124,10 +126,17 @@ def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = label[label]
 
 
+def _alike(threshold: float) -> int:
+    """Equal slots that a pair of the threshold's similarity has but for a negligible share."""
+    return math.floor(SIGNATURE * threshold - 5.2 * math.sqrt(SIGNATURE * threshold * (1 - threshold)))
+
+
 def _grow(threshold: float, region_rows: int, last: bool):
-    """Star edges between the classes of a region that may be similar; (class, null) for those of too large a region."""
-    least, z = threshold, 5.2
-    alike = math.floor(SIGNATURE * least - z * math.sqrt(SIGNATURE * least * (1 - least)))
+    """Star edges between the classes of a region that may be similar; (class, null, region) for those of too large a region.
+
+    Such a region of the last level gives star edges between neighbours in sorted order too, which leave fewer pairs to `_cross`.
+    """
+    alike = _alike(threshold)
 
     def compare(reg: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
         label, lag, size = np.arange(len(reg)), 1, n.astype(np.float64)
@@ -145,8 +154,9 @@ def _grow(threshold: float, region_rows: int, last: bool):
             live = live[reg[live] == reg[live + lag]]
         return label
 
-    def out(u, v) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([u, v], schema=pa.schema([("u", pa.binary()), ("v", pa.binary())]))
+    def out(u, v, region=None) -> pa.RecordBatch:
+        region = pa.nulls(len(u), pa.int64()) if region is None else region
+        return pa.RecordBatch.from_arrays([u, v, region], schema=pa.schema([("u", pa.binary()), ("v", pa.binary()), ("region", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -154,7 +164,7 @@ def _grow(threshold: float, region_rows: int, last: bool):
 
         def marked(t: pa.Table) -> pa.RecordBatch:
             fp = t["fp"].combine_chunks()
-            return out(fp, pa.nulls(len(fp), pa.binary()))
+            return out(fp, pa.nulls(len(fp), pa.binary()), t["region"].combine_chunks())
 
         def edges(t: pa.Table, reg: np.ndarray) -> pa.RecordBatch | None:
             if not len(reg):
@@ -182,9 +192,9 @@ def _grow(threshold: float, region_rows: int, last: bool):
                 start = np.flatnonzero(np.r_[True, reg_done[1:] != reg_done[:-1]])
                 size = np.diff(np.r_[start, tail])
                 big = np.repeat((size > region_rows) | (over is not None and reg_done[start] == over), size)
-                if big.any() and not last:
+                if big.any():
                     yield marked(done.filter(pa.array(big)))
-                elif big.any():  # the deepest level: neighbours in sorted order, in blocks that overlap
+                if big.any() and last:  # neighbours in sorted order, in blocks that overlap
                     part, own = done.filter(pa.array(big)), reg_done[big]
                     for shift in (0, region_rows // 2):
                         block = mix(((np.arange(len(own)) + shift) // region_rows).astype(np.uint64)).view(np.int64)
@@ -195,19 +205,76 @@ def _grow(threshold: float, region_rows: int, last: bool):
                 over = None
             if held.num_rows > region_rows or over == int(reg[-1]):
                 over = int(reg[-1])
+                yield marked(held)
                 if not last:
-                    yield marked(held)
                     held = None
                 else:
                     if (r := edges(held, held["region"].to_numpy())) is not None:
                         yield r
                     held = held.slice(held.num_rows - region_rows // 2)
+        if held is not None and held.num_rows and over is not None:
+            yield marked(held)
         if held is not None and held.num_rows and (r := edges(held, held["region"].to_numpy())) is not None:
             yield r
 
     return run
 
 
+def _cross(threshold: float):
+    """Star edges between the two blocks of each key, or within its only one; the input is sorted by key, side and root."""
+    alike = _alike(threshold)
+
+    def edges(t: pa.Table) -> pa.RecordBatch | None:
+        n, sig = t["n"].to_numpy().astype(np.float64), _matrix(t["sig"], np.uint16, SIGNATURE)
+        code = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        _, first, at = np.unique(code, return_index=True, return_inverse=True)
+        if len(first) < 2:
+            return None
+        was = first[at]
+        label, side = was.copy(), t["side"].to_numpy()
+        one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for k, i in enumerate(one):
+            rest = other if len(other) else one[k + 1 :]
+            rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)]
+            hit = rest[(sig[rest] == sig[i]).sum(axis=1) >= alike]
+            if len(hit):
+                _settle(label, np.full(len(hit), i), hit)
+        own = np.flatnonzero(label != was)
+        fp = t["fp"].combine_chunks()
+        return pa.RecordBatch.from_arrays([fp.take(pa.array(own)), fp.take(pa.array(label[own]))], ["u", "v"]) if len(own) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            key = b.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(0, np.int64)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and held[-1].column(0)[0] != b.column(0)[i]:
+                    if (r := edges(pa.Table.from_batches(held))) is not None:
+                        yield r
+                    held = []
+                held.append(b.slice(i, j - i))
+        if held and (r := edges(pa.Table.from_batches(held))) is not None:
+            yield r
+
+    return run
+
+
+def _crowded(marks: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, region_rows: int) -> DataFrame:
+    """(u, v) of the regions in marks(region, fp) whose classes the edges `found` do not connect: block i meets block j in the task (i, j)."""
+    roots = connected_components(found, "crowd")
+    rooted = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("region", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "crowded")
+    mixed = rooted.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = mixed.select("region", F.ceil(F.col("rows") * 2 / region_rows).cast("int").alias("blocks"))
+    dealt = rooted.join(F.broadcast(mixed) if _small(mixed) else mixed, "region").join(classes.select("fp", "n", "sig"), "fp")
+    dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    keyed = dealt.select(key.alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root", "fp", "n", "sig")
+    parts = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return written(keyed.repartition(parts, "key").sortWithinPartitions("key", "side", "root", "fp").mapInArrow(_cross(threshold), "u binary, v binary"), "crossed")
+
+
 def candidate_edges(classes: DataFrame, threshold: float, region_rows: int) -> DataFrame:
     """(u, v) fingerprints of classes that the forest holds for possibly similar."""
     found, level = None, 0
@@ -217,14 +284,17 @@ def candidate_edges(classes: DataFrame, threshold: float, region_rows: int) -> D
         planted = todo.mapInArrow(_plant(level), "region long, fp binary, n long, sig binary")
         parts = max(int(planted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         grown = written(
-            planted.repartition(parts, "region").sortWithinPartitions("region", "sig", "fp").mapInArrow(_grow(threshold, region_rows, last), "u binary, v binary"),
+            planted.repartition(parts, "region").sortWithinPartitions("region", "sig", "fp").mapInArrow(_grow(threshold, region_rows, last), "u binary, v binary, region long"),
             "forest",
         )
-        edges = grown.where("v IS NOT NULL")
+        edges = grown.where("v IS NOT NULL").select("u", "v")
         found = edges if found is None else found.unionByName(edges)
         deeper = grown.where("v IS NULL").select(F.col("u").alias("fp")).distinct()
-        if last or deeper.isEmpty():
+        if deeper.isEmpty():
             return found
+        if last:  # a class is marked once or more in each region
+            marks = grown.where("v IS NULL").select("region", F.col("u").alias("fp")).distinct()
+            return found.unionByName(_crowded(marks, found, classes, threshold, region_rows))
         todo, level = classes.select("fp", "n", "sig").join(deeper, "fp", "left_semi"), level + 1
 
 

@@ -118,6 +118,17 @@ def test_all_pairs_of_a_crowded_region_meet(spark, monkeypatch):
     assert got == {(i, i + n // 2) for i in range(n // 2)}
 
 
+def test_recall_in_crowded_regions(spark):
+    """All regions are crowded, so only the deepest level decides: no pair of similarity 41/51 is missed."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(1500):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(50)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:25], "other", *w[26:]]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=80, region_rows=1)
+    assert got.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 def test_one_of_each(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     left = one_of_each(docs)

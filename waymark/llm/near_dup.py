@@ -12,7 +12,9 @@
    verified exactly on the full sets until no unverified pair joins two components. A cluster beyond
    `cluster_values` is dealt out as pairs of blocks, so no task holds it whole.
 
-Level l misses a pair of similarity s with probability (1 - s**depth)**trees: 6e-9 at s = 0.85 and 6e-7 at s = 0.8 for the first level.
+Every tree has slots of its own, and those of the deeper levels are drawn for the classes that get there, so level l misses
+a pair of similarity s with probability (1 - s**depth)**trees: 6e-9, 6e-9 and 3e-10 at s = 0.85, 6e-7, 5e-6 and 1e-5 at 0.8.
+Comparing signatures misses 1e-9 at most. The sum of all bounds the whole, as a crowded pair goes through several levels.
 """
 
 from __future__ import annotations
@@ -33,6 +35,16 @@ SIGNATURE = 64
 _FACTORS = (_splitmix_stream(0x515, SIGNATURE) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: (depth, trees) of each level of the forest.
 LEVELS = ((3, 20), (6, 40), (10, 100))
+#: The share of pairs of the threshold's similarity that comparing signatures may miss.
+MISSED = 1e-9
+
+
+def _factors(level: int) -> np.ndarray:
+    """The hash factors of a level's slots: the signature's for the first, depth x trees new ones for each deeper level."""
+    if level == 0:
+        return _FACTORS
+    depth, trees = LEVELS[level]
+    return (_splitmix_stream(0x9D2C0000515 * level, depth * trees) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -66,16 +78,16 @@ def _fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _signatures(values: np.ndarray, bounds: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
     full = bounds[:-1] < bounds[1:]
-    out = np.zeros((len(bounds) - 1, SIGNATURE), dtype=np.uint16)
+    out = np.zeros((len(bounds) - 1, len(factors)), dtype=np.uint16)
     if full.any():
         x, at, buf = (values >> np.uint64(32)).astype(np.uint32), bounds[:-1][full], np.empty(len(values), np.uint32)
-        cols = np.empty((int(full.sum()), SIGNATURE), np.uint32)
-        for j, a in enumerate(_FACTORS):
+        cols = np.empty((int(full.sum()), len(factors)), np.uint16)
+        for j, a in enumerate(factors):
             np.multiply(x, a, out=buf)
-            cols[:, j] = np.minimum.reduceat(buf, at)
-        out[full] = (mix(cols.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+            cols[:, j] = (mix(np.minimum.reduceat(buf, at).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        out[full] = cols
     return out
 
 
@@ -92,9 +104,25 @@ def _sign(k: int):
     return run
 
 
+def _widen(level: int, k: int):
+    """The classes whose text has the wanted set, with the slots of a deeper level."""
+    factors = _factors(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offs in chunks(b.column(0), 1 << 18):
+                v, vb = shingle_sets(data, offs, k)
+                same = pa.array((_fingerprints(v, vb) == _matrix(b.column(1)[i:j], np.uint64, 2)).all(axis=1))
+                own = pa.RecordBatch.from_arrays([*[b.column(c)[i:j] for c in (1, 2, 3)], _binary(_signatures(v, vb, factors))], ["fp", "n", "sig", "slots"])
+                yield own.filter(same)
+
+    return run
+
+
 def _plant(level: int):
-    """Each class once for each tree: the region, and its signature in the tree's order."""
+    """Each class once for each tree: the region, of the tree's own slots, and its signature in the tree's order."""
     depth, trees = LEVELS[level]
+    width = len(_factors(level))
     rng = np.random.default_rng(level)
     orders = [np.roll(np.arange(SIGNATURE), -depth * t) for t in range(trees)] if level == 0 else [rng.permutation(SIGNATURE) for _ in range(trees)]
 
@@ -103,11 +131,12 @@ def _plant(level: int):
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 sig = _matrix(b.column(2), np.uint16, SIGNATURE)
+                slots = _matrix(b.column(3), np.uint16, width) if level else sig
                 for t, order in enumerate(orders):
                     own = np.ascontiguousarray(sig[:, order])
                     key = np.full(len(own), t + 1, dtype=np.uint64)
                     for d in range(depth):
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, d].astype(np.uint64))
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, (depth * t + d) % width].astype(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1), _binary(own)], ["region", "fp", "n", "sig"])
 
     return run
@@ -127,8 +156,14 @@ def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 
 def _alike(threshold: float) -> int:
-    """Equal slots that a pair of the threshold's similarity has but for a negligible share."""
-    return math.floor(SIGNATURE * threshold - 5.2 * math.sqrt(SIGNATURE * threshold * (1 - threshold)))
+    """The most equal slots that a pair of the threshold's similarity falls short of with probability MISSED at most."""
+    least, below = 0, 0.0
+    while least < SIGNATURE:
+        below += math.comb(SIGNATURE, least) * threshold**least * (1 - threshold) ** (SIGNATURE - least)
+        if below > MISSED:
+            break
+        least += 1
+    return least
 
 
 def _grow(threshold: float, region_rows: int, last: bool):
@@ -275,8 +310,11 @@ def _crowded(marks: DataFrame, found: DataFrame, classes: DataFrame, threshold:
     return written(keyed.repartition(parts, "key").sortWithinPartitions("key", "side", "root", "fp").mapInArrow(_cross(threshold), "u binary, v binary"), "crossed")
 
 
-def candidate_edges(classes: DataFrame, threshold: float, region_rows: int) -> DataFrame:
-    """(u, v) fingerprints of classes that the forest holds for possibly similar."""
+def candidate_edges(classes: DataFrame, threshold: float, region_rows: int, widened=None) -> DataFrame:
+    """(u, v) fingerprints of classes that the forest holds for possibly similar.
+
+    widened(fps, level) gives the classes of fps(fp) as (fp, n, sig, slots); only a forest of one level needs none.
+    """
     found, level = None, 0
     todo = classes.select("fp", "n", "sig")
     while True:
@@ -295,7 +333,8 @@ def candidate_edges(classes: DataFrame, threshold: float, region_rows: int) -> D
         if last:  # a class is marked once or more in each region
             marks = grown.where("v IS NULL").select("region", F.col("u").alias("fp")).distinct()
             return found.unionByName(_crowded(marks, found, classes, threshold, region_rows))
-        todo, level = classes.select("fp", "n", "sig").join(deeper, "fp", "left_semi"), level + 1
+        level += 1
+        todo = widened(deeper, level)
 
 
 def _sets(k: int):
@@ -405,7 +444,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(own.mapInArrow(_sign(shingle_words), f"id {id_type}, n long, fp binary, sig binary"), "signatures")
     classes = signed.where("n > 0").groupBy("fp").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
-    found = connected_components(candidate_edges(classes, num / den, region_rows), "clusters")
+
+    def widened(fps: DataFrame, level: int) -> DataFrame:
+        wanted = classes.join(fps, "fp", "left_semi").where("low IS NOT NULL").select(F.col("low").alias("id"), "fp", F.col("n").alias("size"), "sig")
+        texts = own.join(F.broadcast(wanted) if _small(wanted) else wanted, "id").select("text", "fp", "size", "sig")
+        return written(texts.mapInArrow(_widen(level, shingle_words), "fp binary, n long, sig binary, slots binary").dropDuplicates(["fp"]), "widened")
+
+    found = connected_components(candidate_edges(classes, num / den, region_rows, widened), "clusters")
     clusters = written(found.join(classes.select(F.col("fp").alias("node"), "low", "n"), "node"), "members")
 
     # One text of each class, and of that class only: an id may be repeated with other texts.

@@ -17,6 +17,7 @@ from waymark.llm.html_extract import extract_main_text, trained
 from waymark.llm.line_dedup import dedup_lines, line_verdicts, within_one_edit
 from waymark.llm.mixing import mixed_documents, mixture
 from waymark.llm.near_dup import near_duplicates, one_of_each
+from waymark.llm.queries import op10_line_dedup
 from waymark.llm.quality_rules import measures, quality_verdicts, tail_log_p
 from waymark.llm.secrets import scan_secrets
 from waymark.llm.token_shards import Shard, pack, read_shards, write_shards
@@ -295,6 +296,13 @@ def test_line_dedup(spark):
     assert dedup_lines(d).where("text IS NULL").count() == 1 and line_verdicts(d.limit(0)).count() == 0
 
 
+def test_repeats_of_short_lines_go(spark, tmp_path):
+    rows = [(1, "Les.\nLes.\n \n\nLez."), (2, "Les.\n\n \n\u3000\nHome"), (3, "Home\n\u3000\nthe quick brown fox jumps")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_equal, r.n_near, r.removed) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0, "1"), 2: (1, 0, "0"), 3: (1, 0, "0")}
+
+
 def test_language_id(spark):
     tongues = {"aa": "abcde", "bb": "uvwxy", "cc": "аbвгд"}
     rows = [(i, "".join(R.choice(tongues[k]) + (" " if R.random() < 0.2 else "") for _ in range(300)), k) for i, k in enumerate(R.choice(list(tongues)) for _ in range(150))]

@@ -1,7 +1,8 @@
 """Line deduplication through a deletion-neighbourhood join.
 
 A line goes if an earlier line is equal to it or within one edit of it (a code point inserted, deleted or replaced);
-earlier means a smaller (document id, hash of its text, line number). Lines under `min_chars` always stay.
+earlier means a smaller (document id, hash of its text, line number). Lines under `min_chars` go only with `short`, where an
+earlier line is equal and they are not blank.
 
 1. Equal lines meet in one grouped minimum, so a line of any frequency costs one row a task.
 2. Of two lines within one edit, one half is intact. Each distinct line has four half keys; a line without a partner on
@@ -55,8 +56,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _scan(min_chars: int):
-    """Every line: (id, tie, line, hash) and four half keys, null for a short line."""
+_BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def _scan(min_chars: int, short_lines: bool):
+    """Every line: (id, tie, line, hash) and four half keys, null for a short line, whose hash is null too if it takes no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,6 +68,10 @@ def _scan(min_chars: int):
                 x = _Lines(data, offs)
                 n = x.end - x.start
                 short = n < min_chars
+                absent = short
+                if short_lines:
+                    said = np.r_[0, np.cumsum(~np.isin(x.cp, _BLANK))]
+                    absent = short & (said[x.end] == said[x.start])
                 keys = []
                 for m in (n, np.maximum(n - 1, 0)):
                     f = m // 2
@@ -74,7 +82,7 @@ def _scan(min_chars: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(n) + 1, 4), pa.int32()), flat)
                 empty = pa.nulls(len(n), lists.type)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j].take(own), b.column(1)[i:j].take(own), pa.array(x.number, pa.int32()), pa.array(x.hash(x.start, x.end).view(np.int64), mask=short),
+                    [b.column(0)[i:j].take(own), b.column(1)[i:j].take(own), pa.array(x.number, pa.int32()), pa.array(x.hash(x.start, x.end).view(np.int64), mask=absent),
                      pa.array(n, pa.int32()), pa.concat_arrays([lists, empty]).take(pa.array(np.where(short, np.arange(len(n)) + len(n), np.arange(len(n)))))],
                     ["id", "tie", "line", "hash", "size", "halves"],
                 )
@@ -162,17 +170,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(same, pa.bool_()))], ["hash"])
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, short: bool = False) -> DataFrame:
     """For each document, rows equal in id and text being one: (id_col, tie, n_lines, n_equal, n_near, removed).
 
     tie is a hash of the text; n_equal counts lines equal to an earlier one, n_near those within one edit of one;
     removed are the numbers (from 0) of both, ascending. A null or empty text is one empty line, which stays. An id may
-    be null, which comes before all others. Other columns are ignored; an empty table gives none.
+    be null, which comes before all others. Other columns are ignored; an empty table gives none. With `short`, lines under
+    min_chars that are not blank go where an earlier line is equal.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("tie"), "text")
-    lines = written(own.mapInArrow(_scan(min_chars), f"id {id_type}, tie long, line int, hash long, size int, halves array<long>"), "lines")
+    lines = written(own.mapInArrow(_scan(min_chars, short), f"id {id_type}, tie long, line int, hash long, size int, halves array<long>"), "lines")
     place = F.struct("id", "tie", "line")
     first = written(lines.where("hash IS NOT NULL").groupBy("hash").agg(F.min(place).alias("at"), F.first("halves").alias("halves")), "first")
 
@@ -206,9 +215,9 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumnRenamed("id", id_col)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, short: bool = False) -> DataFrame:
     """docs with text_col cut to the lines that stay, all other columns as they were; a null text stays null."""
-    v = line_verdicts(docs, id_col, text_col, min_chars).where(F.size("removed") > 0).select(F.col(id_col).alias("__wm_id"), F.col("tie").alias("__wm_tie"), F.col("removed").alias("__wm_gone"))
+    v = line_verdicts(docs, id_col, text_col, min_chars, short).where(F.size("removed") > 0).select(F.col(id_col).alias("__wm_id"), F.col("tie").alias("__wm_tie"), F.col("removed").alias("__wm_gone"))
     own = docs.withColumn("__wm_of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = own.join(v, F.col(f"`{id_col}`").eqNullSafe(F.col("__wm_id")) & (F.col("__wm_of") == F.col("__wm_tie")), "left")
     numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))

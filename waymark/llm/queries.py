@@ -77,7 +77,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_verdicts(_table(spark, sf_dir, "documents"))
+    found = line_verdicts(_table(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", "n_lines", "n_equal", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 

@@ -8,31 +8,43 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 
+#: Keys over which a node's edges are dealt, so no task gets all edges of a hub.
+SALTS = 64
+
+
+def _with_low(e: DataFrame) -> DataFrame:
+    """e(u, v) with m, the least v of each u."""
+    salted = e.select("u", "v", F.pmod(F.hash("v"), F.lit(SALTS)).alias("salt"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("u", "salt").join(low, "u"), ["u", "salt"])
+
+
+def _digest(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(u, v), root being the smallest node that it reaches.
 
-    Large-star and small-star steps alternate until no edge changes; each is one grouped minimum, so a hub's
-    neighbours are never gathered. Null ends and loops are ignored; an empty table gives an empty one.
+    Large-star and small-star steps alternate until no edge changes. Each is a grouped minimum and a join with it, keyed
+    by node and salt. Null ends and loops are ignored; an empty table gives an empty one.
     """
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low2.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct()
-        )
-        new = written(small, name)
-        changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
-        e = new
-        if not changed:
+    state = _digest(e)
+    for _ in range(max_rounds if state[0] else 0):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+        large = written(large.distinct(), name)
+        small = _with_low(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = written(small.where("u <> v").distinct(), name)
+        was, state = state, _digest(e)
+        if state == was:
             break
     else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

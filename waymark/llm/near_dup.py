@@ -8,9 +8,9 @@
    its classes go to the next level, of deeper prefixes and more trees (adaptive depth). On the deepest level such a
    region is dealt out as pairs of blocks, each pair a task of its own, so that all its pairs meet; pairs that
    candidates connect already are left out, as step 3 verifies them anyway.
-3. Connected candidates form clusters. The shingle sets of a cluster meet once, and pairs of different components are
-   verified exactly on the full sets until no unverified pair joins two components. A cluster beyond
-   `cluster_values` is dealt out as pairs of blocks, so no task holds it whole.
+3. Candidate pairs are verified exactly, by a join with both full sets; components of links are the result. A pair that
+   fails between two components leaves a doubt, as the forest skips pairs that candidates connect: the classes of such a
+   cluster meet in pairs of blocks of bounded size, where pairs of different components and alike signatures are verified.
 
 Every tree has slots of its own, and those of the deeper levels are drawn for the classes that get there, so level l misses
 a pair of similarity s with probability (1 - s**depth)**trees: 6e-9, 6e-9 and 3e-10 at s = 0.85, 6e-7, 5e-6 and 1e-5 at 0.8.
@@ -94,11 +94,11 @@ def _signatures(values: np.ndarray, bounds: np.ndarray, factors: np.ndarray = _F
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in chunks(b.column(1)):
+            for i, j, data, offs in chunks(b.column(2)):
                 v, vb = shingle_sets(data, offs, k)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], pa.array(np.diff(vb)), _binary(_fingerprints(v, vb)), _binary(_signatures(v, vb))],
-                    ["id", "n", "fp", "sig"],
+                    [b.column(0)[i:j], b.column(1)[i:j], pa.array(np.diff(vb)), _binary(_fingerprints(v, vb)), _binary(_signatures(v, vb))],
+                    ["id", "tie", "n", "fp", "sig"],
                 )
 
     return run
@@ -255,16 +255,21 @@ def _grow(threshold: float, region_rows: int, last: bool):
     return run
 
 
-def _cross(threshold: float):
-    """Star edges between the two blocks of each key, or within its only one; the input is sorted by key, side and root."""
+def _cross(threshold: float, num: int | None = None, den: int = 100):
+    """Star edges between the two blocks of each key, or within its only one; the input is sorted by key, side and root.
+
+    Rows of one root are connected already. With `num`, pairs of alike signatures are linked only where their full sets
+    (the last column) have den * |intersection| >= num * |union|.
+    """
     alike = _alike(threshold)
 
     def edges(t: pa.Table) -> pa.RecordBatch | None:
-        n, sig = t["n"].to_numpy().astype(np.float64), _matrix(t["sig"], np.uint16, SIGNATURE)
+        n, sig = t["n"].to_numpy().astype(np.int64), _matrix(t["sig"], np.uint16, SIGNATURE)
         code = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         _, first, at = np.unique(code, return_index=True, return_inverse=True)
         if len(first) < 2:
             return None
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]] if num is not None else []
         was = first[at]
         label, side = was.copy(), t["side"].to_numpy()
         one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -272,6 +277,9 @@ def _cross(threshold: float):
             rest = other if len(other) else one[k + 1 :]
             rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)]
             hit = rest[(sig[rest] == sig[i]).sum(axis=1) >= alike]
+            if len(hit) and num is not None:
+                both = np.concatenate([_common(sets[i], [sets[j] for j in part]) for part in np.array_split(hit, max(1, int(n[hit].sum()) // 1_000_000))])
+                hit = hit[den * both >= num * (n[i] + n[hit] - both)]
             if len(hit):
                 _settle(label, np.full(len(hit), i), hit)
         own = np.flatnonzero(label != was)
@@ -295,19 +303,33 @@ def _cross(threshold: float):
     return run
 
 
+def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of others, none of which is empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    size = np.array([len(x) for x in others])
+    return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+
+
+def _dealt(rooted: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """(key, side, root, fp, n, ...) of the rows of each group, dealt out so that block i meets block j under one key."""
+    dealt = rooted.join(F.broadcast(blocks) if _small(blocks) else blocks, group)
+    dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
+    rest = [c for c in rooted.columns if c not in (group, "root", "fp", "n")]
+    keyed = dealt.select(key.alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root", "fp", "n", *rest)
+    return keyed.repartition("key").sortWithinPartitions("key", "side", "root", "fp")
+
+
 def _crowded(marks: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, region_rows: int) -> DataFrame:
-    """(u, v) of the regions in marks(region, fp) whose classes the edges `found` do not connect: block i meets block j in the task (i, j)."""
+    """(u, v) of the regions in marks(region, fp) whose classes the edges `found` do not connect."""
     roots = connected_components(found, "crowd")
     rooted = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("region", "fp", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "crowded")
     mixed = rooted.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = mixed.select("region", F.ceil(F.col("rows") * 2 / region_rows).cast("int").alias("blocks"))
-    dealt = rooted.join(F.broadcast(mixed) if _small(mixed) else mixed, "region").join(classes.select("fp", "n", "sig"), "fp")
-    dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
-    keyed = dealt.select(key.alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root", "fp", "n", "sig")
-    parts = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return written(keyed.repartition(parts, "key").sortWithinPartitions("key", "side", "root", "fp").mapInArrow(_cross(threshold), "u binary, v binary"), "crossed")
+    own = rooted.join(classes.select("fp", "n", "sig"), "fp")
+    return written(_dealt(own, "region", mixed).mapInArrow(_cross(threshold), "u binary, v binary"), "crossed")
 
 
 def candidate_edges(classes: DataFrame, threshold: float, region_rows: int, widened=None) -> DataFrame:
@@ -320,9 +342,8 @@ def candidate_edges(classes: DataFrame, threshold: float, region_rows: int, wide
     while True:
         last = level == len(LEVELS) - 1
         planted = todo.mapInArrow(_plant(level), "region long, fp binary, n long, sig binary")
-        parts = max(int(planted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         grown = written(
-            planted.repartition(parts, "region").sortWithinPartitions("region", "sig", "fp").mapInArrow(_grow(threshold, region_rows, last), "u binary, v binary, region long"),
+            planted.repartition("region").sortWithinPartitions("region", "sig", "fp").mapInArrow(_grow(threshold, region_rows, last), "u binary, v binary, region long"),
             "forest",
         )
         edges = grown.where("v IS NOT NULL").select("u", "v")
@@ -338,95 +359,69 @@ def candidate_edges(classes: DataFrame, threshold: float, region_rows: int, wide
 
 
 def _sets(k: int):
+    """(fp, sorted shingles) of (text, fp) whose set is the wanted one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in chunks(b.column(1)):
+            for i, j, data, offs in chunks(b.column(0)):
                 v, vb = shingle_sets(data, offs, k)
                 values = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(vb.astype(np.int64) * 8), pa.py_buffer(v)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], values], ["root", "fp", "shingles"])
+                same = (_fingerprints(v, vb) == _matrix(b.column(1)[i:j], np.uint64, 2)).all(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(1)[i:j], values], ["fp", "shingles"]).filter(pa.array(same))
 
     return run
 
 
-def _links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Component labels of sets under den * |intersection| >= num * |union|, comparing no pair that is already connected.
+def _linked(num: int, den: int):
+    """Whether den * |intersection| >= num * |union| of the sets x and y of each (u, v, x, y)."""
 
-    Shingles of one set only cannot be shared and stay out of the bit rows.
-    """
-    n = np.array([len(s) for s in sets])
-    label = np.arange(len(sets))
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if den * both >= num * (n[0] + n[1] - both):
-            label[1] = 0
-        return label
-    pool = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
-    by = np.argsort(pool, kind="stable")
-    pool, owner = pool[by], owner[by]
-    new = np.r_[True, pool[1:] != pool[:-1]]
-    word = np.cumsum(new) - 1
-    shared = np.bincount(word)[word] > 1
-    word, owner = word[shared], owner[shared]
-    column = np.cumsum(np.r_[False, word[1:] != word[:-1]]) if len(word) else word
-    width = (int(column[-1]) // 64 + 1) if len(word) else 1
-    if len(sets) * width <= 8_000_000:
-        bits = np.zeros((len(sets), width), np.uint64)
-        np.bitwise_or.at(bits, (owner, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
-
-        def common(i: int, rest: np.ndarray) -> np.ndarray:
-            return np.concatenate([np.bitwise_count(bits[r] & bits[i]).sum(axis=1, dtype=np.int64) for r in np.array_split(rest, max(1, len(rest) * width // 500_000))])
-    else:
-
-        def common(i: int, rest: np.ndarray) -> np.ndarray:
-            return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in rest])
-
-    order = np.argsort(n, kind="stable")
-    for at, i in enumerate(order[:-1]):
-        rest = order[at + 1 :]
-        rest = rest[: np.searchsorted(n[rest] * num, den * n[i], side="right")]
-        rest = rest[label[rest] != label[i]]
-        if len(rest):
-            both = common(i, rest)
-            hit = rest[den * both >= num * (n[i] + n[rest] - both)]
-            if len(hit):
-                _settle(label, np.full(len(hit), i), hit)
-    return label
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = int(_common(one, [two])[0])
+                good.append(den * both >= num * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], ["u", "v", "linked"])
 
+    return run
 
-def _verify(num: int, den: int):
-    """Star edges within each run of equal keys, the input being sorted by key."""
 
-    def edges(t: pa.Table) -> pa.RecordBatch | None:
-        fps = t["fp"].to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
-        if len(sets) < 2:
-            return None
-        label = _links(sets, num, den)
-        own = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in own], pa.binary()), pa.array([fps[label[i]] for i in own], pa.binary())], ["u", "v"]) if len(own) else None
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v, linked) of pairs(u, v), by a join with both full sets; a v of very many pairs is dealt out over several keys."""
+    hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")).where("salts > 1")
+    hubs = F.broadcast(hubs) if _small(hubs) else hubs
+    salts = F.coalesce("salts", F.lit(1))
+    one = pairs.join(hubs, "v", "left").select("u", "v", F.pmod(F.hash("u"), salts).alias("salt")).join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u")
+    two = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")).join(pairs.select("v").distinct(), "v", "left_semi").join(hubs, "v", "left")
+    two = two.select("v", "y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return written(one.join(two, ["v", "salt"]).select("u", "v", "x", "y").mapInArrow(_linked(num, den), "u binary, v binary, linked boolean"), "verified")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            at = 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != key and held:
-                    if (r := edges(pa.Table.from_batches(held))) is not None:
-                        yield r
-                    held = []
-                key = keys[at]
-                held.append(b.slice(at, end - at))
-                at = end
-        if held and (r := edges(pa.Table.from_batches(held))) is not None:
-            yield r
 
-    return run
+def exact_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int, region_rows: int, cluster_values: int) -> DataFrame:
+    """(u, v) links whose components are those of all links between classes that the candidate pairs(u, v) connect.
+
+    Pairs are verified on full sets. One that fails between classes which no other links join leaves its cluster in doubt:
+    a pair that the forest skipped as connected may be linked. The classes of such clusters meet in blocks, where pairs of
+    different components and alike signatures are verified too.
+    """
+    seen = _verified(pairs, sets, num, den)
+    links = seen.where("linked").select("u", "v")
+    roots = connected_components(links, "exact")
+    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    failed = seen.where("NOT linked").join(name("u"), "u", "left").join(name("v"), "v", "left")
+    failed = failed.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v").distinct()
+    failed = written(failed, "failed")
+    if failed.isEmpty():
+        return links
+    doubt = connected_components(failed, "doubt").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    members = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).join(doubt, "root")
+    members = written(members.join(classes.select("fp", "n", "sig"), "fp"), "doubtful")
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") * 2 / cluster_values), F.ceil(F.count("*") * 2 / region_rows)).cast("int").alias("blocks"))
+    keyed = _dealt(members.join(sets, "fp").select("cluster", "root", "fp", "n", "sig", "shingles"), "cluster", blocks)
+    more = written(keyed.mapInArrow(_cross(num / den, num, den), "u binary, v binary"), "links")
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100,
@@ -439,61 +434,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set, links to nothing and is kept. Rows of equal id and text get equal rows; null ids join components but never name
     one, and a component of null ids only has a null name and is kept. Other columns are ignored. An empty table gives none.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
-    signed = written(own.mapInArrow(_sign(shingle_words), f"id {id_type}, n long, fp binary, sig binary"), "signatures")
-    classes = signed.where("n > 0").groupBy("fp").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    signed = written(own.mapInArrow(_sign(shingle_words), f"id {id_type}, tie long, n long, fp binary, sig binary"), "signatures")
+    classes = signed.where("n > 0").groupBy("fp").agg(
+        F.min("id").alias("low"), F.min(F.struct("id", "tie")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    )
     classes = written(classes, "classes")
 
+    def texts_of(fps: DataFrame) -> DataFrame:
+        """(text, fp): one text of each class of fps(fp), null ids included; repeated rows are folded before the shuffle."""
+        wanted = written(classes.join(fps, "fp", "left_semi").select(F.col("at.id").alias("_id"), F.col("at.tie").alias("_tie"), "fp"), "wanted")
+        on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
+        return own.join(F.broadcast(wanted) if _small(wanted) else wanted, on).groupBy("fp").agg(F.first("text").alias("text")).select("text", "fp")
+
     def widened(fps: DataFrame, level: int) -> DataFrame:
-        wanted = classes.join(fps, "fp", "left_semi").where("low IS NOT NULL").select(F.col("low").alias("id"), "fp", F.col("n").alias("size"), "sig")
-        texts = own.join(F.broadcast(wanted) if _small(wanted) else wanted, "id").select("text", "fp", "size", "sig")
-        return written(texts.mapInArrow(_widen(level, shingle_words), "fp binary, n long, sig binary, slots binary").dropDuplicates(["fp"]), "widened")
-
-    found = connected_components(candidate_edges(classes, num / den, region_rows, widened), "clusters")
-    clusters = written(found.join(classes.select(F.col("fp").alias("node"), "low", "n"), "node"), "members")
-
-    # One text of each class, and of that class only: an id may be repeated with other texts.
-    wanted = clusters.select(F.col("low").alias("id"), F.col("node").alias("want"), "root").where("id IS NOT NULL")
-    texts = own.join(F.broadcast(wanted) if _small(wanted) else wanted, "id")
-    sets = texts.select("root", "text", F.col("want").alias("fp")).mapInArrow(_sets_of(shingle_words), "root binary, fp binary, shingles binary")
-    weight = clusters.groupBy("root").agg(F.sum("n").alias("values"))
-    blocks = weight.where(F.col("values") > cluster_values).select("root", F.ceil(F.col("values") / (cluster_values / 2)).cast("int").alias("blocks"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    if blocks.isEmpty():
-        keyed = sets.select(F.col("root").alias("key"), "fp", "shingles")
-    else:  # block i meets block j in the task (i, j)
-        dealt = sets.join(blocks, "root", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.hash("fp"), "blocks")))
-        other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(None).cast("int"))))
-        dealt = dealt.withColumn("other", other)
-        key = F.when(F.col("own").isNull(), F.col("root")).otherwise(
-            F.concat("root", F.encode(F.concat_ws(":", F.lit(""), F.least("own", "other"), F.greatest("own", "other")), "utf-8"))
-        )
-        keyed = dealt.select(key.alias("key"), "fp", "shingles")
-    links = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_verify(num, den), "u binary, v binary")
-    joined = connected_components(written(links, "links"), "linked")
+        texts = texts_of(fps).join(classes.select("fp", F.col("n").alias("size"), "sig"), "fp").select("text", "fp", "size", "sig")
+        return written(texts.mapInArrow(_widen(level, shingle_words), "fp binary, n long, sig binary, slots binary"), "widened")
+
+    pairs = written(candidate_edges(classes, num / den, region_rows, widened).distinct(), "candidates")
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    sets = written(texts_of(ends).mapInArrow(_sets(shingle_words), "fp binary, shingles binary"), "sets")
+    joined = connected_components(exact_links(pairs, classes, sets, num, den, region_rows, cluster_values), "linked")
     named = joined.join(classes.select(F.col("fp").alias("node"), "low"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("low").alias("name")), "root").select(F.col("node").alias("fp"), "name")
-    out = signed.select("id", "n", "fp").join(classes.select("fp", "low"), "fp", "left").join(named, "fp", "left")
+    names = named.groupBy("root").agg(F.min("low").alias("name"))
+    out = signed.select("id", "n", "fp").join(classes.select("fp", "low"), "fp", "left").join(joined.withColumnRenamed("node", "fp"), "fp", "left").join(names, "root", "left")
     name = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("name", "low"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("id").eqNullSafe(name).alias("kept"))
 
 
-def _sets_of(k: int):
-    """The shingle sets of the rows whose set is the wanted one."""
-    inner = _sets(k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in inner(batches):
-            v = [np.frombuffer(x.as_buffer(), np.uint64) for x in out.column(2)]
-            bounds = np.r_[0, np.cumsum([len(x) for x in v])]
-            own = _fingerprints(np.concatenate(v) if v else np.zeros(0, np.uint64), bounds)
-            same = (own == _matrix(out.column(1), np.uint64, 2)).all(axis=1)
-            yield out.filter(pa.array(same))
-
-    return run
-
-
+#: Pairs of one class beyond which its set is sent to several tasks.
+HUB_PAIRS = 1000
 #: Rows of about 60 bytes that may be sent to every executor.
 BROADCAST_ROWS = 100_000
 

@@ -290,7 +290,9 @@ def test_line_dedup(spark):
                 gone.setdefault(tuple(k), []).append(n)
             seen.append(x)
     got = {(r.doc_id is not None, r.doc_id or 0, r.tie): r.removed for r in line_verdicts(d).collect()}
-    assert got == {k: gone.get(k, []) for k, _ in keyed}
+    assert got == {k: gone.get(k, []) for k, _ in keyed} and line_verdicts(d).count() == d.count()
+    long = spark.createDataFrame([(1, "ab" * 100_000 + "\n" + "ab" * 100_000 + "c"), (2, "ab" * 100_000)], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_verdicts(long).collect()} == {1: [1], 2: [0]}
     for r in dedup_lines(d).withColumn("n", F.size(F.split("text", "\n"))).collect():
         assert r.line == "z"
     assert dedup_lines(d).where("text IS NULL").count() == 1 and line_verdicts(d.limit(0)).count() == 0

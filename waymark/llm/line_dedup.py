@@ -4,7 +4,8 @@ A line goes if an earlier line is equal to it or within one edit of it (a code p
 earlier means a smaller (document id, hash of its text, line number). Lines under `min_chars` go only with `short`, where an
 earlier line is equal and they are not blank.
 
-1. Equal lines meet in one grouped minimum, so a line of any frequency costs one row a task.
+1. Equal lines (told apart by 128 bits) meet in one grouped minimum, so a line of any frequency costs one row a task. What
+   stands first is marked at its place, not looked up by every equal line, so no line's frequency makes a hot key.
 2. Of two lines within one edit, one half is intact. Each distinct line has four half keys; a line without a partner on
    any of them has no neighbour and emits nothing more. This test loses no pair.
 3. The others emit their deletion variants as hashed keys. Equal variants with equal gaps are lines that differ by one
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dup import _small
+from .near_dup import _binary, _small
 from .scratch import written
 from .textvec import _power, chunks, mix
 
@@ -48,6 +49,13 @@ class _Lines:
         self.sum = np.zeros(len(self.cp) + 1, _U)
         np.cumsum(mix(self.cp.astype(_U) + _U(3)) * self.power[: len(self.cp)], out=self.sum[1:])
 
+    def names(self) -> pa.Array:
+        """128 bits of each line: its hash and that of a second polynomial."""
+        total = np.zeros(len(self.cp) + 1, _U)
+        np.cumsum(mix(self.cp.astype(_U) + _U(0x1B873593)) * self.power[: len(self.cp)], out=total[1:])
+        second = mix((total[self.end] - total[self.start]) * self.inverse[self.start])
+        return _binary(np.stack([self.hash(self.start, self.end), second], axis=1))
+
     def hash(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         return mix((self.sum[end] - self.sum[start]) * self.inverse[start] + mix((end - start).astype(_U) * _U(0x9E3779B97F4A7C15) + np.asarray(salt).astype(_U)))
 
@@ -82,7 +90,7 @@ def _scan(min_chars: int, short_lines: bool):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(n) + 1, 4), pa.int32()), flat)
                 empty = pa.nulls(len(n), lists.type)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j].take(own), b.column(1)[i:j].take(own), pa.array(x.number, pa.int32()), pa.array(x.hash(x.start, x.end).view(np.int64), mask=absent),
+                    [b.column(0)[i:j].take(own), b.column(1)[i:j].take(own), pa.array(x.number, pa.int32()), x.names().take(pa.array(np.arange(len(n)), mask=absent)),
                      pa.array(n, pa.int32()), pa.concat_arrays([lists, empty]).take(pa.array(np.where(short, np.arange(len(n)) + len(n), np.arange(len(n)))))],
                     ["id", "tie", "line", "hash", "size", "halves"],
                 )
@@ -111,7 +119,6 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offs in chunks(b.column(1), 1 << 18):
             x = _Lines(data, offs)  # texts are single lines
             n = x.end - x.start
-            own = b.column(0)[i:j].to_numpy()
             row = np.repeat(np.arange(j - i), n)
             at = np.arange(len(row))
             low, high = x.start[row], x.end[row]
@@ -124,7 +131,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             who = np.concatenate([np.arange(j - i), row[fresh], row])
             role = np.concatenate([np.zeros(j - i, np.int8), np.ones(int(fresh.sum()), np.int8), np.full(len(row), 2, np.int8)])
             to = pa.array(who)
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(role), *[b.column(c)[i:j].take(to) for c in (2, 3, 4)], pa.array(own[who])], ["key", "role", "id", "tie", "line", "hash"])
+            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(role), *[b.column(c)[i:j].take(to) for c in (2, 3, 4, 0)]], ["key", "role", "id", "tie", "line", "hash"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +145,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone[1:-1] = (k[1:-1] != k[:-2]) & (k[1:-1] != k[2:])
         rest = np.flatnonzero(~alone)
         one, other = [], []
-        for i, r, h in zip(k[rest].tolist(), b.column(1).to_numpy()[rest].tolist(), b.column(2).to_numpy()[rest].tolist(), strict=True):
+        for i, r, h in zip(k[rest].tolist(), b.column(1).to_numpy()[rest].tolist(), b.column(2).take(pa.array(rest)).to_pylist(), strict=True):
             if i != key:
                 key, whole, first = i, None, None
             if r == 0:
@@ -150,7 +157,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     one.append(h), other.append(first)
             elif whole is not None:  # inserted into the whole line
                 one.append(h), other.append(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["late", "early"])
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(other, pa.binary())], ["late", "early"])
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -171,17 +178,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, short: bool = False) -> DataFrame:
-    """For each document, rows equal in id and text being one: (id_col, tie, n_lines, n_equal, n_near, removed).
+    """For each row of docs: (id_col, tie, n_lines, n_equal, n_near, removed).
 
     tie is a hash of the text; n_equal counts lines equal to an earlier one, n_near those within one edit of one;
-    removed are the numbers (from 0) of both, ascending. A null or empty text is one empty line, which stays. An id may
-    be null, which comes before all others. Other columns are ignored; an empty table gives none. With `short`, lines under
-    min_chars that are not blank go where an earlier line is equal.
+    removed are the numbers (from 0) of both, ascending. Rows equal in id and text are one document and get equal rows. A
+    null or empty text is one empty line, which stays. An id may be null, which comes before all others. Other columns are
+    ignored; an empty table gives none. With `short`, lines under min_chars that are not blank go where an earlier line is equal.
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("tie"), "text")
-    lines = written(own.mapInArrow(_scan(min_chars, short), f"id {id_type}, tie long, line int, hash long, size int, halves array<long>"), "lines")
+    lines = written(own.mapInArrow(_scan(min_chars, short), f"id {id_type}, tie long, line int, hash binary, size int, halves array<long>"), "lines")
     place = F.struct("id", "tie", "line")
     first = written(lines.where("hash IS NOT NULL").groupBy("hash").agg(F.min(place).alias("at"), F.first("halves").alias("halves")), "first")
 
@@ -195,29 +201,30 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")) & (F.col("line") == F.col("_line"))
     texts = written(texts.join(send(where), on).select("hash", "text", "id", "tie", "line").dropDuplicates(["hash"]), "texts")
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = texts.mapInArrow(_variants, f"key long, role tinyint, id {id_type}, tie long, line int, hash long")
-    runs = keys.repartition(parts, "key").sortWithinPartitions("key", "role", "id", "tie", "line").select("key", "role", "hash")
-    links = written(runs.mapInArrow(_links, "late long, early long").distinct(), "links")
+    keys = texts.mapInArrow(_variants, f"key long, role tinyint, id {id_type}, tie long, line int, hash binary")
+    runs = keys.repartition("key").sortWithinPartitions("key", "role", "id", "tie", "line").select("key", "role", "hash")
+    links = written(runs.mapInArrow(_links, "late binary, early binary").distinct(), "links")
 
-    place = F.struct("id", "tie", "line")
     pairs = links.join(texts.select(F.col("hash").alias("late"), F.col("text").alias("x"), place.alias("at_x")), "late")
     pairs = pairs.join(texts.select(F.col("hash").alias("early"), F.col("text").alias("y"), place.alias("at_y")), "early")
     later = F.when(F.col("at_x") > F.col("at_y"), F.col("late")).otherwise(F.col("early"))
-    gone = written(pairs.select(later.alias("hash"), "x", "y").mapInArrow(_verify, "hash long").distinct(), "gone").withColumn("near", F.lit(True))
-    judged = lines.join(first.select("hash", "at"), "hash", "left").join(gone, "hash", "left")
-    again = F.col("hash").isNotNull() & (F.col("at") != place)
-    judged = judged.select("id", "tie", "line", again.alias("again"), (~again & F.coalesce("near", F.lit(False))).alias("near")).distinct()
-    out = judged.groupBy("id", "tie").agg(
-        F.count("*").alias("n_lines"), F.count_if("again").alias("n_equal"), F.count_if("near").alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("again") | F.col("near"), F.col("line")))).alias("removed"),
+    gone = written(pairs.select(later.alias("hash"), "x", "y").mapInArrow(_verify, "hash binary").distinct(), "gone").withColumn("near", F.lit(True))
+    # a document's lines and what stands first meet by document: kind 0 takes part, 1 does not, 2 is a first that stays, 3 one near an earlier line
+    kept = first.select("hash", "at").join(gone, "hash", "left").select("at.*", F.when(F.col("near"), 3).otherwise(2).alias("kind"))
+    marks = lines.select("id", "tie", "line", F.col("hash").isNull().cast("int").alias("kind")).unionByName(kept)
+    of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("line")))
+    by = marks.groupBy("id", "tie").agg(*[of_kind(k).alias(f"k{k}") for k in range(4)])
+    out = by.select(
+        F.col("id").alias("_id"), F.col("tie").alias("_tie"), (F.size("k0") + F.size("k1")).cast("long").alias("n_lines"), (F.size("k0") - F.size("k2") - F.size("k3")).cast("long").alias("n_equal"),
+        F.size("k3").cast("long").alias("n_near"), F.sort_array(F.array_except("k0", "k2")).alias("removed"),
     )
-    return out.withColumnRenamed("id", id_col)
+    out = own.select("id", "tie").join(written(out, "verdicts"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    return out.select(F.col("id").alias(id_col), "tie", "n_lines", "n_equal", "n_near", "removed")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, short: bool = False) -> DataFrame:
     """docs with text_col cut to the lines that stay, all other columns as they were; a null text stays null."""
-    v = line_verdicts(docs, id_col, text_col, min_chars, short).where(F.size("removed") > 0).select(F.col(id_col).alias("__wm_id"), F.col("tie").alias("__wm_tie"), F.col("removed").alias("__wm_gone"))
+    v = line_verdicts(docs, id_col, text_col, min_chars, short).where(F.size("removed") > 0).dropDuplicates([id_col, "tie"]).select(F.col(id_col).alias("__wm_id"), F.col("tie").alias("__wm_tie"), F.col("removed").alias("__wm_gone"))
     own = docs.withColumn("__wm_of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = own.join(v, F.col(f"`{id_col}`").eqNullSafe(F.col("__wm_id")) & (F.col("__wm_of") == F.col("__wm_tie")), "left")
     numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from waymark.llm import langid, near_dup, quality_classifier, quality_rules
 from waymark.llm.decontaminate import benchmark_hits, contaminated
 from waymark.llm.html_blocks import blocks
-from waymark.llm.html_extract import extract_main_text, trained
+from waymark.llm.html_extract import SLOTS, Features, extract_main_text, trained
 from waymark.llm.line_dedup import dedup_lines, line_verdicts, within_one_edit
 from waymark.llm.mixing import mixed_documents, mixture
 from waymark.llm.near_dup import near_duplicates, one_of_each
@@ -356,7 +357,29 @@ def test_blocks():
     got = blocks("<title>t</title><nav><a href=x>Home</a></nav><p>One &amp; <b>two<br>three</b><p>four<!-- no > --><script>var a='<p>x';</script></div><ul><li>a<li>b</ul> tail")
     assert [b.text for b in got] == ["Home", "One & two three", "four", "a", "b", "tail"]
     assert got[0].path == ("nav",) and got[0].linked == 4
-    assert blocks("") == [] and blocks("<p") == [] or True
+    assert blocks("") == [] and blocks("<p") == [] and blocks("<html><head><title>t</title><body>x < y")[0].text == "x < y"
+    kept = blocks("<article><p>a <math><mi>x</mi></math> <button>press</button> <video src=v>no video</video><select><option>o</select> <a title='>' href=x>b</a></p></article>")
+    assert [b.text for b in kept] == ["a x press no video b"]
+    for odd in ("<a ", "<div>x", "<a x='\">", "<b></i>", "<select>", "<!", "<ul><div>", "<li></li>", '<a b="', "</p>x"):
+        start = time.perf_counter()
+        blocks(odd * (1_000_000 // len(odd)))
+        assert time.perf_counter() - start < 10
+    start = time.perf_counter()
+    deep = blocks("<div class=c>x" * 70_000)
+    Features([deep]).path_means(np.zeros((SLOTS, 2), np.float32))
+    assert len(deep) == 70_000 and time.perf_counter() - start < 20
+
+
+def test_path_gradient_matches_differences():
+    f = Features([blocks("<div class=a><p>one<p>two words</div>"), blocks("bare <section id=b><ul><li>x<li>y</ul></section>")])
+    rng = np.random.default_rng(1)
+    table, weight = rng.normal(size=(SLOTS, 3)), rng.normal(size=(len(f.node_of), 3))
+    for mean, gradient in ((f.path_means, f.path_gradient), (f.word_means, f.word_gradient)):
+        g, base = gradient(weight.astype(np.float32), table.shape), (mean(table) * weight).sum()
+        for slot in np.flatnonzero(np.abs(g).sum(axis=1))[:6]:
+            moved = table.copy()
+            moved[slot, 1] += 1.0
+            assert (mean(moved) * weight).sum() - base == pytest.approx(g[slot, 1], abs=1e-4)
 
 
 def test_html_extraction(spark):
@@ -372,7 +395,7 @@ def test_html_extraction(spark):
 
 
 def test_labeller_on_unseen_pages():
-    from waymark.llm.html_extract import Features, training_pages
+    from waymark.llm.html_extract import training_pages
 
     pages, labels = training_pages(200, 77)
     hit = (trained().logits(Features(pages)) > 0) == np.array([v for x in labels for v in x])

@@ -25,8 +25,6 @@ from .html_blocks import Block, blocks
 
 SLOTS, PATH_DIM, WORD_DIM, HIDDEN = 4096, 16, 8, 24
 MEASURES = 7
-#: Words of a block that are hashed: those at its start and end, where boilerplate shows.
-EDGE_WORDS = 12
 
 
 @lru_cache(maxsize=200_000)
@@ -34,30 +32,86 @@ def _slot(token: str) -> int:
     return crc32(token.encode("utf-8", "surrogatepass")) % SLOTS
 
 
+class _WordSlots(dict):
+    """The slot of every word met of late."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found = crc32(f"w:{word.strip('.,:;!?()\"\'')}".encode("utf-8", "surrogatepass")) % SLOTS
+        return found
+
+
+_word_slots = _WordSlots()
+
+
+def _summed(slot: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The rows of each of n slots, summed."""
+    return np.stack([np.bincount(slot, rows[:, k], minlength=n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
 class Features:
-    """Vectors of the blocks of pages, flat."""
+    """Vectors of the blocks of pages, flat. Elements are nodes of trees, so blocks share the paths above them."""
 
     def __init__(self, pages: list[list[Block]]):
         self.sizes = np.array([len(p) for p in pages], np.int64)
-        path, path_row, word, word_row, measures = [], [], [], [], []
-        row = 0
+        token, token_node, parent, depth, count = [], [], [], [], []
+        node_of, leaf, word, word_n, measures = [], [], [], [], []
         for page in pages:
-            total = max(1, len(page))
+            total, number = max(1, len(page)), {}
             for k, b in enumerate(page):
-                own = (*b.path, f"leaf {b.path[-1]}") if b.path else ("none",)
-                path += [_slot("p:" + t) for t in own]
-                path_row += [row] * len(own)
+                fresh, node = [], b.node
+                while node is not None and id(node) not in number:
+                    fresh.append(node)
+                    node = node.parent
+                for node in reversed(fresh):
+                    up = -1 if node.parent is None else number[id(node.parent)]
+                    number[id(node)] = len(parent)
+                    token += [_slot("p:" + t) for t in node.tokens]
+                    token_node += [len(parent)] * len(node.tokens)
+                    depth.append(0 if up < 0 else depth[up] + 1)
+                    count.append(len(node.tokens) + (0 if up < 0 else count[up]))
+                    parent.append(up)
+                node_of.append(-1 if b.node is None else number[id(b.node)])
+                leaf.append(_slot("p:none" if b.node is None else f"p:leaf {b.node.tokens[-1]}"))
                 words = b.text.lower().split()
-                some = words if len(words) <= 2 * EDGE_WORDS else words[:EDGE_WORDS] + words[-EDGE_WORDS:]
-                word += [_slot("w:" + w.strip(".,:;!?()\"'")) for w in some]
-                word_row += [row] * len(some)
+                word += map(_word_slots.__getitem__, words)
+                word_n.append(len(words))
                 n = len(b.text)
                 measures.append((np.log1p(n) / 6, np.log1p(len(words)) / 5, min(1.0, b.linked / n), float(b.text[-1] in ".!?:\"'"), k / total, float("©" in b.text), float(n < 25)))
-                row += 1
-        self.path, self.path_row, self.word, self.word_row = (np.array(x, np.int64) for x in (path, path_row, word, word_row))
-        self.path_n = np.maximum(np.bincount(self.path_row, minlength=row), 1)
-        self.word_n = np.maximum(np.bincount(self.word_row, minlength=row), 1)
-        self.measures = np.array(measures, np.float32).reshape(row, MEASURES)
+        self.token, self.token_node, self.parent, self.node_of, self.leaf, self.word, self.word_n = (np.array(x, np.int64) for x in (token, token_node, parent, node_of, leaf, word, word_n))
+        by = np.argsort(np.array(depth, np.int64), kind="stable")
+        self.levels = np.split(by, np.flatnonzero(np.diff(np.array(depth, np.int64)[by])) + 1) if len(by) else []
+        self.path_n = (np.append(np.array(count, np.int64), 0)[self.node_of] + 1).astype(np.float32)
+        self.measures = np.array(measures, np.float32).reshape(len(node_of), MEASURES)
+
+    def path_means(self, table: np.ndarray) -> np.ndarray:
+        """Mean embedding of the tokens of each block's path and its leaf: sums run down the trees level by level."""
+        total = np.zeros((len(self.parent) + 1, table.shape[1]), np.float32)  # the last row stands for no element
+        if len(self.token):
+            total[:-1] = np.add.reduceat(table[self.token], np.searchsorted(self.token_node, np.arange(len(self.parent))), axis=0)
+        for own in self.levels[1:]:
+            total[own] += total[self.parent[own]]
+        return (total[self.node_of] + table[self.leaf]) / self.path_n[:, None]
+
+    def path_gradient(self, d: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """Of the embeddings, from that of path_means; the same trees upwards."""
+        d = d / self.path_n[:, None]
+        nodes = len(self.parent) + 1
+        total = _summed(self.node_of % nodes, d, nodes)
+        for own in reversed(self.levels[1:]):
+            np.add.at(total, self.parent[own], total[own])
+        return _summed(self.token, total[self.token_node], shape[0]) + _summed(self.leaf, d, shape[0])
+
+    def word_means(self, table: np.ndarray) -> np.ndarray:
+        if not len(self.word_n):
+            return np.zeros((0, table.shape[1]), np.float32)
+        return np.add.reduceat(table[self.word], np.cumsum(self.word_n) - self.word_n, axis=0) / self.word_n[:, None].astype(np.float32)
+
+    def word_gradient(self, d: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        return _summed(self.word, np.repeat(d / self.word_n[:, None], self.word_n, axis=0), shape[0])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,12 +131,7 @@ class Labeller:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def inputs(self, f: Features) -> np.ndarray:
-        def mean(table: np.ndarray, slot: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
-            if not len(n):
-                return np.zeros((0, table.shape[1]), np.float32)
-            return np.add.reduceat(table[slot], np.searchsorted(row, np.arange(len(n))), axis=0) / n[:, None].astype(np.float32)
-
-        return np.concatenate([mean(self.p["path"], f.path, f.path_row, f.path_n), mean(self.p["word"], f.word, f.word_row, f.word_n), f.measures], axis=1)
+        return np.concatenate([f.path_means(self.p["path"]), f.word_means(self.p["word"]), f.measures], axis=1)
 
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states of one direction; x: (time, page, input)."""
@@ -177,11 +226,8 @@ class Labeller:
                     dout = np.zeros((*mask.shape, HIDDEN), np.float32)
                     dout[t, page] = dh[:, k * HIDDEN : (k + 1) * HIDDEN]
                     dx += self._back(d, grid, dout, kept[d], grad)[t, page]
-                for name, lo, hi, slot, row, n in (("path", 0, PATH_DIM, f.path, f.path_row, f.path_n), ("word", PATH_DIM, PATH_DIM + WORD_DIM, f.word, f.word_row, f.word_n)):
-                    grad[name] = np.zeros_like(self.p[name])
-                    by = np.argsort(slot, kind="stable")
-                    first_of = np.flatnonzero(np.r_[True, slot[by][1:] != slot[by][:-1]])
-                    grad[name][slot[by][first_of]] = np.add.reduceat((dx[:, lo:hi] / n[:, None])[row[by]], first_of, axis=0)
+                grad["path"] = f.path_gradient(dx[:, :PATH_DIM], self.p["path"].shape)
+                grad["word"] = f.word_gradient(dx[:, PATH_DIM : PATH_DIM + WORD_DIM], self.p["word"].shape)
                 step += 1
                 now = rate * (1 - epoch / epochs * 0.7)
                 for k, g in grad.items():

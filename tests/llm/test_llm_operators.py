@@ -318,18 +318,63 @@ def test_language_id(spark):
     assert empty.where("lang_pred <> 'und'").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    m = langid.LanguageModels({"aa": ["abab abba baab", "bab a"], "bb": ["cdcd"]}, order=3)
-    data = np.frombuffer(b"ab", np.uint8)
-    code, _, _ = langid.letter_codes(data, np.array([0, 2]), 3)
-    alphabet = [0, *map(ord, "ab")]
-    total = 0.0
-    for c in alphabet:
-        trial = np.r_[code[:-1], c].astype(np.uint32)
-        total += np.exp(m._log_p(langid.gram_keys(trial, 3), np.array([len(trial) - 1]), 3)[0, 0])
-    trial = np.r_[code[:-1], ord("z")].astype(np.uint32)
-    total += np.exp(m._log_p(langid.gram_keys(trial, 3), np.array([len(trial) - 1]), 3)[0, 0])  # all unseen codes as one
-    assert total == pytest.approx(1.0, abs=1e-5)
+def packed(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
+
+
+def plain_kneser_ney(texts, order):
+    """p(last | before) from dicts of tuples."""
+    counts = [None, *[{} for _ in range(order)]]
+    for t in texts:
+        code = " " * (order - 1) + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+        for i in range(order - 1, len(code)):
+            g = code[i - order + 1 : i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for m in range(order - 1, 0, -1):
+        for g in counts[m + 1]:
+            counts[m][g[1:]] = counts[m].get(g[1:], 0) + 1
+
+    def discount(m):
+        n1, n2 = (sum(c == k for c in counts[m].values()) for k in (1, 2))
+        return min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.95)
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        m = len(g)
+        own = [c for h, c in counts[m].items() if h[:-1] == g[:-1]]
+        if not own:
+            return p(g[1:])
+        return (max(counts[m].get(g, 0) - discount(m), 0) + discount(m) * len(own) * p(g[1:])) / sum(own)
+
+    return p
+
+
+def test_kneser_ney_matches_a_plain_one():
+    texts = {"aa": ["abab abba baab", "bab a", "abba cab"], "bb": ["cdcd dc", "dddc cab"]}
+    m = langid.LanguageModels({k: langid.gram_counts(*packed(v), 3) for k, v in texts.items()}, order=3)
+    for t in ("ab", "cab abz", "zz", "dc cd"):
+        h, letters = m.entropies(*packed([t, "", t]))
+        code = "  " + t + " "
+        for k, lang in enumerate(("aa", "bb")):
+            p = plain_kneser_ney(texts[lang], 3)
+            want = -sum(np.log(p(code[i - 2 : i + 1])) for i in range(2, len(code))) / (len(t) + 1)
+            assert h[0, k] == pytest.approx(want, rel=1e-5) and h[2, k] == pytest.approx(want, rel=1e-5)
+        assert letters.tolist() == [len(t.replace(" ", "")), 0, len(t.replace(" ", ""))]
+    p = plain_kneser_ney(texts["aa"], 3)
+    assert sum(p("ab" + c) for c in " abcz") == pytest.approx(1)  # z for all unseen letters as one
+
+
+def test_language_id_of_a_long_text_and_many_languages(spark):
+    alphabet = [chr(0x4E00 + 7 * k + j) for k in range(600) for j in range(7)]
+    rows = [(i, "".join(R.choice(alphabet[7 * (i % 600) : 7 * (i % 600) + 7]) for _ in range(40)), f"l{i % 600}", "x") for i in range(1200)]
+    d = spark.createDataFrame([*rows, rows[0], (5000, alphabet[0] * 60_000, None, "x")], "doc_id long, text string, lang string, score string")
+    model = langid.fit(d, "doc_id", "text", "lang")
+    assert len(model.languages) == 600
+    out = langid.identify(d, model).collect()
+    assert len(out) == 1202 and all(r.lang_pred == f"l{r.doc_id % 600}" for r in out if r.doc_id < 5000)
+    assert [r.lang_pred for r in out if r.doc_id == 5000] == ["l0"]
 
 
 def test_quality_classifier(spark):

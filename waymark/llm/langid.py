@@ -6,9 +6,11 @@ uniform distribution at the end. All models are stored together: for each order
 with the log-probability of the gram in every language, and one of context hashes with the backoff weights. A text goes to
 the language of the lowest cross-entropy per character.
 
-Fitting takes a bounded sample: the SAMPLE_TEXTS texts of each language that come first by a hash, SAMPLE_CHARS
-characters of each at most. A fifth of them is kept out of the counts to calibrate the score (a logistic curve over the
-margin to the second language) and the rejection (a cross-entropy beyond all but `reject` of the calibration texts).
+Fitting takes `sample_texts` whole texts of each language, those that come first by a hash; every language is learned. A
+fifth of them is kept out of the counts to calibrate the score (a logistic curve over the margin to the second language)
+and the rejection (a cross-entropy beyond all but `reject` of the calibration texts). The grams of the highest order are
+counted on the executors; as each lower order counts in how many different grams it continues, their counts are all that
+the driver needs.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .near_dup import _small
+from .scratch import written
 from .textvec import chunks, mix
 
 ORDER = 5
+#: Texts of each language that are learned from, by default.
 SAMPLE_TEXTS = 400
-SAMPLE_CHARS = 10_000
-#: Languages that are learned, the most frequent first.
-MOST_LANGUAGES = 500
 _tables: list[np.ndarray] = []
 
 
@@ -83,27 +86,54 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, table[i] == keys
 
 
+def gram_counts(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams of the highest order, a row of codes each, and how often they occur; every code of a text ends one."""
+    code, end, _ = letter_codes(data, offs, order)
+    at = _scored(len(code), end, order)
+    if not len(at):
+        return np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
+    _, first, count = np.unique(gram_keys(code, order)[order][at], return_index=True, return_counts=True)
+    return code[at[first][:, None] + np.arange(1 - order, 1)], count
+
+
+def _scored(n: int, end: np.ndarray, order: int) -> np.ndarray:
+    """Places of all codes but the blanks that lead each text."""
+    scored = np.ones(n, bool)
+    for j in range(order - 1):
+        scored[np.r_[0, end[:-1]] + j] = False
+    return np.flatnonzero(scored) if len(end) else np.zeros(0, np.int64)
+
+
+def _suffix_keys(codes: np.ndarray) -> list[np.ndarray]:
+    """keys[m] of the last m codes of each row, as gram_keys has them."""
+    one = mix(codes.astype(np.uint64).ravel() + np.uint64(7)).reshape(codes.shape)
+    keys, total = [np.zeros(len(codes), np.uint64)], np.zeros(len(codes), np.uint64)
+    for m in range(1, codes.shape[1] + 1):
+        total = total + one[:, codes.shape[1] - m] * np.uint64(pow(0xD1342543DE82EF95, m, 1 << 64))
+        keys.append(mix(total + np.uint64(m)))
+    return keys
+
+
 class _Counts:
     """One language's counts: for each order the grams and the contexts."""
 
-    def __init__(self, keys: list[np.ndarray], scored: np.ndarray, order: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = codes.shape[1]
         self.order, self.grams, self.contexts = order, {}, {}
-        at = scored
-        raw: np.ndarray | None = None
+        self.own, self.before = _suffix_keys(codes), [np.zeros(len(codes), np.uint64), *_suffix_keys(codes[:, :-1])]  # of grams, and of their contexts
+        at = np.arange(len(codes))
         for m in range(order, 0, -1):
-            gram, first, count = np.unique(keys[m][at], return_index=True, return_counts=True)
-            if m == order:
-                raw = count
+            gram, first, count = np.unique(self.own[m][at], return_index=True, return_counts=True)
             where = at[first]
+            count = counts[where] if m == order else count
             n1, n2 = int((count == 1).sum()), int((count == 2).sum())
             discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.95)
-            context = keys[m - 1][where - 1] if m > 1 else np.zeros(len(where), np.uint64)
+            context = self.before[m][where] if m > 1 else np.zeros(len(where), np.uint64)
             name, own = np.unique(context, return_inverse=True)
             self.grams[m] = (gram, count.astype(np.float64), where)
             self.contexts[m] = (name, np.bincount(own, count), np.bincount(own).astype(np.float64), discount)
             at = where  # each different gram once: continuation counts of the next order
         self.size = len(self.grams[1][0])
-        assert raw is not None
 
     def backoff(self, m: int, context: np.ndarray) -> np.ndarray:
         name, total, kinds, discount = self.contexts[m]
@@ -123,23 +153,14 @@ class _Counts:
 
 
 class LanguageModels:
-    def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
-        self.order, self.languages = order, sorted(texts)
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        """grams: of each language the different grams of the highest order and how often they occur."""
+        grams = {k: v for k, v in grams.items() if len(v[1])}
+        self.order, self.languages = order, sorted(grams)
         self.slope, self.shift, self.limit = 20.0, 0.0, np.full(len(self.languages), np.inf)
-        if not texts:
+        if not grams:
             return
-        held, counts = [], []
-        for lang in self.languages:
-            raw = [t.encode() for t in texts[lang]]
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            code, end, _ = letter_codes(data, np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), order)
-            keys = gram_keys(code, order)
-            start = np.r_[0, end[:-1]]
-            scored = np.ones(len(code), bool)
-            for j in range(order - 1):
-                scored[start + j] = False
-            counts.append(_Counts(keys, np.flatnonzero(scored), order))
-            held.append(keys)
+        counts = [_Counts(*grams[lang]) for lang in self.languages]
         self.grams, self.contexts = {}, {}
         for m in range(1, order + 1):
             everything = np.concatenate([c.grams[m][0] for c in counts])
@@ -147,11 +168,11 @@ class LanguageModels:
             who = np.repeat(np.arange(len(counts)), [len(c.grams[m][0]) for c in counts])[first]
             where = np.concatenate([c.grams[m][2] for c in counts])[first]
             own, before = [np.zeros(len(gram), np.uint64) for _ in range(m + 1)], [np.zeros(len(gram), np.uint64) for _ in range(m + 1)]
-            for i, keys in enumerate(held):
+            for i, c in enumerate(counts):
                 mine = who == i
                 for k in range(1, m + 1):
-                    own[k][mine] = keys[k][where[mine]]
-                    before[k][mine] = keys[k - 1][where[mine] - 1] if k > 1 else 0
+                    own[k][mine] = c.own[k][where[mine]]
+                    before[k][mine] = c.before[k][where[mine]] if k > 1 else 0
             self.grams[m] = (gram, np.stack([np.log(c.probability(own, before, m)) for c in counts], axis=1).astype(np.float32))
             name = np.unique(np.concatenate([c.contexts[m][0] for c in counts]))
             self.contexts[m] = (name, np.stack([np.log(c.backoff(m, name)) for c in counts], axis=1).astype(np.float32))
@@ -176,16 +197,17 @@ class LanguageModels:
     def entropies(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text in each language, and how many letters it has."""
         code, end, letters = letter_codes(data, offs, self.order)
-        start = np.r_[0, end[:-1]]
         keys = gram_keys(code, self.order)
-        scored = np.ones(len(code), bool)
-        for j in range(self.order - 1):
-            scored[start + j] = False
-        at = np.flatnonzero(scored)
-        total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self._log_p(keys, at, self.order), axis=0, dtype=np.float64)])
+        at = _scored(len(code), end, self.order)
         bound = np.searchsorted(at, np.r_[0, end])
-        n = np.diff(bound)
-        return -(total[bound[1:]] - total[bound[:-1]]) / np.maximum(n, 1)[:, None], letters
+        total = np.zeros((len(end), len(self.languages)))
+        step = max(1, 4_000_000 // len(self.languages))
+        for low in range(0, len(at), step):  # a slice of the letters at a time, whatever the texts' lengths
+            high = min(low + step, len(at))
+            first, last = np.searchsorted(bound, low, side="right") - 1, np.searchsorted(bound, high, side="left")
+            cuts = np.maximum(bound[first:last], low) - low
+            total[first:last] += np.add.reduceat(self._log_p(keys, at[low:high], self.order), cuts, axis=0, dtype=np.float64)
+        return -total / np.maximum(np.diff(bound), 1)[:, None], letters
 
     def _margin(self, h: np.ndarray) -> np.ndarray:
         if h.shape[1] < 2:
@@ -193,18 +215,12 @@ class LanguageModels:
         two = np.partition(h, 1, axis=1)
         return two[:, 1] - two[:, 0]
 
-    def calibrate(self, texts: dict[str, list[str]], reject: float) -> None:
-        margins, right = [], []
-        for k, lang in enumerate(self.languages):
-            raw = [t.encode() for t in texts.get(lang, [])]
-            if raw:
-                h, letters = self.entropies(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
-                h = h[letters > 0]
-                if len(h):
-                    margins.append(self._margin(h)), right.append(h.argmin(axis=1) == k)
-                    self.limit[k] = np.quantile(h[:, k], 1 - reject)
-        if margins:
-            x, y = np.concatenate(margins), np.concatenate(right).astype(float)
+    def calibrate(self, lang: np.ndarray, margin: np.ndarray, right: np.ndarray, entropy: np.ndarray, reject: float) -> None:
+        """From texts of known language: its number, the margin, whether the prediction is right, and the entropy in it."""
+        for k in np.unique(lang):
+            self.limit[k] = np.quantile(entropy[lang == k], 1 - reject)
+        if len(margin):
+            x, y = margin, right.astype(float)
             a, b = 5.0, 0.0
             for _ in range(200):  # gradient steps, with a weak pull towards the start
                 p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -226,28 +242,52 @@ class LanguageModels:
         return lang, np.where(none, 0.0, score), np.where(none, 0.0, low), none | (low > self.limit[best])
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, reject: float = 0.005) -> LanguageModels:
-    """Models of the languages of docs, from a sample of bounded size."""
-    from pyspark.sql import Window
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of (lang, text): each language's different grams, as bytes of their codes."""
+    for b in batches:
+        for lang in b.column(0).unique().to_pylist():
+            for _, _, data, offs in chunks(b.column(1).filter(pa.compute.equal(b.column(0), lang))):
+                codes, n = gram_counts(data, offs, ORDER)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
 
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, reject: float = 0.005, sample_texts: int = SAMPLE_TEXTS) -> LanguageModels:
+    """Models of all languages of docs, from sample_texts whole texts of each.
+
+    Rows of null language, null or empty text are left out; rows of equal id come first or not together, repeated rows
+    count as often as they stand; other columns are ignored; an empty table gives a model without languages.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    key = F.xxhash64(F.lit("langid"), F.col(id_col))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return LanguageModels({})
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("key"))
     # about twice the sample by hash, then the first of them: a bounded number of rows meets in a window
-    share = F.lit(None)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, (2 * SAMPLE_TEXTS + 100) / n))).otherwise(share)
-    some = known.withColumn("_key", key).where((F.shiftrightunsigned("_key", 11) / float(1 << 53)) <= share)
-    some = some.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), "_key")
-    ranked = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_key", "text"))).where(F.col("_n") <= SAMPLE_TEXTS)
-    texts: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "_n").select("lang", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    train = {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in texts.items()}
-    models = LanguageModels(train)
-    models.calibrate({k: v[::5] for k, v in texts.items() if len(v) >= 5}, reject)
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), (2 * sample_texts + 100) / F.count("*")).alias("share"))
+    share = written(share, "shares")
+    some = known.join(F.broadcast(share) if _small(share) else share, "lang").where((F.shiftrightunsigned("key", 11) / float(1 << 53)) <= F.col("share"))
+    ranked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("n") <= sample_texts)
+    held = (F.col("n") % 5 == 1) & (F.max("n").over(Window.partitionBy("lang")) >= 5)
+    sample = written(ranked.select("lang", "text", held.alias("held")), "sample")
+    table = sample.where("NOT held").select("lang", "text").mapInArrow(_count_grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names, number = np.unique(np.array(table["lang"].to_pylist(), object), return_inverse=True) if table.num_rows else ([], None)
+    codes = np.frombuffer(b"".join(table["gram"].to_pylist()), np.uint32).reshape(-1, ORDER)
+    counts = table["n"].to_numpy()
+    models = LanguageModels({k: (codes[number == i], counts[number == i]) for i, k in enumerate(names)})
+    if not models.languages:
+        return models
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        place = {k: i for i, k in enumerate(m.languages)}
+        for b in batches:
+            own = np.array([place.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
+            for i, j, data, offs in chunks(b.column(1), 1 << 18):
+                h, letters = m.entropies(data, offs)
+                use = np.flatnonzero((letters > 0) & (own[i:j] >= 0))
+                k = own[i:j][use]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m._margin(h)[use]), pa.array(h.argmin(axis=1)[use] == k), pa.array(h[use, k])], ["k", "margin", "right", "h"])
+
+    seen = sample.where("held").select("lang", "text").mapInArrow(judge, "k long, margin double, right boolean, h double").toArrow()
+    models.calibrate(*(np.asarray(seen[c].to_pylist(), t) for c, t in (("k", np.int64), ("margin", float), ("right", bool), ("h", float))), reject)
     return models
 
 
@@ -258,11 +298,10 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     columns are never read, and an empty table gives none. The models are of bounded size and go to every worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    size = max(1 << 14, (1 << 20) // max(1, len(models.languages) // 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in chunks(b.column(1), size):
+            for i, j, data, offs in chunks(b.column(1)):
                 lang, score, low, out = shared.value.predict(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64()), pa.array(out)], ["id", "lang_pred", "score", "cross_entropy", "rejected"])
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import langid, near_dup, quality_classifier, quality_rules
+from waymark.llm.components import connected_components
 from waymark.llm.decontaminate import benchmark_hits, contaminated
 from waymark.llm.html_blocks import blocks
 from waymark.llm.html_extract import SLOTS, Features, extract_main_text, trained
@@ -131,6 +132,21 @@ def test_recall_in_crowded_regions(spark):
     assert got.where("component_id <> doc_id - doc_id % 2").count() == 0
 
 
+def test_null_ids_and_repeated_rows_link(spark):
+    w = [f"w{i}" for i in range(200)]
+    other = " ".join([*w[:-1], "x"])
+    rows = [(1, " ".join(w)), (None, other), (None, other), *[(None, "a b c d e f g")] * 3, (None, "a b c d e f g h i j k l m n o p q")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True)] * 4 + [(0, 1, False)] * 2 + [(1, 1, True)]
+
+
+def test_connected_components_with_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(7, 7), (None, 3), (4, None)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5041), 5000)}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_one_of_each(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     left = one_of_each(docs)

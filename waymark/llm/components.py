@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 
-#: Keys over which a node's edges are dealt, so no task gets all edges of a hub.
+#: Keys over which the rows of one key are dealt, so no task gets all rows of a hub.
 SALTS = 64
 
 
+def dealt_join(df: DataFrame, key: str, by: str, labels: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined with labels, which has each key once; the rows of a key are dealt out by a hash of the column `by`."""
+    salted = df.withColumn("_salt", F.pmod(F.hash(by), F.lit(SALTS)))
+    keys = salted.where(F.col(key).isNotNull()).select(key, "_salt").distinct().join(labels, key)
+    return salted.join(keys, [key, "_salt"], how).drop("_salt")
+
+
 def _with_low(e: DataFrame) -> DataFrame:
     """e(u, v) with m, the least v of each u."""
-    salted = e.select("u", "v", F.pmod(F.hash("v"), F.lit(SALTS)).alias("salt"))
-    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    low = parts.groupBy("u").agg(F.min("m").alias("m"))
-    return salted.join(parts.select("u", "salt").join(low, "u"), ["u", "salt"])
+    return dealt_join(e.select("u", "v"), "u", "v", e.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def _digest(e: DataFrame) -> tuple:

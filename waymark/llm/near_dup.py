@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, dealt_join
 from .scratch import written
 from .textvec import BYTE_VALUE_LOWER, NONSPACE, _splitmix_stream, chunks, hash_ranges, mix, reduce_rows, row_bounds, runs, shingles, sort_rows
 
@@ -313,7 +313,7 @@ def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 def _dealt(rooted: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
     """(key, side, root, fp, n, ...) of the rows of each group, dealt out so that block i meets block j under one key."""
-    dealt = rooted.join(F.broadcast(blocks) if _small(blocks) else blocks, group)
+    dealt = rooted.join(F.broadcast(blocks), group) if _small(blocks) else dealt_join(rooted, group, "fp", blocks)
     dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
     rest = [c for c in rooted.columns if c not in (group, "root", "fp", "n")]
@@ -409,14 +409,15 @@ def exact_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int,
     links = seen.where("linked").select("u", "v")
     roots = connected_components(links, "exact")
     name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    failed = seen.where("NOT linked").join(name("u"), "u", "left").join(name("v"), "v", "left")
+    failed = dealt_join(seen.where("NOT linked").join(name("u"), "u", "left"), "v", "u", name("v"), "left")
     failed = failed.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v").distinct()
     failed = written(failed, "failed")
     if failed.isEmpty():
         return links
     doubt = connected_components(failed, "doubt").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    members = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).join(doubt, "root")
+    members = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    members = dealt_join(members, "root", "fp", doubt)
     members = written(members.join(classes.select("fp", "n", "sig"), "fp"), "doubtful")
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") * 2 / cluster_values), F.ceil(F.count("*") * 2 / region_rows)).cast("int").alias("blocks"))
     keyed = _dealt(members.join(sets, "fp").select("cluster", "root", "fp", "n", "sig", "shingles"), "cluster", blocks)
@@ -457,8 +458,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(texts_of(ends).mapInArrow(_sets(shingle_words), "fp binary, shingles binary"), "sets")
     joined = connected_components(exact_links(pairs, classes, sets, num, den, region_rows, cluster_values), "linked")
     named = joined.join(classes.select(F.col("fp").alias("node"), "low"), "node")
-    names = named.groupBy("root").agg(F.min("low").alias("name"))
-    out = signed.select("id", "n", "fp").join(classes.select("fp", "low"), "fp", "left").join(joined.withColumnRenamed("node", "fp"), "fp", "left").join(names, "root", "left")
+    named = dealt_join(named, "root", "node", named.groupBy("root").agg(F.min("low").alias("name"))).select(F.col("node").alias("fp"), "name")
+    labels = classes.select("fp", "low").join(written(named, "named"), "fp", "left")
+    rows = signed.select("id", "n", "fp", F.xxhash64("id", "tie").alias("row"))
+    out = dealt_join(rows, "fp", "row", labels, "left")
     name = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("name", "low"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("id").eqNullSafe(name).alias("kept"))
 

@@ -170,11 +170,37 @@ def test_quality_measures(docs):
 
 
 def test_binomial_tail(spark):
-    from math import comb, log
+    from math import comb, lgamma, log
 
-    for k, n, risk in ((0, 500, 0.01), (3, 700, 0.01), (40, 6000, 0.01)):
+    for k, n, risk in ((0, 500, 0.01), (3, 700, 0.01), (40, 6000, 0.01), (0, 1, 0.3), (2, 12, 0.4), (4, 12, 0.4)):
         got = spark.range(1).select(tail_log_p(F.lit(k).cast("long"), F.lit(n).cast("long"), risk)).first()[0]
-        assert got == pytest.approx(log(sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))), rel=1e-9)
+        assert got == pytest.approx(log(sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))), rel=1e-8)
+    for k, n in ((9_000, 1_000_000), (99_990, 10_000_000), (499_000, 50_000_000)):
+        term = np.array([lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(0.01) + (n - j) * log(0.99) for j in range(max(0, k - 60_000), k + 1)])
+        got = spark.range(1).select(tail_log_p(F.lit(k).cast("long"), F.lit(n).cast("long"), 0.01)).first()[0]
+        assert got == pytest.approx(term.max() + np.log(np.exp(term - term.max()).sum()), rel=1e-5)
+
+
+def test_cutoffs_of_too_high_a_risk_are_hardly_ever_taken(spark):
+    """In 60 strata a cutoff rejects good documents at just the rate that is not allowed; the bad ones invite it."""
+    rng = np.random.default_rng(5)
+    rows = [(f"s{k}", True, 0.9 if rng.random() < 0.01 else 0.0, 0.0, 0.0, 0.0, 0.0) for k in range(60) for _ in range(700)]
+    rows += [(f"s{k}", False, 0.9, 0.0, 0.0, 0.0, 0.0) for k in range(60) for _ in range(400)]
+    d = spark.createDataFrame(rows, "lang string, good boolean, " + ", ".join(f"{s} double" for s in quality_rules.SIGNALS))
+    assert quality_rules.risk_controlled_cutoffs(d, "lang", "good", delta=0.05 * 60).count() <= 3  # each at a level of 0.01
+    clean = d.withColumn("symbol_share", F.when(F.col("good"), 0.0).otherwise(F.col("symbol_share")))
+    assert quality_rules.risk_controlled_cutoffs(clean, "lang", "good", delta=0.05 * 60).count() == 60
+
+
+def test_copies_are_one_trial(spark):
+    good = [(i, sentence(40)) for i in range(20)]
+    bad = [(1000 + i, " ".join(w + "###" for w in sentence(40).split())) for i in range(30)]
+    d = spark.createDataFrame([(100 * k + i, t, "en", 7) for k in range(1, 40) for i, t in good] + [(i, t, "en", 7) for i, t in bad + bad[:2]], "doc_id long, text string, lang string, n_words int")
+    labels = d.select("doc_id", F.when(F.col("text").contains("###"), 0).otherwise(1).alias("quality")).unionByName(d.limit(3).select("doc_id", F.lit(None).cast("int").alias("quality")))
+    out = quality_verdicts(d, labels)
+    assert out.count() == d.count() and out.where("failed_signal IS NOT NULL").count() == 0  # 20 good texts show nothing
+    long = spark.createDataFrame([(1, "word " * 300_000 + "\n" + "a b c d e f", "en")], "doc_id long, text string, lang string")
+    assert quality_verdicts(long, labels).first().base_failed
 
 
 def test_quality_rules_control_the_risk(spark):
@@ -228,10 +254,18 @@ def test_decontamination(spark):
                 for j in range(len(w) - k + 1):
                     if k and tuple(w[j : j + k]) in wins:
                         hit.update(range(j, j + k))
-                        ids.add("null" if i is None else str(i))
+                        ids.update([] if i is None else [str(i)])
             assert (r.n_words, r.n_hit, r.item_ids, r.c) == (len(w), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(w))
             assert sum(len(norm(texts[r.doc_id][s.start : s.end])) for s in r.spans) == len(hit)
     assert benchmark_hits(d, it.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    twice = benchmark_hits(d.unionByName(d), it.unionByName(it)).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("n_hit", "item_ids").alias("kinds"))
+    assert twice.where("n <> 2 OR kinds <> 1").count() == 0 and benchmark_hits(d.limit(0), it).count() == 0
+    long = spark.createDataFrame([(1, "pad " * 200_000 + items[0][1] + " pad" * 200_000)], "doc_id long, text string")
+    r = benchmark_hits(long, it).first()
+    assert (r.n_words, r.n_hit, r.item_ids) == (400_020, 20, ["1"]) and not long.join(benchmark_hits(long, it), "doc_id").where(contaminated()).count()
+    many = spark.createDataFrame([(i, items[0][1]) for i in range(20_000)], "item_id long, text string")
+    start = time.perf_counter()
+    assert len(benchmark_hits(long, many).first().item_ids) == 20_000 and time.perf_counter() - start < 60
 
 
 def test_token_shards(spark, docs):

@@ -5,23 +5,28 @@ and around them; each window of `window` consecutive words of an item (an item o
 window) is a pattern with a space at either end. The automaton reads each text once; hits are word ranges, which map
 back to places in the original text.
 
-The items are a query set: up to ITEM_BYTES of them make one automaton that every Python worker builds. More items are
-dealt into blocks of that size, and the text passes through one scan for each block.
+The items are a query set: up to `item_bytes` of them make one automaton, which a Python worker builds once. More items are
+dealt into blocks of that size, and the text passes through one scan for each block; what a block has hit is written
+before the next block is read, so a worker and the driver hold one block at a time.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .textvec import ALNUM, runs, text_buffers
 
+#: Bytes of items in one automaton; what is found does not depend on it.
 ITEM_BYTES = 16_000_000
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if ALNUM[b] else 32 for b in range(256))
 
@@ -30,35 +35,42 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows_of(items: list[tuple[str, bytes]], window: int) -> dict[bytes, tuple[int, list[str]]]:
-    """Pattern -> (its number of words, ids of the items that have it)."""
-    out: dict[bytes, tuple[int, list[str]]] = {}
+def windows_of(items: list[tuple[str | None, bytes]], window: int) -> dict[bytes, tuple[int, dict[str, None]]]:
+    """Pattern -> (its number of words, ids of the items that have it); a null id is no id."""
+    out: dict[bytes, tuple[int, dict[str, None]]] = {}
     for item, text in items:
         words = normal_words(text)
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if words else 0):
-            own = out.setdefault(b" " + b" ".join(words[i : i + size]) + b" ", (size, []))
-            if item not in own[1]:
-                own[1].append(item)
+            own = out.setdefault(b" " + b" ".join(words[i : i + size]) + b" ", (size, {}))
+            if item is not None:
+                own[1][item] = None
     return out
 
 
-def _automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for pattern, (size, ids) in windows_of(items, window).items():
-        a.add_word(pattern.decode("latin-1"), (size, tuple(ids)))
-    a.make_automaton()
-    return a
+_automata: dict[tuple[str, int], ahocorasick.Automaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[str | None, bytes]], window: int) -> ahocorasick.Automaton:
+    """The automaton of a block; a worker keeps the last one from task to task."""
+    if (name, window) not in _automata:
+        a = ahocorasick.Automaton()
+        for pattern, (size, ids) in windows_of(items, window).items():
+            a.add_word(pattern.decode("latin-1"), (size, tuple(ids)))
+        a.make_automaton()
+        _automata.clear()
+        _automata[name, window] = a
+    return _automata[name, window]
 
 
 _HITS = pa.schema([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
-def _scan(items: list[tuple[str, bytes]], window: int):
+def _scan(name: str, items: Broadcast, window: int):
     """Adds the word ranges and item ids that a block of items hits in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(items, window)
+        auto = _automaton(name, items.value, window)
         for b in batches:
             raw, offs = text_buffers(b.column(1))
             view = memoryview(raw)
@@ -117,10 +129,10 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """For each row of docs: id_col, n_words, n_hit (words inside a hit, once each), item_ids (array of distinct ids as strings,
     sorted), spans (places in the original text, in code points, end exclusive, overlapping and adjoining hits joined).
 
-    A null or empty text, of either table, has no words and no hits; an item of null id counts under the id "null".
+    A null or empty text, of either table, has no words and no hits; an item of null id hits words but has no id to list.
     Repeated rows get equal rows, other columns are ignored, and an empty docs table gives none.
     """
-    own = items.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
+    own = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / item_bytes))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -128,8 +140,9 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *empty)
     for k in range(blocks):  # the rows of a block are of bounded size
         block = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else own
-        rows = sorted((r["i"], r["t"].encode()) for r in block.collect())
-        df = df.mapInArrow(_scan(rows, window), f"id {id_type}, text string, starts array<int>, ends array<int>, items array<string>")
+        rows = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"].encode()) for r in block.collect()])
+        df = df.mapInArrow(_scan(uuid.uuid4().hex, rows, window), f"id {id_type}, text string, starts array<int>, ends array<int>, items array<string>")
+        df = written(df, "hits") if blocks > 1 else df
     out = df.mapInArrow(_report, f"id {id_type}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>")
     return out.withColumnRenamed("id", id_col)
 

@@ -3,7 +3,8 @@
 Text measures are columns of one projection. For every stratum and signal a grid of cutoffs is tested from the most
 lenient on: the documents labelled good that a cutoff rejects are a binomial count, and a cutoff is admissible while the
 exact binomial test shows its false rejection rate to be below `alpha` divided by the number of signals, so that all
-signals together stay below `alpha` in each stratum. The counts never fall as cutoffs get stricter, so this is a
+signals together stay below `alpha` in each stratum. A text counts once in a stratum, however many copies of it are
+labelled, as copies are no independent trials. The counts never fall as cutoffs get stricter, so this is a
 fixed-sequence test, which needs no correction along the grid; Bonferroni's divides `delta` by strata times signals.
 Of the admissible cutoffs the one of the most documents labelled bad, less `good_cost` for each labelled good, is taken,
 of equals the most lenient; a signal without one rejects nothing.
@@ -28,8 +29,6 @@ SIGNALS = {
     "dup_line_share": [round(0.02 * k, 2) for k in range(1, 41)],
     "mark_share": [round(0.01 * k, 2) for k in range(5, 46)],
 }
-#: Terms of a binomial tail that are summed one by one; beyond, the geometric bound of the tail stands in (it is larger).
-EXACT_TERMS = 100_000
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,25 +86,37 @@ def base_failed() -> Column:
 
 
 def _log_factorial(x: Column) -> Column:
-    """ln(x!) by Stirling's series; right to 1e-9 from x = 10 on."""
-    y = x.cast("double") + 1
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    """ln(x!) by Stirling's series at x + 10, less the logarithms in between."""
+    y = x.cast("double") + 11
+    above = F.log(y - 1)
+    for j in range(2, 11):
+        above = above + F.log(y - j)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - above
 
 
 def tail_log_p(k: Column, n: Column, risk: float) -> Column:
-    """ln P(Bin(n, risk) <= k), exact up to EXACT_TERMS terms; 0.0 (no evidence) where k reaches the mean."""
-    odds = math.log(risk / (1 - risk))
-    state = F.struct((n * math.log1p(-risk)).alias("term"), (n * math.log1p(-risk)).alias("total"))
+    """ln P(Bin(n, risk) <= k) for all n; 0.0 (no evidence) where k reaches the mean.
 
-    def add(a: Column, j: Column) -> Column:
-        term = a["term"] + F.log((n - j + 1).cast("double") / j.cast("double")) + odds
-        high, low = F.greatest(a["total"], term), F.least(a["total"], term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
+    The tail is the regularised incomplete beta function I(1 - risk; n - k, k + 1), whose continued fraction converges
+    below the mean in steps of the order of sqrt(n).
+    """
+    x, a, b = 1 - risk, (n - k).cast("double"), (k + 1).cast("double")
+
+    def part(v: Column, aa: Column) -> Column:
+        d = 1 / (1 + aa * v["d"])
+        c = 1 + aa / v["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (v["h"] * c * d).alias("h"))
+
+    def step(v: Column, i: Column) -> Column:
+        m = i.cast("double")
+        v = part(v, m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)))
+        return part(v, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m)))
 
-    exact = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), F.least(k, F.lit(EXACT_TERMS)))).otherwise(F.expr("cast(array() as array<bigint>)")), state, add, lambda a: a["total"])
-    log_pmf = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(risk) + (n - k) * math.log1p(-risk)
-    ratio = k * (1 - risk) / ((n - k + 1) * risk)
-    return F.when(k >= n * risk, F.lit(0.0)).when(k <= EXACT_TERMS, exact).otherwise(log_pmf - F.log1p(-ratio))
+    first = 1 / (1 - (a + b) * x / (a + 1))
+    steps = F.sequence(F.lit(1).cast("long"), (100 + 6 * F.sqrt(n.cast("double"))).cast("long"))
+    fraction = F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step, lambda v: v["h"])
+    log_beta = _log_factorial(n - k - 1) + _log_factorial(k) - _log_factorial(n)
+    return F.when(k >= n * risk, F.lit(0.0)).otherwise(a * math.log(x) + b * math.log(risk) - F.log(a) - log_beta + F.log(fraction))
 
 
 def _over(signal: str) -> Column:
@@ -143,14 +154,15 @@ BROADCAST_STRATA = 50_000
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, good_cost: int = 20) -> DataFrame:
     """For each row of docs: id_col, stratum, the measures, base_failed and kept.
 
-    labels(id_col, quality): 1 good, 0 bad; the lowest value counts where an id is repeated, null labels are left out.
+    labels(id_col, quality): 1 good, 0 bad; the lowest value counts where an id or a text is repeated, null labels are left out.
     A null or empty text has no words and fails the base rules; a stratum without labels rejects nothing beyond them.
     Repeated rows get equal rows; an empty table gives none; other columns of either table are ignored.
     """
-    own = docs.select(F.col(id_col).alias("_id"), F.col(stratum).alias("_lang"), F.col(text_col).alias("_text"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(stratum).alias("_lang"), F.xxhash64(text_col).alias("_tie"), F.col(text_col).alias("_text"))
     found = written(measures(own, "_text"), "measures")
     known = labels.where("quality IS NOT NULL").groupBy(F.col(id_col).alias("_id")).agg((F.min("quality") > 0).alias("_good"))
-    cut = risk_controlled_cutoffs(found.where(~base_failed()).join(known, "_id"), "_lang", "_good", alpha, delta, good_cost)
+    trials = found.where(~base_failed()).join(known, "_id").groupBy("_lang", "_tie").agg(F.min("_good").alias("_good"), *[F.min(s).alias(s) for s in SIGNALS])
+    cut = risk_controlled_cutoffs(trials, "_lang", "_good", alpha, delta, good_cost)
     cut = written(cut, "cutoffs").withColumnsRenamed({s: f"_cut_{s}" for s in SIGNALS}).withColumnRenamed("_lang", "_of")
     small = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     out = found.join(F.broadcast(cut) if small else cut, F.col("_lang").eqNullSafe(F.col("_of")), "left")

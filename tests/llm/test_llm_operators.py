@@ -17,7 +17,7 @@ from waymark.llm.decontaminate import benchmark_hits, contaminated
 from waymark.llm.html_blocks import blocks
 from waymark.llm.html_extract import SLOTS, Features, extract_main_text, trained
 from waymark.llm.line_dedup import dedup_lines, line_verdicts, within_one_edit
-from waymark.llm.mixing import mixed_documents, mixture
+from waymark.llm.mixing import in_training_order, mixed_documents, mixture
 from waymark.llm.near_dup import near_duplicates, one_of_each
 from waymark.llm.queries import op10_line_dedup
 from waymark.llm.quality_rules import measures, quality_verdicts, tail_log_p
@@ -274,7 +274,11 @@ def test_token_shards(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     some = docs.unionByName(spark.createDataFrame([(5000, "a<|endoftext|>b 's don't  \n\n x", "en", "a", 1, "x", 1, "y", 2)], docs.schema))
-    where = write_shards(some, path, shard_tokens=2000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several shards of little data
+    try:
+        where = write_shards(some, path, shard_tokens=2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = sorted(read_shards(spark, where).collect(), key=lambda r: r.start)
     rows = [(r.doc_id, r.text) for r in some.collect()]
     ids = {}
@@ -287,9 +291,26 @@ def test_token_shards(spark, docs):
         at += r.n_tokens
         assert (r.n_tokens, r.ids_crc32) in {(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids[r.doc_id]}
     assert spark.read.parquet(where).count() > 3
+    back = sorted(read_shards(spark, write_shards(some, path, shard_tokens=2000, order_by=(-F.coalesce("doc_id", F.lit(0)),))).collect(), key=lambda r: r.start)
+    assert [r.doc_id or 0 for r in back] == sorted((d or 0 for d, _ in rows), reverse=True)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(back, back[1:], strict=False))
     assert read_shards(spark, write_shards(docs.limit(0), path)).count() == 0
 
 
+def test_encoder_hands_other_tokenizers_to_the_library():
+    from tokenizers import Tokenizer
+
+    from waymark.llm.bpe import Encoder
+
+    texts = ["Don't  STOP", "", "a\n b  1234 \u3000x", "caf\u00e9's ''s 've"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        ids, count = Encoder(path).encode(*packed(texts))
+        want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert np.split(ids, np.cumsum(count)[:-1])[0].tolist() == want[0] and ids.tolist() == [i for w in want for i in w]
+        assert Encoder(path).plain == (name == "byte_bpe_50k.json")
+
+
 def test_repair_is_lossless_and_random_access():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 5000):
@@ -318,9 +339,47 @@ def test_mixing(docs):
     out = mixed_documents(docs)
     assert out.columns == docs.columns and out.count() == sum(x.copies for x in r)
     assert sorted(map(str, mixture(docs).collect())) == sorted(map(str, r))
+    thrice = mixture(docs, share=5.0, most=3.0).collect()
+    assert all(x.taken <= 3 * x.size for x in thrice) and any(x.copies == 3 for x in thrice)
     assert mixture(docs.limit(0)).count() == 0
 
 
+def test_curriculum_positions_invert_the_schedules(spark):
+    """The position of a document is where all sources together are when its own has given what comes before its middle."""
+    rows = [(i, sentence(R.randint(1, 40)), ("a", "b", "c")[i % 7 % 3]) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    r = mixture(d).collect()
+    target, slope = {x.source: x.target for x in r}, dict(zip("abc", (-0.5, 0.0, 0.5), strict=True))
+    given = lambda s, t: target[s] * (t + slope[s] * (t * t - t))
+    for s in "abc":
+        own = sorted((x for x in r if x.source == s and x.copies), key=lambda x: x.positions[0])
+        before = 0
+        for x in own if len(own) == sum(y.source == s for y in r) else []:  # all taken once at least: the first pass has every document
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if given(s, mid) < before + x.size / 2 else (low, mid)
+            assert x.positions[0] == pytest.approx(sum(given(k, low) for k in "abc"), abs=1e-3)
+            before += x.size
+    assert any(len([x for x in r if x.source == s and x.copies]) == sum(y.source == s for y in r) for s in "abc")
+    order = [x.doc_id for x in mixed_documents(d).collect()]
+    assert order == [i for _, i in sorted((p, x.id) for x in r for p in x.positions)]
+    early = [x for x in order[: len(order) // 4]]
+    share = lambda ids, s: sum(rows[i][2] == s for i in ids) / len(ids)
+    assert share(early, "a") > share(order, "a") and share(early, "c") < share(order, "c")  # a fades, c grows
+    shown = [x.first for x in in_training_order(mixture(d)).select(F.get("positions", F.lit(0)).alias("first")).collect()]
+    taken = [p for p in shown if p is not None]
+    assert taken == sorted(taken) and shown[: len(taken)] == taken
+
+
+def test_mix_of_repeated_rows_keeps_the_other_columns(spark):
+    rows = [(1, "a b c", "s", k) for k in range(50)] + [(None, None, None, 1), (2, "a b c", "t", 1), (2, "x", "t", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, key int")
+    out, mix = mixed_documents(d), mixture(d)
+    assert out.columns == d.columns and out.count() == mix.agg(F.sum("copies")).first()[0]
+    assert out.where("text IS NULL").count() == 0 and mixed_documents(d.limit(0)).count() == 0
+
+
 def test_line_dedup(spark):
     base = ["the quick brown fox jumps", "aaaaaaaaaaaaaaaaaaaaaaaa", "élan vital é é é é é é é é", "short", "𝒳y𝒳y𝒳y𝒳y𝒳y𝒳y𝒳y𝒳y𝒳y𝒳y𝒳y"]
 

@@ -2,13 +2,15 @@
 
 The tokenizers library cuts a text into pieces with one pattern and encodes each piece by itself, so a piece has the same
 ids wherever it stands. The pieces of a chunk are found with numpy, and the library encodes each different piece once;
-a bounded cache keeps their ids. A text that holds an added token's string goes to the library whole.
+a bounded cache keeps their ids. A text that holds an added token's string goes to the library whole, and so do all texts
+where the file's normalizer or pre-tokenizer is not the one that is cut here.
 
 The pattern (of the byte-level pre-tokenizer): 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -83,6 +85,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        file = json.loads(self.library.to_str())
+        cut = file["pre_tokenizer"] or {}
+        #: Whether pieces are those of piece_starts.
+        self.plain = file["normalizer"] is None and file["truncation"] is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.most = most
         self._clear()
@@ -140,6 +146,9 @@ class Encoder:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes and their offsets) in a row, and each text's number of ids."""
         raw = data.tobytes()
+        if not self.plain:
+            found = [e.ids for e in self.library.encode_batch([raw[i:j].decode("utf-8") for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         whole = {i for i in range(len(offs) - 1) if any(a in raw[offs[i] : offs[i + 1]] for a in self.added)} if any(a in raw for a in self.added) else set()
         text = raw.decode("utf-8")
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)

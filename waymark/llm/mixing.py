@@ -54,19 +54,19 @@ def _when_given(u: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, u).otherwise((root - b) / (2 * slope))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """For each row of docs: (id, key, source, size, source_size, target, copies, taken, positions).
+def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: float = 2.0, **how) -> DataFrame:
+    """For each row of docs: (id, key, tie, source, size, source_size, target, copies, taken, positions).
 
-    key is a hash of id and text; copies is how often the mix takes the document, taken = copies * size; positions are
+    key is a hash of id and text, tie of the text; copies is how often the mix takes the document, taken = copies * size; positions are
     those of the copies in words of training, ascending. A null text has size 0 and is not taken, a null source is a
     source. Reruns agree; of repeated rows, equal in id, source and text, any may be the one that is taken once more.
     An empty table gives none; other columns are ignored.
     """
     own = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("tie"),
     )
     sizes = written(own.withColumn("hash", F.xxhash64(F.lit("mix"), "key")).withColumn("bucket", F.pmod(F.shiftright("hash", 40), F.lit(BUCKETS)).cast("int")), "sizes")
-    targets = written(source_targets(sizes, **how), "targets")
+    targets = written(source_targets(sizes, most=most, **how), "targets")
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     total = targets.agg(F.sum("target").alias("_a"), F.sum(F.col("target") * F.col("slope")).alias("_b"))
     targets = targets.crossJoin(F.broadcast(total)).withColumnRenamed("source", "_source")  # one row
@@ -85,7 +85,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     df = written(df, "dealt")
 
     off = df.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).withColumnRenamed("source", "_source")
-    step = F.when(F.col("copies") > F.col("passes"), -F.col("size")).when(F.col("copies") + 1 <= 2, F.col("size"))
+    step = F.when(F.col("copies") > F.col("passes"), -F.col("size")).when(F.col("copies") + 1 <= most, F.col("size"))
     change = df.where("size > 0").withColumn("step", step).where("step IS NOT NULL")
     change = change.join(F.broadcast(off) if small else off, F.col("source").eqNullSafe(F.col("_source"))).withColumn("left", F.abs(F.col("short") - F.col("step")))
     change = change.where(F.col("left") < F.abs("short")).groupBy("source").agg(F.min(F.struct("left", "bucket", "row", "step")).alias("x"))
@@ -99,19 +99,36 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         return F.col("_a") * t + F.col("_b") * (t * t - t)
 
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position)).otherwise(F.expr("cast(array() as array<double>)"))
-    return df.select("id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"))
+    return df.select("id", "key", "tie", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The copies that the mix takes, with the columns of docs, range-sorted by their positions."""
-    mix = mixture(docs, id_col, source_col, text_col, **how).where("copies > 0").select(F.col("key").alias("__wm_mix"), "positions")
-    mix = written(mix.groupBy("__wm_mix").agg(F.flatten(F.collect_list("positions")).alias("__wm_positions"), F.count("*").alias("__wm_rows")), "taken")
-    keyed = docs.withColumn("__wm_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    on = F.col("__wm_key") == F.col("__wm_mix")
-    again = mix.where("__wm_rows > 1")
-    joined = keyed.join(mix.where("__wm_rows = 1"), on)
-    if not again.isEmpty():  # of rows equal in id and text one carries the copies of all
-        joined = joined.unionByName(keyed.join(again, on).dropDuplicates(["__wm_key"]))
-    copies = joined.withColumn("__wm_position", F.explode("__wm_positions"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return copies.repartitionByRange(parts, "__wm_position").sortWithinPartitions("__wm_position", "__wm_key").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The copies that the mix takes, with the columns of docs, range-sorted by their positions.
+
+    Of rows equal in id, source and text one carries the copies of all.
+    """
+    mix = mixture(docs, id_col, source_col, text_col, **how).where("copies > 0")
+    mix = written(mix.select(F.col("id").alias("__wm_id"), F.col("tie").alias("__wm_of"), F.col("source").alias("__wm_source"), F.explode("positions").alias("__wm_position")), "taken")
+    names = ("__wm_id", "__wm_of", "__wm_source")
+    keyed = docs.withColumn("__wm_tie", F.xxhash64(text_col))
+    own = (F.col(f"`{id_col}`"), F.col("__wm_tie"), F.col(f"`{source_col}`"))
+
+    def on(right: DataFrame):
+        return own[0].eqNullSafe(right[names[0]]) & own[1].eqNullSafe(right[names[1]]) & own[2].eqNullSafe(right[names[2]])
+
+    rows = keyed.groupBy(*own).agg(F.count("*").alias("__wm_rows")).where("__wm_rows > 1").toDF(*names, "__wm_rows")
+    again = written(rows, "again")
+    if again.isEmpty():
+        copies = keyed.join(mix, on(mix))
+    else:  # one of the equal rows, as a table, so that the planner can split the copies of one that is repeated very often
+        lone = keyed.join(again, on(again), "left_anti")
+        one = written(keyed.join(again, on(again), "left_semi").dropDuplicates([id_col, "__wm_tie", source_col]), "one")
+        copies = lone.unionByName(one).join(mix, on(mix))
+    ordered = copies.repartitionByRange("__wm_position", "__wm_tie").sortWithinPartitions("__wm_position", "__wm_tie")
+    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def in_training_order(mix: DataFrame) -> DataFrame:
+    """mixture's rows range-sorted by the first position, those that are not taken last."""
+    first = F.get("positions", F.lit(0))
+    return mix.repartitionByRange(first.asc_nulls_last(), "key").sortWithinPartitions(first.asc_nulls_last(), "key")

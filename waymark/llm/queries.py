@@ -10,7 +10,7 @@ from .decontaminate import benchmark_hits, contaminated
 from .html_extract import extract_main_text
 from .langid import fit, identify
 from .line_dedup import line_verdicts
-from .mixing import mixture
+from .mixing import in_training_order, mixture
 from .near_dup import near_duplicates
 
 from .quality_classifier import fit_quality, grade_documents
@@ -59,7 +59,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixture(_table(spark, sf_dir, "documents"))
+    mix = in_training_order(mixture(_table(spark, sf_dir, "documents")))
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
 
 

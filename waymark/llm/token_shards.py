@@ -1,6 +1,6 @@
 """Token ids in Re-Pair compressed shards.
 
-Documents are range-partitioned by id, tokenised in order and cut into shards at document ends. In a shard, Re-Pair
+Documents are range-partitioned by id, or in another order that is asked for, tokenised in order and cut into shards at document ends. In a shard, Re-Pair
 replaces frequent pairs of neighbouring symbols by nonterminals, many pairs a round: pairs are counted by one sort, the
 most frequent become rules, and of overlapping places every second one is replaced. The shard holds the rules, the
 expansion length of every rule and the expanded place of every STRIDE-th symbol, so any range of ids is decoded without
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder as shared_encoder
@@ -187,11 +187,12 @@ class Shard:
         return self.ids(start, start + int(self.counts[i]))
 
 
-def _write(tokenizer: str, end_id: int, base: int, shard_tokens: int):
+def _write(tokenizer: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, part, number = shared_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        base = max(encoder.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         counts: list[np.ndarray] = []
@@ -225,18 +226,18 @@ def _write(tokenizer: str, end_id: int, base: int, shard_tokens: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, base: int = 50_257, shard_tokens: int = SHARD_TOKENS) -> str:
-    """Writes the shards of docs in ascending order of id, nulls first, and returns the folder.
+def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS, order_by: tuple[Column, ...] = ()) -> str:
+    """Writes the shards of docs in ascending order of order_by and then of id, nulls first, and returns the folder.
 
     A null text is empty: its document has the end id only. Equal ids stand in the order of a hash of their texts; equal
     rows are all written. Other columns are ignored. An empty table writes no shard. Ids are cast to long.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = own.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    ordered.mapInArrow(_write(tokenizer, end_id, base, shard_tokens), "shard long, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    order = [f"o{i}" for i in range(len(order_by))] + ["id", "tie"]
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), *[c.alias(n) for c, n in zip(order_by, order, strict=False)])
+    ordered = own.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    ordered.mapInArrow(_write(tokenizer, end_id, shard_tokens), "shard long, n_docs long, n_tokens long, payload binary").write.parquet(path)
     return path
 
 
@@ -259,6 +260,10 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     """For each document of the files: id_col, start (ids of all documents before it), n_tokens (with the end id), ids_crc32."""
     files = spark.read.schema("shard long, n_docs long, n_tokens long, payload binary").parquet(path)
     found = files.select("shard", "payload").mapInArrow(_read, "shard long, id long, own long, n long, crc long")
-    ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one small row per shard
-    starts = files.select("shard", F.coalesce(F.sum("n_tokens").over(ordered), F.lit(0)).alias("before"))
+    sizes = files.select("shard", F.shiftright("shard", 32).alias("part"), "n_tokens")  # the writing task's number leads a shard's
+    ahead = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    parts = parts.select("part", ahead(Window.orderBy("part")).alias("parts_before"))  # one small row for each task that wrote
+    starts = sizes.withColumn("own_before", ahead(Window.partitionBy("part").orderBy("shard"))).join(parts, "part")
+    starts = starts.select("shard", (F.col("parts_before") + F.col("own_before")).alias("before"))
     return found.join(starts, "shard").select(F.col("id").alias(id_col), (F.col("before") + F.col("own")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))

@@ -556,6 +556,63 @@ def test_labeller_on_unseen_pages():
     assert hit.mean() > 0.99
 
 
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """documents, labels and benchmark with clean texts, copies, junk, test passages, nulls, repeated rows and a column that clashes."""
+    at = str(tmp_path_factory.mktemp("corpus"))
+    clean = [f"opening {i} " + " ".join(f"{w}{R.randrange(1000)}" for w in sentence(60).split()) for i in range(40)]
+    exam = sentence(30)
+    rows = [(i, t, "en", "ab"[i % 2], len(t), "x") for i, t in enumerate(clean)]
+    rows += [(100, clean[3], "en", "a", 1, "x"), (101, clean[4] + " more", "en", "b", 1, "x"), (102, clean[5], "en", "a", 1, "x"), rows[6], rows[6]]
+    rows += [(200, None, None, None, None, "x"), (201, "", "en", "a", 0, "x"), (202, "few words", "en", "a", 9, "x"), (None, clean[7], "fr", None, 1, "x")]
+    rows += [(300, f"start {exam} end", "en", "a", 1, "x"), (301, "again and again and again " * 30, "en", "b", 1, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(301, 0, 0), (None, 1, None)], "doc_id long, quality long, toxic long").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, exam), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def test_pipeline_stages_against_brute_force(spark, small_corpus, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small_corpus)
+        if name != "token_output":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = [tuple(r) for r in docs.collect()]
+    rows = [tuple(r) for r in spark.read.parquet(f"{small_corpus}/documents.parquet").collect()]
+    text = lambda found: sorted(str(r[:2]) for r in found)
+    kept = [r for r in rows if len(words(r[1])) >= 10 and r[0] != 301]  # 301 repeats itself
+    assert text(seen["quality_rules"]) == text(kept)
+    one = {}
+    for r in sorted(kept, key=lambda r: (r[0] is not None, r[0] or 0)):
+        same = next((k for k in one if len(k & shingle_set(r[1])) * 100 >= 80 * len(k | shingle_set(r[1]))), None)
+        if same is None:
+            one[frozenset(shingle_set(r[1]))] = r
+    assert text(seen["near_dedup"]) == text(one.values())
+    clean = [r for r in one.values() if r[0] != 300]
+    assert text(seen["decontamination"]) == text(clean)
+    mixed = mixture(spark.read.parquet(f"{tmp_path}/decontamination")).collect()
+    assert text(seen["mixing"]) == sorted(str((x.id, t)) for x in mixed for t in [dict((r[0], r[1]) for r in clean)[x.id]] for _ in range(x.copies))
+    places = sorted((p, str(x.id)) for x in mixed for p in x.positions)
+    got = spark.read.parquet(f"{tmp_path}/token_output").orderBy("start").collect()
+    assert [str(r.doc_id) for r in got] == [i for _, i in places]  # the shards keep the order of training
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+
+
+def test_pipeline_of_empty_tables(spark, small_corpus, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small_corpus}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == corpus_pipeline.run(spark, small_corpus).columns
+
+
 def test_digest_queries_have_their_columns(spark):
     from waymark.llm.queries import op2_benchmark_decontamination, op3_secret_scan
 

@@ -7,6 +7,7 @@ columns of documents pass through all stages but the last.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +57,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+def _as_written(docs: DataFrame) -> DataFrame:
+    """docs with the place of each row in the files that it is read from; without files there is none."""
+    try:
+        return docs.withColumns({"__wm_file": F.col("_metadata.file_name"), "__wm_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs.withColumns({"__wm_file": F.lit(""), "__wm_row": F.lit(0)})
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, written; per document what is read back from them."""
-    path = write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), new_path(attach(spark), "tokens"))
+    """Token shards, written; per document what is read back from them. The shards hold the rows in the order of the files
+    of docs, which is that of training, and rows that are in no file by id."""
+    order = (F.col("__wm_file"), F.col("__wm_row"))
+    path = write_shards(_as_written(docs), public_tokenizers.path("byte_bpe_50k.json"), new_path(attach(spark), "tokens"), order_by=order)
     return read_shards(spark, path)
 
 

@@ -90,6 +90,22 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, row: np.ndarray, col: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades with its penalty, and its gradient by weights and thresholds.
+
+    (row, col): text and weight of each token that has one.
+    """
+    s = np.bincount(row, w[col], minlength=len(grades))
+    upper = np.concatenate([np.ones((len(grades), 1)), 1 / (1 + np.exp(np.clip(t[None, :] - s[:, None], -40, 40))), np.zeros((len(grades), 1))], axis=1)
+    i = np.arange(len(grades))
+    p = np.maximum(upper[i, grades] - upper[i, grades + 1], 1e-12)
+    slope = upper * (1 - upper)
+    gs = (slope[i, grades] - slope[i, grades + 1]) / p  # of ln p by the score
+    gw = -np.bincount(col, gs[row], minlength=len(w)) / len(grades) + PENALTY * w
+    gt = np.array([(np.where(grades == k, slope[:, k] / p, 0) - np.where(grades == k - 1, slope[:, k] / p, 0)).mean() for k in range(1, len(t) + 1)])
+    return float(-np.log(p).mean() + PENALTY * (w * w).sum() / 2), gw, gt
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     """rows: the distinct buckets of each text; grades: 0, 1, ... of each."""
     top = int(grades.max()) if len(grades) else 1
@@ -119,14 +135,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     t = -np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for step in range(1, STEPS + 1):
-        s = np.bincount(row, w[col], minlength=len(rows))
-        upper = np.concatenate([np.ones((len(rows), 1)), 1 / (1 + np.exp(np.clip(t[None, :] - s[:, None], -40, 40))), np.zeros((len(rows), 1))], axis=1)
-        i = np.arange(len(rows))
-        p = np.maximum(upper[i, grades] - upper[i, grades + 1], 1e-12)
-        slope = upper * (1 - upper)
-        gs = (slope[i, grades] - slope[i, grades + 1]) / p  # of ln p by the score
-        gw = -np.bincount(col, gs[row], minlength=len(w)) / len(rows) + PENALTY * w
-        gt = np.array([(np.where(grades == k, slope[:, k] / p, 0) - np.where(grades == k - 1, slope[:, k] / p, 0)).mean() for k in range(1, top + 1)])
+        _, gw, gt = loss_and_gradient(w, t, row, col, grades)
         mw, vw, mt, vt = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2, 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt**2
         a, b = 1 - 0.9**step, 1 - 0.99**step
         w = np.minimum(w - RATE * (mw / a) / (np.sqrt(vw / b) + 1e-8), 0.0)
@@ -149,10 +158,15 @@ def one_of_copies(signatures: np.ndarray, grades: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> OrdinalModel:
-    """A model of ratings(id_col, grade), from at most max_train rated ids; null grades are left out, the lowest counts."""
+    """A model of ratings(id_col, grade), from at most max_train rated ids.
+
+    Null grades and ids are left out; of an id that is rated more than once the lowest grade counts, of one that has several
+    texts the one of the smallest hash. A null text is empty. Empty tables give a model without weights.
+    """
     known = ratings.where("grade IS NOT NULL").groupBy(F.col(id_col).alias("_id")).agg(F.min("grade").cast("int").alias("grade"))
     some = known.orderBy(F.xxhash64(F.lit("rating"), "_id"), "_id").limit(max_train)
-    rated = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id").select("_id", "grade", "text")
+    rated = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
+    rated = rated.groupBy("_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text an id, on the executors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +179,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
                     ["id", "grade", "buckets", "sig"],
                 )
 
-    rows = sorted(rated.mapInArrow(run, "id string, grade int, buckets binary, sig binary").collect())[:max_train]  # bounded
+    rows = sorted(rated.mapInArrow(run, "id string, grade int, buckets binary, sig binary").collect())  # one row an id, so max_train at most
     if not rows:
         return fit_ordinal([], np.zeros(0, np.int64))
     grades = np.array([r["grade"] for r in rows], np.int64)

@@ -5,7 +5,8 @@ say little alone: an interval join of the parts of one text, the scope, links pa
 points of each other, and a weak part is reported only where complementary parts co-occur:
 
 * a weak secret beside an identifier (an access key id or an account assignment),
-* an account assignment beside a weak secret or an assigned secret, and an endpoint beside both an identifier and a secret.
+* an account assignment beside a secret (a weak, an assigned or a hexadecimal one), and an endpoint beside both an
+  identifier and a secret.
 
 The parts of a kind do not overlap and have MIN_PART code points at least, so those that start within reach of a part are
 among its PARTS_IN_REACH neighbours on either side in order of start: the join reads slices and is linear in the parts.
@@ -101,7 +102,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         df = _placed(df, name)
     group2 = F.filter("_assign", lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
     df = df.withColumn("_assign", group2)
-    parts = F.concat(_part("_access", _ACCESS), _part("_assign", _SECRET), _part("_weak", _WEAK), _part("_account", _ACCOUNT), _part("_endpoint", _ENDPOINT))
+    parts = F.concat(_part("_access", _ACCESS), _part("_assign", _SECRET), _part("_hex", _SECRET), _part("_weak", _WEAK), _part("_account", _ACCOUNT), _part("_endpoint", _ENDPOINT))
     df = df.withColumn("_parts", F.sort_array(parts))
 
     def linked(x: Column, i: Column) -> Column:

@@ -5,9 +5,9 @@
 2. Forest: each tree holds the classes in the order of one permutation of the signature. Classes whose longest common
    prefix reaches the tree's depth form a region; within a region signatures are compared in sorted order, nearest
    neighbours first, and a pair already connected is not compared again. A region beyond `region_rows` is not cut:
-   its classes go to the next level, of deeper prefixes and more trees (adaptive depth). On the deepest level such a
-   region is dealt out as pairs of blocks, each pair a task of its own, so that all its pairs meet; pairs that
-   candidates connect already are left out, as step 3 verifies them anyway.
+   its classes go to the next level, of deeper prefixes and more trees (adaptive depth). On the deepest level neighbours
+   of such a region are compared in sorted order, and then the region is dealt out as pairs of blocks, each pair a task of
+   its own, so that all pairs meet that candidates do not connect already; step 3 verifies the others anyway.
 3. Candidate pairs are verified exactly, by a join with both full sets; components of links are the result. A pair that
    fails between two components leaves a doubt, as the forest skips pairs that candidates connect: the classes of such a
    cluster meet in pairs of blocks of bounded size, where pairs of different components and alike signatures are verified.
@@ -119,7 +119,7 @@ def _widen(level: int, k: int):
     return run
 
 
-def _plant(level: int):
+def _plant(level: int, regions_only: bool = False):
     """Each class once for each tree: the region, of the tree's own slots, and its signature in the tree's order."""
     depth, trees = LEVELS[level]
     width = len(_factors(level))
@@ -133,11 +133,14 @@ def _plant(level: int):
                 sig = _matrix(b.column(2), np.uint16, SIGNATURE)
                 slots = _matrix(b.column(3), np.uint16, width) if level else sig
                 for t, order in enumerate(orders):
-                    own = np.ascontiguousarray(sig[:, order])
-                    key = np.full(len(own), t + 1, dtype=np.uint64)
+                    key = np.full(len(sig), t + 1, dtype=np.uint64)
                     for d in range(depth):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, (depth * t + d) % width].astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1), _binary(own)], ["region", "fp", "n", "sig"])
+                    region = pa.array(key.view(np.int64))
+                    if regions_only:
+                        yield pa.RecordBatch.from_arrays([region], ["region"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([region, b.column(0), b.column(1), _binary(sig[:, order])], ["region", "fp", "n", "sig"])
 
     return run
 
@@ -166,16 +169,23 @@ def _alike(threshold: float) -> int:
     return least
 
 
-def _grow(threshold: float, region_rows: int, last: bool):
-    """Star edges between the classes of a region that may be similar; (class, null, region) for those of too large a region.
+_EDGES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
-    Such a region of the last level gives star edges between neighbours in sorted order too, which leave fewer pairs to `_cross`.
-    """
+
+def _stars(threshold: float):
+    """Star edges between rows of equal keys and alike signatures, nearest rows first; a pair already connected is not compared."""
     alike = _alike(threshold)
 
-    def compare(reg: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        label, lag, size = np.arange(len(reg)), 1, n.astype(np.float64)
-        live = np.flatnonzero(reg[:-1] == reg[1:])
+    def edges(t: pa.Table, key: np.ndarray) -> pa.RecordBatch | None:
+        lone = np.ones(len(key), bool)
+        lone[1:] &= key[1:] != key[:-1]
+        lone[:-1] &= key[1:] != key[:-1]
+        if lone.all():
+            return None
+        t, key = t.filter(pa.array(~lone)), key[~lone]
+        sig, size = _matrix(t["sig"], np.uint16, SIGNATURE), t["n"].to_numpy().astype(np.float64)
+        label, lag = np.arange(len(key)), 1
+        live = np.flatnonzero(key[:-1] == key[1:])
         while len(live):
             pair = live[label[live] != label[live + lag]]
             a, b = size[pair], size[pair + lag]
@@ -185,36 +195,21 @@ def _grow(threshold: float, region_rows: int, last: bool):
                 if len(hit):
                     _settle(label, hit, hit + lag)
             lag += 1
-            live = live[live + lag < len(reg)]
-            live = live[reg[live] == reg[live + lag]]
-        return label
+            live = live[live + lag < len(key)]
+            live = live[key[live] == key[live + lag]]
+        own = np.flatnonzero(label != np.arange(len(key)))
+        fp = t["fp"].combine_chunks()
+        return pa.RecordBatch.from_arrays([fp.take(pa.array(own)), fp.take(pa.array(label[own]))], schema=_EDGES) if len(own) else None
+
+    return edges
 
-    def out(u, v, region=None) -> pa.RecordBatch:
-        region = pa.nulls(len(u), pa.int64()) if region is None else region
-        return pa.RecordBatch.from_arrays([u, v, region], schema=pa.schema([("u", pa.binary()), ("v", pa.binary()), ("region", pa.int64())]))
+
+def _grow(threshold: float):
+    """Star edges within regions, all of bounded size; the input is sorted by region and signature."""
+    edges = _stars(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        over: int | None = None
-
-        def marked(t: pa.Table) -> pa.RecordBatch:
-            fp = t["fp"].combine_chunks()
-            return out(fp, pa.nulls(len(fp), pa.binary()), t["region"].combine_chunks())
-
-        def edges(t: pa.Table, reg: np.ndarray) -> pa.RecordBatch | None:
-            if not len(reg):
-                return None
-            lone = np.ones(len(reg), bool)
-            lone[1:] &= reg[1:] != reg[:-1]
-            lone[:-1] &= reg[1:] != reg[:-1]
-            if lone.all():
-                return None
-            t, reg = t.filter(pa.array(~lone)), reg[~lone]
-            label = compare(reg, t["n"].to_numpy(), _matrix(t["sig"], np.uint16, SIGNATURE))
-            own = np.flatnonzero(label != np.arange(len(reg)))
-            fp = t["fp"].combine_chunks()
-            return out(fp.take(pa.array(own)), fp.take(pa.array(label[own]))) if len(own) else None
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -222,39 +217,30 @@ def _grow(threshold: float, region_rows: int, last: bool):
             t = pa.concat_tables([held, t]) if held is not None else t
             reg = t["region"].to_numpy()
             tail = int(np.searchsorted(reg, reg[-1]))
-            done, reg_done, held = t.slice(0, tail), reg[:tail], t.slice(tail)
-            if tail:
-                start = np.flatnonzero(np.r_[True, reg_done[1:] != reg_done[:-1]])
-                size = np.diff(np.r_[start, tail])
-                big = np.repeat((size > region_rows) | (over is not None and reg_done[start] == over), size)
-                if big.any():
-                    yield marked(done.filter(pa.array(big)))
-                if big.any() and last:  # neighbours in sorted order, in blocks that overlap
-                    part, own = done.filter(pa.array(big)), reg_done[big]
-                    for shift in (0, region_rows // 2):
-                        block = mix(((np.arange(len(own)) + shift) // region_rows).astype(np.uint64)).view(np.int64)
-                        if (r := edges(part, own ^ block)) is not None:
-                            yield r
-                if (r := edges(done.filter(pa.array(~big)), reg_done[~big])) is not None:
-                    yield r
-                over = None
-            if held.num_rows > region_rows or over == int(reg[-1]):
-                over = int(reg[-1])
-                yield marked(held)
-                if not last:
-                    held = None
-                else:
-                    if (r := edges(held, held["region"].to_numpy())) is not None:
-                        yield r
-                    held = held.slice(held.num_rows - region_rows // 2)
-        if held is not None and held.num_rows and over is not None:
-            yield marked(held)
-        if held is not None and held.num_rows and (r := edges(held, held["region"].to_numpy())) is not None:
+            if (r := edges(t.slice(0, tail), reg[:tail])) is not None:
+                yield r
+            held = t.slice(tail)
+        if held is not None and (r := edges(held, held["region"].to_numpy())) is not None:
             yield r
 
     return run
 
 
+def _neighbours(threshold: float, window: int):
+    """Star edges between neighbours in sorted order, in windows that overlap; they leave fewer pairs to `_cross`."""
+    edges = _stars(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, reg = pa.Table.from_batches([b]), b.column(0).to_numpy()
+            for shift in (0, window // 2):
+                block = mix(((np.arange(len(reg)) + shift) // window).astype(np.uint64)).view(np.int64)
+                if (r := edges(t, reg ^ block)) is not None:
+                    yield r
+
+    return run
+
+
 def _cross(threshold: float, num: int | None = None, den: int = 100):
     """Star edges between the two blocks of each key, or within its only one; the input is sorted by key, side and root.
 
@@ -311,13 +297,23 @@ def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
 
 
-def _dealt(rooted: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
-    """(key, side, root, fp, n, ...) of the rows of each group, dealt out so that block i meets block j under one key."""
-    dealt = rooted.join(F.broadcast(blocks), group) if _small(blocks) else dealt_join(rooted, group, "fp", blocks)
-    dealt = dealt.withColumn("own", F.pmod(F.hash("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _dealt(rooted: DataFrame, group: str, block_rows: int, block_values: int) -> DataFrame:
+    """(key, side, root, fp, n, ...) of the rows of each group, dealt out in blocks so that rows of different roots meet.
+
+    The largest root of a group has blocks of its own, which meet those of all others but not each other.
+    """
+    blocks = lambda rows, values: F.greatest(F.ceil(rows * 2 / block_rows), F.ceil(values * 2 / block_values)).cast("int")
+    per = rooted.groupBy(group, "root").agg(F.count("*").alias("rows"), F.sum("n").alias("values"))
+    top = per.groupBy(group).agg(F.max(F.struct("rows", "values", "root")).alias("big"), F.sum("rows").alias("rows"), F.sum("values").alias("values"), F.count("*").alias("roots"))
+    rest = blocks(F.col("rows") - F.col("big.rows"), F.col("values") - F.col("big.values"))
+    plan = written(top.where("roots > 1").select(group, F.col("big.root").alias("largest"), rest.alias("rest"), blocks(F.col("big.rows"), F.col("big.values")).alias("most")), "blocks")
+    dealt = rooted.join(F.broadcast(plan), group) if _small(plan) else dealt_join(rooted, group, "fp", plan)
+    big = F.col("root") == F.col("largest")
+    dealt = dealt.withColumn("own", F.when(big, F.col("rest") + F.pmod(F.hash("fp"), "most")).otherwise(F.pmod(F.hash("fp"), "rest")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(big, 0).otherwise(F.col("most")) - 1)))
     key = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
-    rest = [c for c in rooted.columns if c not in (group, "root", "fp", "n")]
-    keyed = dealt.select(key.alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root", "fp", "n", *rest)
+    extra = [c for c in rooted.columns if c not in (group, "root", "fp", "n")]
+    keyed = dealt.select(key.alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root", "fp", "n", *extra)
     return keyed.repartition("key").sortWithinPartitions("key", "side", "root", "fp")
 
 
@@ -325,37 +321,38 @@ def _crowded(marks: DataFrame, found: DataFrame, classes: DataFrame, threshold:
     """(u, v) of the regions in marks(region, fp) whose classes the edges `found` do not connect."""
     roots = connected_components(found, "crowd")
     rooted = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("region", "fp", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "crowded")
-    mixed = rooted.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = mixed.select("region", F.ceil(F.col("rows") * 2 / region_rows).cast("int").alias("blocks"))
-    own = rooted.join(classes.select("fp", "n", "sig"), "fp")
-    return written(_dealt(own, "region", mixed).mapInArrow(_cross(threshold), "u binary, v binary"), "crossed")
+    rooted = written(rooted.join(classes.select("fp", "n", "sig"), "fp"), "crowded")
+    return written(_dealt(rooted, "region", max(2, region_rows // 4), 1 << 60).mapInArrow(_cross(threshold), "u binary, v binary"), "crossed")
 
 
 def candidate_edges(classes: DataFrame, threshold: float, region_rows: int, widened=None) -> DataFrame:
     """(u, v) fingerprints of classes that the forest holds for possibly similar.
 
-    widened(fps, level) gives the classes of fps(fp) as (fp, n, sig, slots); only a forest of one level needs none.
+    widened(fps, level) gives the classes of fps(fp) as (fp, n, sig, slots); only a forest of one level needs none. Regions
+    are counted first, so that no task gets the rows of a crowded one.
     """
     found, level = None, 0
     todo = classes.select("fp", "n", "sig")
     while True:
-        last = level == len(LEVELS) - 1
         planted = todo.mapInArrow(_plant(level), "region long, fp binary, n long, sig binary")
-        grown = written(
-            planted.repartition("region").sortWithinPartitions("region", "sig", "fp").mapInArrow(_grow(threshold, region_rows, last), "u binary, v binary, region long"),
-            "forest",
-        )
-        edges = grown.where("v IS NOT NULL").select("u", "v")
+        sizes = todo.mapInArrow(_plant(level, True), "region long").groupBy("region").count()
+        over = written(sizes.where(F.col("count") > region_rows).select("region"), "over")
+        crowded, free = None, planted
+        if not over.isEmpty():
+            label = over.withColumn("over", F.lit(True))
+            both = planted.join(F.broadcast(label), "region", "left") if _small(over) else dealt_join(planted, "region", "fp", label, "left")
+            crowded, free = written(both.where("over").drop("over"), "crowded"), both.where("over IS NULL").drop("over")
+        grown = free.repartition("region").sortWithinPartitions("region", "sig", "fp").mapInArrow(_grow(threshold), "u binary, v binary")
+        edges = written(grown, "forest")
         found = edges if found is None else found.unionByName(edges)
-        deeper = grown.where("v IS NULL").select(F.col("u").alias("fp")).distinct()
-        if deeper.isEmpty():
+        if crowded is None:
             return found
-        if last:  # a class is marked once or more in each region
-            marks = grown.where("v IS NULL").select("region", F.col("u").alias("fp")).distinct()
-            return found.unionByName(_crowded(marks, found, classes, threshold, region_rows))
+        if level == len(LEVELS) - 1:
+            ordered = crowded.repartitionByRange("region", "sig", "fp").sortWithinPartitions("region", "sig", "fp")
+            found = found.unionByName(written(ordered.mapInArrow(_neighbours(threshold, min(region_rows, 512)), "u binary, v binary"), "neighbours"))
+            return found.unionByName(_crowded(crowded.select("region", "fp"), found, classes, threshold, region_rows))
         level += 1
-        todo = widened(deeper, level)
+        todo = widened(crowded.select("fp").distinct(), level)
 
 
 def _sets(k: int):
@@ -417,11 +414,9 @@ def exact_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int,
     doubt = connected_components(failed, "doubt").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
     members = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    members = dealt_join(members, "root", "fp", doubt)
-    members = written(members.join(classes.select("fp", "n", "sig"), "fp"), "doubtful")
-    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") * 2 / cluster_values), F.ceil(F.count("*") * 2 / region_rows)).cast("int").alias("blocks"))
-    keyed = _dealt(members.join(sets, "fp").select("cluster", "root", "fp", "n", "sig", "shingles"), "cluster", blocks)
-    more = written(keyed.mapInArrow(_cross(num / den, num, den), "u binary, v binary"), "links")
+    members = dealt_join(members, "root", "fp", doubt).join(classes.select("fp", "n", "sig"), "fp").join(sets, "fp")
+    members = written(members.select("cluster", "root", "fp", "n", "sig", "shingles"), "doubtful")
+    more = written(_dealt(members, "cluster", max(2, region_rows // 4), cluster_values).mapInArrow(_cross(num / den, num, den), "u binary, v binary"), "links")
     return links.unionByName(more)
 
 

@@ -15,7 +15,7 @@ from waymark.llm.decontaminate import benchmark_hits, contaminated
 from waymark.llm.mixing import mixed_documents
 from waymark.llm.near_dup import one_of_each
 from waymark.llm.quality_rules import quality_verdicts
-from waymark.llm.scratch import new_path
+from waymark.scratch import new_path
 from waymark.llm.token_shards import read_shards, write_shards
 from waymark.session import attach
 

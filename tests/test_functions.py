@@ -64,9 +64,18 @@ def test_plain_text(spark):
 def test_perishable(spark):
     r = one(spark, text.trim_perishable(F.lit("A church of brick from 1890. Open until 18:30.")), text.trim_perishable(F.lit("Open at 10:00.")))
     assert tuple(r) == ("A church of brick from 1890.", "")
-
-
-@pytest.mark.parametrize(("spec", "minute", "want"), [("24/7", 0, True), ("Mo-Fr 09:00-17:00", 12 * 60, True), ("Mo-Fr 09:00-17:00", 9 * 60 + 10, None), ("Mo-Fr 09:00-17:00", 5 * 1440 + 720, False), ("sunrise-sunset", 600, None), ("Fr-Sa 20:00-02:00", 5 * 1440 + 0, True), (None, 0, None)])
+    claims = {
+        "By hand.": "By hand.", "It is open Wednesdays through Sundays and an admission fee is charged.": "", "A relaxed bistro with old sofas. A coffee is €1.": "A relaxed bistro with old sofas.",
+        "St. Paul's is open at 10am.": "", "The tower was renovated in 1920 and the phone is old.": "The tower was renovated in 1920 and the phone is old.", "Entry is free for all. Carved doors of oak line the hall.": "Carved doors of oak line the hall.",
+        "A pass is 20 euros. Its vaults are painted blue.": "Its vaults are painted blue.", "Tickets cost little here.": "",
+    }
+    got = {r.c: r.t for r in spark.createDataFrame([(c,) for c in claims], "c string").select("c", text.trim_perishable(F.col("c")).alias("t")).collect()}
+    assert got == claims
+
+
+@pytest.mark.parametrize(("spec", "minute", "want"), [("24/7", 0, True), ("Mo-Fr 09:00-17:00", 12 * 60, True), ("Mo-Fr 09:00-17:00", 9 * 60 + 10, None), ("Mo-Fr 09:00-17:00", 5 * 1440 + 720, False), ("sunrise-sunset", 600, None), ("Fr-Sa 20:00-02:00", 5 * 1440 + 0, None), (None, 0, None),
+    ("Mo-Su 09:00-12:15,12:45-18:00", 13 * 60 + 10, None), ("Mo-Su 12:00-12:30", 11 * 60 + 30, None), ("Mo-Su 09:00-12:15,12:45-18:00", 20 * 60, False), ("Mo off; 08:00-20:00", 12 * 60, True),
+    ("Sa-Mo 10:00-16:00", 12 * 60, True), ("Sa-Mo 10:00-16:00", 3 * 1440 + 720, False), ("Mo-Fr 9:00 - 17:00", 12 * 60, None), ("Tu closed", 1440 + 600, False), ("Mo-Su 10:00-18:00; PH off", 720, None), ("10:00-18:00", 17 * 60 + 45, None)])
 def test_opening_hours(spec, minute, want):
     assert time.open_state(spec, minute) is want
 

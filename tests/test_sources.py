@@ -1,6 +1,8 @@
 import json
 
-from waymark.sources import readers
+from pyspark.sql import functions as F
+
+from waymark.sources import readers, taxonomy
 
 
 def write(tmp_path, name, what):
@@ -17,7 +19,7 @@ def test_osm(spark, tmp_path):
     ]
     r = {x.external_id: x for x in readers.osm(readers.read_json(spark, write(tmp_path, "o.json", {"elements": e}), readers.OVERPASS)).collect()}
     assert set(r) == {"node/1", "way/2"}
-    assert (r["node/1"].type, r["node/1"].alt_names, r["node/1"].refs, r["way/2"].lat) == ("museum", ["N"], {"wikidata": "Q1"}, 59.2)
+    assert (r["node/1"].type, r["node/1"].alt_names, r["node/1"].refs, r["way/2"].lat) == ("local_museum", ["N"], {"wikidata": "Q1"}, 59.2)
 
 
 def test_overture_and_wikidata(spark, tmp_path):
@@ -44,3 +46,22 @@ def test_news_and_gazetteer(spark, tmp_path):
     assert [x.kind for x in r] == ["closure", "strike"] and r[0].published is not None
     g = {"elements": [{"type": "node", "id": 9, "lat": 1.0, "lon": 2.0, "tags": {"name": "Town", "place": "town", "population": "12 345"}}]}
     assert readers.gazetteer(readers.read_json(spark, write(tmp_path, "g.json", g), readers.OVERPASS), "se").first().population == 12345
+
+
+def test_types_of_tags(spark):
+    cases = [
+        ({"tourism": "museum", "museum": "art"}, "art_museum"), ({"tourism": "museum", "museum": "x"}, "local_museum"), ({"historic": "castle", "tourism": "museum"}, "castle"), ({"historic": "x", "natural": "water", "water": "lake"}, "lake"),
+        ({"natural": "water"}, None), ({"amenity": "place_of_worship", "building": "chapel"}, "chapel"), ({"amenity": "place_of_worship", "religion": "hindu"}, "temple"), ({"amenity": "place_of_worship"}, "church"),
+        ({"amenity": "x", "railway": "halt", "leisure": "park"}, "transport_hub"), ({"leisure": "sauna", "shop": "books"}, "wellness"), ({"shop": "tea"}, "specialty_shop"), ({"place": "square"}, "square"), ({"highway": "bus_stop"}, None), ({}, None),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, tags map<string,string>")
+    got = {r.i: r.k for r in d.select("i", taxonomy.type_of_tags(F.col("tags")).alias("k")).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for _, k in cases]
+    one = spark.range(1).select(taxonomy.type_of_denomination(F.lit(" Église paroissiale Saint-Pierre")), taxonomy.type_of_denomination(F.lit("maison du gardien du château")), taxonomy.type_of_classes(F.array(F.lit("CulturalSite"), F.lit("Museum")))).first()
+    assert tuple(one) == ("church", None, "history_museum")
+
+
+def test_every_mapped_type_has_a_domain():
+    maps = [*taxonomy.TAGS.values(), taxonomy.MUSEUMS, taxonomy.WATERS, taxonomy.WORSHIP_BUILDINGS, taxonomy.CATEGORIES, taxonomy.CLASSES, taxonomy.DENOMINATIONS, taxonomy.ONTOLOGY]
+    assert {t for m in maps for t in m.values()} <= set(taxonomy.DOMAIN_OF)
+    assert (len(taxonomy.CATEGORIES), len(taxonomy.CLASSES), len(taxonomy.DENOMINATIONS), len(taxonomy.ONTOLOGY)) == (60, 43, 54, 54)

@@ -48,6 +48,13 @@ def in_box(lat: Column, lng: Column, south: float, west: float, north: float, ea
     return lat.between(south, north) & lng.between(west, east)
 
 
+def metres(lat1: float, lng1: float, lat2: float, lng2: float, radius: float = RADIUS["mean"]) -> float:
+    """haversine of plain numbers, for folds."""
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+    return 2 * radius * math.asin(min(1.0, math.sqrt(h)))
+
+
 def _axial(lat: Column, lng: Column, spacing: float) -> tuple[Column, Column]:
     x = lng * (_M_PER_DEG * math.cos(math.radians(STANDARD_PARALLEL)))
     y = lat * _M_PER_DEG

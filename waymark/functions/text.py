@@ -10,12 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Sentences that lose their truth soon (fixed values, as patterns).
+#: What loses its truth soon: hours, clock times, prices and fees (fixed values).
 PERISHABLE = (
-    r"\b(?:open(?:s|ed)?|clos(?:e|es|ed))\b.*\d", r"\b\d{1,2}[:.]\d{2}\b", r"(?:€|\$|£|\b(?:sek|eur|usd)\b)\s*\d|\d\s*(?:€|\$|£|kr\b)",
-    r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)s?\b", r"\b(?:currently|right now|at the moment|this (?:week|month|year))\b",
-    r"\b(?:temporar(?:y|ily)|renovat\w*|under construction)\b", r"\b(?:phone|tel|call)\b.*\d{4}",
-)
+    r"\b(open|opens|opening|closed|closes|closing)\b.{0,25}\b(at|from|until|till|monday|tuesday|wednesday|thursday|friday|saturday|sunday|daily|weekday|weekend)s?\b",
+    r"\b\d{1,2}(:\d{2})?\s?(am|pm)\b",
+    r"\b\d{1,2}[:.]\d{2}\b",
+    r"(€|£|\$)\s?\d",
+    r"\b\d+\s?(euros?|pounds?|dollars?|kronor|sek|eur)\b",
+    r"\b(free entry|free admission|no admission|admission is|entry is|costs?|priced?|ticket price)\b",
+    r"\b(admission|entrance|entry|ticket)s?\b.{0,20}\b(fee|fees|price|prices|charged?|free)\b",
+)
 LEAST_CLAIM = 15
 
 
@@ -117,17 +121,21 @@ def has_markup(x: Column) -> Column:
 
 
 def is_perishable(x: Column) -> Column:
-    return F.coalesce(F.lower(x).rlike("|".join(f"(?:{p})" for p in PERISHABLE)), F.lit(False))
+    return F.coalesce(x.rlike("(?i)" + "|".join(f"(?:{p})" for p in PERISHABLE)), F.lit(False))
 
 
 def sentences(x: Column) -> Column:
-    return F.split(x, "(?<=[.!?])\\s+")
+    return F.filter(F.split(x, "(?<=[.!?])\\s+"), lambda s: s != "")
 
 
 def trim_perishable(x: Column) -> Column:
-    """The claim without its perishable sentences; empty if less than LEAST_CLAIM characters stay."""
-    kept = F.array_join(F.filter(sentences(x), lambda s: ~F.lower(s).rlike("|".join(f"(?:{p})" for p in PERISHABLE))), " ")
-    return F.when(F.length(F.trim(kept)) >= LEAST_CLAIM, F.trim(kept)).otherwise(F.lit(""))
+    """The claim without its perishable sentences, or empty if what the cut leaves is shorter than LEAST_CLAIM characters.
+
+    A claim without any is not cut, and so however short it is it stays.
+    """
+    claim = F.trim(x)
+    kept = F.trim(F.array_join(F.filter(sentences(claim), lambda s: ~is_perishable(s)), " "))
+    return F.when(~is_perishable(claim), claim).when(F.length(kept) >= LEAST_CLAIM, kept).otherwise(F.lit(""))
 
 
 def first_kind(x: Column, lexicon: dict[str, list[str]]) -> Column:

@@ -38,47 +38,58 @@ def first_wet_hour(times: Column, rain_mm: Column, now: Column, least: float = 0
     return F.get(F.filter(F.arrays_zip(times.alias("t"), rain_mm.alias("mm")), lambda x: (x["t"] >= now) & (x["mm"] >= least)), F.lit(0))["t"]
 
 
+#: Notation that is richer than what is read here (fixed value).
+_TOO_RICH = re.compile(r"PH|SH|sunrise|sunset|dawn|dusk|week\b|easter|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|\|\||\"|\[", re.I)
+
+
+def _days_of(spec: str) -> list[int] | None:
+    """Numbers of the days of a list of days and ranges, Monday 0; a range may run over the week's end."""
+    out: list[int] = []
+    for part in spec.split(","):
+        first, dash, last = (x.strip() for x in part.partition("-"))
+        if first not in _DAYS or dash and last not in _DAYS:
+            return None
+        i = _DAYS.index(first)
+        out += [(i + k) % 7 for k in range((_DAYS.index(last) - i) % 7 + 1 if dash else 1)]
+    return out
+
+
 def parse_hours(spec: str | None) -> list[tuple[int, int]] | None:
-    """Minute-of-week intervals of the plain part of the opening-hours notation; None for anything richer."""
-    if not spec or not spec.strip():
+    """Minute-of-week intervals of the plain part of the opening-hours notation; None for anything richer.
+
+    Each rule adds its intervals, one that says off or closed adds none. Hours past midnight are not read.
+    """
+    if spec is None or not spec.strip() or _TOO_RICH.search(spec):
         return None
     if spec.strip() == "24/7":
-        return [(0, WEEK)]
+        return [(-WEEK, 2 * WEEK)]
     out: list[tuple[int, int]] = []
-    for rule in spec.split(";"):
-        rule = rule.strip()
-        if not rule:
-            continue
-        m = re.fullmatch(r"(?:((?:Mo|Tu|We|Th|Fr|Sa|Su)(?:\s*[-,]\s*(?:Mo|Tu|We|Th|Fr|Sa|Su))*)\s+)?(off|closed|\d{1,2}:\d{2}.*)", rule)
-        if not m:
+    for rule in filter(None, (r.strip() for r in spec.split(";"))):
+        m = re.match(r"((?:Mo|Tu|We|Th|Fr|Sa|Su|[,\- ])+?)\s+(\S.*)$", rule)
+        days, hours = (_days_of(m[1]), m[2].strip()) if m else (list(range(7)), rule)
+        if days is None:
             return None
-        days: list[int] = []
-        for part in (m[1] or "Mo-Su").replace(" ", "").split(","):
-            a, _, b = part.partition("-")
-            i, j = _DAYS.index(a), _DAYS.index(b or a)
-            days += [d % 7 for d in range(i, j + 1 if j >= i else j + 8)]
-        out = [x for x in out if x[0] // 1440 not in days]
-        if m[2] in ("off", "closed"):
+        if hours in ("off", "closed"):
             continue
-        for span in m[2].split(","):
-            t = re.fullmatch(r"\s*(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})\s*", span)
-            if not t:
-                return None
-            a, b = int(t[1]) * 60 + int(t[2]), int(t[3]) * 60 + int(t[4])
-            if a > 1440 or b > 1440 + 720 or int(t[2]) > 59 or int(t[4]) > 59:
+        for span in hours.split(","):
+            t = re.fullmatch(r"(\d{1,2}):(\d{2})-(\d{1,2}):(\d{2})", span.strip())
+            a, b = (int(t[1]) * 60 + int(t[2]), int(t[3]) * 60 + int(t[4])) if t else (0, 0)
+            if b <= a:
                 return None
-            out += [(d * 1440 + a, d * 1440 + (b if b > a else b + 1440)) for d in days]
-    return sorted(out)
+            out += [(d * 1440 + a, d * 1440 + b) for d in days]
+    return out
 
 
 def open_state(spec: str | None, minute: int, margin: int = 60) -> bool | None:
-    """True if open for the whole margin around a minute of the week, False if shut for all of it, else None: unknown."""
+    """True if one interval holds the whole margin around a minute of the week, False if none touches it, else None: unknown."""
     spans = parse_hours(spec)
     if spans is None:
         return None
-    probe = [(minute + d) % WEEK for d in (-margin, 0, margin)]
-    state = [any(a <= m < b or a <= m + WEEK < b for a, b in spans) for m in probe]
-    return state[0] if all(s == state[0] for s in state) else None
+    low, high = minute - margin, minute + margin
+    spans = [(a + k, b + k) for a, b in spans for k in (-WEEK, 0, WEEK)]
+    if any(a <= low and high <= b for a, b in spans):
+        return True
+    return None if any(low < b and high > a for a, b in spans) else False
 
 
 @F.pandas_udf(T.BooleanType())

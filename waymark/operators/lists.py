@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import metres
 from .feedback import last_of
+from .folds import accepted
 
 DRIFT_M, DRIFT_S, MOST_SERVES, DIGEST_ITEMS = 400.0, 120, 20, 5
 
@@ -28,12 +29,25 @@ def digest(traces: DataFrame, live: DataFrame, most: int = DIGEST_ITEMS) -> Data
     return one.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "place_id"))).where(F.col("position") <= most).select("user_id", "place_id", "reason", "position")
 
 
-def drift_anchors(fixes: DataFrame, key: str = "user_id", least_m: float = DRIFT_M, least_s: int = DRIFT_S, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Fixes that lie far enough, in place and time, from the one before to serve anew; the first serves always."""
-    w = Window.partitionBy(key).orderBy(*order)
-    m = haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
-    s = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1_000_000
-    return fixes.withColumn("moved", F.coalesce((m >= least_m) & (s >= least_s), F.lit(True))).where("moved").drop("moved")
+def drift_anchors(fixes: DataFrame, key: str = "user_id", least_m: float = DRIFT_M, least_s: int = DRIFT_S, most: int = MOST_SERVES, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The fixes at which a session is served anew; its first one serves always.
+
+    A fix serves if it lies least_m (its own accuracy_m, if that is known and larger) from the place and least_s from the
+    time of the last serve, and fewer than `most` have been served.
+    """
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, bool]:
+        at, lat, lng, accuracy = row
+        if state is None:
+            return (at, lat, lng, 1), True
+        last, lat0, lng0, serves = state
+        far = metres(lat0, lng0, lat, lng) >= max(least_m, accuracy if accuracy == accuracy and accuracy is not None else 0.0)
+        if serves < most and (at - last).total_seconds() >= least_s and far:
+            return (at, lat, lng, serves + 1), True
+        return state, False
+
+    known = fixes if "accuracy_m" in fixes.columns else fixes.withColumn("accuracy_m", F.lit(None).cast("double"))
+    return accepted(known.where("lat IS NOT NULL AND lng IS NOT NULL"), [key], order, (order[0], "lat", "lng", "accuracy_m"), step).select(*fixes.columns)
 
 
 def explained(scores: DataFrame, key: list[str], terms: list[str]) -> DataFrame:

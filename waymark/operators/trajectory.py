@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS, haversine
+from ..functions.geo import RADIUS, haversine, metres
+from .folds import accepted
 
 #: Radius and least length of a dwell, how near and how soon a visit counts; segment and throttle limits.
 DWELL_M, DWELL_S, VISIT_M = 120.0, 600, 100.0
@@ -76,18 +77,14 @@ def throttled(fixes: DataFrame, by: list[str], least_m: float = THROTTLE_M, leas
 
     The state is what was accepted last, so this is an ordered fold over each group (a trip, or a key's day).
     """
-    known = fixes.where("lat IS NOT NULL AND lng IS NOT NULL")
-    item = F.struct(*[F.col(c) for c in order], "lat", "lng")
-    folded = known.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    at = lambda x: F.unix_micros(x[order[0]].cast("timestamp"))
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        far = (haversine(last["lat"], last["lng"], x["lat"], x["lng"]) >= least_m) | (F.abs(at(x) - at(last)) >= least_s * 1_000_000)
-        return F.when((F.size(a) == 0) | far, F.concat(a, F.array(x))).otherwise(a)
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, bool]:
+        if state is None or metres(state[1], state[2], row[1], row[2]) >= least_m or abs((row[0] - state[0]).total_seconds()) >= least_s:
+            return row, True
+        return state, False
 
-    accepted = F.aggregate("all", F.slice("all", 1, 1), step)
-    return folded.withColumn("x", F.explode(accepted)).select(*by, "x.*").distinct()
+    known = fixes.where("lat IS NOT NULL AND lng IS NOT NULL").select(*by, *[c for c in order if c not in by], "lat", "lng")
+    return accepted(known, by, order, (order[0], "lat", "lng"), step)
 
 
 def trips(sessions: DataFrame, key: str = "user_id", gap_days: int = TRIP_GAP_DAYS, radius_m: float = TRIP_RADIUS_M) -> DataFrame:
@@ -96,7 +93,6 @@ def trips(sessions: DataFrame, key: str = "user_id", gap_days: int = TRIP_GAP_DA
     A session joins the open trip if it starts less than gap_days after the trip's last session and lies within radius_m
     of the trip's first origin; otherwise it closes that trip and opens the next. A key's sessions are folded in order.
     """
-    import math
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["started_at", "session_id"], kind="stable")
@@ -104,9 +100,7 @@ def trips(sessions: DataFrame, key: str = "user_id", gap_days: int = TRIP_GAP_DA
         for t, lat, lng in zip(pdf["started_at"], pdf["lat"], pdf["lng"], strict=True):
             joins = False
             if anchor is not None:
-                p1, p2 = math.radians(anchor[0]), math.radians(lat)
-                h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lng - anchor[1]) / 2) ** 2
-                joins = (t - last).total_seconds() < gap_days * 86_400 and 2 * RADIUS["mean"] * math.asin(min(1.0, math.sqrt(h))) <= radius_m
+                joins = (t - last).total_seconds() < gap_days * 86_400 and metres(*anchor, lat, lng) <= radius_m
             if not joins:
                 number, anchor = number + 1, (lat, lng)
             last = t

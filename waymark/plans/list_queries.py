@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text, time
 from ..operators import curation, lists, tables
-from ..sources.readers import CATEGORIES, mapped
+from ..sources import taxonomy
 from .base import FIXES, PLACES, fixes, hav, places, table
 
 
@@ -96,9 +96,26 @@ def f24(s, d):
     return table(s, d, "part").select("p_partkey", F.coalesce(time.first_wet_hour(times, rain, F.col("p_size") % 8), F.lit(-1)).alias("at"))
 
 
+_TABLES = {"tag": {f"{k}={v}": t for k, m in taxonomy.TAGS.items() for v, t in m.items()}, "category": taxonomy.CATEGORIES, "class": taxonomy.CLASSES, "denomination": taxonomy.DENOMINATIONS, "ontology": taxonomy.ONTOLOGY}
+
+
 def f32(s, d):
-    c = F.element_at(F.array(*[F.lit(x) for x in (*CATEGORIES, "other")]), (F.col("p_partkey") % (len(CATEGORIES) + 1) + 1).cast("int"))
-    return table(s, d, "part").groupBy(F.coalesce(mapped(c, CATEGORIES), F.lit("-")).alias("type")).agg(F.count("*").alias("n"))
+    """Every entry of every map, dealt over the parts, and what is in none."""
+    entries = [(n, k) for n, m in _TABLES.items() for k in m] + [("category", "other")]
+    at = (F.col("p_partkey") % len(entries) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in entries]), at)
+    p = table(s, d, "part").select(pick(0).alias("map"), pick(1).alias("value"))
+    pair = F.split("value", "=")
+    kind = (
+        F.when(F.col("map") == "tag", taxonomy.type_of_tags(F.create_map(pair[0], pair[1]))).when(F.col("map") == "category", taxonomy.mapped(F.col("value"), taxonomy.CATEGORIES)).when(F.col("map") == "class", taxonomy.mapped(F.col("value"), taxonomy.CLASSES))
+        .when(F.col("map") == "denomination", taxonomy.type_of_denomination(F.col("value"))).otherwise(taxonomy.type_of_classes(F.array(F.lit("Thing"), F.col("value"))))
+    )
+    return p.groupBy("map", F.coalesce(kind, F.lit("-")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def _f32_sql() -> str:
+    rows = [(n, t) for n, m in _TABLES.items() for t in m.values()] + [("category", "-")]
+    return f"SELECT map, type, count(*) AS n FROM part JOIN (VALUES {', '.join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(rows))}) v(i, map, type) ON p_partkey % {len(rows)} = i GROUP BY ALL"
 
 
 def p02(s, d):
@@ -223,7 +240,7 @@ ENTRIES = [
     ("f20_opening_hours", f20, None),
     ("f22_stay_horizon", f22, "SELECT o_orderkey, round(CAST(least(20, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 24 END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 11 END) AS DOUBLE), 2) AS hours FROM orders"),
     ("f24_first_wet_hour", f24, "SELECT p_partkey, coalesce(list_min(list_filter(range(0, 12), lambda i: i >= p_size % 8 AND ((p_partkey * 7 + i * 13) % 29) / 100 >= 0.2)), -1) AS at FROM part"),
-    ("f32_taxonomy", f32, "SELECT coalesce([ 'museum', 'gallery', 'cafe', 'park', 'church'][p_partkey % 6 + 1], '-') AS type, count(*) AS n FROM part GROUP BY 1"),
+    ("f32_taxonomy", f32, _f32_sql()),
     ("p02_optional_filters", p02, "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey BETWEEN 0 AND 49 AND o_orderdate BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '1997-06-01'"),
     ("p05_null_predicates", p05, "SELECT coalesce(v, '-') AS kind, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 <> 0 THEN event_type END AS v FROM events) WHERE v IS DISTINCT FROM 'view' GROUP BY 1"),
     ("p17_snapshot_sample", p17, "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY value DESC, event_id DESC) AS top FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS n FROM events WHERE value IS NOT NULL) WHERE n <= 3 GROUP BY 1"),

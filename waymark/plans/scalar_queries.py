@@ -175,20 +175,15 @@ _NAT = "('historic_heritage', 'museum_gallery')"
 
 
 def e03(s, d):
-    items = _items(s, d)
-    return resolve.blocked_pairs(items).select("a_id", "b_id")
+    return resolve.blocked_pairs(_items(s, d)).select("a_id", "b_id")
 
 
 def _items(s, d):
-    return places(s, d).where("place_id <= 1500").select(F.col("place_id").alias("id"), "source", F.array("name").alias("names"), "lat", "lng", "type", F.col("type_domain").alias("domain"))
+    return places(s, d).select(F.col("place_id").alias("id"), "source", F.array("name").alias("names"), "lat", "lng", "type", F.col("type_domain").alias("domain"))
 
 
 def e04(s, d):
-    p = places(s, d).where("place_id <= 900").select("place_id", "name", "type", "type_domain", "lat", "lng", "size")
-    side = lambda x: p.select(F.col("place_id").alias(f"{x}_id"), F.array("name").alias(f"{x}_names"), F.col("lat").alias(f"{x}_lat"), F.col("lng").alias(f"{x}_lng"), F.col("type").alias(f"{x}_type"), F.col("type_domain").alias(f"{x}_domain"), "size")
-    pairs = side("a").join(side("b").withColumns({"b_lat": F.col("b_lat") / 1000 + 59.3, "b_lng": F.col("b_lng") / 1000 + 18.0}).withColumnRenamed("size", "z"), F.col("size") == F.col("z")).where("a_id < b_id")
-    pairs = pairs.withColumns({"a_lat": F.col("a_lat") / 1000 + 59.3, "a_lng": F.col("a_lng") / 1000 + 18.0})
-    out = resolve.scored_pairs(pairs.drop("size", "z"))
+    out = resolve.scored_pairs(resolve.blocked_pairs(_items(s, d)))
     return out.select("a_id", "b_id", F.round("name_sim", 3).alias("name_sim"), F.round("score", 3).alias("score"), "band")
 
 
@@ -204,8 +199,9 @@ def e10(s, d):
 
 
 def e11(s, d):
-    items = _items(s, d).where("id <= 400").withColumn("cell", F.col("id") % 20).withColumn("tier", F.lit(0))
-    return resolve.resolve_tiles(items)
+    ref = F.create_map(F.lit("wikidata"), F.when(F.col("id") % 7 == 0, F.concat(F.lit("Q"), (F.col("id") / 14).cast("long").cast("string"))))
+    items = _items(s, d).withColumns({"external_id": F.col("id").cast("string"), "refs": ref, "tier": (F.col("id") % 3).cast("int")})
+    return resolve.resolved(items)
 
 
 def a27(s, d):
@@ -379,9 +375,15 @@ SELECT p_partkey, round({_jac('g', 'q')}, 6) AS sim FROM g, (SELECT g AS q FROM
 SELECT place_id, round(least(1.0, greatest(0.0, 1 - ((t + 1) / (w + k)) / ((t + 1) / (w + k) + (h + 1) / (a + k)))), 4) AS u3 FROM n"""),
     ("a20_rare_types", a20, f"WITH {PLACES}, c AS (SELECT o AS origin, unnest([o - 1, o, o + 1]) AS cell FROM range(1, 51) t(o)) SELECT CAST(origin AS INT) AS origin, type, count(*) AS n FROM c JOIN places ON size = cell GROUP BY ALL HAVING count(*) <= 15"),
     ("s14_boxes", s14, "SELECT r AS row, c AS col, round(pow((59.22 + r * 0.05 + least(59.43, 59.22 + (r + 1) * 0.05)) / 2 - 59.33, 2) + pow((17.76 + c * 0.05 + least(18.2, 17.76 + (c + 1) * 0.05)) / 2 - 18.06, 2), 8) AS distance2 FROM range(0, 5) a(r), range(0, 9) b(c)"),
-    ("e03_blocking", e03, f"""WITH {PLACES}, p AS (SELECT *, {_TG.format("('  ' || lower(name) || ' ')")} AS g FROM places WHERE place_id <= 1500)
+    ("e03_blocking", e03, f"""WITH {PLACES}, p AS (SELECT *, {_TG.format("('  ' || lower(name) || ' ')")} AS g FROM places)
 SELECT a.place_id AS a_id, b.place_id AS b_id FROM p a JOIN p b ON a.place_id < b.place_id AND a.source <> b.source AND abs(a.lat - b.lat) < 0.01 AND abs(a.lng - b.lng) < 0.02 WHERE {hav('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371000.0)} <= 350 AND (a.type_domain = b.type_domain OR {_jac('a.g', 'b.g')} >= 0.3)"""),
-    ("e04_scored_pairs", e04, None),
+    ("e04_scored_pairs", e04, f"""WITH {PLACES}, p AS (SELECT *, lower(name) AS nm, {_TG.format("('  ' || lower(name) || ' ')")} AS g FROM places),
+q AS (SELECT a.place_id AS a_id, b.place_id AS b_id, a.type AS ta, b.type AS tb, a.type_domain AS da, b.type_domain AS db, {_jac('a.g', 'b.g')} AS tri, jaro_similarity(a.nm, b.nm) AS j, list_sum(list_transform(range(1, 5), lambda i: CASE WHEN i <= length(a.nm) AND left(a.nm, i) = left(b.nm, i) THEN 1 ELSE 0 END)) AS k,
+  {hav('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371000.0)} AS m FROM p a JOIN p b ON a.place_id < b.place_id AND a.source <> b.source AND abs(a.lat - b.lat) < 0.01 AND abs(a.lng - b.lng) < 0.02),
+r AS (SELECT *, round(greatest(j + k * 0.1 * (1 - j), tri), 4) AS sim FROM q WHERE m <= 350 AND (da = db OR tri >= 0.3)),
+t AS (SELECT *, CASE WHEN da IN ('historic_heritage', 'museum_gallery') THEN CASE WHEN sim >= 0.95 THEN 250.0 ELSE 150.0 END WHEN da = 'nature_landscape' THEN 500.0 ELSE 100.0 END AS radius, CASE WHEN ta = tb THEN 1.0 WHEN da = db THEN 0.6 ELSE 0.0 END AS compat FROM r),
+u AS (SELECT *, (0.45 * sim + 0.25 * round(greatest(0.0, 1 - least(1.0, m / radius)), 4) + 0.15 * compat) / 0.85 AS s FROM t)
+SELECT a_id, b_id, round(sim, 3) AS name_sim, round(round(s, 4), 3) AS score, CASE WHEN s >= 0.82 THEN 'high' WHEN s >= 0.6 THEN 'review' ELSE 'distinct' END AS band FROM u"""),
     ("e09_best_match", e09, "SELECT l_partkey AS a_id, l_suppkey AS b_id, l_discount AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC, l_suppkey) AS n FROM lineitem) WHERE n = 1"),
     ("e10_survivors", e10, f"""WITH {PLACES}, m AS (SELECT place_id % 200 AS g, place_id AS id, CASE WHEN place_id % 3 <> 0 THEN name END AS name, lat, type, facets FROM places), f AS (SELECT g, string_agg(DISTINCT x, ',' ORDER BY x) AS facets FROM (SELECT g, unnest(facets) AS x FROM m) GROUP BY 1)
 SELECT g AS place_id, coalesce(first(name ORDER BY id) FILTER (name IS NOT NULL), '-') AS name, round(first(lat ORDER BY id), 6) AS lat, first(type ORDER BY id) AS type, any_value(f.facets) AS facets, count(DISTINCT type) > 1 AS type_conflict, greatest(count(DISTINCT name) - 1, 0) AS alt FROM m JOIN f USING (g) GROUP BY 1"""),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_box
+from .taxonomy import CATEGORIES, CLASSES, PRACTICAL, mapped, type_of_classes, type_of_denomination, type_of_tags
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,6 @@ SOURCES = {
     )
 }
 
-#: Taxonomy maps, in order of precedence (fixed values).
-TAGS = {
-    ("tourism", "museum"): "museum", ("tourism", "gallery"): "gallery", ("tourism", "viewpoint"): "viewpoint", ("historic", "castle"): "castle", ("historic", "monument"): "monument",
-    ("amenity", "place_of_worship"): "church", ("amenity", "cafe"): "cafe", ("amenity", "toilets"): "toilets", ("leisure", "park"): "park", ("natural", "beach"): "beach",
-}
-PRACTICAL = ("toilets", "pharmacy", "parking")
-CATEGORIES = {"museum": "museum", "art_gallery": "gallery", "coffee_shop": "cafe", "park": "park", "church_cathedral": "church"}
-CLASSES = {"Q33506": "museum", "Q16970": "church", "Q4989906": "monument", "Q22698": "park", "Q23413": "castle"}
-
 OVERPASS = "elements array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 OVERTURE = "features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<names:struct<primary:string,common:map<string,string>>,categories:struct<primary:string,alternate:array<string>>,confidence:double>>>"
 SPARQL = "results struct<bindings:array<map<string,struct<value:string>>>>"
@@ -60,15 +52,6 @@ def _candidate(df: DataFrame, source: str, **cols: Column) -> DataFrame:
     return df.select(F.lit(source).alias("source"), *[v.alias(k) for k, v in ({**blank, **cols}).items()]).select("source", "external_id", "name", "alt_names", "lat", "lng", "type", "refs")
 
 
-def type_of_tags(tags: Column) -> Column:
-    """The first map that has one of the tags."""
-    return F.coalesce(*[F.when(F.try_element_at(tags, F.lit(k)) == v, F.lit(t)) for (k, v), t in TAGS.items()], F.lit(None).cast("string"))
-
-
-def mapped(value: Column, table: dict[str, str]) -> Column:
-    return F.coalesce(*[F.when(value == k, F.lit(v)) for k, v in table.items()], F.lit(None).cast("string"))
-
-
 def osm(raw: DataFrame) -> DataFrame:
     """Elements once each; unmapped ones and, but for practical places, unnamed ones are left out."""
     e = raw.select(F.explode("elements").alias("e")).select("e.*").dropDuplicates(["type", "id"])
@@ -103,21 +86,18 @@ def wikidata(raw: DataFrame, locale: str = "en") -> DataFrame:
     return _candidate(g, "wikidata", external_id=F.col("qid"), name=F.col("name"), lat=F.regexp_extract("wkt", point, 2).cast("double"), lng=F.regexp_extract("wkt", point, 1).cast("double"), type=F.col("kind"))
 
 
-def merimee(raw: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+def merimee(raw: DataFrame) -> DataFrame:
     """The denomination as a whole, else its first word."""
-    table = names or {"église": "church", "château": "castle", "musée": "museum", "monument": "monument"}
     r = raw.select(F.explode("results").alias("r")).select("r.*")
-    d = F.lower(F.trim("denomination"))
-    kind = F.coalesce(mapped(d, table), mapped(F.substring_index(d, " ", 1), table))
+    kind = type_of_denomination(F.col("denomination"))
     r = r.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("coordonnees.lat").isNotNull())
     return _candidate(r, "merimee", external_id=F.col("reference"), name=F.col("titre"), lat=F.col("coordonnees.lat"), lng=F.col("coordonnees.lon"), type=F.col("kind"))
 
 
-def datatourisme(raw: DataFrame, locale: str = "en", types: dict[str, str] | None = None) -> DataFrame:
-    """Labels in the locale, else French, else the first; the first type in the map's order."""
-    table = types or {"Museum": "museum", "Church": "church", "Castle": "castle", "ParkAndGarden": "park"}
+def datatourisme(raw: DataFrame, locale: str = "en") -> DataFrame:
+    """Labels in the locale, else French, else the first; the first type in the ontology's order."""
     o = raw.select(F.explode("objects").alias("o")).select("o.*")
-    kind = F.coalesce(*[F.when(F.array_contains("types", k), F.lit(t)) for k, t in table.items()], F.lit(None).cast("string"))
+    kind = type_of_classes(F.col("types"))
     name = F.coalesce(F.try_element_at("label", F.lit(f"@{locale}")), F.try_element_at("label", F.lit("@fr")), F.get(F.map_values("label"), F.lit(0)))
     return _candidate(o.withColumn("kind", kind).where(F.col("kind").isNotNull()), "datatourisme", external_id=F.col("uuid"), name=name, lat=F.col("lat"), lng=F.col("lng"), type=F.col("kind"))
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import langid, near_dup, quality_classifier, quality_rules
-from waymark.llm.components import connected_components
+from waymark.operators.graph import connected_components
 from waymark.llm.decontaminate import benchmark_hits, contaminated
 from waymark.llm.html_blocks import blocks
 from waymark.llm.html_extract import SLOTS, Features, extract_main_text, trained

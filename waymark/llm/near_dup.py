@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, dealt_join
-from .scratch import written
+from ..operators.graph import connected_components, dealt_join
+from ..scratch import written
 from .textvec import BYTE_VALUE_LOWER, NONSPACE, _splitmix_stream, chunks, hash_ranges, mix, reduce_rows, row_bounds, runs, shingles, sort_rows
 
 SIGNATURE = 64

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder as shared_encoder
-from .scratch import new_path
+from ..scratch import new_path
 from .textvec import chunks
 
 MAGIC, VERSION, STRIDE = b"WMRP", 1, 256

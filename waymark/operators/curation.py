@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_markup, is_perishable, plain_text, trim_perishable, word_similarity
+from ..functions.text import has_markup, is_perishable, plain_text, trim_perishable, word_similarity, word_trigrams
 from .tables import interleaved
 
 GROUNDING, EXCERPT = 0.4, 600
@@ -40,11 +40,30 @@ def evidence_bundle(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
 
 
 def grounded(items: DataFrame, places: DataFrame, key: str = "id", floor: float = GROUNDING) -> DataFrame:
-    """The place of the most similar name within the item's region, if similar enough."""
-    p = places.select("region", F.col("place_id").alias("_place"), F.col("name").alias("_name"))
-    scored = items.join(p, "region").withColumn("similarity", F.round(word_similarity(F.col("title"), F.col("_name")), 4)).where(F.col("similarity") >= floor)
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "_place"))).where("_n = 1")
-    return best.select(key, F.col("_place").alias("place_id"), "similarity")
+    """The place of the most similar name within the item's region, if similar enough.
+
+    Titles and names meet once each, and only where they share one of their rarest trigrams: of two sets of n and m with a
+    Jaccard similarity of `floor`, the first n - ceil(floor n) + 1 of the one and m - ceil(floor m) + 1 of the other, in a
+    common order of all trigrams, share one.
+    """
+    texts = lambda df, c: df.where(F.col(c).isNotNull()).groupBy("region", F.col(c).alias("text"))
+    sides = {"title": texts(items, "title").agg(F.lit(None).cast("long").alias("place")), "name": texts(places, "name").agg(F.min("place_id").alias("place"))}
+    sides = {k: v.withColumn("grams", word_trigrams(F.col("text"))).where(F.size("grams") > 0) for k, v in sides.items()}
+    often = sides["name"].select("region", F.explode("grams").alias("gram")).groupBy("region", "gram").agg(F.count("*").alias("n"))
+
+    def leading(df: DataFrame) -> DataFrame:
+        """(region, text, place, grams, gram) of the grams of each text that must be looked up."""
+        long = df.select("region", "text", F.explode("grams").alias("gram")).join(often, ["region", "gram"], "left")
+        ranked = long.groupBy("region", "text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
+        some = F.slice("g", 1, F.size("g") - F.ceil(F.lit(floor) * F.size("g") - 1e-9).cast("int") + 1)
+        return ranked.select("region", "text", F.explode(some).alias("x")).select("region", "text", F.col("x.gram").alias("gram")).join(df, ["region", "text"])
+
+    t, n = leading(sides["title"]).toDF("region", "title", "gram", "_", "tg"), leading(sides["name"]).toDF("region", "name", "gram", "place", "ng")
+    met = t.join(n, ["region", "gram"]).select("region", "title", "name", "place", "tg", "ng").dropDuplicates(["region", "title", "name"])
+    both = F.size(F.array_intersect("tg", "ng"))
+    scored = met.withColumn("similarity", F.round(both / (F.size("tg") + F.size("ng") - both), 4)).where(F.col("similarity") >= floor)
+    best = scored.groupBy("region", "title").agg(F.max_by(F.struct("place", "similarity"), F.struct("similarity", -F.col("place"))).alias("b"))
+    return items.join(best, ["region", "title"]).select(key, F.col("b.place").alias("place_id"), F.col("b.similarity").alias("similarity"))
 
 
 def published(packs: DataFrame, items: DataFrame) -> DataFrame:
@@ -79,7 +98,14 @@ def typeahead(places: DataFrame, gazetteer: DataFrame, query: str, limit: int =
 
 
 def named_in(alerts: DataFrame, places: DataFrame, text: str = "text", key: str = "alert_id", region: str = "region") -> DataFrame:
-    """The longest place name (4 letters or more) that an alert's text contains, within its region."""
-    p = places.where(F.length("name") >= 4).select(region, "place_id", "name")
-    hit = alerts.join(p, region).where(F.contains(F.lower(F.col(text)), F.lower(F.col("name"))))
-    return hit.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("name")), "place_id"))).where("_n = 1").select(key, "place_id", "name")
+    """The longest place name (4 letters or more) that an alert's text contains, within its region.
+
+    A name is looked up by its first four letters among those that the text has anywhere, and then compared as a whole.
+    """
+    p = places.where(F.length("name") >= 4).select(region, "place_id", "name", F.lower(F.substring("name", 1, 4)).alias("_seed"))
+    low = F.lower(F.col(text))
+    seeds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 3), lambda i: F.substr(low, i, F.lit(4))))
+    asked = alerts.withColumn("_seed", F.explode(F.when(F.length(low) >= 4, seeds)))
+    hit = asked.join(p, [region, "_seed"]).where(F.contains(low, F.lower(F.col("name"))))
+    best = hit.groupBy(key).agg(F.max_by(F.struct("place_id", "name"), F.struct(F.length("name"), -F.col("place_id"))).alias("b"))
+    return best.select(key, "b.place_id", "b.name")

@@ -35,16 +35,19 @@ def f05(s, d):
     return places(s, d).select("place_id", F.round(b, 3).alias("bearing"), F.round(geo.turn(b, 350.0), 3).alias("turn"))
 
 
+def _beside_first(s, d):
+    """Every part beside the first part of its brand."""
+    p = table(s, d, "part").select("p_partkey", "p_name", "p_brand").toDF("b", "bn", "brand")
+    first = p.groupBy("brand").agg(F.min("b").alias("a"), F.min_by("bn", "b").alias("an"))
+    return p.join(first, "brand")
+
+
 def f09(s, d):
-    p = table(s, d, "part").where("p_partkey <= 600").select("p_partkey", "p_name", "p_brand")
-    a, b = p.toDF("a", "an", "brand"), p.toDF("b", "bn", "brand")
-    return a.join(b, "brand").where("a < b").select("a", "b", F.round(text.jaro_winkler("an", "bn"), 6).alias("jw"))
+    return _beside_first(s, d).select("a", "b", F.round(text.jaro_winkler("an", "bn"), 6).alias("jw"))
 
 
 def f10(s, d):
-    p = table(s, d, "part").where("p_partkey <= 400").select("p_partkey", "p_name", "p_brand")
-    a, b = p.toDF("a", "an", "brand"), p.toDF("b", "bn", "brand")
-    return a.join(b, "brand").where("a < b").select("a", "b", F.round(text.trigram(F.col("an"), F.col("bn")), 6).alias("sim"))
+    return _beside_first(s, d).select("a", "b", F.round(text.trigram(F.col("an"), F.col("bn")), 6).alias("sim"))
 
 
 def f12(s, d):
@@ -66,7 +69,7 @@ _LEXICON = {"strike": ["strike", "re "], "closure": ["closed", "the "], "event":
 
 
 def f15(s, d):
-    return table(s, d, "documents").select("doc_id", F.coalesce(text.first_kind(F.substring("text", 1, 80), _LEXICON), F.lit("-")).alias("kind"))
+    return table(s, d, "documents").select("doc_id", F.coalesce(text.first_kind(F.col("text"), _LEXICON), F.lit("-")).alias("kind"))
 
 
 def f18(s, d):
@@ -107,7 +110,7 @@ def p10(s, d):
 
 
 def p11(s, d):
-    a = table(s, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("alert_id"), F.substring("text", 1, 300).alias("text"), F.lit("r").alias("region"))
+    a = table(s, d, "documents").select(F.col("doc_id").alias("alert_id"), "text", F.lit("r").alias("region"))
     p = s.createDataFrame([("r", 1, "thereon"), ("r", 2, "tion"), ("r", 3, "queue"), ("r", 4, "enen"), ("r", 5, "ing")], "region string, place_id long, name string")
     return curation.named_in(a, p)
 
@@ -117,9 +120,8 @@ def p12(s, d):
     return p
 
 
-def _cells(s, d, limit=400):
-    o = places(s, d).where(F.col("place_id") <= limit).select("place_id", "lat", "lng")
-    return o
+def _cells(s, d):
+    return places(s, d).select("place_id", "lat", "lng")
 
 
 def g01(s, d):
@@ -128,32 +130,32 @@ def g01(s, d):
 
 
 def g02(s, d):
-    c = tiles.disc_cells(_cells(s, d, 100), F.lit(2000.0))
+    c = tiles.disc_cells(_cells(s, d), F.lit(2000.0))
     return c.select("place_id", F.col("cell.q").alias("q"), F.col("cell.r").alias("r"))
 
 
 def g03(s, d):
-    c = tiles.cone_cells(_cells(s, d, 100), F.lit(3000.0), F.lit(45.0))
+    c = tiles.cone_cells(_cells(s, d), F.lit(3000.0), F.lit(45.0))
     return c.groupBy("place_id").agg(F.count("*").alias("n"))
 
 
 def g04(s, d):
-    r = _cells(s, d, 60).withColumns({"to_lat": F.col("lat") + 0.03, "to_lng": F.col("lng") + 0.05})
+    r = _cells(s, d).withColumns({"to_lat": F.col("lat") + 0.03, "to_lng": F.col("lng") + 0.05})
     return tiles.corridor_cells(r, 900.0).groupBy("place_id").agg(F.count("*").alias("n"), F.round(F.max("along"), 4).alias("far"))
 
 
 def g05(s, d):
-    c = tiles.disc_cells(_cells(s, d, 40), F.lit(6000.0))
-    return tiles.occupied(c, places(s, d).where("place_id % 50 = 0")).groupBy("place_id").agg(F.count("*").alias("n"))
+    c = tiles.disc_cells(_cells(s, d), F.lit(6000.0))
+    return tiles.occupied(c, places(s, d).where("type_domain = 'practical' AND size >= 45")).groupBy("place_id").agg(F.count("*").alias("n"))
 
 
 def g06(s, d):
-    return tiles.coverage(_cells(s, d, 60).withColumnRenamed("place_id", "session_id"), F.lit(9000.0)).groupBy("session_id", "part").agg(F.count("*").alias("n"))
+    return tiles.coverage(_cells(s, d).withColumnRenamed("place_id", "session_id"), F.lit(9000.0)).groupBy("session_id", "part").agg(F.count("*").alias("n"))
 
 
 def g09(s, d):
     p = places(s, d).withColumn("cell", geo.cell_of(F.col("lat"), F.col("lng")))
-    c = tiles.disc_cells(_cells(s, d, 50).withColumnRenamed("place_id", "session_id"), F.lit(2500.0)).select("session_id", "cell")
+    c = tiles.disc_cells(_cells(s, d).withColumnRenamed("place_id", "session_id"), F.lit(2500.0)).select("session_id", "cell")
     return tiles.scouted(c, p.select("cell", "place_id", "type_domain")).groupBy("session_id", "scout").agg(F.count("*").alias("n"))
 
 
@@ -259,7 +261,7 @@ def r11(s, d):
 
 
 def t07(s, d):
-    o = table(s, d, "orders").where("o_custkey <= 300")
+    o = table(s, d, "orders")
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     feed = o.select(F.col("o_custkey").alias("session_id"), "o_orderkey", F.col("o_orderdate").alias("closes_at"), F.row_number().over(w).alias("position"))
     now = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
@@ -267,7 +269,7 @@ def t07(s, d):
 
 
 def r21(s, d):
-    o = table(s, d, "orders").where("o_custkey <= 400")
+    o = table(s, d, "orders")
     pos = lambda c: F.row_number().over(Window.partitionBy("o_custkey").orderBy(c, "o_orderkey"))
     a = o.where("o_orderkey % 5 <> 0").select("o_custkey", "o_orderkey", pos("o_orderdate").alias("position"))
     b = o.where("o_orderkey % 7 <> 0").select("o_custkey", "o_orderkey", pos("o_totalprice").alias("position"))
@@ -302,13 +304,13 @@ def c01(s, d):
 
 def c02(s, d):
     k = F.col("doc_id")
-    t = table(s, d, "documents").select(k, F.when(k % 10 != 0, F.substring("text", 1, 60)).alias("claim"), F.when(k % 3 != 0, F.lit(True)).alias("g"), (k % 4).alias("e"), F.when(k % 5 == 0, F.array(F.lit("CC-BY"), F.lit("NC"))).otherwise(F.array(F.lit("CC0"))).alias("l"))
-    v = F.filter(curation.violations(F.col("claim"), F.col("g"), F.col("e"), F.col("l")), lambda x: x != "perishable")
+    t = table(s, d, "documents").select(k, F.when(k % 10 != 0, F.col("text")).alias("claim"), F.when(k % 3 != 0, F.lit(True)).alias("g"), (k % 4).alias("e"), F.when(k % 5 == 0, F.array(F.lit("CC-BY"), F.lit("NC"))).otherwise(F.array(F.lit("CC0"))).alias("l"))
+    v = curation.violations(F.col("claim"), F.col("g"), F.col("e"), F.col("l"))
     return t.select("doc_id", F.array_join(v, ",").alias("violations"))
 
 
 def c03(s, d):
-    p = table(s, d, "part").where("p_partkey <= 300")
+    p = table(s, d, "part")
     claims = p.where("p_partkey % 2 = 0").select((F.col("p_partkey") % 50).alias("place_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("claim"))
     ex = p.select((F.col("p_partkey") % 50).alias("place_id"), F.col("p_brand").alias("source"), F.col("p_type").alias("excerpt")).distinct()
     return curation.evidence_bundle(claims, ex).select("place_id", F.size("evidence").cast("long").alias("n"), F.get("evidence", F.lit(0)).alias("first"))
@@ -342,19 +344,32 @@ _HM = hav("lat", "lng", str(_ORIGIN[0]), str(_ORIGIN[1]), 6371000.0)
 _HK = hav("lat", "lng", str(_ORIGIN[0]), str(_ORIGIN[1]), 6371.0)
 _BRG = f"((degrees(atan2(sin(radians(lng - {_ORIGIN[1]})) * cos(radians(lat)), cos(radians({_ORIGIN[0]})) * sin(radians(lat)) - sin(radians({_ORIGIN[0]})) * cos(radians(lat)) * cos(radians(lng - {_ORIGIN[1]})))) + 360) % 360)"
 
+def _ring(k: int) -> str:
+    """Cells within k steps of every place: (place_id, lat, lng, cq, cr, q, r, mlat, mlng), the last being the cell's middle."""
+    y, x = "(r * (875.0 * sqrt(3) / 2))", "((q + r / 2) * 875.0)"
+    return (
+        f"cells AS ({_CELL}), ring AS (SELECT place_id, lat, lng, cq, cr, q, r, {y} / 111194.93 AS mlat, {x} / (111194.93 * cos(radians(59.3))) AS mlng "
+        f"FROM (SELECT place_id, lat, lng, cq, cr, cq + a AS q, cr + b AS r FROM cells, range({-k}, {k + 1}) u(a), range({-k}, {k + 1}) v(b) WHERE abs(a + b) <= {k}))"
+    )
+
+
+def _way(a: str, b: str, c: str, d: str) -> str:
+    return f"((degrees(atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))) + 360) % 360)"
+
+
 ENTRIES = [
     ("f01_clamp_ramp_decay", f01, "SELECT event_id, round(least(greatest(value / 100 - 0.2, 0.0), 1.0), 6) AS c, round(least(greatest((value - 20) / 60, 0.0), 1.0), 6) AS r, CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END AS step, round(pow(2, -value / 30), 6) AS d FROM events WHERE value IS NOT NULL"),
     ("f03_int_div", f03, "SELECT p_partkey, CAST(trunc((p_partkey - 500) / p_size) AS BIGINT) AS q, CASE WHEN p_size = 1 THEN -1 ELSE CAST(p_partkey // (p_size - 1) AS BIGINT) END AS z, CAST(round(p_partkey / 8 * 1000000) AS BIGINT) AS micros FROM part"),
     ("f05_bearing", f05, f"WITH {PLACES} SELECT place_id, round({_BRG}, 3) AS bearing, round(abs((350 - {_BRG} + 540) % 360 - 180), 3) AS turn FROM places"),
     ("f06_distance", f06, f"WITH {PLACES} SELECT place_id, CAST(round({_HO}) AS BIGINT) AS m, CAST(round({_HM}) AS BIGINT) AS match_m FROM places"),
     ("f07_travel", f07, f"WITH {PLACES} SELECT place_id, round(round({_HK} * 1.3 / 4.8 * 60, 2), 1) AS walk, round(round({_HK} * 1.3 / 15.0 * 60, 2), 1) AS bike, round(round({_HK} * 1.4 / 30.0 * 60, 2), 1) AS drive FROM places"),
-    ("f09_jaro_winkler", f09, """WITH p AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey <= 600), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, jaro_similarity(a.p_name, b.p_name) AS j, list_sum(list_transform(range(1, 5), lambda i: CASE WHEN i <= length(a.p_name) AND left(a.p_name, i) = left(b.p_name, i) THEN 1 ELSE 0 END)) AS k FROM p a JOIN p b USING (p_brand) WHERE a.p_partkey < b.p_partkey)
+    ("f09_jaro_winkler", f09, """WITH p AS (SELECT p_partkey AS b, p_name AS bn, first_value(p_partkey) OVER w AS a, first_value(p_name) OVER w AS an FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)), j AS (SELECT a, b, jaro_similarity(an, bn) AS j, list_sum(list_transform(range(1, 5), lambda i: CASE WHEN i <= length(an) AND left(an, i) = left(bn, i) THEN 1 ELSE 0 END)) AS k FROM p)
 SELECT a, b, round(j + k * 0.1 * (1 - j), 6) AS jw FROM j"""),
-    ("f10_trigram", f10, f"WITH p AS (SELECT p_partkey, p_brand, {_TG.format(chr(40) + chr(39) * 1 + '  ' + chr(39) + ' || lower(p_name) || ' + chr(39) + ' ' + chr(39) + chr(41))} AS g FROM part WHERE p_partkey <= 400) SELECT a.p_partkey AS a, b.p_partkey AS b, round({_jac('a.g', 'b.g')}, 6) AS sim FROM p a JOIN p b USING (p_brand) WHERE a.p_partkey < b.p_partkey"),
+    ("f10_trigram", f10, f"""WITH p AS (SELECT p_partkey AS b, p_name AS bn, first_value(p_partkey) OVER w AS a, first_value(p_name) OVER w AS an FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)), g AS (SELECT a, b, {_TG.format("('  ' || lower(an) || ' ')")} AS ga, {_TG.format("('  ' || lower(bn) || ' ')")} AS gb FROM p) SELECT a, b, round({_jac('ga', 'gb')}, 6) AS sim FROM g"""),
     ("f12_strings", f12, "SELECT p_partkey, trim(regexp_replace('  ' || p_name || '   x ', '\\s+', ' ', 'g')) AS squeezed, string_split(p_name, ' ')[-1] AS last, length(p_name) AS n, lower(p_name) LIKE 'p%' AS p FROM part"),
     ("f13_plaintext", f13, "SELECT p_partkey, p_name || ' label &, end' AS clean, false AS markup FROM part"),
     ("f14_perishable", f14, "SELECT p_partkey, p_partkey % 2 = 0 AS perishable, CASE WHEN p_partkey % 2 <> 0 THEN 'The ' || p_name || ' is an old place. It has a tower.' WHEN length('The ' || p_name || ' is old.') >= 15 THEN 'The ' || p_name || ' is old.' ELSE '' END AS kept FROM part"),
-    ("f15_lexicon", f15, "SELECT doc_id, CASE WHEN contains(t, 'strike') OR contains(t, 're ') THEN 'strike' WHEN contains(t, 'closed') OR contains(t, 'the ') THEN 'closure' WHEN contains(t, 'festival') OR contains(t, 'of ') THEN 'event' ELSE '-' END AS kind FROM (SELECT doc_id, lower(substr(text, 1, 80)) AS t FROM documents)"),
+    ("f15_lexicon", f15, "SELECT doc_id, CASE WHEN contains(t, 'strike') OR contains(t, 're ') THEN 'strike' WHEN contains(t, 'closed') OR contains(t, 'the ') THEN 'closure' WHEN contains(t, 'festival') OR contains(t, 'of ') THEN 'event' ELSE '-' END AS kind FROM (SELECT doc_id, lower(text) AS t FROM documents)"),
     ("f18_content_id", f18, """SELECT p_partkey, substr(sha256('{"k":' || p_partkey || ',"n":"' || p_name || '"}'), 1, 32) AS id FROM part"""),
     ("f26_personal_fit", f26, f"WITH {PLACES}, w AS (SELECT place_id, list_transform(facets, lambda f: CASE f WHEN 'f0' THEN 0.9 WHEN 'f1' THEN 0.2 WHEN 'f2' THEN 0.7 ELSE 0.5 END) AS w FROM places) SELECT place_id, round(0.7 * list_max(w) + 0.3 * list_sum(w) / len(w), 4) AS fit FROM w"),
     ("f27_facet_rarity", f27, f"WITH {PLACES}, f AS (SELECT place_id, size, list_distinct(facets) AS g FROM places) SELECT a.place_id, round(1 - count(*) FILTER ({_jac('a.g', 'b.g')} >= 0.5) / count(*), 4) AS u6 FROM f a JOIN f b USING (size) GROUP BY 1"),
@@ -364,13 +379,22 @@ SELECT place_id, coalesce(round((coalesce(u3 * 0.2, 0) + coalesce(u5 * 0.1, 0))
     ("p07_region_of", p07, f"WITH {PLACES} SELECT place_id, CASE WHEN lat BETWEEN 59.30 AND 59.36 AND lng BETWEEN 17.90 AND 18.10 THEN 'b' WHEN lat BETWEEN 59.25 AND 59.40 AND lng BETWEEN 17.80 AND 18.20 THEN 'a' ELSE '-' END AS region_key FROM places"),
     ("p08_radius", p08, f"WITH {PLACES} SELECT place_id FROM places WHERE {_HO} <= 5000"),
     ("p10_like", p10, "SELECT p_partkey FROM part WHERE p_name ILIKE 'PART%1' OR p_name LIKE '%99%'"),
-    ("p11_named_in", p11, "WITH p(place_id, name) AS (VALUES (1, 'thereon'), (2, 'tion'), (3, 'queue'), (4, 'enen')), h AS (SELECT doc_id AS alert_id, place_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, place_id) AS n FROM documents, p WHERE doc_id < 200 AND contains(lower(substr(text, 1, 300)), name)) SELECT alert_id, CAST(place_id AS BIGINT) AS place_id, name FROM h WHERE n = 1"),
+    ("p11_named_in", p11, "WITH p(place_id, name) AS (VALUES (1, 'thereon'), (2, 'tion'), (3, 'queue'), (4, 'enen')), h AS (SELECT doc_id AS alert_id, place_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, place_id) AS n FROM documents, p WHERE contains(lower(text), name)) SELECT alert_id, CAST(place_id AS BIGINT) AS place_id, name FROM h WHERE n = 1"),
     ("p12_word_similarity", p12, f"""WITH w AS (SELECT p_partkey, p_name FROM part UNION ALL SELECT -1, 'part number 12'),
 g AS (SELECT p_partkey, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) AS g FROM w)
 SELECT p_partkey, round({_jac('g', 'q')}, 6) AS sim FROM g, (SELECT g AS q FROM g WHERE p_partkey = -1) WHERE p_partkey <> -1 AND round({_jac('g', 'q')}, 6) >= 0.3"""),
     ("g01_cell", g01, f"WITH {PLACES} SELECT place_id, cq AS q, cr AS r FROM ({_CELL})"),
-    ("g02_disc", g02, f"WITH {PLACES}, c AS ({_CELL}), k AS (SELECT unnest(range(-3, 4)) AS a), l AS (SELECT unnest(range(-3, 4)) AS b) SELECT place_id, cq + a AS q, cr + b AS r FROM c, k, l WHERE place_id <= 100 AND abs(a + b) <= 3"),
-    ("g03_cone", g03, None), ("g04_corridor", g04, None), ("g05_parent", g05, None), ("g06_coverage", g06, None), ("g09_scouts", g09, None),
+    ("g02_disc", g02, f"WITH {PLACES}, c AS ({_CELL}), k AS (SELECT unnest(range(-3, 4)) AS a), l AS (SELECT unnest(range(-3, 4)) AS b) SELECT place_id, cq + a AS q, cr + b AS r FROM c, k, l WHERE abs(a + b) <= 3"),
+    ("g03_cone", g03, f"""WITH {PLACES}, {_ring(4)}, m AS (SELECT *, {hav('lat', 'lng', 'mlat', 'mlng')} AS m, {_way('lat', 'lng', 'mlat', 'mlng')} AS way FROM ring) SELECT place_id, count(*) AS n FROM m WHERE (q = cq AND r = cr) OR m <= 1200 OR (abs((45 - way + 540) % 360 - 180) <= 60 AND m <= 3000) GROUP BY 1"""),
+    ("g04_corridor", g04, None),
+    ("g05_parent", g05, f"""WITH {PLACES}, {_ring(7)}, up AS (SELECT place_id, {cell_sql('mlat', 'mlng', name='p')} FROM (SELECT place_id, {axial_sql('mlat', 'mlng', 3500.0)} FROM ring)),
+o AS (SELECT DISTINCT mlat, mlng FROM ring WHERE q = cq AND r = cr AND place_id IN (SELECT place_id FROM places WHERE type_domain = 'practical' AND size >= 45)), taken AS (SELECT DISTINCT {cell_sql('mlat', 'mlng', name='p')} FROM (SELECT {axial_sql('mlat', 'mlng', 3500.0)} FROM o))
+SELECT place_id, count(*) AS n FROM up SEMI JOIN taken USING (pq, pr) GROUP BY 1"""),
+    ("g06_coverage", g06, f"""WITH {PLACES}, {_ring(11)}, m AS (SELECT *, {hav('lat', 'lng', 'mlat', 'mlng')} AS m FROM ring), n AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY m, q, r) AS n FROM m)
+SELECT place_id AS session_id, CASE WHEN m <= 1200 THEN 'near' WHEN n <= 180 THEN 'far' ELSE 'pending' END AS part, count(*) AS n FROM n WHERE n <= 2180 GROUP BY ALL"""),
+    ("g09_scouts", g09, f"""WITH {PLACES}, {_ring(3)}, h AS (SELECT q AS hq, r AS hr, type_domain AS dom FROM ring JOIN places USING (place_id) WHERE q = cq AND r = cr),
+s(scout, doms) AS (VALUES ('nearby', []), ('history', ['historic_heritage', 'religious_sacred', 'museum_gallery']), ('nature', ['nature_landscape']), ('practical', ['practical']))
+SELECT place_id AS session_id, scout, count(*) AS n FROM ring JOIN h ON q = hq AND r = hr, s WHERE CASE WHEN scout = 'practical' THEN dom = 'practical' ELSE dom <> 'practical' AND (len(doms) = 0 OR list_contains(doms, dom)) END GROUP BY ALL"""),
     ("g11_local_rarity", g11, f"""WITH {PLACES}, n AS (SELECT place_id, count(*) OVER (PARTITION BY size, type) AS h, count(*) OVER (PARTITION BY size) AS a, count(*) OVER (PARTITION BY type) AS t, (SELECT count(*) FROM places) AS w, (SELECT count(DISTINCT type) FROM places) AS k FROM places)
 SELECT place_id, round(least(1.0, greatest(0.0, 1 - ((t + 1) / (w + k)) / ((t + 1) / (w + k) + (h + 1) / (a + k)))), 4) AS u3 FROM n"""),
     ("a20_rare_types", a20, f"WITH {PLACES}, c AS (SELECT o AS origin, unnest([o - 1, o, o + 1]) AS cell FROM range(1, 51) t(o)) SELECT CAST(origin AS INT) AS origin, type, count(*) AS n FROM c JOIN places ON size = cell GROUP BY ALL HAVING count(*) <= 15"),
@@ -395,15 +419,15 @@ SELECT tp, fp, fn, tn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + f
     ("r11_evidence_gate", r11, f"WITH {PLACES} SELECT place_id, CASE WHEN place_id % 5 = 0 THEN 'no_evidence' WHEN place_id % 5 = 1 THEN 'tier_d_only' WHEN place_id % 100 < 25 THEN 'below_confidence_floor' ELSE 'served' END AS reason FROM places"),
     ("r12_greedy", r12, None),
     ("r14_rank_all", r14, f"WITH {_SCORES}, r AS (SELECT place_id % 25 AS session_id, place_id, row_number() OVER (PARTITION BY place_id % 25 ORDER BY round(composite, 2) DESC, place_id) AS position FROM scored) SELECT * FROM r WHERE position <= 20"),
-    ("t07_urgent_slot", t07, """WITH f AS (SELECT o_custkey AS session_id, o_orderkey, o_orderdate AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS p FROM orders WHERE o_custkey <= 300),
+    ("t07_urgent_slot", t07, """WITH f AS (SELECT o_custkey AS session_id, o_orderkey, o_orderdate AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS p FROM orders),
 u AS (SELECT session_id, first(p ORDER BY c, p) AS up FROM f WHERE c > TIMESTAMP '1998-01-01' AND c <= TIMESTAMP '1998-04-01' GROUP BY 1)
 SELECT session_id, o_orderkey, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(p = up, false) DESC, p) AS position FROM f LEFT JOIN u USING (session_id)"""),
-    ("r21_replay_diff", r21, """WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders WHERE o_custkey <= 400 AND o_orderkey % 5 <> 0), b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS p FROM orders WHERE o_custkey <= 400 AND o_orderkey % 7 <> 0)
+    ("r21_replay_diff", r21, """WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS p FROM orders WHERE o_orderkey % 7 <> 0)
 SELECT CASE WHEN a.p IS NULL THEN 'new' WHEN b.p IS NULL THEN 'dropped' WHEN a.p = b.p THEN 'same' ELSE 'moved' END AS change, count(*) AS n FROM a FULL JOIN b USING (o_custkey, o_orderkey) GROUP BY 1"""),
     ("r22_policy", r22, _R22),
     ("c01_pack", c01, None),
-    ("c02_violations", c02, "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'not_grounded' END, CASE WHEN doc_id % 4 = 0 THEN 'no_evidence' END, CASE WHEN doc_id % 5 = 0 THEN 'license_not_allowed' END, CASE WHEN doc_id % 10 = 0 OR trim(substr(text, 1, 60)) = '' THEN 'empty_claim' END) AS violations FROM documents"),
-    ("c03_evidence_bundle", c03, """WITH u AS (SELECT p_partkey % 50 AS place_id, 0 AS part, CAST(p_partkey AS VARCHAR) AS src, p_name AS t FROM part WHERE p_partkey <= 300 AND p_partkey % 2 = 0 UNION ALL SELECT DISTINCT p_partkey % 50, 1, p_brand, p_type FROM part WHERE p_partkey <= 300)
+    ("c02_violations", c02, "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'not_grounded' END, CASE WHEN doc_id % 4 = 0 THEN 'no_evidence' END, CASE WHEN doc_id % 5 = 0 THEN 'license_not_allowed' END, CASE WHEN doc_id % 10 = 0 OR trim(text, ' ') = '' THEN 'empty_claim' END, CASE WHEN doc_id % 10 <> 0 AND regexp_matches(text, '(?i)" + "|".join(text.PERISHABLE) + "') THEN 'perishable' END) AS violations FROM documents"),
+    ("c03_evidence_bundle", c03, """WITH u AS (SELECT p_partkey % 50 AS place_id, 0 AS part, CAST(p_partkey AS VARCHAR) AS src, p_name AS t FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT DISTINCT p_partkey % 50, 1, p_brand, p_type FROM part)
 SELECT place_id, count(*) AS n, first(t ORDER BY part, src, t) AS "first" FROM u GROUP BY 1"""),
     ("c06_sweeps", c06, None),
     ("s_embed_cosine", embed, "WITH r AS (SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS cos FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT q, vec_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, vec_id) AS n FROM r) WHERE n <= 5"),

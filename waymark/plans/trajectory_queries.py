@@ -117,8 +117,16 @@ SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN net_m >= 10000 THEN 'trav
 u AS (SELECT user_id, day, f AS cell FROM e UNION SELECT user_id, day, l FROM e), c AS (SELECT user_id, cell, count(*) AS nights FROM u GROUP BY ALL),
 r AS (SELECT *, coalesce(lead(nights) OVER w, 0) AS next, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY nights DESC, cell))
 SELECT user_id, cell, nights, round(nights / (nights + next), 3) AS confidence FROM r WHERE n = 1 AND nights >= 5 AND (next = 0 OR nights >= 1.8 * next)"""),
-    ("x02_throttle", x02_throttle, None),
-    ("g14_trips", g14_trips, None),
+    ("x02_throttle", x02_throttle, f"""WITH RECURSIVE {FIXES}, o AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM fixes),
+w AS (SELECT user_id, day, n, ts, event_id, lat AS slat, lng AS slng, ts AS sts, true AS go FROM o WHERE n = 1
+UNION ALL SELECT user_id, day, n, ts, event_id, CASE WHEN go THEN lat ELSE slat END, CASE WHEN go THEN lng ELSE slng END, CASE WHEN go THEN ts ELSE sts END, go
+  FROM (SELECT o.*, w.slat, w.slng, w.sts, {hav('w.slat', 'w.slng', 'o.lat', 'o.lng')} >= 250 OR epoch_us(o.ts) - epoch_us(w.sts) >= 600000000 AS go FROM w JOIN o ON o.user_id = w.user_id AND o.day = w.day AND o.n = w.n + 1))
+SELECT user_id, day, ts, event_id FROM w WHERE go"""),
+    ("g14_trips", g14_trips, f"""WITH RECURSIVE {FIXES}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM fixes WHERE event_type = 'click'),
+w AS (SELECT user_id, n, event_id, lat AS alat, lng AS alng, ts, CAST(1 AS BIGINT) AS trip FROM o WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, CASE WHEN joins THEN alat ELSE lat END, CASE WHEN joins THEN alng ELSE lng END, ts, trip + CASE WHEN joins THEN 0 ELSE 1 END
+  FROM (SELECT o.*, w.alat, w.alng, w.trip, epoch_us(o.ts) - epoch_us(w.ts) < 4 * 86400000000 AND {hav('w.alat', 'w.alng', 'o.lat', 'o.lng')} <= 150000 AS joins FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1))
+SELECT event_id AS session_id, user_id, trip FROM w"""),
     ("a23_toggle_fold", a23_toggle_fold, f"SELECT user_id, coalesce({_FOLD.format('click', 'view')} = 'click', false) AS kept, coalesce({_FOLD.format('purchase', 'error')} = 'purchase', false) AS hidden FROM events GROUP BY 1"),
     ("a24_contradictions", a24_contradictions, f"""WITH s AS (SELECT user_id, {_FOLD.format('click', 'view')} AS a, {_FOLD.format('purchase', 'error')} AS b, max({{'t': ts, 'i': event_id}}) FILTER (event_type = 'click') AS ta, max({{'t': ts, 'i': event_id}}) FILTER (event_type = 'purchase') AS tb FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN ta > tb THEN 'error' ELSE 'view' END AS undo FROM s WHERE a = 'click' AND b = 'purchase'"""),

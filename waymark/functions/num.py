@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_away(x: float, digits: int) -> float:
+    """What F.round does to a double, for plain numbers: half away from zero, on its shortest decimal form."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def clamp(x: Column) -> Column:
     """x held within 0 and 1."""
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))

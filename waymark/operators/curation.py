@@ -97,15 +97,25 @@ def typeahead(places: DataFrame, gazetteer: DataFrame, query: str, limit: int =
     return once.withColumn("position", F.row_number().over(Window.orderBy("late", F.desc("source"), "slot"))).where(F.col("position") <= limit).select("name", "source", "position")
 
 
+#: Names (under 100 bytes each) that may be sent to every executor.
+BROADCAST_NAMES = 20_000
+
+
 def named_in(alerts: DataFrame, places: DataFrame, text: str = "text", key: str = "alert_id", region: str = "region") -> DataFrame:
     """The longest place name (4 letters or more) that an alert's text contains, within its region.
 
-    A name is looked up by its first four letters among those that the text has anywhere, and then compared as a whole.
+    Few names are sent to the alerts. Of more, a name is looked up by its first four letters among those that the text has
+    anywhere, and then compared as a whole.
     """
-    p = places.where(F.length("name") >= 4).select(region, "place_id", "name", F.lower(F.substring("name", 1, 4)).alias("_seed"))
+    p = places.where(F.length("name") >= 4).select(region, "place_id", "name")
     low = F.lower(F.col(text))
+    if p.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        names = F.transform(F.sort_array(F.collect_list(F.struct((-F.length("name")).alias("l"), "place_id", "name"))), lambda x: F.struct(x["place_id"].alias("place_id"), x["name"].alias("name")))
+        asked = alerts.join(F.broadcast(p.groupBy(region).agg(names.alias("_names"))), region)
+        first = F.get(F.filter("_names", lambda n: F.contains(low, F.lower(n["name"]))), F.lit(0))
+        return asked.select(key, first.alias("_hit")).groupBy(key).agg(F.first("_hit", ignorenulls=True).alias("_hit")).where("_hit IS NOT NULL").select(key, "_hit.place_id", "_hit.name")
     seeds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 3), lambda i: F.substr(low, i, F.lit(4))))
     asked = alerts.withColumn("_seed", F.explode(F.when(F.length(low) >= 4, seeds)))
-    hit = asked.join(p, [region, "_seed"]).where(F.contains(low, F.lower(F.col("name"))))
+    hit = asked.join(p.withColumn("_seed", F.lower(F.substring("name", 1, 4))), [region, "_seed"]).where(F.contains(low, F.lower(F.col("name"))))
     best = hit.groupBy(key).agg(F.max_by(F.struct("place_id", "name"), F.struct(F.length("name"), -F.col("place_id"))).alias("b"))
     return best.select(key, "b.place_id", "b.name")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import travel_minutes
-from ..functions.num import clamp, decay, ramp, renormalised
+from ..functions.num import clamp, decay, half_away, ramp, renormalised
 from ..functions.time import in_quiet_hours
 
 #: The scoring model (fixed values).
@@ -106,11 +106,15 @@ def alpha(counts: dict[str, Column], calibrated: Column) -> Column:
     return F.when(calibrated, F.greatest(a, F.lit(CALIBRATED_FLOOR))).otherwise(a)
 
 
-def composite(scores: dict[str, Column], context: str, a: Column, friction_raw: Column, repetition_raw: Column) -> Column:
-    """The blended weights are rounded before use."""
+def blended(scores: dict[str, Column], context: str, a: Column) -> Column:
+    """The sub-scores under weights blended by warmth, each rounded before use."""
     warm, cold = WEIGHTS["warm"][context], WEIGHTS["cold"][context]
-    total = sum((F.round(a * warm[k] + (1 - a) * cold[k], 4) * F.coalesce(scores.get(k, F.lit(0.0)), F.lit(0.0)) for k in warm), F.lit(0.0))
-    return F.round(total - PENALTY["friction"] * friction_raw - PENALTY["repetition"] * repetition_raw, 4)
+    return sum((F.round(a * warm[k] + (1 - a) * cold[k], 4) * F.coalesce(scores.get(k, F.lit(0.0)), F.lit(0.0)) for k in warm), F.lit(0.0))
+
+
+def composite(scores: dict[str, Column], context: str, a: Column, friction_raw: Column, repetition_raw: Column) -> Column:
+    """R10."""
+    return F.round(blended(scores, context, a) - PENALTY["friction"] * friction_raw - PENALTY["repetition"] * repetition_raw, 4)
 
 
 def hold_reason(tiers: Column, conf: Column) -> Column:
@@ -130,7 +134,6 @@ def select_diverse(candidates: DataFrame, k: int, context: str = "radius", sessi
     passed over unless nothing else is left; a fresh duration bucket gains .001 among near equals. Input order (ordinal)
     breaks ties. A session's candidates are a bounded feed, folded as one group.
     """
-    terms = list(WEIGHTS["warm"][context])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal", kind="stable")
@@ -146,8 +149,7 @@ def select_diverse(candidates: DataFrame, k: int, context: str = "radius", sessi
                     if probing and c.alpha < COLD_ALPHA and len(left) >= 2 and facets and own and own <= facets:
                         continue
                     repeat = min(1.0, REPETITION_STEP * domains.get(c.type_domain, 0))
-                    total = sum(round(c.alpha * WEIGHTS["warm"][context][t] + (1 - c.alpha) * WEIGHTS["cold"][context][t], 4) * getattr(c, t) for t in terms)
-                    whole = round(total - PENALTY["friction"] * c.friction_raw - PENALTY["repetition"] * repeat, 4)
+                    whole = half_away(c.whole - PENALTY["repetition"] * repeat, 4)
                     bucket = "short" if c.total_minutes <= BUCKETS[0] else "medium" if c.total_minutes <= BUCKETS[1] else "long"
                     score = whole
                     if best is not None and bucket not in buckets and best[2] in buckets and abs(score - best[0]) < 0.02:
@@ -167,7 +169,8 @@ def select_diverse(candidates: DataFrame, k: int, context: str = "radius", sessi
         return pd.DataFrame(out, columns=[session, "place_id", "position", "composite"])
 
     kinds = dict(candidates.dtypes)
-    some = candidates.withColumn("facets", F.sort_array("facets"))
+    whole = blended({t: F.col(t) for t in WEIGHTS["warm"][context]}, context, F.col("alpha")) - PENALTY["friction"] * F.col("friction_raw")
+    some = candidates.select(session, "place_id", "ordinal", "type_domain", F.sort_array("facets").alias("facets"), "total_minutes", "alpha", whole.alias("whole"))
     return some.groupBy(session).applyInPandas(pick, f"{session} {kinds[session]}, place_id {kinds['place_id']}, position long, composite double")
 
 

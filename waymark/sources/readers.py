@@ -125,6 +125,17 @@ def gazetteer(raw: DataFrame, country: str) -> DataFrame:
     return e.where(tag("name").isNotNull()).select(F.col("id").alias("osm_id"), tag("name").alias("name"), tag("place").alias("place_type"), "lat", F.col("lon").alias("lng"), F.when(digits != "", digits.cast("int")).alias("population"), F.lit(country).alias("country_code"))
 
 
+def ingest(candidates: DataFrame, known: DataFrame, cell: Column) -> tuple[DataFrame, DataFrame]:
+    """(items, tiles): known source items with the candidates merged in, and how many of these each tile got.
+
+    Only what may be stored is taken; of one (source, external_id) the candidate replaces what was known, and of equal
+    candidates one is taken. known has the candidates' columns and cell.
+    """
+    new = storable(candidates).where("external_id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL").withColumn("cell", cell).dropDuplicates(["source", "external_id"])
+    items = known.join(new.select("source", "external_id"), ["source", "external_id"], "left_anti").unionByName(new)
+    return items, new.groupBy("source", "cell").agg(F.count("*").alias("candidates"))
+
+
 def storable(candidates: DataFrame) -> DataFrame:
     """Only what its source's licence lets us keep."""
     return candidates.where(F.col("source").isin(*[k for k, s in SOURCES.items() if s.storable]))

@@ -1,11 +1,15 @@
-"""The reference's named cases as small tables."""
+"""Named cases as small tables, and plain versions of the sequential operators."""
 
+import random
+import unicodedata
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import cost, curation, feedback, rank, resolve, tables, tiles, trajectory
+from waymark.functions import geo, num, text
+from waymark.operators import cost, curation, feed, feedback, rank, resolve, tables, tiles, trajectory
 
 T0 = datetime(2026, 8, 1, 14, 0)
 
@@ -104,8 +108,10 @@ def test_match_scores(spark):
     r = score(spark, (["Espresso House"], 59.3200, 18.0700, "cafe", "food_drink"), (["Espresso House"], 59.3236, 18.0700, "cafe", "food_drink"))
     assert r.band != "high" and r.name_sim == 1.0
     assert score(spark, (["Café Sten Sture"], 59.32, 18.07, "cafe", "food_drink"), (["Cafe Sten Sture"], 59.32, 18.07, "cafe", "food_drink")).name_sim > 0.95
-    plain = (["Järnpojken"], 59.3251, 18.0745, None, None)
+    plain = (["Järnpojken"], 59.3251, 18.0745, "monument", "historic_heritage")
     assert score(spark, plain, plain).score == 1.0
+    unknown = (["Järnpojken"], 59.3251, 18.0745, None, None)
+    assert score(spark, unknown, unknown).score == 0.8235  # a type that is unknown is compatible with none
 
 
 def test_composite(spark):
@@ -189,3 +195,144 @@ def test_policy_names_the_first_gate(spark):
     rows = [good, (False, *good[1:]), (True, 23, *good[2:]), (True, 12, "driving", *good[3:]), (*good[:13], 3, 0, None, None), (*good[:15], 10, None), (*good[:9], 0.9, 0.9, 0.5, 0.6, 0, 0, 10, None)]
     got = [r.denied_by for r in rank.notification_decision(spark.createDataFrame(rows, cols)).collect()]
     assert got == [None, "trip_mode_off", "quiet_hours", "driving", "daily_budget", "cooldown", None]
+
+
+def half_up(x, digits=4):
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def test_half_away():
+    assert [num.half_away(x, 4) for x in (0.00005, -0.00005, 0.12345, 2.00015)] == [0.0001, -0.0001, 0.1235, 2.0002]
+
+
+def plain_score(a, b):
+    """Scores of two items, from plain definitions."""
+    def fold(s):
+        return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+
+    def grams(s):
+        s = f"  {fold(s)} "
+        return {s[i : i + 3] for i in range(len(s) - 2)}
+
+    tri = max((len(grams(x) & grams(y)) / len(grams(x) | grams(y)) for x in a["names"] for y in b["names"]), default=0.0)
+    sim = max([tri, *(text.jaro_winkler_of(f(x), f(y)) for x in a["names"] for y in b["names"] for f in (str.lower, fold))])
+    sim = half_up(sim)
+    m = geo.metres(a["lat"], a["lng"], b["lat"], b["lng"], geo.RADIUS["match"])
+    domain = a["domain"] or b["domain"]
+    big = domain in resolve.BUILDING
+    radius = 500.0 if domain in resolve.NATURE else 150.0 if big else 100.0
+    radius = 250.0 if big and sim >= 0.95 else radius
+    pair = {a["type"], b["type"]}
+    compat = 0.0 if None in pair else 1.0 if len(pair) == 1 else 0.6 if a["domain"] == b["domain"] else 0.3 if any(pair == set(p) for p in resolve.COMPATIBLE) else 0.0
+    score = (0.45 * sim + 0.25 * half_up(max(0.0, 1 - min(1.0, m / radius))) + 0.15 * compat) / 0.85
+    chain = pair & set(resolve.CHAIN_TYPES) and m > 250 and any(fold(x) == fold(y) for x in a["names"] for y in b["names"])
+    band = "high" if score >= 0.82 and not chain else "review" if score >= 0.6 else "distinct"
+    return m, tri, score, band
+
+
+def plain_resolution(items):
+    """One item after another against all places there are."""
+    places, registry, out = [], {}, {}
+    for i in sorted(items, key=lambda i: (i["tier"], i["source"], i["id"])):
+        claims = [(k, i["refs"][k]) for k in ("wikidata", "wikipedia") if k in i["refs"]]
+        known = next((registry[c] for c in claims if c in registry), None)
+        place, band = i["id"], "distinct"
+        if known is not None:
+            at = next(p for p in places if p["id"] == known)
+            place, band = (known, "explicit") if geo.metres(i["lat"], i["lng"], at["lat"], at["lng"], geo.RADIUS["match"]) <= 1000 else (i["id"], "review")
+        else:
+            best = None
+            for p in places:
+                m, tri, score, kind = plain_score(i, p) if i["id"] < p["id"] else plain_score(p, i)
+                if m <= 350 and (i["domain"] == p["domain"] or tri >= 0.3) and (best is None or score > best[0]):
+                    best = (score, kind, p["id"])
+            if best and best[1] != "distinct":
+                place, band = (best[2], "high") if best[1] == "high" else (i["id"], "review")
+        if place == i["id"]:
+            places.append(i)
+        for c in [(i["source"], i["external_id"]), *claims]:
+            registry.setdefault(c, place)
+        out[i["id"]] = (place, band)
+    return out
+
+
+def test_resolution_against_a_plain_one(spark):
+    rng = random.Random(3)
+    names = ["Storkyrkan", "Storkyrka", "Café Söder", "Cafe Soder", "Gamla Torget", "Slottet", "Slott", "Espresso House"]
+    kinds = [("church", "religious_sacred"), ("chapel", "religious_sacred"), ("cafe", "food_drink"), ("square", "architecture_urban"), ("castle", "historic_heritage"), (None, None)]
+    items = []
+    for i in range(120):
+        t, d = rng.choice(kinds)
+        refs = {"wikidata": f"Q{rng.randrange(8)}"} if rng.random() < 0.2 else {}
+        source = rng.choice(["osm", "wikidata", "merimee"])
+        items.append({"id": i, "source": source, "external_id": f"Q{rng.randrange(12)}x{i}" if source != "wikidata" else f"Q{i % 20}", "refs": refs, "names": rng.sample(names, rng.choice([1, 1, 2])), "lat": 59.32 + rng.random() * 0.012, "lng": 18.07 + rng.random() * 0.02, "type": t, "domain": d, "tier": rng.randrange(3)})
+    schema = "id long, source string, external_id string, refs map<string,string>, names array<string>, lat double, lng double, type string, domain string, tier int"
+    d = spark.createDataFrame([tuple(x[c.split()[0]] for c in schema.split(", ")) for x in items], schema)
+    got = {r.id: (r.place_id, r.band) for r in resolve.resolved(d).collect()}
+    want = plain_resolution(items)
+    assert got == want
+    assert {"explicit", "high", "review", "distinct"} == {b for _, b in want.values()}
+    assert resolve.resolved(d.limit(0)).count() == 0
+
+
+def test_plan_against_a_plain_one(spark):
+    rng = random.Random(9)
+    terms = list(rank.WEIGHTS["warm"]["radius"])
+    rows = []
+    for sid in range(4):
+        for p in range(30):
+            r = {"session_id": sid, "user_id": sid % 2, "place_id": p, "ordinal": p, "lat": 59.33 + rng.random() * 0.08, "lng": 18.06, "from_lat": 59.33, "from_lng": 18.06, "remaining": 150.0, "visit_minutes": float(rng.choice([20, 60, 100])), "type_domain": rng.choice(["a", "b", "c"]),
+                 "facets": rng.sample(["x", "y", "z"], rng.choice([0, 1, 2])), "tiers": rng.choice([["open"], ["open", "official"], ["community"], []]), "is_open": rng.choice([True, False, None]), "closes_at": None, "alpha": rng.choice([0.2, 0.9]), "friction_raw": half_up(rng.random())}
+            rows.append(r | {t: half_up(rng.random()) for t in terms})
+    cols = list(rows[0])
+    kinds = {"session_id": "long", "user_id": "long", "place_id": "long", "ordinal": "long", "type_domain": "string", "facets": "array<string>", "tiers": "array<string>", "is_open": "boolean", "closes_at": "timestamp_ntz"}
+    d = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in cols))
+    gone = spark.createDataFrame([(0, 3), (1, 4)], "session_id long, place_id long")
+    got = {(r.session_id, r.place_id): (r.status, r.reason, r.position) for r in feed.plan(d.unionByName(d), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"), k=6, excluded=gone).collect()}
+
+    def greedy(pool):
+        left, out, domains, facets, buckets = sorted(pool, key=lambda r: r["ordinal"]), [], {}, set(), set()
+        while left and len(out) < 6:
+            best = None
+            for probing in (True, False):
+                for c in left:
+                    own = set(c["facets"])
+                    if probing and c["alpha"] < 0.7 and len(left) >= 2 and facets and own and own <= facets:
+                        continue
+                    base = sum(half_up(c["alpha"] * rank.WEIGHTS["warm"]["radius"][t] + (1 - c["alpha"]) * rank.WEIGHTS["cold"]["radius"][t]) * c[t] for t in terms) - 0.25 * c["friction_raw"]
+                    whole = half_up(base - 0.15 * min(1.0, 0.5 * domains.get(c["type_domain"], 0)))
+                    bucket = "short" if c["visit_minutes"] <= 45 else "medium" if c["visit_minutes"] <= 120 else "long"
+                    s = whole + (0.001 if best and bucket not in buckets and best[2] in buckets and abs(whole - best[0]) < 0.02 else 0)
+                    if best is None or s > best[0]:
+                        best = (s, c, bucket)
+                if best:
+                    break
+            if not best:
+                break
+            left.remove(best[1])
+            domains[best[1]["type_domain"]] = domains.get(best[1]["type_domain"], 0) + 1
+            facets |= set(best[1]["facets"])
+            buckets.add(best[2])
+            out.append(best[1])
+        return out
+
+    want = {}
+    for sid in range(4):
+        pool = []
+        for r in (r for r in rows if r["session_id"] == sid and (sid, r["place_id"]) not in {(0, 3), (1, 4)}):
+            way = half_up(geo.metres(r["lat"], r["lng"], 59.33, 18.06, 6371.0) * 1.3 / 4.8 * 60, 2)
+            if 2 * way + r["visit_minutes"] > 150:
+                want[sid, r["place_id"]] = ("unreachable", None, None)
+            elif not r["tiers"] or set(r["tiers"]) == {"community"} or r["confidence"] < 0.25:
+                want[sid, r["place_id"]] = ("held", "no_evidence" if not r["tiers"] else "tier_d_only" if set(r["tiers"]) == {"community"} else "below_confidence_floor", None)
+            else:
+                pool.append(r)
+        shut = set()
+        for _ in range(2):
+            picks = greedy([r for r in pool if r["place_id"] not in shut])
+            shut |= {r["place_id"] for r in picks if r["is_open"] is False}
+        final = [r["place_id"] for r in picks if r["place_id"] not in shut]
+        for r in pool:
+            p = r["place_id"]
+            want[sid, p] = ("served", None, final.index(p) + 1) if p in final else ("closed" if p in shut else "near_miss", None, None)
+    assert got == want

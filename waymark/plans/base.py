@@ -15,16 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Cost facts: lineitems of orders; line 7 is the system's own spend, without a user."""
-    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+def facts(spark: SparkSession, d: str, region: bool = False) -> DataFrame:
+    """Cost facts: lineitems of orders; line 7 is the system's own spend, without a user. Customers and nations are joined where the region is read."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if region:
+        j = j.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     system, cached = F.col("l_linenumber") == 7, F.col("l_discount") > 0.08
     would = F.round(F.col("l_extendedprice") * 1_000_000).cast("long")
     return j.select(
         F.to_date("l_shipdate").alias("day"), F.when(~system, F.col("o_custkey")).alias("user_id"), F.when(system, "system").otherwise("user").alias("actor"), F.col("l_returnflag").alias("category"),
-        F.col("l_linestatus").alias("vendor"), F.col("o_orderpriority").alias("resource"), F.col("n_name").alias("region_key"), F.when(cached, F.lit(0)).otherwise(would).cast("long").alias("billed"), would.alias("would"),
+        F.col("l_linestatus").alias("vendor"), F.col("o_orderpriority").alias("resource"), *([F.col("n_name").alias("region_key")] if region else []), F.when(cached, F.lit(0)).otherwise(would).cast("long").alias("billed"), would.alias("would"),
         cached.alias("cached"), F.col("l_linenumber").cast("long").alias("calls"), F.col("l_quantity").cast("long").alias("cpu_ms"), F.col("o_orderkey").alias("session_id"), "o_orderdate",
     )
 

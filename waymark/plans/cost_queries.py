@@ -30,7 +30,7 @@ SELECT vendor, model, CAST(sum(would) AS BIGINT) AS would, CAST(sum(CASE WHEN ca
 
 
 def a03_rollup(spark, d):
-    return cost.rollup(facts(spark, d)).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("billed", "saved", "amortized", "capex_share")])
+    return cost.rollup(facts(spark, d, True)).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("billed", "saved", "amortized", "capex_share")])
 
 
 _AMORT = """own AS (SELECT * FROM facts WHERE actor = 'user' AND user_id IS NOT NULL),
@@ -76,14 +76,14 @@ def _plain(df):
 ENTRIES = [
     ("a01_daily_buckets", lambda s, d: _plain(cost.daily_buckets(facts(s, d))), f"WITH {FACTS} SELECT CAST(day AS VARCHAR) AS day, coalesce(user_id, -1) AS user_id, actor, category, vendor, CAST(sum(billed) AS BIGINT) AS billed, CAST(sum(would - billed) AS BIGINT) AS saved, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cpu_ms) AS BIGINT) AS cpu_ms FROM facts GROUP BY ALL"),
     ("a02_amortise", lambda s, d: _plain(cost.amortised(facts(s, d))), f"WITH {FACTS}, {_AMORT} SELECT CAST(day AS VARCHAR) AS day, user_id, vendor, CAST(sum(share) AS BIGINT) AS amortized FROM share GROUP BY ALL"),
-    ("a03_capex", lambda s, d: _plain(cost.capex_shares(facts(s, d))), f"WITH {FACTS}, {_CAPEX} SELECT CAST(day AS VARCHAR) AS day, region_key, user_id, CAST(capex_share AS BIGINT) AS capex_share FROM capex"),
+    ("a03_capex", lambda s, d: _plain(cost.capex_shares(facts(s, d, True))), f"WITH {FACTS}, {_CAPEX} SELECT CAST(day AS VARCHAR) AS day, region_key, user_id, CAST(capex_share AS BIGINT) AS capex_share FROM capex"),
     ("a03_rollup_by_user", lambda s, d: _plain(a03_rollup(s, d)), f"""WITH {FACTS}, {_AMORT}, {_CAPEX},
 b AS (SELECT user_id, sum(billed) AS billed, sum(would - billed) AS saved, sum(CASE WHEN actor = 'user' THEN 0 ELSE billed END) AS amortized, 0 AS capex_share FROM facts GROUP BY ALL
   UNION ALL SELECT user_id, 0, 0, sum(share), 0 FROM share GROUP BY ALL UNION ALL SELECT user_id, 0, 0, 0, sum(capex_share) FROM capex GROUP BY ALL)
 SELECT coalesce(user_id, -1) AS user_id, CAST(sum(billed) AS BIGINT) AS billed, CAST(sum(saved) AS BIGINT) AS saved, CAST(sum(amortized) AS BIGINT) AS amortized, CAST(sum(capex_share) AS BIGINT) AS capex_share FROM b GROUP BY ALL"""),
     ("a04_denominators", lambda s, d: _plain(a04_denominators(s, d)), """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_custkey AS user_id, CAST(round(sum(CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 300 ELSE 90 END)) AS INT) AS minutes FROM orders GROUP BY ALL"""),
     ("a05_totals", lambda s, d: cost.totals(facts(s, d)), f"WITH {FACTS} SELECT CAST(coalesce(sum(billed), 0) AS BIGINT) AS billed, CAST(coalesce(sum(would), 0) AS BIGINT) AS would, count(*) AS entries, count(*) FILTER (cached) AS hits, round(100.0 * count(*) FILTER (cached) / count(*), 1) AS hit_percent FROM facts"),
-    ("a06_breakdown_sets", lambda s, d: cost.breakdowns(facts(s, d), _DIMS), f"""WITH {FACTS}, u AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS dim, CAST({x} AS VARCHAR) AS key, {_SUMS} FROM facts GROUP BY 2" for x in _DIMS) + """),
+    ("a06_breakdown_sets", lambda s, d: cost.breakdowns(facts(s, d, True), _DIMS), f"""WITH {FACTS}, u AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS dim, CAST({x} AS VARCHAR) AS key, {_SUMS} FROM facts GROUP BY 2" for x in _DIMS) + """),
 r AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY micros DESC, key) AS n FROM u WHERE key IS NOT NULL)
 SELECT dim, key, micros, saved, calls, round(micros / (SELECT sum(billed) FROM facts), 4) AS share FROM r WHERE n <= 20"""),
     ("a07_top_users", lambda s, d: cost.top_users(facts(s, d)), f"WITH {FACTS} SELECT user_id, CAST(sum(billed) AS BIGINT) AS micros, CAST(sum(calls) AS BIGINT) AS calls FROM facts WHERE actor = 'user' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),

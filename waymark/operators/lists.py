@@ -92,8 +92,10 @@ def gold_pairs(scored: DataFrame, explicit: DataFrame, negatives: int = 400, amb
 
 def next_unanswered(pairs: DataFrame, answers: DataFrame, users: DataFrame) -> DataFrame:
     """Q05: per user the smallest pair number without an answer; null if all are answered. pairs is a short fixed list."""
-    todo = users.select("user_id").crossJoin(F.broadcast(pairs.select("pair"))).join(answers.select("user_id", "pair"), ["user_id", "pair"], "left_anti")
-    return users.select("user_id").distinct().join(todo.groupBy("user_id").agg(F.min("pair").alias("next_pair")), "user_id", "left")
+    every = pairs.agg(F.sort_array(F.collect_set("pair")).alias("_all"))  # one row
+    done = answers.groupBy("user_id").agg(F.collect_set("pair").alias("_done"))
+    own = users.select("user_id").distinct().join(done, "user_id", "left").crossJoin(F.broadcast(every))
+    return own.select("user_id", F.array_min(F.array_except("_all", F.coalesce("_done", F.array()))).alias("next_pair"))
 
 
 def consent(current: str, granted_at: Column, version: Column) -> Column:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import SPACING, bearing, cell_centre, cell_of, cell_steps, disc, haversine, parent_of, ring_size, turn
+from ..scratch import sent
 
+#: Degrees of the squares over which the boxes of regions are dealt.
+SQUARE = 0.25
 NEAR_M, INLINE_CAP, PRESCOUT_CAP = 1200.0, 180, 2000
 CONE_DEGREES, BEHIND_SHARE = 60.0, 0.4
 #: Scouts in order, with the domains that each looks for; none means all (fixed values).
@@ -74,6 +77,10 @@ def rare_types(places: DataFrame, cells: DataFrame, most: int = 2) -> DataFrame:
     return cells.join(places, "cell").groupBy("origin", "type").agg(F.count("*").alias("n")).where(F.col("n") <= most)
 
 
+#: Types (under 100 bytes each) whose counts may be sent to every executor.
+BROADCAST_KINDS = 50_000
+
+
 def local_rarity(places: DataFrame, cell: str = "cell", kind: str = "type") -> DataFrame:
     """G11 u3: how much rarer a type is in its cell than everywhere, Laplace-smoothed, 4 digits."""
     here, all_here = F.count("*").over(Window.partitionBy(cell, kind)), F.count("*").over(Window.partitionBy(cell))
@@ -82,7 +89,7 @@ def local_rarity(places: DataFrame, cell: str = "cell", kind: str = "type") -> D
     local = (here + 1) / (all_here + F.col("_kinds"))
     world = (F.col("_n") + 1) / (F.col("_all") + F.col("_kinds"))
     u3 = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - world / (world + local))), 4)
-    return places.join(F.broadcast(by), kind).crossJoin(F.broadcast(whole)).select(*places.columns, u3.alias("u3"))
+    return places.join(sent(by, BROADCAST_KINDS), kind).crossJoin(F.broadcast(whole)).select(*places.columns, u3.alias("u3"))
 
 
 def facet_rarity(places: DataFrame, cell: str = "cell", alike: float = 0.5) -> DataFrame:
@@ -118,11 +125,14 @@ def nearest_boxes(boxes: DataFrame, lat: float, lng: float) -> DataFrame:
     return boxes.withColumn("distance2", d).orderBy("distance2", "row", "col")
 
 
-def region_of(points: DataFrame, regions: DataFrame, key: str) -> DataFrame:
-    """The first region, in catalogue order, whose box holds a point; regions(ordinal, region_key, south, west, north, east).
+def region_of(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Points with region_key, that of the first region, in catalogue order, whose box holds them; null if none does.
 
-    A catalogue is small; it is broadcast if Spark finds it so.
+    regions(ordinal, region_key, south, west, north, east). Boxes are dealt over squares, so points meet those of their own.
     """
+    at = lambda x: F.floor(x / SQUARE)
+    squares = regions.withColumn("_y", F.explode(F.sequence(at(F.col("south")), at(F.col("north"))))).withColumn("_x", F.explode(F.sequence(at(F.col("west")), at(F.col("east")))))
+    own = points.select("lat", "lng").distinct().withColumns({"_y": at(F.col("lat")), "_x": at(F.col("lng"))})
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))
-    hit = points.join(regions, inside, "left").groupBy(key).agg(F.min(F.when(F.col("region_key").isNotNull(), F.struct("ordinal", "region_key")))["region_key"].alias("region_key"))
-    return points.join(hit, key)
+    hit = own.join(squares, ["_y", "_x"]).where(inside).groupBy(F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).agg(F.min(F.struct("ordinal", "region_key"))["region_key"].alias("region_key"))
+    return points.join(hit, (F.col("lat") == F.col("_lat")) & (F.col("lng") == F.col("_lng")), "left").drop("_lat", "_lng")

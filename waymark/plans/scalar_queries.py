@@ -97,7 +97,7 @@ def p06(s, d):
 
 def p07(s, d):
     r = s.createDataFrame([(0, "b", 59.30, 17.90, 59.36, 18.10), (1, "a", 59.25, 17.80, 59.40, 18.20)], "ordinal int, region_key string, south double, west double, north double, east double")
-    return tiles.region_of(places(s, d).select("place_id", "lat", "lng"), r, "place_id").select("place_id", F.coalesce("region_key", F.lit("-")).alias("region_key"))
+    return tiles.region_of(places(s, d).select("place_id", "lat", "lng"), r).select("place_id", F.coalesce("region_key", F.lit("-")).alias("region_key"))
 
 
 def p08(s, d):

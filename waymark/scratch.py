@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN = "spark.waymark.scratch"
 
@@ -33,3 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for sending to every executor if it has `most` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

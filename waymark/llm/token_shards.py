@@ -30,9 +30,10 @@ from .textvec import chunks
 
 MAGIC, VERSION, STRIDE = b"WMRP", 1, 256
 SHARD_TOKENS = 1 << 20
-#: Spreads pairs over the table of marks; then Re-Pair's rounds, rules a round, the least count of a pair, and most rules (with 50,257 ids, symbols still fit two bytes).
+#: Spreads pairs over the table of marks; then Re-Pair's rules a round and the least count of a pair: below it a rule, of 12
+#: bytes, costs more than it saves, so pairs are replaced until none is as frequent.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS, PER_ROUND, LEAST, MOST_RULES = 12, 2048, 8, 15_000
+PER_ROUND, LEAST = 2048, 8
 
 
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +41,13 @@ def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(ROUNDS):
-        room = min(PER_ROUND, MOST_RULES - n_rules)
-        if len(seq) < 2 * LEAST or room <= 0:
-            break
+    while len(seq) >= 2 * LEAST:
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         order = np.sort(key)
         edge = np.flatnonzero(np.r_[True, order[1:] != order[:-1], True])
         count, kind = np.diff(edge), order[edge[:-1]]
         often = np.flatnonzero(count >= LEAST)
-        often = often[np.lexsort((kind[often], -count[often]))][:room]
+        often = often[np.lexsort((kind[often], -count[often]))][:PER_ROUND]
         if not len(often):
             break
         chosen = np.sort(kind[often])
@@ -74,9 +72,7 @@ def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         gone[place + 1] = False
         rules.append(chosen[keep])
         n_rules += int(keep.sum())
-        saved, seq = len(place), seq[gone]
-        if saved < 0.004 * len(seq):
-            break
+        seq = seq[gone]
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     return seq, np.stack([(flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1)
 

@@ -47,12 +47,13 @@ class _Lines:
         self.number = np.arange(len(self.row)) - np.repeat(first, np.diff(np.r_[first, len(self.row)]))
         self.power, self.inverse = _power(len(self.cp) + 2)
         self.sum = np.zeros(len(self.cp) + 1, _U)
-        np.cumsum(mix(self.cp.astype(_U) + _U(3)) * self.power[: len(self.cp)], out=self.sum[1:])
+        self.value = mix(self.cp.astype(_U) + _U(3))
+        np.cumsum(self.value * self.power[: len(self.cp)], out=self.sum[1:])
 
     def names(self) -> pa.Array:
-        """128 bits of each line: its hash and that of a second polynomial."""
+        """128 bits of each line: its hash and that of a second polynomial, over the squares of the values."""
         total = np.zeros(len(self.cp) + 1, _U)
-        np.cumsum(mix(self.cp.astype(_U) + _U(0x1B873593)) * self.power[: len(self.cp)], out=total[1:])
+        np.cumsum(self.value * self.value * self.power[: len(self.cp)], out=total[1:])
         second = mix((total[self.end] - total[self.start]) * self.inverse[self.start])
         return _binary(np.stack([self.hash(self.start, self.end), second], axis=1))
 

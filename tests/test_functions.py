@@ -96,3 +96,14 @@ def test_sun(spark):
 def test_identifiers(spark):
     r = one(spark, text.sitelink(F.lit("https://sv.wikipedia.org/wiki/Gamla_stan")), text.sitelink(F.lit("en:Old Town")), text.settlement(F.lit("Stockholms kommun")))
     assert tuple(r) == ("sv:Gamla_stan", "en:Old_Town", "Stockholms")
+
+
+def test_points_of_ewkb(spark):
+    import struct
+
+    good = [(59.3255, 18.0705), (-33.5, -70.25), (0.0, 0.0), (1e-300, -179.999999)]
+    rows = [(struct.pack("<BII2d", 1, 0x20000001, 4326, lng, lat).hex(), lat, lng) for lat, lng in good] + [(struct.pack(">BI2d", 0, 1, lng, lat).hex().upper(), lat, lng) for lat, lng in good]
+    bad = [None, "", "01", "zz" * 25, struct.pack("<BII2d", 1, 0x20000001, 4326, 18.0, 95.0).hex(), struct.pack("<BII2d", 1, 0x20000001, 4326, 18.0, 59.0).hex()[:-2], struct.pack("<BI2d", 1, 1, float("nan"), 1.0).hex()]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + [(b, None, None) for b in bad])], "i int, x string, lat double, lng double")
+    for r in d.select("lat", "lng", geo.point_of_ewkb(F.col("x")).alias("p")).collect():
+        assert (r.p and tuple(r.p)) == (None if r.lat is None else (r.lat, r.lng))

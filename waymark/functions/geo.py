@@ -109,3 +109,32 @@ def parent_of(cell: Column) -> Column:
     """The coarser cell that holds a cell's middle."""
     c = cell_centre(cell)
     return cell_of(c["lat"], c["lng"], PARENT_SPACING)
+
+
+def _double(hex16: Column) -> Column:
+    """The IEEE double of 16 hex digits, the most significant first; infinities and NaN give null."""
+    lead = F.conv(F.substring(hex16, 1, 3), 16, 10).cast("long")
+    exponent, mantissa = lead.bitwiseAND(F.lit(2047)), F.conv(F.substring(hex16, 4, 13), 16, 10).cast("long") / float(1 << 52)
+    size = F.when(exponent == 0, mantissa * F.pow(F.lit(2.0), F.lit(-1022.0))).when(exponent < 2047, (1.0 + mantissa) * F.pow(F.lit(2.0), exponent - 1023.0))
+    return F.when(lead >= 2048, -size).otherwise(size)
+
+
+def point_of_ewkb(x: Column) -> Column:
+    """struct<lat, lng> of a point in hexadecimal EWKB of either byte order, with or without its reference system.
+
+    Null for anything that is too short, of odd length, not hexadecimal or out of range.
+    """
+    swap = lambda h, n: F.concat(*[F.substr(h, F.lit(2 * k + 1), F.lit(2)) for k in range(n - 1, -1, -1)])
+    little = F.substring(x, 1, 2) == "01"
+    kind = F.conv(F.when(little, swap(F.substring(x, 3, 8), 4)).otherwise(F.substring(x, 3, 8)), 16, 10).cast("long")
+    at = F.when(kind.bitwiseAND(F.lit(0x20000000)) != 0, 19).otherwise(11)
+    part = lambda k: F.substr(x, at + 16 * k, F.lit(16))
+    number = lambda k: _double(F.when(little, swap(part(k), 8)).otherwise(part(k)))
+    good = x.rlike("^(?:[0-9A-Fa-f]{2}){21,}$") & (F.length(x) >= at - 1 + 32)
+    p = F.struct(number(1).alias("lat"), number(0).alias("lng"))
+    return F.when(good & p["lat"].between(-90, 90) & p["lng"].between(-180, 180), p)
+
+
+def wkt(lat: Column, lng: Column) -> Column:
+    """POINT(longitude latitude), 8 digits each."""
+    return F.format_string("POINT(%.8f %.8f)", lng.cast("double"), lat.cast("double"))

@@ -72,6 +72,21 @@ def scouted(cells: DataFrame, places: DataFrame, key: str = "session_id") -> Dat
     return joined.where(fits).drop("domains")
 
 
+def scout_runs(cells: DataFrame, places: DataFrame, cached: DataFrame, now: Column, version: str, ttl_hours: int = 24, key: str = "session_id") -> DataFrame:
+    """Per session and scout: tiles, hits, filled, candidates, hit_rate (3 digits).
+
+    A tile is a hit if cached(scout, cell, version, filled_at) has it in this version and within ttl_hours of now; the others
+    are filled. Candidates are those that the scout finds in all of its tiles.
+    """
+    fresh = cached.where((F.col("version") == version) & (F.col("filled_at") > now - F.make_interval(hours=F.lit(ttl_hours)))).select("scout", "cell").distinct().withColumn("_hit", F.lit(True))
+    scouts = F.explode(F.array(*[F.lit(s) for s in ("nearby", "history", "nature", "practical")]))
+    asked = cells.select(key, "cell").distinct().withColumn("scout", scouts).join(fresh, ["scout", "cell"], "left")
+    tiles = asked.groupBy(key, "scout").agg(F.count("*").alias("tiles"), F.count("_hit").alias("hits"))
+    found = scouted(cells.select(key, "cell").distinct(), places, key).groupBy(key, "scout").agg(F.count("*").alias("candidates"))
+    out = tiles.join(found, [key, "scout"], "left")
+    return out.select(key, "scout", "tiles", "hits", (F.col("tiles") - F.col("hits")).alias("filled"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.round(F.col("hits") / F.col("tiles"), 3).alias("hit_rate"))
+
+
 def rare_types(places: DataFrame, cells: DataFrame, most: int = 2) -> DataFrame:
     """(origin, type, n) for types that the neighbourhood of an origin has `most` times at most; cells(origin, cell)."""
     return cells.join(places, "cell").groupBy("origin", "type").agg(F.count("*").alias("n")).where(F.col("n") <= most)

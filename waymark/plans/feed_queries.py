@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import feed, reads
+from ..operators import feed, lists, reads, resolve, tables, tiles
 from ..sources import readers
 from .base import PLACES, axial_sql, cell_sql, hav, places, table
-from .scalar_queries import _SCORES, _scored
+from .scalar_queries import _SCORES, _ring, _scored
 
 _AT = "1998-01-01 00:00:00"
 
@@ -127,6 +127,45 @@ def u07(s, d):
     return a.subtract(b).select("o_custkey", F.lit("except").alias("op")).unionByName(a.intersect(b).select("o_custkey", F.lit("intersect").alias("op")))
 
 
+def g10(s, d):
+    p = places(s, d).withColumn("cell", geo.cell_of(F.col("lat"), F.col("lng")))
+    cells = tiles.disc_cells(places(s, d).select(F.col("place_id").alias("session_id"), "lat", "lng"), F.lit(1000.0)).select("session_id", "cell")
+    at = F.lit("1998-01-01 00:00:00").cast("timestamp")
+    cached = p.select(F.lit("nearby").alias("scout"), "cell", F.when(F.col("size") % 5 == 0, "v1").otherwise("v2").alias("version"), (at - F.make_dt_interval(hours=F.col("size").cast("int"))).alias("filled_at"))
+    runs = tiles.scout_runs(cells, p.select("cell", "place_id", "type_domain"), cached, at, "v2")
+    return runs.groupBy("scout").agg(*[F.sum(c).cast("long").alias(c) for c in ("tiles", "hits", "filled", "candidates")], F.round(F.max("hit_rate"), 3).alias("best"))
+
+
+def e02(s, d):
+    p = places(s, d)
+    items = p.select(F.col("place_id").alias("id"), "lat", "lng", "source", F.col("place_id").cast("string").alias("external_id"), F.array(F.struct(F.lit("Brand#11").alias("source"), (F.col("place_id") + 1).cast("string").alias("external_id"))).alias("refs"))
+    return resolve.explicit_pairs(items).select("a_id", "b_id", "band")
+
+
+def e14(s, d):
+    p = places(s, d)
+    k = F.col("place_id")
+    pairs = p.select(k.alias("a_id"), (k + 1).alias("b_id"), (k * 37 % 1000 / 1000).alias("score"), (k * 11 % 400).alias("distance_m"), F.col("type_domain").alias("a_domain"), F.when(k % 3 == 0, F.col("type_domain")).otherwise("food_drink").alias("b_domain"))
+    explicit = pairs.where("score > 0.97").select("a_id", "b_id")
+    return lists.gold_pairs(pairs, explicit, 40, 20).groupBy("label").agg(F.count("*").alias("n"), F.min("pair").alias("first"))
+
+
+def q07(s, d):
+    o = table(s, d, "orders")
+    old = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("answer"))
+    new = o.where("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("answer"))
+    return tables.upsert(old, new, ["o_custkey"], [F.col("answer")], first_write_wins=True)
+
+
+def s15(s, d):
+    c = places(s, d).select(F.element_at(F.array(*[F.lit(x) for x in ("osm", "news", "merimee", "unknown")]), (F.col("place_id") % 4 + 1).cast("int")).alias("source"), "place_id")
+    return readers.storable(c).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def p19(s, d):
+    return places(s, d).select("place_id", geo.wkt(F.col("lat"), F.col("lng")).alias("wkt"))
+
+
 _GATES = f"""WITH {_SCORES}, c AS (SELECT *, k % 25 AS session_id, {hav('lat', 'lng', '59.33', '18.06', 6371.0)} * 1.3 / 15.0 * 60 AS way, {hav('lat', 'lng', '59.33', '18.06', 6371000.0)} AS home_m FROM scored WHERE size <> 7)
 SELECT session_id, place_id, CASE WHEN 2 * round(way, 2) + size * 2.0 > 300 THEN 'unreachable' ELSE 'held' END AS status, CASE WHEN 2 * round(way, 2) + size * 2.0 > 300 THEN '-' WHEN k % 6 = 0 THEN 'tier_d_only' WHEN k % 13 = 0 THEN 'no_evidence' ELSE 'below_confidence_floor' END AS reason
 FROM c WHERE 2 * round(way, 2) + size * 2.0 > 300 OR ((k % 6 = 0 OR k % 13 = 0 OR confidence < 0.25) AND NOT (session_id % 4 = 0 AND home_m <= 300))"""
@@ -151,5 +190,17 @@ SELECT wet, NOT known OR (NOT wet AND cloud < 70) AS light, CASE WHEN NOT known
     ("g08_derived_regions", g08, f"""WITH {PLACES}, {_MID}, p AS ({_PARENT}) SELECT place_id, round((pr * (3500.0 * sqrt(3) / 2) - 3500 / sqrt(3)) / 111194.93, 6) AS south, round(((pq + pr / 2) * 3500.0 + 1750) / (111194.93 * cos(radians(59.3))), 6) AS east
 FROM p JOIN places USING (place_id) WHERE NOT (lat BETWEEN 59.3 AND 59.36 AND lng BETWEEN 17.9 AND 18.1)"""),
     ("s13_ingest", s13, "SELECT 'osm' AS source, CASE WHEN p_size >= 20 THEN 'c' ELSE '-' END AS cell, p_size < 20 AS old, count(*) AS n FROM part GROUP BY ALL"),
+    ("g10_scout_runs", g10, f"""WITH {PLACES}, {_ring(2)}, h AS (SELECT q AS hq, r AS hr, type_domain AS dom, size FROM ring JOIN places USING (place_id) WHERE q = cq AND r = cr),
+s(scout, doms) AS (VALUES ('nearby', []), ('history', ['historic_heritage', 'religious_sacred', 'museum_gallery']), ('nature', ['nature_landscape']), ('practical', ['practical'])),
+fresh AS (SELECT DISTINCT hq, hr FROM h WHERE size % 5 <> 0 AND size < 24), t AS (SELECT scout, place_id, count(*) AS tiles, count(*) FILTER (scout = 'nearby' AND (q, r) IN (SELECT (hq, hr) FROM fresh)) AS hits FROM ring, s GROUP BY ALL),
+c AS (SELECT scout, count(*) AS candidates FROM ring JOIN h ON q = hq AND r = hr, s WHERE CASE WHEN scout = 'practical' THEN dom = 'practical' ELSE dom <> 'practical' AND (len(doms) = 0 OR list_contains(doms, dom)) END GROUP BY 1)
+SELECT scout, CAST(sum(tiles) AS BIGINT) AS tiles, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(tiles - hits) AS BIGINT) AS filled, any_value(c.candidates) AS candidates, round(max(round(hits / tiles, 3)), 3) AS best FROM t JOIN c USING (scout) GROUP BY 1"""),
+    ("e02_explicit_pairs", e02, f"WITH {PLACES} SELECT a.place_id AS a_id, b.place_id AS b_id, CASE WHEN {hav('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371000.0)} <= 1000 THEN 'explicit' ELSE 'review' END AS band FROM places a JOIN places b ON b.place_id = a.place_id + 1 AND b.source = 'Brand#11'"),
+    ("e14_gold_pairs", e14, f"""WITH {PLACES}, p AS (SELECT least(place_id, place_id + 1) || '|' || greatest(place_id, place_id + 1) AS pair, place_id * 37 % 1000 / 1000 AS score, place_id * 11 % 400 > 100 AND type_domain <> CASE WHEN place_id % 3 = 0 THEN type_domain ELSE 'food_drink' END AS far FROM places),
+r AS (SELECT * FROM p WHERE score <= 0.97), l AS (SELECT pair, 'match' AS label FROM p WHERE score > 0.97 UNION ALL (SELECT pair, 'distinct' FROM r WHERE far ORDER BY score DESC, pair LIMIT 40) UNION ALL (SELECT pair, 'ask' FROM r WHERE NOT far AND score >= 0.55 ORDER BY score DESC, pair LIMIT 20))
+SELECT label, count(*) AS n, min(pair) AS first FROM l GROUP BY 1"""),
+    ("q07_first_write_wins", q07, "SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_orderstatus = 'F'), min(o_orderkey) FILTER (o_orderstatus = 'O')) AS answer FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1"),
+    ("s15_storable", s15, "SELECT ['osm', 'news', 'merimee', 'unknown'][p_partkey % 4 + 1] AS source, count(*) AS n FROM part WHERE p_partkey % 4 IN (0, 2) GROUP BY 1"),
+    ("p19_wkt", p19, f"WITH {PLACES} SELECT place_id, printf('POINT(%.8f %.8f)', lng, lat) AS wkt FROM places"),
     ("u07_set_operators", u07, "WITH a AS (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW') SELECT o_custkey, 'except' AS op FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT o_custkey, 'intersect' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)"),
 ]

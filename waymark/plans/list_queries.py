@@ -236,7 +236,9 @@ ENTRIES = [
     ("f11_fold", f11, "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents"),
     ("f16_identifiers", f16, "SELECT p_partkey, 'en:' || replace(p_name, ' ', '_') AS a, 'sv:' || replace(p_name, ' ', '_') AS b, p_name AS c FROM part"),
     ("f19_dates", f19, "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(CAST(ts AS DATE) - 7, '%Y-%m-%d') AS week_ago, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000 / 60, 3) AS minutes FROM events"),
-    ("f20_opening_hours", f20, None),
+    ("f20_opening_hours", f20, """WITH e AS (SELECT ['24/7', 'Mo-Fr 09:00-17:00', 'Sa,Su 10:00-14:00', 'sunrise-sunset', 'Mo-Su 22:00-02:00', 'PH off'][event_id % 6 + 1] AS spec, isodow(ts) AS day, hour(ts) * 60 + minute(ts) AS m FROM events)
+SELECT spec, CASE spec WHEN '24/7' THEN true WHEN 'Mo-Fr 09:00-17:00' THEN CASE WHEN day > 5 OR m + 60 <= 540 OR m - 60 >= 1020 THEN false WHEN m - 60 >= 540 AND m + 60 <= 1020 THEN true END
+  WHEN 'Sa,Su 10:00-14:00' THEN CASE WHEN day < 6 OR m + 60 <= 600 OR m - 60 >= 840 THEN false WHEN m - 60 >= 600 AND m + 60 <= 840 THEN true END END AS open, count(*) AS n FROM e GROUP BY ALL"""),
     ("f22_stay_horizon", f22, "SELECT o_orderkey, round(CAST(least(20, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 24 END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 11 END) AS DOUBLE), 2) AS hours FROM orders"),
     ("f24_first_wet_hour", f24, "SELECT p_partkey, coalesce(list_min(list_filter(range(0, 12), lambda i: i >= p_size % 8 AND ((p_partkey * 7 + i * 13) % 29) / 100 >= 0.2)), -1) AS at FROM part"),
     ("f32_taxonomy", f32, _f32_sql()),

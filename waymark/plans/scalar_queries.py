@@ -344,6 +344,15 @@ _HM = hav("lat", "lng", str(_ORIGIN[0]), str(_ORIGIN[1]), 6371000.0)
 _HK = hav("lat", "lng", str(_ORIGIN[0]), str(_ORIGIN[1]), 6371.0)
 _BRG = f"((degrees(atan2(sin(radians(lng - {_ORIGIN[1]})) * cos(radians(lat)), cos(radians({_ORIGIN[0]})) * sin(radians(lat)) - sin(radians({_ORIGIN[0]})) * cos(radians(lat)) * cos(radians(lng - {_ORIGIN[1]})))) + 360) % 360)"
 
+def _c06_sql() -> str:
+    x = "h"
+    for pattern, by in (
+        (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1"), (r"\{\{[^}]*\}\}", ""), ("''{2,}", ""), ("<[^>]*>", " "), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;|&apos;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), (r"\[\d+\]", ""), (r"\s+", " "), (" ([.,;:!?])", r"\1"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return rf"""SELECT page_id, length(nullif(trim({x}), '')) AS n FROM (SELECT page_id, regexp_replace(html, '&[a-z#0-9]+;', ' ', 'g') AS h FROM pages) WHERE regexp_matches(h, '\[\[|\{{\{{|''{{2,}}|<[a-zA-Z/]|&[a-z]+;')"""
+
+
 def _ring(k: int) -> str:
     """Cells within k steps of every place: (place_id, lat, lng, cq, cr, q, r, mlat, mlng), the last being the cell's middle."""
     y, x = "(r * (875.0 * sqrt(3) / 2))", "((q + r / 2) * 875.0)"
@@ -429,6 +438,6 @@ SELECT CASE WHEN a.p IS NULL THEN 'new' WHEN b.p IS NULL THEN 'dropped' WHEN a.p
     ("c02_violations", c02, "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'not_grounded' END, CASE WHEN doc_id % 4 = 0 THEN 'no_evidence' END, CASE WHEN doc_id % 5 = 0 THEN 'license_not_allowed' END, CASE WHEN doc_id % 10 = 0 OR trim(text, ' ') = '' THEN 'empty_claim' END, CASE WHEN doc_id % 10 <> 0 AND regexp_matches(text, '(?i)" + "|".join(text.PERISHABLE) + "') THEN 'perishable' END) AS violations FROM documents"),
     ("c03_evidence_bundle", c03, """WITH u AS (SELECT p_partkey % 50 AS place_id, 0 AS part, CAST(p_partkey AS VARCHAR) AS src, p_name AS t FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT DISTINCT p_partkey % 50, 1, p_brand, p_type FROM part)
 SELECT place_id, count(*) AS n, first(t ORDER BY part, src, t) AS "first" FROM u GROUP BY 1"""),
-    ("c06_sweeps", c06, None),
+    ("c06_sweeps", c06, _c06_sql()),
     ("s_embed_cosine", embed, "WITH r AS (SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS cos FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT q, vec_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, vec_id) AS n FROM r) WHERE n <= 5"),
 ]

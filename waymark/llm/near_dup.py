@@ -255,7 +255,10 @@ def _cross(threshold: float, num: int | None = None, den: int = 100):
         _, first, at = np.unique(code, return_index=True, return_inverse=True)
         if len(first) < 2:
             return None
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]] if num is not None else []
+        if num is not None:
+            lists = t["shingles"].combine_chunks()
+            flat, cuts = lists.flatten().to_numpy(), np.r_[0, np.cumsum(n)]
+            sets = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         was = first[at]
         label, side = was.copy(), t["side"].to_numpy()
         one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -290,8 +293,9 @@ def _cross(threshold: float, num: int | None = None, den: int = 100):
 
 
 def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Size of the intersection of a sorted set with each of others, none of which is empty."""
+    """Size of the intersection of a set with each of others, none of which is empty."""
     flat = np.concatenate(others)
+    own = np.sort(own)
     at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
     size = np.array([len(x) for x in others])
     return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
@@ -356,34 +360,19 @@ def candidate_edges(classes: DataFrame, threshold: float, region_rows: int, wide
 
 
 def _sets(k: int):
-    """(fp, sorted shingles) of (text, fp) whose set is the wanted one."""
+    """(fp, shingles) of (text, fp) whose set is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in chunks(b.column(0)):
                 v, vb = shingle_sets(data, offs, k)
-                values = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(vb.astype(np.int64) * 8), pa.py_buffer(v)]).cast(pa.binary())
+                values = pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int64)))
                 same = (_fingerprints(v, vb) == _matrix(b.column(1)[i:j], np.uint64, 2)).all(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(1)[i:j], values], ["fp", "shingles"]).filter(pa.array(same))
 
     return run
 
 
-def _linked(num: int, den: int):
-    """Whether den * |intersection| >= num * |union| of the sets x and y of each (u, v, x, y)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int(_common(one, [two])[0])
-                good.append(den * both >= num * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], ["u", "v", "linked"])
-
-    return run
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v, linked) of pairs(u, v), by a join with both full sets; a v of very many pairs is dealt out over several keys."""
     hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")).where("salts > 1")
@@ -392,7 +381,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     one = pairs.join(hubs, "v", "left").select("u", "v", F.pmod(F.hash("u"), salts).alias("salt")).join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u")
     two = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")).join(pairs.select("v").distinct(), "v", "left_semi").join(hubs, "v", "left")
     two = two.select("v", "y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return written(one.join(two, ["v", "salt"]).select("u", "v", "x", "y").mapInArrow(_linked(num, den), "u binary, v binary, linked boolean"), "verified")
+    both = F.size(F.array_intersect("x", "y"))
+    return written(one.join(two, ["v", "salt"]).select("u", "v", (den * both >= num * (F.size("x") + F.size("y") - both)).alias("linked")), "verified")
 
 
 def exact_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int, region_rows: int, cluster_values: int) -> DataFrame:
@@ -450,7 +440,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = written(candidate_edges(classes, num / den, region_rows, widened).distinct(), "candidates")
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    sets = written(texts_of(ends).mapInArrow(_sets(shingle_words), "fp binary, shingles binary"), "sets")
+    sets = written(texts_of(ends).mapInArrow(_sets(shingle_words), "fp binary, shingles array<long>"), "sets")
     joined = connected_components(exact_links(pairs, classes, sets, num, den, region_rows, cluster_values), "linked")
     named = joined.join(classes.select(F.col("fp").alias("node"), "low"), "node")
     named = dealt_join(named, "root", "node", named.groupBy("root").agg(F.min("low").alias("name"))).select(F.col("node").alias("fp"), "name")

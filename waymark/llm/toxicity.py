@@ -232,7 +232,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not both(1):
         return model
     rows = _with_features(sample, model.lexicon, "part,label", "part int, label int").select("part", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
-    rows = written(rows.withColumn("x", vector_to_array("features")).drop("features"), "features").withColumn("features", array_to_vector("x"))
+    rows = written(rows.withColumn("x", vector_to_array("features")).drop("features").coalesce(4), "features").withColumn("features", array_to_vector("x"))  # a row a text of the sample
     model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=64, minInstancesPerNode=2, seed=7).fit(rows.where("part = 1"))
     if both(2):
         own = model.trees.transform(rows.where("part = 2")).select("label", vector_to_array("probability")[1].alias("p"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,12 +185,61 @@ def learned_lexicon(texts: DataFrame) -> Lexicon:
     return Lexicon(of(0), of(1))
 
 
+@dataclass
+class Trees:
+    """Boosted trees as arrays: a row a tree, nodes numbered as in a heap (children of k are 2k + 1 and 2k + 2)."""
+
+    feature: np.ndarray  # -1 at a leaf
+    threshold: np.ndarray
+    value: np.ndarray  # of leaves, times the tree's weight
+    depth: int
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        margin = np.zeros(len(x))
+        for feature, threshold, value in zip(self.feature, self.threshold, self.value, strict=True):
+            at = np.zeros(len(x), np.int64)
+            for _ in range(self.depth):
+                f = feature[at]
+                right = x[np.arange(len(x)), np.maximum(f, 0)] > threshold[at]
+                at = np.where(f >= 0, 2 * at + 1 + right, at)
+            margin += value[at]
+        return 1 / (1 + np.exp(-2 * margin))
+
+
+def _exported(model: GBTClassificationModel) -> Trees:
+    """The fitted trees, so that texts are scored where their features are made."""
+    depth, weights = max([1, *(t.depth for t in model.trees)]), model.treeWeights
+    shape = (len(weights), (2 << depth) - 1)
+    out = Trees(np.full(shape, -1, np.int64), np.zeros(shape), np.zeros(shape), depth)
+
+    def walk(k: int, node, at: int) -> None:
+        if node.subtreeDepth() == 0:
+            out.value[k, at] = node.prediction() * weights[k]
+            return
+        out.feature[k, at], out.threshold[k, at] = node.split().featureIndex(), node.split().threshold()
+        walk(k, node.leftChild(), 2 * at + 1)
+        walk(k, node.rightChild(), 2 * at + 2)
+
+    for k, tree in enumerate(model.trees):
+        walk(k, tree._java_obj.rootNode(), 0)
+    return out
+
+
 @dataclass
 class ToxicityModel:
+    """Without trees every score is the share; without a curve it is the trees' probability."""
+
     lexicon: Lexicon
     share: float
-    trees: GBTClassificationModel | None = None
-    curve: IsotonicRegressionModel | None = None
+    trees: Trees | None = None
+    curve: tuple[np.ndarray, np.ndarray] | None = None  # ascending probabilities and their calibrated values
+
+    def scores(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.trees is None:
+            p = np.full(len(offs) - 1, self.share)
+            return p, p
+        p = self.trees.probability(text_features(data, offs, self.lexicon))
+        return p, p if self.curve is None else np.clip(np.interp(p, *self.curve), 0.0, 1.0)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
@@ -233,10 +282,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return model
     rows = _with_features(sample, model.lexicon, "part,label", "part int, label int").select("part", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
     rows = written(rows.withColumn("x", vector_to_array("features")).drop("features").coalesce(4), "features").withColumn("features", array_to_vector("x"))  # a row a text of the sample
-    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=64, minInstancesPerNode=2, seed=7).fit(rows.where("part = 1"))
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=64, minInstancesPerNode=2, seed=7).fit(rows.where("part = 1"))
+    model.trees = _exported(fitted)
     if both(2):
-        own = model.trees.transform(rows.where("part = 2")).select("label", vector_to_array("probability")[1].alias("p"))
-        model.curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(own)
+        own = fitted.transform(rows.where("part = 2")).select("label", vector_to_array("probability")[1].alias("p"))
+        curve = IsotonicRegression(featuresCol="p", labelCol="label").fit(own)
+        model.curve = np.array(curve.boundaries.toArray()), np.array(curve.predictions.toArray())
     return model
 
 
@@ -246,11 +297,14 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     Only the text is read. A null text is empty; an empty text has the features 0. Repeated rows get equal rows, and an
     empty table gives none.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offs in chunks(b.column(1)):
+                p, score = shared.value.scores(data, offs)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(p), pa.array(score)], ["id", "p", "score"])
+
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if model.trees is None:
-        return own.select("id", F.lit(model.share).alias("p"), F.lit(model.share).alias("score")).withColumnRenamed("id", id_col)
-    x = _with_features(own, model.lexicon, "id", f"id {kind}").select("id", array_to_vector("x").alias("features"))
-    found = model.trees.transform(x).select("id", vector_to_array("probability")[1].alias("p"))
-    found = model.curve.transform(found) if model.curve is not None else found.withColumn("score", F.col("p"))
-    return found.select("id", "p", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score")).withColumnRenamed("id", id_col)
+    return own.mapInArrow(run, f"id {kind}, p double, score double").withColumnRenamed("id", id_col)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,21 +25,59 @@ PERISHABLE = (
 LEAST_CLAIM = 15
 
 
+#: Letters that Unicode neither decomposes nor names after a plain letter, and what they are written with (fixed values).
+SPELLED = {"ß": "ss", "ẞ": "ss", "þ": "th", "Þ": "th", "ð": "d", "Ð": "d", "ı": "i", "ĸ": "k", "ŋ": "n", "Ŋ": "n", "ſ": "s", "ŉ": "n"}
+#: Code points that are looked through for letters: Latin-1 to Latin Extended-B, Latin Extended Additional, C and D, ligatures.
+_LETTERS = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800), *range(0xFB00, 0xFB07)]
+_MARKS = "".join(chr(c) for r in (range(0x300, 0x370), range(0x1AB0, 0x1B00), range(0x1DC0, 0x1E00), range(0x20D0, 0x2100)) for c in r if unicodedata.combining(chr(c)))
+_NAMED = re.compile(r"LATIN (?:CAPITAL|SMALL) (?:LETTER|LIGATURE) ([A-Z]{1,2})(?: WITH .*)?$")
+
+
+@lru_cache(maxsize=1)
+def letters() -> dict[str, str]:
+    """Each letter beyond ASCII and the plain lower-case letters that stand for it: by SPELLED, else by its decomposition,
+    else by its Unicode name (O WITH STROKE is an o, AE is ae)."""
+    out = {}
+    for c in map(chr, _LETTERS):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        named = _NAMED.match(unicodedata.name(c, ""))
+        if c in SPELLED:
+            out[c] = SPELLED[c]
+        elif plain.isascii() and plain.isalpha():
+            out[c] = plain.lower()
+        elif named:
+            out[c] = named[1].lower()
+    return out
+
+
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
-    """Letters with marks and the plain letter of each, from the Unicode decompositions."""
-    pairs = []
-    for c in range(0xC0, 0x250):
-        plain = unicodedata.normalize("NFKD", chr(c))
-        if len(plain) > 1 and plain[0].isascii() and all(unicodedata.combining(x) for x in plain[1:]):
-            pairs.append((chr(c), plain[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Letters of one plain letter, those letters, and the letters of several."""
+    one = {k: v for k, v in letters().items() if len(v) == 1}
+    return "".join(one), "".join(one.values()), tuple((k, v) for k, v in letters().items() if len(v) > 1)
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents."""
-    marked, plain = _fold_table()
-    return F.lower(F.translate(x, marked, plain))
+    """Lower case in plain letters: accents and combining marks go, ligatures and special letters are spelled out.
+
+    One pass of translate does all but the letters that become several, which few strings have and only these are searched for.
+    """
+    marked, plain, several = _tables()
+    once = F.lower(F.translate(x, marked + _MARKS, plain))
+    spelled = once
+    for letter, by in several:
+        spelled = F.replace(spelled, F.lit(letter), F.lit(by))
+    return F.when(once.rlike("[" + "".join(k for k, _ in several) + "]"), spelled).otherwise(once)
+
+
+@lru_cache(maxsize=1)
+def _fold_map() -> dict[int, str]:
+    return str.maketrans(letters() | {m: "" for m in _MARKS})
+
+
+def fold_of(x: str) -> str:
+    """fold of a plain string, for folds."""
+    return x.translate(_fold_map()).lower()
 
 
 def squeeze(x: Column) -> Column:
@@ -53,10 +93,20 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def gram_set(x: Column) -> Column:
+    """Distinct trigrams of a folded string, padded as a whole by two blanks and one."""
+    return F.array_distinct(_grams(F.concat(F.lit("  "), fold(x), F.lit(" "))))
+
+
 def trigram(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the trigrams of two folded strings, each padded as a whole by two blanks and one."""
-    pad = lambda x: F.concat(F.lit("  "), fold(x), F.lit(" "))
-    return _jaccard(F.array_distinct(_grams(pad(a))), F.array_distinct(_grams(pad(b))))
+    """Jaccard similarity of the trigrams of two folded strings."""
+    return _jaccard(gram_set(a), gram_set(b))
+
+
+def trigram_of(a: str, b: str) -> float:
+    """trigram of plain strings, for folds."""
+    x, y = ({p[i : i + 3] for i in range(len(p) - 2)} for p in (f"  {fold_of(a)} ", f"  {fold_of(b)} "))
+    return len(x & y) / len(x | y)
 
 
 def word_trigrams(x: Column) -> Column:
@@ -156,14 +206,27 @@ def content_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 32)
 
 
+#: How an encyclopedia article is named: by its address or by a tag (fixed values).
+ARTICLE_URL, ARTICLE_TAG = r"(?i)^https?://([a-z\-]+)\.wikipedia\.org/wiki/(.+)$", r"(?i)^([a-z\-]+):(.+)$"
+
+
 def sitelink(x: Column) -> Column:
-    """lang:Title_With_Underscores of an encyclopedia URL or of a lang:Title tag."""
-    url = r"^https?://([a-z-]+)\.(?:m\.)?wikipedia\.org/wiki/([^?#]+)"
-    tag = r"^([a-z-]{2,12}):(.+)$"
-    title = lambda t: F.regexp_replace(F.trim(t), " ", "_")
-    return F.when(x.rlike(url), F.concat_ws(":", F.regexp_extract(x, url, 1), title(F.try_url_decode(F.regexp_extract(x, url, 2))))).when(
-        x.rlike(tag) & ~x.rlike("^https?:"), F.concat_ws(":", F.regexp_extract(x, tag, 1), title(F.regexp_extract(x, tag, 2)))
-    )
+    """lang:Title_With_Underscores of an encyclopedia URL or of a lang:Title tag; null for any other text."""
+
+    def key(pattern: str, title: Column) -> Column:
+        return F.concat(F.lower(F.regexp_extract(x, pattern, 1)), F.lit(":"), F.replace(F.trim(title), F.lit(" "), F.lit("_")))
+
+    address = F.replace(F.regexp_extract(x, ARTICLE_URL, 2), F.lit("+"), F.lit("%2B"))  # a plus sign is no blank here
+    title = F.coalesce(F.try_url_decode(address), F.regexp_extract(x, ARTICLE_URL, 2))
+    return F.when(x.rlike(ARTICLE_URL), key(ARTICLE_URL, title)).when(x.rlike(ARTICLE_TAG), key(ARTICLE_TAG, F.regexp_extract(x, ARTICLE_TAG, 2)))
+
+
+def sitelink_of(x: str | None) -> str | None:
+    """sitelink of a plain string, for folds."""
+    url, tag = re.match(ARTICLE_URL, x or ""), re.match(ARTICLE_TAG, x or "")
+    if url:
+        return f"{url[1].lower()}:{unquote(url[2]).strip().replace(' ', '_')}"
+    return f"{tag[1].lower()}:{tag[2].strip().replace(' ', '_')}" if tag else None
 
 
 def settlement(x: Column) -> Column:

@@ -208,7 +208,7 @@ def test_half_away():
 def plain_score(a, b):
     """Scores of two items, from plain definitions."""
     def fold(s):
-        return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+        return "".join(c for c in unicodedata.normalize("NFKD", s.lower().replace("ß", "ss")) if not unicodedata.combining(c))
 
     def grams(s):
         s = f"  {fold(s)} "
@@ -230,49 +230,120 @@ def plain_score(a, b):
     return m, tri, score, band
 
 
+def plain_article(raw):
+    """The key of an article, for the two spellings in use here."""
+    if raw and raw.startswith("https://"):
+        lang, _, title = raw.removeprefix("https://").partition(".wikipedia.org/wiki/")
+        return f"{lang}:{title.replace('%20', '_')}"
+    return raw.replace(" ", "_") if raw else None
+
+
 def plain_resolution(items):
-    """One item after another against all places there are."""
+    """One item after another against all places there are, each of which is what its items have left in it."""
     places, registry, out = [], {}, {}
-    for i in sorted(items, key=lambda i: (i["tier"], i["source"], i["id"])):
-        claims = [(k, i["refs"][k]) for k in ("wikidata", "wikipedia") if k in i["refs"]]
+    order = {"geometry": {"osm": 3, "overture": 2, "wikidata": 1}, "type": {"overture": 3, "osm": 2, "wikidata": 1}}
+    for i in sorted(items, key=lambda i: (i["tier"], i["source"], i["external_id"], i["id"])):
+        qid = i["external_id"] if i["source"] == "wikidata" else i["refs"].get("wikidata")
+        claims = [(k, v) for k, v in (("wikidata", qid), ("wikipedia", plain_article(i["refs"].get("wikipedia")))) if v]
         known = next((registry[c] for c in claims if c in registry), None)
-        place, band = i["id"], "distinct"
+        target, kind = None, "distinct"
         if known is not None:
-            at = next(p for p in places if p["id"] == known)
-            place, band = (known, "explicit") if geo.metres(i["lat"], i["lng"], at["lat"], at["lng"], geo.RADIUS["match"]) <= 1000 else (i["id"], "review")
+            target = next(p for p in places if p["id"] == known)
+            kind = "explicit" if geo.metres(i["lat"], i["lng"], target["lat"], target["lng"], geo.RADIUS["match"]) <= 1000 else "review"
         else:
             best = None
             for p in places:
-                m, tri, score, kind = plain_score(i, p) if i["id"] < p["id"] else plain_score(p, i)
-                if m <= 350 and (i["domain"] == p["domain"] or tri >= 0.3) and (best is None or score > best[0]):
-                    best = (score, kind, p["id"])
-            if best and best[1] != "distinct":
-                place, band = (best[2], "high") if best[1] == "high" else (i["id"], "review")
-        if place == i["id"]:
-            places.append(i)
-        for c in [(i["source"], i["external_id"]), *claims]:
-            registry.setdefault(c, place)
-        out[i["id"]] = (place, band)
-    return out
-
-
-def test_resolution_against_a_plain_one(spark):
-    rng = random.Random(3)
-    names = ["Storkyrkan", "Storkyrka", "Café Söder", "Cafe Soder", "Gamla Torget", "Slottet", "Slott", "Espresso House"]
+                m, tri, score, found = plain_score(i, p)
+                if m <= 350 and ((i["type"] and i["domain"] == p["domain"]) or tri >= 0.3) and (best is None or half_up(score) > best[0]):
+                    best = (half_up(score), found, p)
+            if best:
+                kind, target = best[1], best[2]
+        if kind in ("explicit", "high"):
+            away = geo.metres(i["lat"], i["lng"], target["lat"], target["lng"], geo.RADIUS["match"])
+            far, other = (round(away) if away > 150 else None), None
+            target["names"] += [n for n in i["names"] if n not in target["names"]]
+
+            def weight(source, tier):
+                return 3 if tier == 0 else 2 if source == "osm" else 1
+
+            if weight(i["source"], i["tier"]) > weight(target["by"]["name"], i["tier"] if target["by"]["name"] == i["source"] else None):
+                target["name"], target["by"]["name"] = i["names"][0], i["source"]
+            if order["geometry"].get(i["source"], 0) > order["geometry"].get(target["by"]["geometry"], 0):
+                target["lat"], target["lng"], target["by"]["geometry"] = i["lat"], i["lng"], i["source"]
+            if i["type"]:
+                better = target["type"] is None or order["type"].get(i["source"], 0) > order["type"].get(target["by"]["type"], 0)
+                if target["type"] not in (None, i["type"]):
+                    other = target["type"] if better else i["type"]
+                if better:
+                    target["type"], target["domain"], target["by"]["type"] = i["type"], i["domain"], i["source"]
+        else:
+            far = other = None
+            target = i | {"names": list(i["names"]), "name": i["names"][0], "by": dict.fromkeys(("name", "geometry", "type"), i["source"])}
+            places.append(target)
+        registry[i["source"], i["external_id"]] = target["id"]
+        for c in claims:
+            registry.setdefault(c, target["id"])
+        out[i["id"]] = (target["id"], kind, far, other)
+    return out, {p["id"]: p for p in places}
+
+
+ITEM = "id long, source string, external_id string, refs map<string,string>, names array<string>, lat double, lng double, type string, domain string, tier int, facets array<string>"
+
+
+def item_frame(spark, items):
+    return spark.createDataFrame([tuple(x.get(c.split()[0]) for c in ITEM.split(", ")) for x in items], ITEM)
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_resolution_against_a_plain_one(spark, seed):
+    rng = random.Random(seed)
+    names = ["Storkyrkan", "Storkyrka", "Café Söder", "Cafe Soder", "Gamla Torget", "Slottet", "Slott", "Espresso House", "Sankt Nikolai kyrka", "Nikolaikyrkan", "Straße", "Strasse"]
     kinds = [("church", "religious_sacred"), ("chapel", "religious_sacred"), ("cafe", "food_drink"), ("square", "architecture_urban"), ("castle", "historic_heritage"), (None, None)]
     items = []
-    for i in range(120):
+    for i in range(160):
         t, d = rng.choice(kinds)
         refs = {"wikidata": f"Q{rng.randrange(8)}"} if rng.random() < 0.2 else {}
-        source = rng.choice(["osm", "wikidata", "merimee"])
-        items.append({"id": i, "source": source, "external_id": f"Q{rng.randrange(12)}x{i}" if source != "wikidata" else f"Q{i % 20}", "refs": refs, "names": rng.sample(names, rng.choice([1, 1, 2])), "lat": 59.32 + rng.random() * 0.012, "lng": 18.07 + rng.random() * 0.02, "type": t, "domain": d, "tier": rng.randrange(3)})
-    schema = "id long, source string, external_id string, refs map<string,string>, names array<string>, lat double, lng double, type string, domain string, tier int"
-    d = spark.createDataFrame([tuple(x[c.split()[0]] for c in schema.split(", ")) for x in items], schema)
-    got = {r.id: (r.place_id, r.band) for r in resolve.resolved(d).collect()}
-    want = plain_resolution(items)
+        if rng.random() < 0.2:
+            n = rng.randrange(6)
+            refs["wikipedia"] = rng.choice([f"sv:Place {n}", f"https://sv.wikipedia.org/wiki/Place%20{n}"])
+        source = rng.choice(["osm", "wikidata", "merimee", "overture"])
+        items.append({"id": i, "source": source, "external_id": f"x{i}" if source != "wikidata" else f"Q{i % 20 if i % 20 in range(8) else i}", "refs": refs, "names": rng.sample(names, rng.choice([1, 1, 2])), "lat": 59.32 + rng.random() * 0.012, "lng": 18.07 + rng.random() * 0.02, "type": t, "domain": d, "tier": rng.randrange(3), "facets": rng.sample(["a", "b", "c"], 2)})
+    d = item_frame(spark, items)
+    decided = resolve.resolved(d).cache()
+    got = {r.id: (r.place_id, r.band, r.geometry_conflict_m, r.type_conflict) for r in decided.collect()}
+    want, stand = plain_resolution(items)
     assert got == want
-    assert {"explicit", "high", "review", "distinct"} == {b for _, b in want.values()}
+    assert {"explicit", "high", "review", "distinct"} == {b for _, b, _, _ in want.values()}
+    assert any(f for _, _, f, _ in want.values()) and any(o for _, _, _, o in want.values())
     assert resolve.resolved(d.limit(0)).count() == 0
+    left = {r.place_id: r for r in resolve.survivors(d.join(decided.select("id", "place_id"), "id")).collect()}
+    assert {p: (r.name, set(r.alt_names) | {r.name}, r.lat, r.lng, r.type, r.domain) for p, r in left.items()} == {p: (x["name"], set(x["names"]), x["lat"], x["lng"], x["type"], x["domain"]) for p, x in stand.items()}
+
+
+def test_resolution_knows_places_as_they_stand(spark):
+    here = {"lat": 59.3258, "lng": 18.0706, "type": "church", "domain": "religious_sacred", "tier": 2}
+    church = ("Storkyrkan", "Sankt Nikolai kyrka")
+
+    cases = {  # each far from the others
+        "own id": ([{"names": [church[0]], "refs": {"wikidata": "Q1"}}, {"source": "wikidata", "external_id": "Q1", "names": [church[1]]}], [(0, "distinct"), (0, "explicit")]),
+        "names": ([{"names": [church[0]]}, {"names": list(church), "source": "overture"}, {"names": [church[1]], "source": "wikidata", "external_id": "Q7"}], [(0, "distinct"), (0, "high"), (0, "high")]),
+        "article": ([{"names": ["A"], "refs": {"wikipedia": "sv:Stor kyrkan"}}, {"names": ["Zzz"], "refs": {"wikipedia": "https://sv.wikipedia.org/wiki/Stor%20kyrkan"}, "source": "wikidata", "external_id": "Q9"}], [(0, "distinct"), (0, "explicit")]),
+        "odd": ([{"names": None, "lat": None}, {"names": None, "type": None, "domain": None}, {"names": ["A"], "external_id": None, "refs": None}], [(0, "distinct"), (1, "distinct"), (2, "distinct")]),
+    }
+    items = [here | {"id": 10 * c + k, "source": "osm", "external_id": f"e{c}{k}", "refs": {}, "lat": here["lat"] + c} | r for c, (rows, _) in enumerate(cases.values()) for k, r in enumerate(rows)]
+    got = {r.id: (r.place_id, r.band) for r in resolve.resolved(item_frame(spark, items)).collect()}
+    assert got == {10 * c + k: (10 * c + p, band) for c, (_, want) in enumerate(cases.values()) for k, (p, band) in enumerate(want)}
+
+
+def test_crowded_squares_are_parted(spark, monkeypatch):
+    rng = random.Random(1)
+    pts = [(i, 59.33 + rng.gauss(0, 0.002), 18.07 + rng.gauss(0, 0.004)) for i in range(300)] + [(300 + i, 0.001 * (i - 20), 0.0015 * (i % 9) - 0.005) for i in range(60)] + [(400, None, 1.0)]
+    d = spark.createDataFrame(pts, "id long, lat double, lng double")
+    want = {(a[0], b[0]) for a in pts[:-1] for b in pts[:-1] if a[0] < b[0] and geo.metres(a[1], a[2], b[1], b[2], geo.RADIUS["match"]) <= 350}
+    for most in (10, 10_000):
+        monkeypatch.setattr(resolve, "CROWDED", most)
+        got = [(r.a_id, r.b_id) for r in resolve.near_pairs(d, 350.0).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_plan_against_a_plain_one(spark):

@@ -206,8 +206,8 @@ def content_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 32)
 
 
-#: How an encyclopedia article is named: by its address or by a tag (fixed values).
-ARTICLE_URL, ARTICLE_TAG = r"(?i)^https?://([a-z\-]+)\.wikipedia\.org/wiki/(.+)$", r"(?i)^([a-z\-]+):(.+)$"
+#: How an encyclopedia article is named, by its address or by a tag (fixed values).
+ARTICLE_URL, ARTICLE_TAG = r"(?i)^https?://([a-z\-]+)\.(?:m\.)?wikipedia\.org/wiki/([^?#]+)", r"(?i)^(?!https?:)([a-z\-]+):(.+)$"
 
 
 def sitelink(x: Column) -> Column:
@@ -216,8 +216,8 @@ def sitelink(x: Column) -> Column:
     def key(pattern: str, title: Column) -> Column:
         return F.concat(F.lower(F.regexp_extract(x, pattern, 1)), F.lit(":"), F.replace(F.trim(title), F.lit(" "), F.lit("_")))
 
-    address = F.replace(F.regexp_extract(x, ARTICLE_URL, 2), F.lit("+"), F.lit("%2B"))  # a plus sign is no blank here
-    title = F.coalesce(F.try_url_decode(address), F.regexp_extract(x, ARTICLE_URL, 2))
+    address = F.regexp_extract(x, ARTICLE_URL, 2)
+    title = F.coalesce(F.try_url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), address)  # a plus sign is no blank here
     return F.when(x.rlike(ARTICLE_URL), key(ARTICLE_URL, title)).when(x.rlike(ARTICLE_TAG), key(ARTICLE_TAG, F.regexp_extract(x, ARTICLE_TAG, 2)))
 
 

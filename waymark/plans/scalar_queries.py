@@ -194,15 +194,39 @@ def e09(s, d):
     return resolve.best_match(l).select("a_id", "b_id", "score")
 
 
+_SOURCES = ("merimee", "osm", "overture", "wikidata")
+
+
+def _members(s, d):
+    """Items of 200 places, of four sources and three tiers, some without a type."""
+    k = F.col("place_id")
+    source = F.element_at(F.array(*[F.lit(x) for x in _SOURCES]), (F.floor(k / 200) % 4 + 1).cast("int"))
+    return places(s, d).select(
+        (k % 200).alias("place_id"), k.alias("id"), source.alias("source"), k.cast("string").alias("external_id"), (k % 3).cast("int").alias("tier"), F.array("name").alias("names"), "lat", "lng",
+        F.when(k % 5 != 0, F.col("type")).alias("type"), F.when(k % 5 != 0, F.col("type_domain")).alias("domain"), "facets",
+    )
+
+
 def e10(s, d):
-    p = places(s, d).select((F.col("place_id") % 200).alias("place_id"), F.col("place_id").alias("id"), "source", F.when(F.col("place_id") % 3 != 0, F.col("name")).alias("name"), "lat", "lng", "type", "facets")
-    pri = {f"Brand#{i}": i for i in range(0)}
-    return resolve.survivors(p, pri).select("place_id", F.coalesce("name", F.lit("-")).alias("name"), F.round("lat", 6).alias("lat"), "type", F.array_join("facets", ",").alias("facets"), "type_conflict", F.size("alt_names").cast("long").alias("alt"))
+    out = resolve.survivors(_members(s, d))
+    return out.select("place_id", "name", F.round("lat", 6).alias("lat"), F.coalesce("type", F.lit("-")).alias("type"), F.array_join("facets", ",").alias("facets"), "type_conflict", F.size("alt_names").cast("long").alias("alt"))
+
+
+_IN_ORDER = "ORDER BY tier, source, external_id, id"
+_E10 = f"""WITH {PLACES}, m AS (SELECT place_id % 200 AS g, place_id AS id, {list(_SOURCES)!r}[place_id // 200 % 4 + 1] AS source, CAST(place_id AS VARCHAR) AS external_id, place_id % 3 AS tier, name, lat, CASE WHEN place_id % 5 <> 0 THEN type END AS type, facets FROM places),
+f AS (SELECT g, string_agg(DISTINCT x, ',' ORDER BY x) AS facets FROM (SELECT g, unnest(facets) AS x FROM m) GROUP BY 1),
+l AS (SELECT g, max(source) FILTER (tier = 0) AS last FROM m GROUP BY 1),
+n AS (SELECT g, any_value(last) AS last, first(name {_IN_ORDER}) AS founder, first(source {_IN_ORDER}) AS founder_source, first(name {_IN_ORDER}) FILTER (tier = 0 AND source = last) AS official, first(name {_IN_ORDER}) FILTER (tier <> 0 AND source = 'osm') AS opened,
+  first(lat ORDER BY CASE source WHEN 'osm' THEN 0 WHEN 'overture' THEN 1 WHEN 'wikidata' THEN 2 ELSE 3 END, tier, source, external_id, id) AS lat,
+  first(type ORDER BY CASE source WHEN 'overture' THEN 0 WHEN 'osm' THEN 1 WHEN 'wikidata' THEN 2 ELSE 3 END, tier, source, external_id, id) FILTER (type IS NOT NULL) AS type, count(DISTINCT type) > 1 AS type_conflict, count(DISTINCT name) - 1 AS alt FROM m JOIN l USING (g) GROUP BY 1)
+SELECT g AS place_id, CASE WHEN opened IS NOT NULL AND coalesce(last, founder_source) <> 'osm' THEN opened ELSE coalesce(official, founder) END AS name, round(lat, 6) AS lat, coalesce(type, '-') AS type, facets, type_conflict, alt FROM n JOIN f USING (g)"""
 
 
 def e11(s, d):
-    ref = F.create_map(F.lit("wikidata"), F.when(F.col("id") % 7 == 0, F.concat(F.lit("Q"), (F.col("id") / 14).cast("long").cast("string"))))
-    items = _items(s, d).withColumns({"external_id": F.col("id").cast("string"), "refs": ref, "tier": (F.col("id") % 3).cast("int")})
+    k = F.col("id")
+    source = F.element_at(F.array(*[F.lit(x) for x in _SOURCES]), (k % 4 + 1).cast("int"))
+    ref = F.create_map(F.lit("wikidata"), F.when(k % 7 == 0, F.concat(F.lit("Q"), F.floor(k / 14).cast("string"))), F.lit("wikipedia"), F.when(k % 11 == 0, F.concat(F.lit("sv:Place "), F.floor(k / 22).cast("string"))))
+    items = _items(s, d).withColumn("source", source).withColumns({"external_id": F.when(F.col("source") == "wikidata", F.concat(F.lit("Q"), k.cast("string"))).otherwise(k.cast("string")), "refs": ref, "tier": (k % 3).cast("int")})
     return resolve.resolved(items)
 
 
@@ -418,8 +442,7 @@ t AS (SELECT *, CASE WHEN da IN ('historic_heritage', 'museum_gallery') THEN CAS
 u AS (SELECT *, (0.45 * sim + 0.25 * round(greatest(0.0, 1 - least(1.0, m / radius)), 4) + 0.15 * compat) / 0.85 AS s FROM t)
 SELECT a_id, b_id, round(sim, 3) AS name_sim, round(round(s, 4), 3) AS score, CASE WHEN s >= 0.82 THEN 'high' WHEN s >= 0.6 THEN 'review' ELSE 'distinct' END AS band FROM u"""),
     ("e09_best_match", e09, "SELECT l_partkey AS a_id, l_suppkey AS b_id, l_discount AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC, l_suppkey) AS n FROM lineitem) WHERE n = 1"),
-    ("e10_survivors", e10, f"""WITH {PLACES}, m AS (SELECT place_id % 200 AS g, place_id AS id, CASE WHEN place_id % 3 <> 0 THEN name END AS name, lat, type, facets FROM places), f AS (SELECT g, string_agg(DISTINCT x, ',' ORDER BY x) AS facets FROM (SELECT g, unnest(facets) AS x FROM m) GROUP BY 1)
-SELECT g AS place_id, coalesce(first(name ORDER BY id) FILTER (name IS NOT NULL), '-') AS name, round(first(lat ORDER BY id), 6) AS lat, first(type ORDER BY id) AS type, any_value(f.facets) AS facets, count(DISTINCT type) > 1 AS type_conflict, greatest(count(DISTINCT name) - 1, 0) AS alt FROM m JOIN f USING (g) GROUP BY 1"""),
+    ("e10_survivors", e10, _E10),
     ("e11_sequential", e11, None),
     ("a27_confusion", a27, """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn FROM labels)
 SELECT tp, fp, fn, tn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1 FROM c"""),

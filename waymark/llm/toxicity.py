@@ -14,9 +14,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +24,8 @@ from .textvec import ALNUM, BYTE_VALUE_LOWER, NONSPACE, chunks, hash_ranges, mix
 
 #: Labelled ids that are fitted on, first by a hash.
 MAX_TRAIN = 16_000
+#: Bytes of texts whose features are made together; a byte takes about 150 bytes of memory.
+CHUNK = 1 << 18
 #: A word is in the lexicon if it is in MIN_DOCS toxic texts of the part and its share among toxic texts exceeds that
 #: among others by MIN_Z standard errors and RATIO times.
 MIN_DOCS, MIN_Z, RATIO = 4, 5.0, 8.0
@@ -152,7 +151,7 @@ def _with_features(docs: DataFrame, lexicon: Lexicon, keep: str, kinds: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in chunks(b.column(len(names))):
+            for i, j, data, offs in chunks(b.column(len(names)), CHUNK):
                 x = text_features(data, offs, shared.value)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(k)[i:j] for k in range(len(names))], flat], [*names, "x"])
@@ -166,7 +165,7 @@ def learned_lexicon(texts: DataFrame) -> Lexicon:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label = b.column(1).to_numpy(zero_copy_only=False)
-            for i, j, data, offs in chunks(b.column(0)):
+            for i, j, data, offs in chunks(b.column(0), CHUNK):
                 s, e, h, row = _words(data, offs)
                 long, stem = _stems(data, s, e)
                 for kind, values, of in ((0, h, row), (1, stem, row[long])):
@@ -206,8 +205,8 @@ class Trees:
         return 1 / (1 + np.exp(-2 * margin))
 
 
-def _exported(model: GBTClassificationModel) -> Trees:
-    """The fitted trees, so that texts are scored where their features are made."""
+def _exported(model) -> Trees:
+    """The trees of a fitted GBTClassificationModel, so that texts are scored where their features are made."""
     depth, weights = max([1, *(t.depth for t in model.trees)]), model.treeWeights
     shape = (len(weights), (2 << depth) - 1)
     out = Trees(np.full(shape, -1, np.int64), np.zeros(shape), np.zeros(shape), depth)
@@ -251,7 +250,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in chunks(b.column(2)):
+            for i, j, data, offs in chunks(b.column(2), CHUNK):
                 sig = _signatures(*shingle_sets(data, offs, 5))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], b.column(2)[i:j], pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "label", "text", "sig"])
 
@@ -273,6 +272,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the smallest hash counts. Where a part has one label only, what needs it is left out: without trees every score is the
     share of toxic labels (0.5 without labels), without calibration it is the trees' own probability.
     """
+    from pyspark.ml.classification import GBTClassifier  # on the driver only, so workers do not load them
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     sample = written(_sample(docs, labels, id_col, text_col, label_col, max_train), "parts")
     kinds = {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}  # six rows
     total, toxic = sum(kinds.values()), sum(n for (_, label), n in kinds.items() if label)
@@ -280,8 +283,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     both = lambda part: kinds.get((part, 0), 0) and kinds.get((part, 1), 0)
     if not both(1):
         return model
-    rows = _with_features(sample, model.lexicon, "part,label", "part int, label int").select("part", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
-    rows = written(rows.withColumn("x", vector_to_array("features")).drop("features").coalesce(4), "features").withColumn("features", array_to_vector("x"))  # a row a text of the sample
+    rows = _with_features(sample, model.lexicon, "part,label", "part int, label int").select("part", F.col("label").cast("double").alias("label"), "x")
+    rows = written(rows.coalesce(4), "features").withColumn("features", array_to_vector("x"))  # a row a text of the sample
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=64, minInstancesPerNode=2, seed=7).fit(rows.where("part = 1"))
     model.trees = _exported(fitted)
     if both(2):
@@ -301,7 +304,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in chunks(b.column(1)):
+            for i, j, data, offs in chunks(b.column(1), CHUNK):
                 p, score = shared.value.scores(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(p), pa.array(score)], ["id", "p", "score"])
 

@@ -407,3 +407,22 @@ def test_plan_against_a_plain_one(spark):
             p = r["place_id"]
             want[sid, p] = ("served", None, final.index(p) + 1) if p in final else ("closed" if p in shut else "near_miss", None, None)
     assert got == want
+
+
+def test_selection_is_the_same_without_pruning(spark, monkeypatch):
+    rng = random.Random(11)
+    terms = list(rank.WEIGHTS["warm"]["radius"])
+    rows = []
+    for p in range(900):
+        near = round(0.5 + rng.random() * 0.02, 5) if rng.random() < 0.5 else rng.random()
+        rows.append((p % 3, p, p, rng.choice("ab"), rng.choice([["x"], ["x", "y"], []]), rng.choice([30.0, 90.0, 200.0]), rng.choice([0.2, 0.9]), rng.choice([True, False, None]), 0.0, *([near] * len(terms))))
+    d = spark.createDataFrame(rows, "session_id long, place_id long, ordinal long, type_domain string, facets array<string>, total_minutes double, alpha double, is_open boolean, friction_raw double, " + ", ".join(f"{t} double" for t in terms))
+    for k, rounds in ((4, 1), (3, 2)):
+        run = lambda: sorted(map(tuple, rank.select_verified(d, k, rounds=rounds).collect()), key=repr)  # noqa: B023, E731
+        few = run()
+        with monkeypatch.context() as m:
+            kept = []
+            m.setattr(rank, "_inert_out", lambda rows, *_: kept.append(1) or rows)
+            assert run() == few and kept
+    one_class = spark.range(5000).select(F.lit(0).alias("session_id"), F.col("id").alias("place_id"), F.col("id").alias("ordinal"), F.lit("a").alias("type_domain"), F.array().cast("array<string>").alias("facets"), F.lit(30.0).alias("total_minutes"), F.lit(0.9).alias("alpha"), F.rand(1).alias("whole"))
+    assert rank._inert_out(one_class, "session_id", 3).count() < 60

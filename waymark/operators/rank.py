@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import travel_minutes
 from ..functions.num import clamp, decay, half_away, ramp, renormalised
 from ..functions.time import in_quiet_hours
+from .folds import accepted
 
 #: The scoring model (fixed values).
 WEIGHTS = {
@@ -126,52 +127,112 @@ def hold_reason(tiers: Column, conf: Column) -> Column:
     )
 
 
-def select_diverse(candidates: DataFrame, k: int, context: str = "radius", session: str = "session_id") -> DataFrame:
-    """The greedy diverse top k of each session, with position and composite.
+#: Shares into which a class of candidates is dealt for a first pruning, so no task gets a whole hot class.
+DEALT = 32
+
+
+def _bucket(minutes: Column) -> Column:
+    return F.when(minutes <= BUCKETS[0], "short").when(minutes <= BUCKETS[1], "medium").otherwise("long")
+
+
+def _inert_out(rows: DataFrame, session: str, need: int) -> DataFrame:
+    """rows without those that the greedy selection can neither pick nor be swayed by.
 
-    candidates(session, place_id, ordinal, type_domain, facets, total_minutes, friction_raw, alpha, and a column per
-    sub-score). Each pick is penalised for domains picked before; while cold, candidates of facets already probed are
-    passed over unless nothing else is left; a fresh duration bucket gains .001 among near equals. Input order (ordinal)
-    breaks ties. A session's candidates are a bounded feed, folded as one group.
+    Candidates of one class (domain, set of facets, duration bucket, warm or cold) are treated alike at every step. One that
+    `need` others of its class precede in the input order, each better by more than what a fresh bucket and rounding can
+    make up, is always beaten by one of them that was looked at before. A class keeps about need * (1 + ln(n / need))
+    of its n candidates in no particular order. Each class is read as a stream with the best `need` values as its state,
+    first in DEALT shares by themselves, then what is left as a whole.
+    """
+    by = [session, "type_domain", "_set", "_bucket", "_cold"]
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, bool]:
+        best, whole = state or (), row[0]
+        if len(best) == need and best[0] > whole + FRESH_BUCKET + 2e-4:
+            return best, False
+        kept = sorted((*best, whole))
+        return tuple(kept[-need:]), True
+
+    classed = rows.withColumns({"_set": F.array_join(F.array_distinct("facets"), "\x1f"), "_bucket": _bucket(F.col("total_minutes")), "_cold": F.col("alpha") < COLD_ALPHA})
+    classed = classed.withColumn("_share", F.pmod(F.xxhash64("ordinal", "place_id"), F.lit(DEALT)))
+    few = accepted(classed, [*by, "_share"], ("ordinal",), ("whole",), step)
+    return accepted(few, by, ("ordinal",), ("whole",), step).drop("_set", "_bucket", "_cold", "_share")
+
+
+FRESH_BUCKET = 0.001
+
+
+def _greedy(left: list, k: int) -> list[tuple]:
+    """(candidate, composite) of the picks from candidates in input order."""
+    left, out = list(left), []
+    domains: dict[str, int] = {}
+    facets: set[str] = set()
+    buckets: set[str] = set()
+    while left and len(out) < k:
+        best = None
+        for probing in (True, False):
+            for c in left:
+                own = set(c.facets) if c.facets is not None else set()
+                if probing and c.alpha < COLD_ALPHA and len(left) >= 2 and facets and own and own <= facets:
+                    continue
+                repeat = min(1.0, REPETITION_STEP * domains.get(c.type_domain, 0))
+                whole = half_away(c.whole - PENALTY["repetition"] * repeat, 4)
+                bucket = "short" if c.total_minutes <= BUCKETS[0] else "medium" if c.total_minutes <= BUCKETS[1] else "long"
+                score = whole
+                if best is not None and bucket not in buckets and best[2] in buckets and abs(score - best[0]) < 0.02:
+                    score += FRESH_BUCKET
+                if best is None or score > best[0]:
+                    best = (score, whole, bucket, c)
+            if best is not None:
+                break
+        if best is None:
+            break
+        _, whole, bucket, c = best
+        left.remove(c)
+        domains[c.type_domain] = domains.get(c.type_domain, 0) + 1
+        facets |= set(c.facets) if c.facets is not None else set()
+        buckets.add(bucket)
+        out.append((c, whole))
+    return out
+
+
+def select_verified(candidates: DataFrame, k: int, context: str = "radius", session: str = "session_id", rounds: int = 1) -> DataFrame:
+    """(session, place_id, position, composite, shut): the greedy diverse top k of each session.
+
+    candidates(session, place_id, ordinal, type_domain, facets, total_minutes, friction_raw, alpha, a column per sub-score,
+    and is_open where rounds > 1). Each pick is penalised for domains picked before; while cold, candidates of facets already
+    probed are passed over unless nothing else is left; a fresh duration bucket gains .001 among near equals. Input order
+    (ordinal) breaks ties. Of `rounds` rounds each drops the picks of the one before that are known to be shut; picks of
+    the last that are shut, and all dropped ones, come back as shut rows without a position. All rounds are one fold, over what
+    is left of each session when the candidates that cannot matter are gone (_inert_out).
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal", kind="stable")
-        left, out = list(pdf.itertuples(index=False)), []
-        domains: dict[str, int] = {}
-        facets: set[str] = set()
-        buckets: set[str] = set()
-        while left and len(out) < k:
-            best = None
-            for probing in (True, False):
-                for c in left:
-                    own = set(c.facets) if c.facets is not None else set()
-                    if probing and c.alpha < COLD_ALPHA and len(left) >= 2 and facets and own and own <= facets:
-                        continue
-                    repeat = min(1.0, REPETITION_STEP * domains.get(c.type_domain, 0))
-                    whole = half_away(c.whole - PENALTY["repetition"] * repeat, 4)
-                    bucket = "short" if c.total_minutes <= BUCKETS[0] else "medium" if c.total_minutes <= BUCKETS[1] else "long"
-                    score = whole
-                    if best is not None and bucket not in buckets and best[2] in buckets and abs(score - best[0]) < 0.02:
-                        score += 0.001
-                    if best is None or score > best[0]:
-                        best = (score, whole, bucket, c)
-                if best is not None:
-                    break
-            if best is None:
+        left, shut, out = list(pdf.itertuples(index=False)), [], []
+        for _ in range(rounds):
+            out = _greedy(left, k)
+            closed = {id(c) for c, _ in out if c.is_open is False or c.is_open == 0} if rounds > 1 else set()
+            shut += [c for c, _ in out if id(c) in closed]
+            left = [c for c in left if id(c) not in closed]
+            out = [x for x in out if id(x[0]) not in closed] if closed else out
+            if not closed:
                 break
-            _, whole, bucket, c = best
-            left.remove(c)
-            domains[c.type_domain] = domains.get(c.type_domain, 0) + 1
-            facets |= set(c.facets) if c.facets is not None else set()
-            buckets.add(bucket)
-            out.append((getattr(c, session), c.place_id, len(out) + 1, whole))
-        return pd.DataFrame(out, columns=[session, "place_id", "position", "composite"])
+        key = pdf[session].iloc[0]
+        served = [(key, c.place_id, i + 1, whole, False) for i, (c, whole) in enumerate(out)]
+        return pd.DataFrame(served + [(key, c.place_id, None, None, True) for c in shut], columns=[session, "place_id", "position", "composite", "shut"]).astype({"position": "Int64", "composite": "Float64"})
 
     kinds = dict(candidates.dtypes)
     whole = blended({t: F.col(t) for t in WEIGHTS["warm"][context]}, context, F.col("alpha")) - PENALTY["friction"] * F.col("friction_raw")
-    some = candidates.select(session, "place_id", "ordinal", "type_domain", F.sort_array("facets").alias("facets"), "total_minutes", "alpha", whole.alias("whole"))
-    return some.groupBy(session).applyInPandas(pick, f"{session} {kinds[session]}, place_id {kinds['place_id']}, position long, composite double")
+    known = F.col("is_open") if rounds > 1 else F.lit(None).cast("boolean")
+    some = candidates.select(session, "place_id", "ordinal", "type_domain", F.sort_array("facets").alias("facets"), "total_minutes", "alpha", whole.alias("whole"), known.alias("is_open"))
+    few = _inert_out(some, session, k * rounds)
+    return few.groupBy(session).applyInPandas(pick, f"{session} {kinds[session]}, place_id {kinds['place_id']}, position long, composite double, shut boolean")
+
+
+def select_diverse(candidates: DataFrame, k: int, context: str = "radius", session: str = "session_id") -> DataFrame:
+    """select_verified of one round: (session, place_id, position, composite)."""
+    return select_verified(candidates, k, context, session).select(session, "place_id", "position", "composite")
 
 
 def rank_all(candidates: DataFrame, session: str = "session_id") -> DataFrame:

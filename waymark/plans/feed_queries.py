@@ -25,10 +25,13 @@ def _candidates(s, d):
     return c.withColumn("ordinal", F.explode(F.when(k % 5 == 0, F.array(k, k + 100_000)).otherwise(F.array(k))))
 
 
-def _plan(s, d):
+def _gates(s, d):
     excluded = places(s, d).where("size = 7").select((F.col("place_id") % 25).alias("session_id"), "place_id")
-    homes = s.createDataFrame([(0, 59.33, 18.06)], "user_id long, lat double, lng double")
-    return feed.plan(_candidates(s, d), F.lit(_AT).cast("timestamp_ntz"), "bike", excluded=excluded, homes=homes)
+    return {"excluded": excluded, "homes": s.createDataFrame([(0, 59.33, 18.06)], "user_id long, lat double, lng double")}
+
+
+def _plan(s, d):
+    return feed.plan(_candidates(s, d), F.lit(_AT).cast("timestamp_ntz"), "bike", **_gates(s, d))
 
 
 def r01(s, d):
@@ -36,7 +39,7 @@ def r01(s, d):
 
 
 def r01_gates(s, d):
-    return _plan(s, d).where("status IN ('held', 'unreachable')").select("session_id", "place_id", "status", F.coalesce("reason", F.lit("-")).alias("reason"))
+    return feed.gated(_candidates(s, d), "bike", **_gates(s, d)).where("status IS NOT NULL").select("session_id", "place_id", "status", F.coalesce("reason", F.lit("-")).alias("reason"))
 
 
 def p04(s, d):

@@ -1,11 +1,11 @@
-"""Curation: candidate packs, claim checks, evidence, grounding, publishing, sweeps."""
+"""Curation: candidate packs, claim checks, evidence, grounding, publishing, sweeps."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_markup, is_perishable, plain_text, trim_perishable, word_similarity, word_trigrams
+from ..functions.text import has_markup, is_perishable, plain_text, word_trigrams
 from .tables import interleaved
 
 GROUNDING, EXCERPT = 0.4, 600
@@ -77,26 +77,6 @@ def sanitised(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(has_markup(F.col(text))).withColumn(text, plain_text(F.col(text)))
 
 
-def trimmed(rows: DataFrame, text: str) -> DataFrame:
-    """Rows with perishable sentences, without these."""
-    return rows.where(is_perishable(F.col(text))).withColumn(text, trim_perishable(F.col(text)))
-
-
-def typeahead(places: DataFrame, gazetteer: DataFrame, query: str, limit: int = 8, reserved: int = 3) -> DataFrame:
-    """Names that start with the query, then similar ones; of equal names (any case) the first list's; `reserved` slots for the gazetteer."""
-
-    def ranked(df: DataFrame, source: str) -> DataFrame:
-        prefix = F.lower("name").startswith(query.lower())
-        out = df.select("name", F.lit(source).alias("source"), prefix.alias("starts"), F.round(word_similarity(F.lit(query), F.col("name")), 4).alias("similarity")).where(prefix | (F.col("similarity") >= 0.3))
-        return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("starts"), F.desc("similarity"), "name"))).where(F.col("rank") <= limit)
-
-    both = ranked(places, "places").unionByName(ranked(gazetteer, "gazetteer"))
-    once = both.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(F.desc("source"), "rank"))).where("_n = 1")
-    w = Window.partitionBy("source").orderBy("rank")
-    once = once.withColumn("slot", F.row_number().over(w)).withColumn("late", (F.col("source") == "places") & (F.col("slot") > limit - reserved))
-    return once.withColumn("position", F.row_number().over(Window.orderBy("late", F.desc("source"), "slot"))).where(F.col("position") <= limit).select("name", "source", "position")
-
-
 #: Names (under 100 bytes each) that may be sent to every executor.
 BROADCAST_NAMES = 20_000
 

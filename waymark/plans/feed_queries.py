@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import feed, lists, reads, resolve, tables, tiles
+from ..operators import feed, lists, reads, resolve, tables, tiles, typeahead
 from ..sources import readers
 from .base import PLACES, axial_sql, cell_sql, hav, places, table
 from .scalar_queries import _SCORES, _ring, _scored
@@ -42,6 +42,27 @@ def r01_gates(s, d):
     return feed.gated(_candidates(s, d), "bike", **_gates(s, d)).where("status IS NOT NULL").select("session_id", "place_id", "status", F.coalesce("reason", F.lit("-")).alias("reason"))
 
 
+def u02(s, d):
+    """Nations, segments and beginnings and words of part names, asked of parts and then of nations."""
+    part, nation = table(s, d, "part"), table(s, d, "nation")
+    index = typeahead.name_index({"parts": part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "nations": nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))})
+    asked = [nation.select(F.col("n_name").alias("q")), nation.select(F.substring("n_name", 1, 2).alias("q")), table(s, d, "customer").select(F.col("c_mktsegment").alias("q")), part.select(F.substring("p_name", 1, 5).alias("q")), part.select(F.element_at(F.split("p_name", " "), -1).alias("q"))]
+    every = asked[0]
+    for q in asked[1:]:
+        every = every.unionByName(q)
+    return typeahead.suggestions(index, every.distinct()).select("q", F.col("position").cast("long").alias("position"), F.col("list").cast("long").alias("list"), "name")
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3)))))"
+_U02 = f"""WITH asked AS (SELECT q, {_GRAMS.format('q')} AS g FROM (SELECT n_name AS q FROM nation UNION SELECT left(n_name, 2) FROM nation UNION SELECT c_mktsegment FROM customer UNION SELECT left(p_name, 5) FROM part UNION SELECT string_split(p_name, ' ')[-1] FROM part)),
+names AS (SELECT 0 AS list, CAST(p_partkey AS VARCHAR) AS id, p_name AS name, {_GRAMS.format('p_name')} AS g FROM part UNION ALL SELECT 1, CAST(n_nationkey AS VARCHAR), n_name, {_GRAMS.format('n_name')} FROM nation),
+met AS (SELECT q, list, id, name, starts_with(lower(name), lower(q)) AS starts, round(len(list_intersect(a.g, n.g)) / (len(a.g) + len(n.g) - len(list_intersect(a.g, n.g))), 4) AS sim FROM asked a, names n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q, list ORDER BY starts DESC, sim DESC, name, id) AS n FROM met WHERE starts OR sim >= 0.3 QUALIFY n <= 8),
+placed AS (SELECT * FROM (SELECT *, least(3, count(*) FILTER (list = 1) OVER (PARTITION BY q)) AS free FROM ranked) WHERE list = 1 OR n <= 8 - free),
+once AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY q, lower(name) ORDER BY list, n) = 1)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY list, n) AS position, CAST(list AS BIGINT) AS list, name FROM once QUALIFY position <= 8"""
+
+
 def p04(s, d):
     e = table(s, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     now = F.lit("2024-01-20 23:30:00").cast("timestamp")
@@ -179,6 +200,7 @@ mid AS (SELECT place_id, lat, lng, (cr * (875.0 * sqrt(3) / 2)) / 111194.93 AS m
 ENTRIES = [
     ("r01_plan", r01, None),
     ("r01_gates", r01_gates, _GATES),
+    ("u02_typeahead", u02, _U02),
     ("p04_named_ranges", p04, "SELECT range, count(*) AS n FROM events JOIN (VALUES ('today', TIMESTAMP '2024-01-20 23:00:00'), ('7d', TIMESTAMP '2024-01-14 23:00:00'), ('30d', TIMESTAMP '2023-12-22 23:00:00'), ('all', TIMESTAMP '1970-01-01')) r(range, since) ON ts >= since AND ts < TIMESTAMP '2024-01-21 23:00:00' GROUP BY 1"),
     ("p16_exclusions", p16, "SELECT o_custkey AS session_id, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1"),
     ("q03_lookup", q03, "SELECT c_custkey AS o_custkey, coalesce((SELECT max(struct_pack(d := o_orderdate, k := o_orderkey)).k FROM orders WHERE o_custkey = c_custkey), -1) AS latest FROM customer WHERE c_mktsegment = 'BUILDING'"),

@@ -60,6 +60,26 @@ b AS (SELECT *, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.0
 SELECT event_id, round(degrees(asin(sin(radians(lat)) * sin(dc) + cos(radians(lat)) * cos(dc) * cos(radians((h * 60 + eq + 4 * lng) / 4 - 180)))), 2) + 0.0 AS elevation FROM b"""
 
 
+def f08_light(s, d):
+    """Fixes moved over all latitudes, so that polar days and nights occur."""
+    lat = F.col("event_id") % 17 * 10 - 80.0
+    at = (lat + F.col("lat") - 59.0, F.col("lng"), F.col("ts") + F.make_dt_interval(days=(F.col("event_id") % 365).cast("int")))
+    left = lambda c: F.coalesce(c, F.lit(-1)).cast("long")
+    return fixes(s, d).select("event_id", F.round(time.sun_elevation(*at), 3).alias("elevation"), left(time.minutes_of_light_left(*at)).alias("light"), left(time.golden_minutes_left(*at)).alias("golden"))
+
+
+_SUN = """t0 AS (SELECT *, ((sec / 86400.0 + 2440587.5) - 2451545.0) / 36525.0 AS t FROM x),
+t1 AS (SELECT *, (280.46646 + t * (36000.76983 + t * 0.0003032)) % 360.0 AS ml, radians(357.52911 + t * (35999.05029 - 0.0001537 * t)) AS an, radians(125.04 - 1934.136 * t) AS nd FROM t0),
+t2 AS (SELECT *, radians(ml + sin(an) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * an) * (0.019993 - 0.000101 * t) + sin(3 * an) * 0.000289 - 0.00569 - 0.00478 * sin(nd)) AS al,
+  radians(23.0 + (26.0 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0 + 0.00256 * cos(nd)) AS ob, 0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS ec, radians(ml) AS m FROM t1),
+t3 AS (SELECT *, asin(sin(ob) * sin(al)) AS dc, pow(tan(ob / 2), 2) AS y FROM t2),
+t4 AS (SELECT *, 4 * degrees(y * sin(2 * m) - 2 * ec * sin(an) + 4 * ec * y * sin(an) * cos(2 * m) - 0.5 * y * y * sin(4 * m) - 1.25 * ec * ec * sin(2 * an)) AS eq FROM t3),
+el AS (SELECT event_id, k, 90 - degrees(acos(greatest(-1.0, least(1.0, sin(radians(la)) * sin(dc) + cos(radians(la)) * cos(dc) * cos(radians(((sec % 86400) / 60.0 + eq + 4 * ln) / 4 - 180)))))) AS e FROM t4)"""
+_F08_LIGHT = f"""WITH {FIXES}, x AS (SELECT event_id, event_id % 17 * 10 - 80.0 + lat - 59.0 AS la, lng AS ln, k, CAST(floor(epoch(ts)) AS BIGINT) + event_id % 365 * 86400 + k * 60 AS sec FROM fixes, range(0, 961) r(k)), {_SUN},
+g AS (SELECT event_id, max(e) FILTER (k = 0) AS now, max(e) FILTER (k = 10) AS soon, min(k) FILTER (k > 0 AND e <= -0.833) AS sunset, min(k) FILTER (k > 0 AND e <= -4.0) AS dusk FROM el GROUP BY 1)
+SELECT event_id, round(now, 3) AS elevation, CASE WHEN now > -0.833 THEN coalesce(sunset, -1) ELSE -1 END AS light, CASE WHEN now BETWEEN -4.0 AND 6.0 AND soon < now THEN coalesce(dusk, -1) ELSE -1 END AS golden FROM g"""
+
+
 #: Names in special letters, one composed of marks, and what they fold to.
 _SPECIAL = {"Straße": "strasse", "Ødegård": "odegard", "Łódź": "lodz", "Þingvellir": "thingvellir", "Œuvre": "oeuvre", "ÆRØ": "aero", "đak": "dak", "Ísafjörður": "isafjordur", "Diyarbakır": "diyarbakir", "ﬁn": "fin", "Cafe\u0301": "cafe", "Ŋaŋ": "nan"}
 
@@ -238,6 +258,7 @@ ENTRIES = [
     ("a16_extents", a16, f"WITH {FIXES} SELECT * FROM (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days, round(avg(lat), 3) AS lat, round(avg(lng), 3) AS lng, CAST(round({hav('min(lat)', 'min(lng)', 'max(lat)', 'max(lng)')}) AS BIGINT) AS span_m, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000, 3) AS hours FROM fixes GROUP BY 1) WHERE hours >= 24"),
     ("f02_half_away", f02, "SELECT p_partkey, round((p_partkey - 1000) / 8, 0) AS r0, round(CAST((p_partkey - 1000) / 8 AS DECIMAL(18, 6)), 2)::DOUBLE AS r2 FROM part"),
     ("f08_solar_elevation", f08, _F08),
+    ("f08_light", f08_light, _F08_LIGHT),
     ("f11_fold", f11, f"SELECT doc_id, concat_ws(' ', replace(lower(strip_accents(text)), 'ß', 'ss'), {list(_SPECIAL.values())!r}[doc_id % {len(_SPECIAL)} + 1]) AS folded FROM documents"),
     ("f16_identifiers", f16, "SELECT p_partkey, 'en:' || replace(p_name, ' ', '_') AS a, 'sv:' || replace(p_name, ' ', '_') AS b, p_name AS c FROM part"),
     ("f19_dates", f19, "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(CAST(ts AS DATE) - 7, '%Y-%m-%d') AS week_ago, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000 / 60, 3) AS minutes FROM events"),

@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
-The features of a text (FEATURES) are counts and densities of words of a lexicon, how many of these stand near words of the
+The features of a text (FEATURES) are counts and densities of words of a lexicon, however they are disguised, how many of these stand near words of the
 second person, and rates of capitals, punctuation and obfuscated spelling. The lexicon is learned: words, and first letters
 of words, that labelled toxic texts have far more often than others. The labelled sample is dealt by a hash of its ids into
 three parts, so that no step is fitted on texts that an earlier one has seen: the lexicon on the first, the trees on the
@@ -136,6 +136,7 @@ def text_features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.nd
     moved = np.concatenate([[0], np.cumsum(stay)])
     s2, e2, h2, row2 = _words(plain[stay], moved[offs])
     unmasked = np.maximum(np.bincount(row2[_within(h2, lexicon.words)], minlength=n) - hits, 0)
+    hits = hits + unmasked  # a word counts however it is written; how many are disguised is a feature of its own
 
     return np.stack([
         np.log1p(words), np.log1p(hits), hits / per_word, np.log1p(kinds), np.log1p(stem_hits), stem_hits / per_word, np.log1p(addressed), addressed / np.maximum(hits + stem_hits, 1), of_rows(second) / per_word,

@@ -28,27 +28,23 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges(u, v), root being the smallest node that it reaches.
 
     Large-star and small-star steps alternate until no edge changes. Each is a grouped minimum and a join with it, keyed
-    by node and salt. Null ends and loops are ignored; an empty table gives an empty one.
+    by node and salt, and nodes only ever move to smaller ones. Null ends and loops are ignored; an empty table gives an
+    empty one.
     """
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    state = _digest(e)
-    for _ in range(max_rounds if state[0] else 0):
+    state, was = _digest(e), None
+    while state[0] and state != was:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
         large = written(large.distinct(), name)
         small = _with_low(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = written(small.where("u <> v").distinct(), name)
         was, state = state, _digest(e)
-        if state == was:
-            break
-    else:
-        if state[0]:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

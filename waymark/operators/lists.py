@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import metres
 from .feedback import last_of
 from .folds import accepted
+from .privacy import listed
 
 DRIFT_M, DRIFT_S, MOST_SERVES, DIGEST_ITEMS = 400.0, 120, 20, 5
 
@@ -101,3 +102,19 @@ def next_unanswered(pairs: DataFrame, answers: DataFrame, users: DataFrame) -> D
 def consent(current: str, granted_at: Column, version: Column) -> Column:
     """Q06."""
     return F.coalesce(granted_at.isNotNull() & (version == current), F.lit(False))
+
+
+def dashboard(users: DataFrame, roles: DataFrame, key: str, recent: Column) -> DataFrame:
+    """Q01: one row: users, those that have a role (a semi join with roles(key)), and those of the last days."""
+    marked = users.join(roles.select(key).distinct().withColumn("_role", F.lit(True)), key, "left")
+    return marked.agg(F.count("*").alias("users"), F.count("_role").alias("with_role"), F.count_if(F.coalesce(recent, F.lit(False))).alias("recent"))
+
+
+def page_with(rows: DataFrame, order: list[Column], limit: int, offset: int, related: DataFrame, key: str, related_key: str, related_order: list[Column]) -> DataFrame:
+    """Q02: a page of rows with their related rows as an ordered array, and the total of rows. The page is cut first, so only
+    its own related rows are gathered."""
+    page = rows.orderBy(*order).offset(offset).limit(limit)
+    own = related.join(F.broadcast(page.select(F.col(key).alias("_k"))), F.col(related_key) == F.col("_k"), "left_semi")  # `limit` keys
+    many = own.groupBy(F.col(related_key).alias("_k")).agg(listed(related_order, *related.columns).alias("related"))
+    total = rows.agg(F.count("*").alias("total"))
+    return page.crossJoin(F.broadcast(total)).join(many, F.col(key) == F.col("_k"), "left").drop("_k").withColumn("related", F.coalesce("related", F.array()))

@@ -82,6 +82,17 @@ def event_weight(event: Column, age_days: Column) -> Column:
     return base * decay(age_days, NOVELTY_HALF_LIFE_DAYS)
 
 
+def with_novelty(candidates: DataFrame, history: DataFrame, trip: str = "trip_id") -> DataFrame:
+    """candidates(trip, type, type_domain) with novelty, from what happened on the trip before: history(trip, type,
+    type_domain, event, age_days), each event weighed and decayed. Events are summed by type once and joined, never paired."""
+    own = history.where("type_domain IS NOT NULL").withColumn("_w", event_weight(F.col("event"), F.greatest(F.lit(0.0), F.col("age_days"))))
+    by = own.groupBy(trip, "type_domain", F.col("type").alias("_t")).agg(F.sum("_w").alias("_w"))
+    whole = by.groupBy(trip, "type_domain").agg(F.sum("_w").alias("_all"))
+    df = candidates.join(whole, [trip, "type_domain"], "left").join(by.withColumnRenamed("_t", "type"), [trip, "type_domain", "type"], "left")
+    same, every = F.coalesce("_w", F.lit(0.0)), F.coalesce("_all", F.lit(0.0))
+    return df.withColumn("novelty", novelty(same, F.greatest(every - same, F.lit(0.0)))).select(*candidates.columns, "novelty")
+
+
 def confidence(tiers: Column, conflicts: Column, missing: Column, age_over_ttl: Column) -> Column:
     """Tiers is an array; 0 without evidence; community sources alone stay under their cap."""
     value = lambda t: F.coalesce(*[F.when(t == k, F.lit(v)) for k, v in TIERS.items()], F.lit(0.4))

@@ -122,16 +122,16 @@ def facet_rarity(places: DataFrame, cell: str = "cell", alike: float = 0.5) -> D
     return out.select(*places.columns, F.when(F.col("_near").isNotNull(), F.round(1 - F.col("_near") / F.col("_all"), 4)).alias("u6"))
 
 
-def region_boxes(spark, south: float, west: float, north: float, east: float, cell: float = 0.05, most: int = 128) -> DataFrame:
-    """A region as a grid of boxes, the cell doubled until at most `most` are needed: (row, col, south, west, north, east)."""
-    import math
-
-    while math.ceil((north - south) / cell - 1e-9) * math.ceil((east - west) / cell - 1e-9) > most:
-        cell *= 2
-    rows, cols = max(1, math.ceil((north - south) / cell - 1e-9)), max(1, math.ceil((east - west) / cell - 1e-9))
-    g = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
-    edge = lambda lo, i, hi: F.least(F.lit(hi), lo + i * cell)
-    return g.select("row", "col", edge(south, F.col("row"), north).alias("south"), edge(west, F.col("col"), east).alias("west"), edge(south, F.col("row") + 1, north).alias("north"), edge(west, F.col("col") + 1, east).alias("east"))
+def region_grids(regions: DataFrame, cell: float = 0.05, most: int = 24) -> DataFrame:
+    """S14 of many regions(region_key, south, west, north, east): (region_key, row, col, south, west, north, east), each region's
+    cell being doubled until at most `most` boxes are needed."""
+    c = F.col
+    count = lambda low, high, side: F.greatest(F.lit(1), F.ceil((c(high) - c(low)) / side - 1e-9))
+    fits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: cell * F.pow(F.lit(2.0), i)), lambda side: count("south", "north", side) * count("west", "east", side) <= most)
+    g = regions.withColumn("_side", F.get(fits, F.lit(0)))
+    g = g.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), count("south", "north", c("_side")).cast("long") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), count("west", "east", c("_side")).cast("long") - 1)))
+    edge = lambda low, i, high: F.least(c(high), c(low) + i * c("_side"))
+    return g.select("region_key", "row", "col", edge("south", c("row"), "north").alias("south"), edge("west", c("col"), "east").alias("west"), edge("south", c("row") + 1, "north").alias("north"), edge("west", c("col") + 1, "east").alias("east"))
 
 
 def nearest_boxes(boxes: DataFrame, lat: float, lng: float) -> DataFrame:

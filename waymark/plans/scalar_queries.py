@@ -170,7 +170,9 @@ def g11(s, d):
 
 
 def s14(s, d):
-    return tiles.nearest_boxes(tiles.region_boxes(s, 59.22, 17.76, 59.43, 18.2), 59.33, 18.06).select("row", "col", F.round("distance2", 8).alias("distance2"))
+    """The region of all places as boxes, nearest to a point first."""
+    whole = places(s, d).agg(F.lit("all").alias("region_key"), F.min("lat").alias("south"), F.min("lng").alias("west"), F.max("lat").alias("north"), F.max("lng").alias("east"))
+    return tiles.nearest_boxes(tiles.region_grids(whole, most=128), *_ORIGIN).select("row", "col", F.round("distance2", 8).alias("distance2"))
 
 
 _NAT = "('historic_heritage', 'museum_gallery')"
@@ -345,12 +347,20 @@ def c06(s, d):
     return curation.sanitised(x, "html").select("page_id", F.length("html").cast("long").alias("n"))
 
 
+#: Vectors that one task compares with its share of all rows, and shares of the rows.
+_QUERY_BLOCK, _SHARES = 1_000, 32
+
+
 def embed(s, d):
+    """The five nearest rows of every hundredth, dealt as blocks of queries against shares of all rows."""
     e = table(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
+    blocks = max(1, -(-q.count() // _QUERY_BLOCK))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    e = e.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(_SHARES)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda z, v: z + v)
     cos = dot("x", "embedding") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("embedding", "embedding")))
-    near = e.crossJoin(F.broadcast(q)).where("q <> vec_id").select("q", "vec_id", F.round(cos, 4).alias("cos"))  # a stated query set against all rows
+    near = e.join(q, ["_s", "_b"]).where("q <> vec_id").select("q", "vec_id", F.round(cos, 4).alias("cos"))
     return tables.top_n(near, ["q"], [F.desc("cos"), F.col("vec_id")], 5)
 
 
@@ -431,7 +441,7 @@ SELECT place_id AS session_id, scout, count(*) AS n FROM ring JOIN h ON q = hq A
     ("g11_local_rarity", g11, f"""WITH {PLACES}, n AS (SELECT place_id, count(*) OVER (PARTITION BY size, type) AS h, count(*) OVER (PARTITION BY size) AS a, count(*) OVER (PARTITION BY type) AS t, (SELECT count(*) FROM places) AS w, (SELECT count(DISTINCT type) FROM places) AS k FROM places)
 SELECT place_id, round(least(1.0, greatest(0.0, 1 - ((t + 1) / (w + k)) / ((t + 1) / (w + k) + (h + 1) / (a + k)))), 4) AS u3 FROM n"""),
     ("a20_rare_types", a20, f"WITH {PLACES}, c AS (SELECT o AS origin, unnest([o - 1, o, o + 1]) AS cell FROM range(1, 51) t(o)) SELECT CAST(origin AS INT) AS origin, type, count(*) AS n FROM c JOIN places ON size = cell GROUP BY ALL HAVING count(*) <= 15"),
-    ("s14_boxes", s14, "SELECT r AS row, c AS col, round(pow((59.22 + r * 0.05 + least(59.43, 59.22 + (r + 1) * 0.05)) / 2 - 59.33, 2) + pow((17.76 + c * 0.05 + least(18.2, 17.76 + (c + 1) * 0.05)) / 2 - 18.06, 2), 8) AS distance2 FROM range(0, 5) a(r), range(0, 9) b(c)"),
+    ("s14_boxes", s14, f"WITH {PLACES}, r AS (SELECT min(lat) AS s, min(lng) AS w, max(lat) AS n, max(lng) AS e FROM places), g AS (SELECT *, unnest(range(0, CAST(ceil((n - s) / 0.05 - 1e-9) AS BIGINT))) AS r FROM r), b AS (SELECT *, unnest(range(0, CAST(ceil((e - w) / 0.05 - 1e-9) AS BIGINT))) AS c FROM g) SELECT r AS row, c AS col, round(pow((s + r * 0.05 + least(n, s + (r + 1) * 0.05)) / 2 - {_ORIGIN[0]}, 2) + pow((w + c * 0.05 + least(e, w + (c + 1) * 0.05)) / 2 - {_ORIGIN[1]}, 2), 8) AS distance2 FROM b"),
     ("e03_blocking", e03, f"""WITH {PLACES}, p AS (SELECT *, {_TG.format("('  ' || lower(name) || ' ')")} AS g FROM places)
 SELECT a.place_id AS a_id, b.place_id AS b_id FROM p a JOIN p b ON a.place_id < b.place_id AND a.source <> b.source AND abs(a.lat - b.lat) < 0.01 AND abs(a.lng - b.lng) < 0.02 WHERE {hav('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371000.0)} <= 350 AND (a.type_domain = b.type_domain OR {_jac('a.g', 'b.g')} >= 0.3)"""),
     ("e04_scored_pairs", e04, f"""WITH {PLACES}, p AS (SELECT *, lower(name) AS nm, {_TG.format("('  ' || lower(name) || ' ')")} AS g FROM places),

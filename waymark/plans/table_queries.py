@@ -61,15 +61,17 @@ def j13(s, d):
 
 
 def j15(s, d):
-    p = _part(s, d).where("p_size <= 12")
-    a, b = p.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ab"), "p_size", "p_type"), p.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("bb"), "p_size", "p_type")
-    return a.join(b, ["p_size", "p_type"]).where("a < b AND ab <> bb").select("a", "b")
+    """Pairs of places of one tile and different sources."""
+    p = places(s, d).select("place_id", "source", F.floor(F.col("lat") * 100).alias("y"), F.floor(F.col("lng") * 50).alias("x"))
+    a, b = (p.select(F.col("place_id").alias(k), F.col("source").alias(f"{k}s"), "x", "y") for k in "ab")
+    return a.join(b, ["x", "y"]).where(F.col("a") < F.col("b")).where(F.col("as") != F.col("bs")).select("a", "b")
 
 
 def j16(s, d):
-    l = _lineitem(s, d).where("l_shipdate < '1995-06-01'").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    a, b = l.select(F.col("l_orderkey").alias("a"), "l_partkey", F.col("l_suppkey").alias("sa")), l.select(F.col("l_orderkey").alias("b"), "l_partkey", F.col("l_suppkey").alias("sb"))
-    return a.join(b, "l_partkey").where("a < b AND sa <> sb").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Pairs of orders that name one customer, of different priorities."""
+    o = _orders(s, d)
+    a, b = (o.select(F.col("o_orderkey").alias(k), "o_custkey", F.col("o_orderpriority").alias(f"{k}_of")) for k in "ab")
+    return a.join(b, "o_custkey").where("a < b AND a_of <> b_of").select("a", "b", "o_custkey")
 
 
 def j18(s, d):
@@ -250,8 +252,8 @@ ENTRIES = [
     ("j11_update_from", j11, "SELECT c_custkey, CASE WHEN n_name IS NOT NULL THEN n_name || '/' || c_mktsegment ELSE c_mktsegment END AS segment FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey"),
     ("j12_dedupe_slot", j12, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1"),
     ("j13_redirect", j13, "SELECT CASE WHEN o_custkey % 10 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey - 1 ELSE o_custkey END AS o_custkey, count(*) AS n FROM orders GROUP BY 1"),
-    ("j15_tile_pairs", j15, "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand WHERE a.p_size <= 12"),
-    ("j16_shared_id_pairs", j16, "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01') SELECT a.o AS a, b.o AS b, count(*) AS shared FROM l a JOIN l b USING (p) WHERE a.o < b.o AND a.s <> b.s GROUP BY ALL"),
+    ("j15_tile_pairs", j15, f"WITH {PLACES} SELECT a.place_id AS a, b.place_id AS b FROM places a JOIN places b ON floor(a.lat * 100) = floor(b.lat * 100) AND floor(a.lng * 50) = floor(b.lng * 50) AND a.place_id < b.place_id AND a.source <> b.source"),
+    ("j16_shared_id_pairs", j16, "SELECT a.o_orderkey AS a, b.o_orderkey AS b, o_custkey FROM orders a JOIN orders b USING (o_custkey) WHERE a.o_orderkey < b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority"),
     ("j18_unnest_ordinality", j18, "WITH c AS (SELECT unnest([0, 1, 2, 3]) AS ord, unnest(['A', 'N', 'R', 'A']) AS cell) SELECT ord, cell, (SELECT count(*) FROM lineitem WHERE l_returnflag = cell) AS n FROM c"),
     ("j20_as_of", j20, """WITH r AS (SELECT p.event_id, v.event_id AS v, row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC, v.event_id DESC) AS n, epoch(p.ts) - epoch(v.ts) AS age FROM events p LEFT JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts <= p.ts WHERE p.event_type = 'purchase' AND p.user_id IS NOT NULL)
 SELECT event_id, CASE WHEN age <= 172800 THEN v ELSE -1 END AS last_view FROM r WHERE n = 1"""),

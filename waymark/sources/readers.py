@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_box
+from ..scratch import written
 from .taxonomy import CATEGORIES, CLASSES, PRACTICAL, mapped, type_of_classes, type_of_denomination, type_of_tags
 
 
@@ -107,12 +108,16 @@ ALERTS = {"strike": ["strike", "grève", "streik"], "closure": ["closed", "ferme
 
 
 def news(spark: SparkSession, path: str, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
-    """The items of an RSS file that are alerts: (title, summary, link, kind, published)."""
+    """The items of RSS files, and entries of Atom files, that are alerts: (title, summary, link, kind, published)."""
     from ..functions.text import first_kind, plain_text
 
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, description string, link string, pubDate string").load(path)
+    rows = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    rss = rows("item", "title string, description string, link string, pubDate string").select("title", "description", "link", F.col("pubDate").alias("at"))
+    atom = rows("entry", "title string, summary string, link array<struct<_href:string,_rel:string>>, published string, updated string")
+    link = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    items = rss.unionByName(atom.select("title", F.col("summary").alias("description"), link.alias("link"), F.coalesce("published", "updated").alias("at"))).where(F.trim("title") != "")
     text = F.concat_ws(" ", "title", "description")
-    when = F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    when = F.coalesce(F.try_to_timestamp(F.regexp_replace("at", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("at"))
     out = items.select("title", plain_text(F.col("description")).alias("summary"), "link", first_kind(text, lexicon or ALERTS).alias("kind"), when.alias("published"))
     return out.where("kind IS NOT NULL")
 
@@ -136,6 +141,20 @@ def ingest(candidates: DataFrame, known: DataFrame, cell: Column) -> tuple[DataF
     return items, new.groupBy("source", "cell").agg(F.count("*").alias("candidates"))
 
 
+def ingested(candidates: DataFrame, known: DataFrame, cell: Column, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Ingest, written to path, with its numbers observed by the writing job itself: fetched candidates, those refused by their
+    licence or for want of an id or a place, those taken, and items written."""
+    seen, wrote = Observation("candidates"), Observation("items")
+    allowed = F.col("source").isin(*[k for k, s in SOURCES.items() if s.storable])
+    whole = F.col("external_id").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    watched = candidates.observe(seen, F.count("*").alias("fetched"), F.count_if(~F.coalesce(allowed, F.lit(False))).alias("refused"), F.count_if(F.coalesce(allowed, F.lit(False)) & ~whole).alias("incomplete"))
+    new = watched.where(allowed & whole).withColumn("cell", cell).dropDuplicates(["source", "external_id"])
+    new = written(new, "candidates")  # read twice below, fetched and observed once
+    items = known.join(new.select("source", "external_id"), ["source", "external_id"], "left_anti").unionByName(new).observe(wrote, F.count("*").alias("written"))
+    items.write.parquet(path)
+    return candidates.sparkSession.read.schema(items.schema).parquet(path), {**seen.get, **wrote.get}
+
+
 def storable(candidates: DataFrame) -> DataFrame:
     """Only what its source's licence lets us keep."""
     return candidates.where(F.col("source").isin(*[k for k, s in SOURCES.items() if s.storable]))

@@ -13,7 +13,7 @@ from .base import PLACES, hav, places, table
 
 def s09(s, d):
     """Monuments written as pages of 100 and harvested again."""
-    p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("reference"), F.col("p_name").alias("titre"), (F.col("p_partkey") - 1).alias("n"))
+    p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("reference"), F.col("p_name").alias("titre"), F.col("p_partkey").alias("n"))
     path = new_path(s, "pages")
     paged.write_pages(p, path, "results", F.floor(F.col("n") / 100), F.col("n"))
     got = paged.read_pages(s, path, paged.Adapter("results", 100, 1_000_000, True))
@@ -22,7 +22,7 @@ def s09(s, d):
 
 def s10(s, d):
     """Objects in pages of 30 that say how many there are."""
-    p = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("uuid"), (F.col("s_suppkey") - 1).alias("n"))
+    p = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("uuid"), F.col("s_suppkey").alias("n"))
     path = new_path(s, "objects")
     paged.write_pages(p, path, "objects", F.floor(F.col("n") / 30), F.col("n"), meta=F.lit(p.agg(F.floor(F.max("n") / 30) + 1).first()[0]))
     got = paged.read_pages(s, path, paged.Adapter("objects", None, 1_000_000, True, "total_pages"))
@@ -176,8 +176,8 @@ def q02_related(s, d):
 
 
 ENTRIES = [
-    ("s09_harvest", s09, "SELECT CAST((p_partkey - 1) // 100 AS INT) AS page, (p_partkey - 1) % 100 AS at, CAST(p_partkey AS VARCHAR) AS reference, p_name AS titre FROM part"),
-    ("s10_harvest_total", s10, "SELECT CAST((s_suppkey - 1) // 30 AS INT) AS page, count(*) AS n, min(s_suppkey) AS first FROM supplier GROUP BY 1"),
+    ("s09_harvest", s09, "SELECT CAST(p_partkey // 100 AS INT) AS page, p_partkey % 100 AS at, CAST(p_partkey AS VARCHAR) AS reference, p_name AS titre FROM part"),
+    ("s10_harvest_total", s10, "SELECT CAST(s_suppkey // 30 AS INT) AS page, count(*) AS n, min(s_suppkey) AS first FROM supplier GROUP BY 1"),
     ("s13_observed", s13_observed, f"WITH {PLACES}, n AS (SELECT * FROM places WHERE size >= 20 AND place_id % 9 <> 0), k AS (SELECT * FROM places WHERE size <= 25 AND place_id % 9 <> 0) SELECT (SELECT count(*) FROM (SELECT place_id FROM n UNION SELECT place_id FROM k)) AS items, (SELECT count(*) FROM n) AS new, (SELECT count(*) FROM places) + (SELECT count(*) FROM places WHERE size >= 20) AS fetched, (SELECT count(*) FROM places WHERE size >= 20 AND place_id % 9 = 0) AS incomplete, (SELECT count(*) FROM places) AS refused, (SELECT count(*) FROM (SELECT place_id FROM n UNION SELECT place_id FROM k)) AS written"),
     ("s14_region_grids", s14, _S14),
     ("s16_export_all", s16, "SELECT c_custkey AS user_id, c_name AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS items, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS events, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS first_order FROM customer"),

@@ -9,6 +9,7 @@ first page that is not full.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,10 +46,25 @@ class Page(InputPartition):
     files: tuple[str, ...]
 
 
-def _filesystem(path: str):
+def _listed(path: str) -> dict[str, int]:
+    """Files below a folder and their sizes. Local folders are read without Arrow's threads."""
+    if path.startswith("file:") or "://" not in path:
+        root = path.removeprefix("file:")
+        root = "/" + root.lstrip("/") if path.startswith("file:") else root
+        return {f: os.path.getsize(f) for d, _, names in os.walk(root) for f in (os.path.join(d, n) for n in names)}
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, root = fs.FileSystem.from_uri(path)
+    return {i.path: i.size for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file}
+
+
+def _text(path: str, files: tuple[str, ...]) -> str:
+    if path.startswith("file:") or "://" not in path:
+        return "".join(open(f, encoding="utf-8").read() for f in files)
+    from pyarrow import fs
+
+    system, _ = fs.FileSystem.from_uri(path)
+    return "".join(system.open_input_stream(f).read().decode() for f in files)
 
 
 class _Pages(DataSourceReader):
@@ -56,35 +72,26 @@ class _Pages(DataSourceReader):
         self.path, self.field, self.most, self.refuse, self.total = options["path"], options["field"], int(options["most"]), options["refuse"] == "true", options.get("total")
 
     def partitions(self) -> list[Page]:
-        from pyarrow import fs
-
-        system, root = _filesystem(self.path)
         found: dict[int, list[str]] = {}
-        for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
-            m = re.search(r"/page=(\d+)/part-[^/]*$", info.path)
-            if m and info.size:
-                found.setdefault(int(m[1]), []).append(info.path)
+        for f, size in _listed(self.path).items():
+            m = re.search(r"/page=(\d+)/part-[^/]*$", f)
+            if m and size:
+                found.setdefault(int(m[1]), []).append(f)
         run = 0
         while run in found:  # pages after a gap do not belong to the harvest
             run += 1
         said = None
         if self.total and run:
-            said = (json.loads(self._text(found[0])).get("meta") or {}).get(self.total)
+            said = (json.loads(_text(self.path, tuple(found[0]))).get("meta") or {}).get(self.total)
         run = min(run, int(said)) if said else run
         if self.refuse and run > self.most:
             raise ValueError(f"the source has more than {self.most} pages; a part of it would be taken for the whole")
         return [Page(k, tuple(sorted(found[k]))) for k in range(min(run, self.most))]
 
-    def _text(self, files) -> str:
-        system, _ = _filesystem(self.path)
-        out = []
-        for f in files:
-            with system.open_input_stream(f) as s:
-                out.append(s.read().decode())
-        return "".join(out)
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        for at, record in enumerate(json.loads(self._text(partition.files)).get(self.field) or []):
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
+        for at, record in enumerate(json.loads(_text(self.path, partition.files)).get(self.field) or []):
             yield partition.number, at, json.dumps(record, ensure_ascii=False)
 
 

@@ -24,3 +24,19 @@ def test_flagship(spark):
 def test_queries_are_repeatable(spark, name):
     one, two = (sorted(map(str, registry.QUERIES[name](spark, SF).collect())) for _ in range(2))
     assert one == two and one
+
+
+def test_shared_id_pairs_read_every_lineitem(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [
+        (1, 10, 5, "1994-01-01"), (2, 10, 6, "1998-01-01"), (2, 10, 6, "1998-02-01"), (3, 10, 5, "1999-01-01"), (1, 11, 5, "1999-01-01"), (2, 11, 7, "1999-01-01"),
+        (None, 10, 9, "1999-01-01"), (4, None, 9, "1999-01-01"), (5, 12, None, "1999-01-01"), (6, 12, 3, None), (7, 12, 4, None),
+    ]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, day string").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "CAST(day AS timestamp) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1, "1-URGENT"), (2, 1, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.QUERIES["j16_shared_id_pairs"](spark, str(tmp_path))
+    assert found.columns == ["a", "b", "shared"]
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 2), (2, 3, 1), (6, 7, 1)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(con.execute(registry.ORACLES["j16_shared_id_pairs"]).fetchall()) == [(1, 2, 2), (2, 3, 1), (6, 7, 1)]

@@ -68,10 +68,12 @@ def j15(s, d):
 
 
 def j16(s, d):
-    """Pairs of orders that name one customer, of different priorities."""
-    o = _orders(s, d)
-    a, b = (o.select(F.col("o_orderkey").alias(k), "o_custkey", F.col("o_orderpriority").alias(f"{k}_of")) for k in "ab")
-    return a.join(b, "o_custkey").where("a < b AND a_of <> b_of").select("a", "b", "o_custkey")
+    """Pairs of orders that name one part from different suppliers, and how often they do."""
+    l = _lineitem(s, d).select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    a, b = (l.select(F.col("l_orderkey").alias(k), "l_partkey", F.col("l_suppkey").alias(f"{k}_of")) for k in "ab")
+    pairs = a.join(b, "l_partkey").where("a < b AND a_of <> b_of").select("a", "b")
+    # Nearly every pair shares one part, so rows go to their groups as they are, without a partial count before.
+    return pairs.repartition("a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def j18(s, d):
@@ -253,7 +255,7 @@ ENTRIES = [
     ("j12_dedupe_slot", j12, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1"),
     ("j13_redirect", j13, "SELECT CASE WHEN o_custkey % 10 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey - 1 ELSE o_custkey END AS o_custkey, count(*) AS n FROM orders GROUP BY 1"),
     ("j15_tile_pairs", j15, f"WITH {PLACES} SELECT a.place_id AS a, b.place_id AS b FROM places a JOIN places b ON floor(a.lat * 100) = floor(b.lat * 100) AND floor(a.lng * 50) = floor(b.lng * 50) AND a.place_id < b.place_id AND a.source <> b.source"),
-    ("j16_shared_id_pairs", j16, "SELECT a.o_orderkey AS a, b.o_orderkey AS b, o_custkey FROM orders a JOIN orders b USING (o_custkey) WHERE a.o_orderkey < b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority"),
+    ("j16_shared_id_pairs", j16, "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem) SELECT a.o AS a, b.o AS b, count(*) AS shared FROM l a JOIN l b USING (p) WHERE a.o < b.o AND a.s <> b.s GROUP BY ALL"),
     ("j18_unnest_ordinality", j18, "WITH c AS (SELECT unnest([0, 1, 2, 3]) AS ord, unnest(['A', 'N', 'R', 'A']) AS cell) SELECT ord, cell, (SELECT count(*) FROM lineitem WHERE l_returnflag = cell) AS n FROM c"),
     ("j20_as_of", j20, """WITH r AS (SELECT p.event_id, v.event_id AS v, row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC, v.event_id DESC) AS n, epoch(p.ts) - epoch(v.ts) AS age FROM events p LEFT JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts <= p.ts WHERE p.event_type = 'purchase' AND p.user_id IS NOT NULL)
 SELECT event_id, CASE WHEN age <= 172800 THEN v ELSE -1 END AS last_view FROM r WHERE n = 1"""),

@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -336,6 +337,69 @@ def test_encoder_hands_other_tokenizers_to_the_library():
         assert Encoder(path).plain == (name == "byte_bpe_50k.json")
 
 
+def test_encoder_asks_the_library_for_lines_of_new_pieces():
+    from waymark.llm.bpe import Encoder
+
+    class Counted:
+        def __init__(self, library):
+            self.library, self.asked = library, 0
+
+        def encode_batch(self, texts, **how):
+            self.asked += len(texts)
+            return self.library.encode_batch(texts, **how)
+
+    rng = np.random.default_rng(4)
+    odd = ["a", "B", "\u00e9", "\u65e5\u672c", " ", "  ", "\n", "\u00a0", "\u2003", "\u3000", "'s", "'ll", "'", "12", "\u00bd", "!", "\U0001f600", "\u200d", "\x1c", "\x00"]
+    texts = ["".join(rng.choice(odd, rng.integers(0, 60))) for _ in range(300)] + [",".join(f"k{i}x" for i in range(3000)), " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(676))]
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [enc.library.encode(x, add_special_tokens=False).ids for x in texts]
+    enc.library = Counted(enc.library)
+    ids, count = enc.encode(*packed(texts))
+    assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    pieces = len(enc.hash)
+    assert pieces > 4000 and enc.library.asked < pieces / 10  # each piece that begins with no blank was asked for by itself
+    asked = enc.library.asked
+    assert enc.encode(*packed(texts))[0].tolist() == ids.tolist() and enc.library.asked == asked
+
+
+def test_repair_counts_rare_pairs_once(monkeypatch):
+    from waymark.llm import token_shards
+
+    def plain(seq, base):
+        """The same rounds, with every pair counted in each."""
+        rules = []
+        while len(seq) >= 2 * token_shards.LEAST:
+            count = Counter(zip(seq, seq[1:], strict=False))
+            top = sorted(sorted((p for p in count if count[p] >= token_shards.LEAST), key=lambda p: (-count[p], p))[: token_shards.PER_ROUND])
+            places, last = [], -2
+            for i, p in enumerate(zip(seq, seq[1:], strict=False)):
+                if p in top and i != last + 1:
+                    places.append(i)
+                    last = i
+            used = Counter((seq[i], seq[i + 1]) for i in places)
+            kept = [p for p in top if used[p] >= token_shards.LEAST // 2]
+            if not kept:
+                break
+            for i in places:
+                if (seq[i], seq[i + 1]) in kept:
+                    seq[i], seq[i + 1] = base + len(rules) + kept.index((seq[i], seq[i + 1])), None
+            seq, rules = [s for s in seq if s is not None], rules + kept
+        return seq, rules
+
+    sizes, whole = [], token_shards._sorted_pairs
+    monkeypatch.setattr(token_shards, "_sorted_pairs", lambda seq, live, width: (sizes.append((len(live), len(seq) - 1)), whole(seq, live, width))[1])
+    rng = np.random.default_rng(5)
+    for many, n in ((3, 300), (40, 3000), (2000, 3000)):
+        words = [rng.integers(0, many, 6) for _ in range(12)]
+        x = np.concatenate([words[i] if i < 12 else rng.integers(0, many, 5) for i in rng.integers(0, 20, n // 6)]).astype(np.uint32)
+        for base in (many, 1 << 30):  # the latter's pairs and places fit no 64 bits
+            sizes.clear()
+            seq, rules = token_shards.repair(x, base)
+            want = plain(x.tolist(), base)
+            assert (seq.tolist(), [tuple(r) for r in rules.tolist()]) == (want[0], want[1])
+            assert many < 2000 or sum(a for a, _ in sizes) < 0.8 * sum(b for _, b in sizes)
+
+
 def test_repair_is_lossless_and_random_access():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 5000):

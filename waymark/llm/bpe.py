@@ -16,12 +16,16 @@ import os
 import numpy as np
 import regex
 
-from .textvec import _power, mix
+from .textvec import hash_ranges
 
 #: Pieces of a line that goes to the library.
 LINE_PIECES = 500
 #: Size of the direct-mapped table, as a power of 2.
 NEAR_BITS = 18
+#: Low bits of a piece's place that hold its number of ids; a text has fewer bytes, and thus ids, than 2**31.
+SIZE_BITS = 31
+#: ASCII blanks, the separators that some take as blanks, and the first bytes of all others.
+_MAY_BE_BLANK = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 _OTHER, _LETTER, _DIGIT, _BLANK = range(4)
 _classes: list[np.ndarray] = []
 
@@ -38,12 +42,34 @@ def _class_table() -> np.ndarray:
     return _classes[0]
 
 
-def piece_starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Places where the pattern starts a piece, in code points; offs: ends of texts within cp."""
-    n = len(cp)
+def _kinds(data: np.ndarray, raw: bytes) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 text is part of."""
+    table = _class_table()
+    kind = np.frombuffer(raw.translate(table[:256].tobytes()), np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return kind
+    kind = kind.copy()
+    first = data[lead].astype(np.int32)
+    size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
+    cp = first & np.array([0, 0, 0x1F, 0x0F, 0x07], np.int32)[size]
+    for k in (1, 2, 3):
+        longer = slice(None) if k == 1 else np.flatnonzero(size > k)
+        cp[longer] = cp[longer] << 6 | data[lead[longer] + k] & 0x3F
+    own = table[cp]
+    kind[lead] = own
+    for k in (1, 2, 3):
+        longer = slice(None) if k == 1 else np.flatnonzero(size > k)
+        kind[lead[longer] + k] = own[longer]
+    return kind
+
+
+def piece_starts(data: np.ndarray, offs: np.ndarray, raw: bytes) -> np.ndarray:
+    """Places where the pattern starts a piece, in bytes of UTF-8 texts; offs: ends of texts within data, whose bytes are raw."""
+    n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _class_table()[cp]
+    kind = _kinds(data, raw)
     first = np.zeros(n + 1, bool)
     first[offs] = True  # of each text, and one past the end
     start = first[:n].copy()
@@ -51,20 +77,24 @@ def piece_starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
     run = np.flatnonzero(start)
     end = np.r_[run[1:], n]
     own = kind[run]
-    piece = start.copy()
+    piece = start
     word = run[own != _BLANK]
     led = word[(word > 0) & ~first[word]]
-    led = led[cp[led - 1] == 32]
+    led = led[data[led - 1] == 32]
     piece[led], piece[led - 1] = False, True
-    blank = (own == _BLANK) & (end - run > 1) & ~first[end]
-    piece[end[blank] - 1] = True
+    blank = np.flatnonzero((own == _BLANK) & (end - run > 1))
+    blank = blank[~first[end[blank]]]
+    last = end[blank] - 1  # start of the run's last character, which may be the first
+    while (inner := (data[last] & 0xC0) == 0x80).any():
+        last[inner] -= 1
+    piece[last] = True
     tick = run[(own == _OTHER) & (end - run == 1)]
-    tick = tick[(cp[tick] == 39) & piece[tick] & (tick + 1 < n)]
+    tick = tick[(data[tick] == 39) & piece[tick] & (tick + 1 < n)]
     tick = tick[~first[tick + 1] & (kind[tick + 1] == _LETTER)]
     if len(tick):
-        one = cp[tick + 1]
+        one = data[tick + 1]
         within = tick + 2 < n
-        two = np.where(within & ~first[np.minimum(tick + 2, n)], cp[np.minimum(tick + 2, n - 1)], 0)
+        two = np.where(within & ~first[np.minimum(tick + 2, n)], data[np.minimum(tick + 2, n - 1)], 0)
         size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
         for a, b in ("re", "ve", "ll"):
             size[(one == ord(a)) & (two == ord(b))] = 2
@@ -77,6 +107,16 @@ def piece_starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(piece)
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, length: np.ndarray, gap: int) -> str:
+    """Ranges of data in a row, with gap line breaks between them."""
+    end = np.cumsum(length + gap)
+    at = end - gap - length
+    out = np.full(int(end[-1]) - gap, 10, np.uint8)
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(at, length) + step] = data[np.repeat(starts, length) + step]
+    return out.tobytes().decode("utf-8")
+
+
 class Encoder:
     """Ids of texts, with a cache of at most `most` pieces."""
 
@@ -94,54 +134,65 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hash, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.near_hash, self.near_at, self.near_size = np.zeros(1 << NEAR_BITS, np.uint64), np.zeros(1 << NEAR_BITS, np.int64), np.zeros(1 << NEAR_BITS, np.int64)
-
-    def _learn(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        new, at = np.unique(hashes, return_index=True)
-        pieces = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        # A blank and then anything but blanks is a piece of its own wherever it follows another such piece, so these
-        # go to the library in long lines; it says which id belongs to which piece.
-        is_led = [x[0] == " " and len(x) > 1 and not x[1].isspace() for x in pieces]
-        led = [i for i, x in enumerate(is_led) if x]
-        alone = [i for i, x in enumerate(is_led) if not x]
-        order, parts, sizes = [], [], []
-        lines = [led[k : k + LINE_PIECES] for k in range(0, len(led), LINE_PIECES)]
-        for own, e in zip(lines, self.library.encode_batch(["".join(pieces[i] for i in own) for own in lines], add_special_tokens=False), strict=True):
-            word = np.array(e.word_ids, np.int64)
-            if word[-1] + 1 != len(own):
-                alone += own
-                continue
-            order += own
-            parts.append(np.array(e.ids, np.uint32))
-            sizes.append(np.bincount(word, minlength=len(own)))
-        for e in self.library.encode_batch([pieces[i] for i in alone], add_special_tokens=False):
-            parts.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)]))
-        size, where = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        self.hash, self.where, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.near_hash, self.near_where = np.zeros(1 << NEAR_BITS, np.uint64), np.zeros(1 << NEAR_BITS, np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Has the library encode the different pieces of data; where each of all those given is."""
+        new, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, length = starts[at], (ends - starts)[at]
+        # A blank and then anything but blanks is a piece of its own wherever it follows another such piece, and one that
+        # begins with no blank wherever it stands between line breaks, so these go to the library in long lines; it says
+        # which id belongs to which piece.
+        blank = np.isin(data[starts], _MAY_BE_BLANK)
+        second = data[np.minimum(starts + 1, len(data) - 1)]
+        is_led = (data[starts] == 32) & (length > 1) & ~np.isin(second, _MAY_BE_BLANK)
+        alone, order, parts, sizes = [np.flatnonzero(blank & ~is_led)], [], [], []
+        for kind, gap in ((is_led, 0), (~blank, 1)):
+            own = np.flatnonzero(kind)
+            lines = [own[k : k + LINE_PIECES] for k in range(0, len(own), LINE_PIECES)]
+            texts = [_joined(data, starts[x], length[x], gap) for x in lines]
+            for x, e in zip(lines, self.library.encode_batch(texts, add_special_tokens=False), strict=True):
+                word = np.array(e.word_ids, np.int64)
+                if word[-1] != (len(x) - 1) * (1 + gap):
+                    alone.append(x)
+                    continue
+                got = np.array(e.ids, np.uint32)
+                if gap:
+                    got, word = got[word % 2 == 0], word[word % 2 == 0] // 2
+                order.append(x)
+                parts.append(got)
+                sizes.append(np.bincount(word, minlength=len(x)))
+        alone = np.concatenate(alone)
+        found = [e.ids for e in self.library.encode_batch([data[i : i + n].tobytes().decode("utf-8") for i, n in zip(starts[alone].tolist(), length[alone].tolist(), strict=True)], add_special_tokens=False)]
+        order.append(alone)
+        parts.append(np.fromiter((i for x in found for i in x), np.uint32))
+        sizes.append(np.fromiter(map(len, found), np.int64))
         in_order = np.concatenate(sizes)
-        size[order + alone], where[order + alone] = in_order, len(self.ids) + np.cumsum(in_order) - in_order
+        where = np.zeros(len(new), np.int64)
+        where[np.concatenate(order)] = (len(self.ids) + np.cumsum(in_order) - in_order) << SIZE_BITS | in_order
         self.ids = np.concatenate([self.ids, *parts])
         to = np.searchsorted(self.hash, new)
-        self.hash, self.at, self.size = np.insert(self.hash, to, new), np.insert(self.at, to, where), np.insert(self.size, to, size)
+        self.hash, self.where = np.insert(self.hash, to, new), np.insert(self.where, to, where)
+        return where[inverse]
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each piece's ids are, how many it has, and whether it is known.
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids are, their number in the low SIZE_BITS, and whether it is known.
 
         A direct-mapped table of pieces seen of late answers for most; the sorted arrays are searched for the others.
         """
         slot = (hashes >> np.uint64(64 - NEAR_BITS)).astype(np.int64)
         known = self.near_hash[slot] == hashes
-        at, size = self.near_at[slot], self.near_size[slot]
+        where = self.near_where[slot]
         far = np.flatnonzero(~known)
         if len(far) and len(self.hash):
             own = hashes[far]
             i = np.minimum(np.searchsorted(self.hash, own), len(self.hash) - 1)
             found = self.hash[i] == own
             far, i = far[found], i[found]
-            known[far], at[far], size[far] = True, self.at[i], self.size[i]
-            self.near_hash[slot[far]], self.near_at[slot[far]], self.near_size[slot[far]] = hashes[far], at[far], size[far]
-        return at, size, known
+            known[far], where[far] = True, self.where[i]
+            self.near_hash[slot[far]], self.near_where[slot[far]] = hashes[far], where[far]
+        return where, known
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes and their offsets) in a row, and each text's number of ids."""
@@ -150,25 +201,20 @@ class Encoder:
             found = [e.ids for e in self.library.encode_batch([raw[i:j].decode("utf-8") for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         whole = {i for i in range(len(offs) - 1) if any(a in raw[offs[i] : offs[i + 1]] for a in self.added)} if any(a in raw for a in self.added) else set()
-        text = raw.decode("utf-8")
-        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        place = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offs] if len(cp) != len(data) else offs
-        starts = piece_starts(cp, place)
-        ends = np.r_[starts[1:], len(cp)] if len(starts) else starts
-        p, inverse = _power(len(cp) + 1)
-        total = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * p[: len(cp)], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        at, size, known = self._find(hashes)
+        starts = piece_starts(data, offs, raw)
+        ends = np.r_[starts[1:], len(data)] if len(starts) else starts
+        hashes = hash_ranges(data, starts, ends)
+        where, known = self._find(hashes)
         if not known.all():
             if len(self.hash) > self.most:
                 self._clear()
                 known[:] = False
-            self._learn(text, starts[~known], ends[~known], hashes[~known])
-            at, size, _ = self._find(hashes)
+            new = np.flatnonzero(~known)
+            where[new] = self._learn(data, starts[new], ends[new], hashes[new])
+        at, size = where >> SIZE_BITS, where & ((1 << SIZE_BITS) - 1)
         last = np.cumsum(size)
         ids = self.ids[np.repeat(at - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
-        bound = np.searchsorted(starts, place)
+        bound = np.searchsorted(starts, offs)
         count = np.diff(np.r_[0, last][bound])
         if whole:
             parts = np.split(ids, np.cumsum(count)[:-1])

@@ -30,51 +30,74 @@ from .textvec import chunks
 
 MAGIC, VERSION, STRIDE = b"WMRP", 1, 256
 SHARD_TOKENS = 1 << 20
-#: Spreads pairs over the table of marks; then Re-Pair's rules a round and the least count of a pair: below it a rule, of 12
-#: bytes, costs more than it saves, so pairs are replaced until none is as frequent.
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Re-Pair's rules a round and the least count of a pair: below it a rule, of 12 bytes, costs more than it saves, so pairs are
+#: replaced until none is as frequent.
 PER_ROUND, LEAST = 2048, 8
 
 
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right); rule k is symbol base + k and names terminals and earlier rules only."""
+    """Symbols and rules (left, right); rule k is symbol base + k and names terminals and earlier rules only.
+
+    Replacing only lowers the counts of older pairs, so a place whose pair is rarer than LEAST is counted again only once
+    one of its symbols is new.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
-    while len(seq) >= 2 * LEAST:
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        order = np.sort(key)
-        edge = np.flatnonzero(np.r_[True, order[1:] != order[:-1], True])
-        count, kind = np.diff(edge), order[edge[:-1]]
-        often = np.flatnonzero(count >= LEAST)
-        often = often[np.lexsort((kind[often], -count[often]))][:PER_ROUND]
-        if not len(often):
+    live = np.arange(max(len(seq) - 1, 0), dtype=np.int32)  # places of pairs that may be frequent
+    while len(seq) >= 2 * LEAST and len(live):
+        key, at, width = _sorted_pairs(seq, live, int(base + n_rules).bit_length())
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        count, kind = np.diff(edge), key[edge[:-1]]
+        often = count >= LEAST
+        top = np.flatnonzero(often)
+        if not len(top):
             break
-        chosen = np.sort(kind[often])
-        mark = np.zeros(1 << 16, bool)  # most pairs fail this test and are not looked up
-        mark[(chosen * _SPREAD) >> np.uint64(48)] = True
-        place = np.flatnonzero(mark[(key * _SPREAD) >> np.uint64(48)])
-        at = np.zeros(len(key), np.int32)
-        at[place] = np.minimum(np.searchsorted(chosen, key[place]), len(chosen) - 1)
-        place = place[chosen[at[place]] == key[place]]
+        top = np.sort(top[np.argsort(-count[top], kind="stable")[:PER_ROUND]])
+        number = np.full(len(count), -1, np.int32)
+        number[top] = np.arange(len(top))
+        rule = np.full(len(seq), -2, np.int32)  # -1: frequent, but not in this round
+        rule[at[np.repeat(often, count)]] = np.repeat(number[often], count[often])
+        alive = rule > -2
+        place = np.flatnonzero(rule >= 0).astype(np.int32)
         first = np.r_[True, place[1:] != place[:-1] + 1]
-        run = np.maximum.accumulate(np.where(first, place, 0))
-        place = place[(place - run) % 2 == 0]
-        used = np.bincount(at[place], minlength=len(chosen))
-        keep = used >= LEAST // 2
-        place = place[keep[at[place]]]
+        run = np.maximum.accumulate(place * first)
+        place = place[((place - run) & 1) == 0]
+        own = rule[place]
+        keep = np.bincount(own, minlength=len(top)) >= LEAST // 2
+        kept = keep[own]
+        place, own = place[kept], own[kept]
         if not len(place):
             break
-        number = np.cumsum(keep) - 1
-        seq = seq.copy()
-        seq[place] = (base + n_rules + number[at[place]]).astype(np.uint32)
-        gone = np.ones(len(seq), bool)
-        gone[place + 1] = False
-        rules.append(chosen[keep])
+        seq[place] = (base + n_rules + np.cumsum(keep) - 1)[own]
+        alive[place], alive[np.maximum(place - 1, 0)] = True, True
+        stay = np.ones(len(seq), bool)
+        stay[place + 1] = False
+        kind = kind[top[keep]]
+        rules.append(np.stack([kind >> np.uint64(width), kind & np.uint64((1 << width) - 1)], axis=1).astype(np.uint32))
         n_rules += int(keep.sum())
-        seq = seq[gone]
-    flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
-    return seq, np.stack([(flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1)
+        stay = np.flatnonzero(stay)
+        seq, alive = seq[stay], alive[stay]
+        live = np.flatnonzero(alive[:-1]).astype(np.int32)
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+
+
+def _sorted_pairs(seq: np.ndarray, live: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of seq that begin at the places live, sorted, their places, and the bits of a pair's right symbol; symbols have width bits at most."""
+    place_bits = len(seq).bit_length()
+    left, right = seq[live].astype(np.uint64), seq[live + 1]
+    if place_bits + 2 * width > 64:  # place and pair don't fit one number
+        pair = (left << np.uint64(32)) | right
+        order = np.argsort(pair, kind="stable")
+        return pair[order], live[order], 32
+    left <<= np.uint64(width)
+    left |= right
+    left <<= np.uint64(place_bits)
+    left |= live.view(np.uint32)
+    left.sort()
+    at = (left & np.uint64((1 << place_bits) - 1)).astype(np.int32)
+    left >>= np.uint64(place_bits)
+    return left, at, width
 
 
 def _lengths(rules: np.ndarray, base: int) -> np.ndarray:

@@ -294,6 +294,14 @@ def test_decontamination(spark):
     assert len(benchmark_hits(long, many).first().item_ids) == 20_000 and time.perf_counter() - start < 60
 
 
+def test_decontamination_holds_one_worker_a_task(spark):
+    """Python nodes in a row would keep as many workers for each task, which stay in the executor's memory afterwards."""
+    d = spark.createDataFrame([(1, sentence(40))], "doc_id long, text string")
+    it = spark.createDataFrame([(i, sentence(20)) for i in range(4)], "item_id long, text string")
+    for size in (16_000_000, 60):
+        assert benchmark_hits(d, it, item_bytes=size)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_token_shards(spark, docs):
     from tokenizers import Tokenizer
 

@@ -7,7 +7,8 @@ back to places in the original text.
 
 The items are a query set: up to `item_bytes` of them make one automaton, which a Python worker builds once. More items are
 dealt into blocks of that size, and the text passes through one scan for each block; what a block has hit is written
-before the next block is read, so a worker and the driver hold one block at a time.
+before the next block is read, so a worker and the driver hold one block at a time. The last scan reports in the same
+worker: a second pass over its output would hold a second Python worker, and the texts twice more, for every task.
 """
 
 from __future__ import annotations
@@ -124,6 +125,13 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _scan_and_report(scan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _report(scan(batches))
+
+    return run
+
+
 def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13,
                    item_bytes: int = ITEM_BYTES) -> DataFrame:
     """For each row of docs: id_col, n_words, n_hit (words inside a hit, once each), item_ids (array of distinct ids as strings,
@@ -141,9 +149,10 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     for k in range(blocks):  # the rows of a block are of bounded size
         block = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else own
         rows = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"].encode()) for r in block.collect()])
-        df = df.mapInArrow(_scan(uuid.uuid4().hex, rows, window), f"id {id_type}, text string, starts array<int>, ends array<int>, items array<string>")
-        df = written(df, "hits") if blocks > 1 else df
-    out = df.mapInArrow(_report, f"id {id_type}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>")
+        scan = _scan(uuid.uuid4().hex, rows, window)
+        if k < blocks - 1:
+            df = written(df.mapInArrow(scan, f"id {id_type}, text string, starts array<int>, ends array<int>, items array<string>"), "hits")
+    out = df.mapInArrow(_scan_and_report(scan), f"id {id_type}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,36 +114,60 @@ SUNSET, GOLDEN_UPPER, GOLDEN_LOWER = -0.833, 6.0, -4.0
 LOOKAHEAD = 16 * 60
 
 
-def _sun(seconds: Column) -> tuple[Column, Column]:
+def _seconds(at: Column) -> Column:
+    return F.floor(F.unix_micros(at.cast("timestamp")) / 1_000_000)
+
+
+def _sun_of(seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sine of the sun's declination, and the equation of time in minutes, at seconds since 1970 (NOAA's full series; fixed values)."""
     t = ((seconds / 86400.0 + 2440587.5) - 2451545.0) / 36525.0
-    rad, sin, cos = F.radians, F.sin, F.cos
-    mean = (280.46646 + t * (36000.76983 + t * 0.0003032)) % 360.0
-    anomaly = 357.52911 + t * (35999.05029 - 0.0001537 * t)
-    centre = sin(rad(anomaly)) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(rad(2 * anomaly)) * (0.019993 - 0.000101 * t) + sin(rad(3 * anomaly)) * 0.000289
+    rad, sin, cos = np.radians, np.sin, np.cos
+    mean, anomaly = np.fmod(280.46646 + t * (36000.76983 + t * 0.0003032), 360.0), rad(357.52911 + t * (35999.05029 - 0.0001537 * t))
+    centre = sin(anomaly) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * anomaly) * (0.019993 - 0.000101 * t) + sin(3 * anomaly) * 0.000289
     node = rad(125.04 - 1934.136 * t)
     seen = mean + centre - 0.00569 - 0.00478 * sin(node)
     tilt = 23.0 + (26.0 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0 + 0.00256 * cos(node)
-    y, e = F.pow(F.tan(rad(tilt / 2)), 2), 0.016708634 - t * (0.000042037 + 0.0000001267 * t)
-    m, n = rad(mean), rad(anomaly)
-    equation = 4 * F.degrees(y * sin(2 * m) - 2 * e * sin(n) + 4 * e * y * sin(n) * cos(2 * m) - 0.5 * y * y * sin(4 * m) - 1.25 * e * e * sin(2 * n))
+    y, e, m = np.tan(rad(tilt / 2)) ** 2, 0.016708634 - t * (0.000042037 + 0.0000001267 * t), rad(mean)
+    equation = 4 * np.degrees(y * sin(2 * m) - 2 * e * sin(anomaly) + 4 * e * y * sin(anomaly) * cos(2 * m) - 0.5 * y * y * sin(4 * m) - 1.25 * e * e * sin(2 * anomaly))
     return sin(rad(tilt)) * sin(rad(seen)), equation
 
 
-def _seconds(at: Column) -> Column:
-    return F.floor(F.unix_micros(at.cast("timestamp")) / 1_000_000)
+def _elevation_of(lat: np.ndarray, lng: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    decl, equation = _sun_of(seconds)
+    angle = np.radians((np.mod(seconds, 86400.0) / 60.0 + equation + 4 * lng) / 4 - 180)
+    x = np.sin(np.radians(lat)) * decl + np.cos(np.radians(lat)) * np.sqrt(1 - decl * decl) * np.cos(angle)
+    return np.degrees(np.arcsin(np.clip(x, -1.0, 1.0)))
 
 
-def _elevation(lat: Column, lng: Column, seconds: Column) -> Column:
-    decl, equation = _sun(seconds)
-    angle = F.radians((F.pmod(seconds, F.lit(86400)) / 60.0 + equation + 4 * lng) / 4 - 180)
-    x = F.sin(F.radians(lat)) * decl + F.cos(F.radians(lat)) * F.sqrt(1 - decl * decl) * F.cos(angle)
-    return F.degrees(F.asin(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))))
+@F.pandas_udf(T.DoubleType())
+def _elevation(lat: pd.Series, lng: pd.Series, seconds: pd.Series) -> pd.Series:
+    return pd.Series(_elevation_of(*(x.to_numpy(dtype="float64", na_value=np.nan) for x in (lat, lng, seconds))))
 
 
 def sun_elevation(lat: Column, lng: Column, at: Column) -> Column:
     """degrees of the sun above the horizon, by the full series; `at` is in UTC."""
-    return _elevation(lat, lng, _seconds(at))
+    return _elevation(lat.cast("double"), lng.cast("double"), _seconds(at).cast("double"))
+
+
+@F.pandas_udf(T.IntegerType())
+def _first_below(lat: pd.Series, lng: pd.Series, seconds: pd.Series, degrees: pd.Series, lookahead: pd.Series) -> pd.Series:
+    """Bisection of a whole batch at once: as a lambda, each step would walk the whole series again for every row."""
+    lat, lng, start, level, most = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (lat, lng, seconds, degrees, lookahead))
+    known = ~np.isnan(lat + lng + start)
+    lat, lng, start, level, most = (x[known] for x in (lat, lng, start, level, most))
+    high = lambda m: _elevation_of(lat, lng, start + m * 60) > level
+    solar = np.mod(np.mod(start, 86400.0) / 60.0 + _sun_of(start)[1] + 4 * lng, 1440.0)
+    noon, midnight = np.floor(np.mod(720.0 - solar, 1440.0)), np.ceil(1440.0 - solar)
+    a, b = np.where(noon < midnight, noon, 0.0), np.minimum(midnight, most)
+    falls = (a < b) & ~high(b)
+    while np.any(falls & (b - a > 1)):
+        middle = np.floor((a + b) / 2)
+        up, more = high(middle), b - a > 1
+        a, b = np.where(more & up, middle, a), np.where(more & ~up, middle, b)
+    found = np.where(high(np.ones_like(start)), np.where(falls, b, np.nan), 1.0)
+    out = np.full(len(known), np.nan)
+    out[known] = found
+    return pd.Series(out).astype("Int32")
 
 
 def minutes_until_below(lat: Column, lng: Column, at: Column, degrees: float, lookahead: int = LOOKAHEAD) -> Column:
@@ -151,19 +176,7 @@ def minutes_until_below(lat: Column, lng: Column, at: Column, degrees: float, lo
     The sun falls from noon to midnight only: the crossing is sought by bisection between the next noon, or now in the
     afternoon, and the next midnight, by some fourteen evaluations instead of one a minute.
     """
-    start = _seconds(at)
-    high = lambda m: _elevation(lat, lng, start + m.cast("long") * 60) > degrees
-    solar = F.pmod(F.pmod(start, F.lit(86400)) / 60.0 + _sun(start)[1] + 4 * lng, F.lit(1440.0))
-    noon, midnight = F.floor(F.pmod(F.lit(720.0) - solar, F.lit(1440.0))), F.ceil(F.lit(1440.0) - solar)
-    low = F.when(noon < midnight, noon).otherwise(0)
-    ends = F.struct(low.cast("int").alias("a"), F.least(midnight, F.lit(lookahead)).cast("int").alias("b"))
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
-        return F.when(s["b"] - s["a"] <= 1, s).when(high(middle), F.struct(middle.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), middle.alias("b")))
-
-    found = F.get(F.transform(F.array(ends), lambda s: F.when((s["a"] < s["b"]) & ~high(s["b"]), F.aggregate(F.sequence(F.lit(1), F.lit(11)), s, halve)["b"])), F.lit(0))
-    return F.when(~high(F.lit(1)), 1).otherwise(found)
+    return _first_below(lat.cast("double"), lng.cast("double"), _seconds(at).cast("double"), F.lit(float(degrees)), F.lit(lookahead))
 
 
 def minutes_of_light_left(lat: Column, lng: Column, at: Column, lookahead: int = LOOKAHEAD) -> Column:
@@ -173,5 +186,5 @@ def minutes_of_light_left(lat: Column, lng: Column, at: Column, lookahead: int =
 
 def golden_minutes_left(lat: Column, lng: Column, at: Column, lookahead: int = LOOKAHEAD) -> Column:
     """minutes of the evening's golden hour that are left; null outside it."""
-    now, soon = sun_elevation(lat, lng, at), _elevation(lat, lng, _seconds(at) + 600)
+    now, soon = sun_elevation(lat, lng, at), _elevation(lat.cast("double"), lng.cast("double"), (_seconds(at) + 600).cast("double"))
     return F.when(now.between(GOLDEN_LOWER, GOLDEN_UPPER) & (soon < now), minutes_until_below(lat, lng, at, GOLDEN_LOWER, lookahead))

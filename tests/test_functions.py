@@ -110,7 +110,7 @@ def test_points_of_ewkb(spark):
 
 
 def test_sunset_of_many_rows(spark):
-    """The first minute below by a look at every minute, nulls, and 60,000 rows within 20 s (before: some 40 s)."""
+    """The first minute below by a look at every minute, nulls, and 60,000 rows within 20 s."""
     import time as clock
 
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 86_400 * 3 + F.col("id") * 977)

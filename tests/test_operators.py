@@ -427,3 +427,22 @@ def test_selection_is_the_same_without_pruning(spark, monkeypatch):
             assert run() == few and kept
     one_class = spark.range(5000).select(F.lit(0).alias("session_id"), F.col("id").alias("place_id"), F.col("id").alias("ordinal"), F.lit("a").alias("type_domain"), F.array().cast("array<string>").alias("facets"), F.lit(30.0).alias("total_minutes"), F.lit(0.9).alias("alpha"), F.rand(1).alias("whole"))
     assert rank._inert_out(one_class, "session_id", 3).count() < 60
+
+
+def _crowd(spark, n):
+    """n places of five domains in two cells, one of them next to the other, and some without a domain or a place."""
+    k = F.col("id")
+    domain = F.element_at(F.array(*[F.lit(x) for x in ("historic_heritage", "museum_gallery", "nature_landscape", "food_drink", "practical")]), (k % 5 + 1).cast("int"))
+    cell = F.when(k % 11 != 0, F.struct((k % 2).alias("q"), F.lit(0).cast("long").alias("r")))
+    return spark.range(n).select(k.alias("place_id"), cell.alias("cell"), F.when(k % 7 != 0, domain).alias("type_domain"))
+
+
+def test_scout_counts_are_those_of_scouted(spark):
+    p = _crowd(spark, 200)
+    cells = tiles.ring_cells(p.select(F.col("place_id").alias("session_id"), F.col("cell").alias("origin_cell")), F.lit(900.0))
+    counted = sorted(map(tuple, tiles.scout_counts(cells, p).collect()))
+    assert counted and counted == sorted(map(tuple, tiles.scouted(cells, p).groupBy("session_id", "scout").agg(F.count("*")).collect()))
+    # 60,000 sessions beside 60,000 places: 3.3 billion candidates, which are not made
+    many = _crowd(spark, 60_000)
+    n = tiles.scout_counts(many.select(F.col("place_id").alias("session_id"), "cell"), many).agg(F.sum("n"), F.count("*")).first()
+    assert n[0] > 10**9 and n[1] == 4 * many.where("cell IS NOT NULL").count()

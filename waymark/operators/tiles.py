@@ -12,6 +12,8 @@ from ..scratch import sent
 SQUARE = 0.25
 NEAR_M, INLINE_CAP, PRESCOUT_CAP = 1200.0, 180, 2000
 CONE_DEGREES, BEHIND_SHARE = 60.0, 0.4
+#: Scouts that read candidates from tiles (fixed values).
+_READING = ("nearby", "history", "nature", "practical")
 #: Scouts in order, with the domains that each looks for; none means all (fixed values).
 SCOUTS = {
     "nearby": (), "history": ("historic_heritage", "religious_sacred", "museum_gallery"), "nature": ("nature_landscape",), "unusualness": (), "curated": (), "route_detour": (), "practical": ("practical",),
@@ -20,7 +22,13 @@ SCOUTS = {
 
 def disc_cells(origins: DataFrame, reach: Column, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Origins with every cell within reach, one row each."""
-    return origins.withColumn("origin_cell", cell_of(F.col(lat), F.col(lng))).withColumn("cell", F.explode(disc(F.col("origin_cell"), ring_size(reach))))
+    return ring_cells(origins.withColumn("origin_cell", cell_of(F.col(lat), F.col(lng))), reach)
+
+
+def ring_cells(origins: DataFrame, reach: Column) -> DataFrame:
+    """origins(origin_cell) with every cell within reach, one row each. What depends on cells only is made once a
+    different origin_cell and joined to all that lie in it."""
+    return origins.withColumn("cell", F.explode(disc(F.col("origin_cell"), ring_size(reach))))
 
 
 def cone_cells(origins: DataFrame, reach: Column, heading: Column, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -64,12 +72,24 @@ def coverage(origins: DataFrame, reach: Column, key: str = "session_id") -> Data
     return ranked.select(key, "cell", F.round("distance_m").cast("long").alias("distance_m"), kind.alias("part"))
 
 
+def _by_scout(places: DataFrame) -> DataFrame:
+    """Places beside every scout that looks for them; practical places go to their scout only."""
+    table = places.sparkSession.createDataFrame([(s, i, list(d)) for i, (s, d) in enumerate(SCOUTS.items()) if s in _READING], "scout string, ordinal int, domains array<string>")
+    fits = F.when(F.col("scout") == "practical", F.col("type_domain") == "practical").otherwise(~F.col("type_domain").eqNullSafe("practical") & ((F.size("domains") == 0) | F.array_contains("domains", F.col("type_domain"))))
+    return places.crossJoin(F.broadcast(table)).where(fits).drop("domains")  # one row per scout
+
+
 def scouted(cells: DataFrame, places: DataFrame, key: str = "session_id") -> DataFrame:
     """Candidates of all scouts in one pass: (key, scout, ordinal, place_id, ...); practical places go to their scout only."""
-    table = cells.sparkSession.createDataFrame([(s, i, list(d)) for i, (s, d) in enumerate(SCOUTS.items()) if s in ("nearby", "history", "nature", "practical")], "scout string, ordinal int, domains array<string>")
-    joined = cells.select(key, "cell").join(places, "cell").crossJoin(F.broadcast(table))  # one row per scout
-    fits = F.when(F.col("scout") == "practical", F.col("type_domain") == "practical").otherwise(~F.col("type_domain").eqNullSafe("practical") & ((F.size("domains") == 0) | F.array_contains("domains", F.col("type_domain"))))
-    return joined.where(fits).drop("domains")
+    return _by_scout(cells.select(key, "cell").join(places, "cell"))
+
+
+def scout_counts(cells: DataFrame, places: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, scout, n): how many candidates scouted finds. Each cell's places are counted once by scout and the counts
+    added up, so candidates, of which there are sessions times the places around them, are never made."""
+    domains = places.groupBy("cell", "type_domain").agg(F.count("*").alias("_n"))
+    found = _by_scout(domains).groupBy("cell", "scout").agg(F.sum("_n").alias("_n"))
+    return cells.select(key, "cell").join(found, "cell").groupBy(key, "scout").agg(F.sum("_n").alias("n"))
 
 
 def scout_runs(cells: DataFrame, places: DataFrame, cached: DataFrame, now: Column, version: str, ttl_hours: int = 24, key: str = "session_id") -> DataFrame:
@@ -78,12 +98,12 @@ def scout_runs(cells: DataFrame, places: DataFrame, cached: DataFrame, now: Colu
     A tile is a hit if cached(scout, cell, version, filled_at) has it in this version and within ttl_hours of now; the others
     are filled. Candidates are those that the scout finds in all of its tiles.
     """
-    fresh = cached.where((F.col("version") == version) & (F.col("filled_at") > now - F.make_interval(hours=F.lit(ttl_hours)))).select("scout", "cell").distinct().withColumn("_hit", F.lit(True))
-    scouts = F.explode(F.array(*[F.lit(s) for s in ("nearby", "history", "nature", "practical")]))
-    asked = cells.select(key, "cell").distinct().withColumn("scout", scouts).join(fresh, ["scout", "cell"], "left")
-    tiles = asked.groupBy(key, "scout").agg(F.count("*").alias("tiles"), F.count("_hit").alias("hits"))
-    found = scouted(cells.select(key, "cell").distinct(), places, key).groupBy(key, "scout").agg(F.count("*").alias("candidates"))
-    out = tiles.join(found, [key, "scout"], "left")
+    fresh = cached.where((F.col("version") == version) & (F.col("filled_at") > now - F.make_interval(hours=F.lit(ttl_hours)))).select("scout", "cell").distinct()
+    asked = cells.select(key, "cell").distinct()
+    tiles = asked.groupBy(key).agg(F.count("*").alias("tiles")).withColumn("scout", F.explode(F.array(*[F.lit(s) for s in _READING])))
+    hits = asked.join(fresh, "cell").groupBy(key, "scout").agg(F.count("*").alias("hits"))
+    found = scout_counts(asked, places, key).withColumnRenamed("n", "candidates")
+    out = tiles.join(hits, [key, "scout"], "left").join(found, [key, "scout"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return out.select(key, "scout", "tiles", "hits", (F.col("tiles") - F.col("hits")).alias("filled"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.round(F.col("hits") / F.col("tiles"), 3).alias("hit_rate"))
 
 

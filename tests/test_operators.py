@@ -446,3 +446,20 @@ def test_scout_counts_are_those_of_scouted(spark):
     many = _crowd(spark, 60_000)
     n = tiles.scout_counts(many.select(F.col("place_id").alias("session_id"), "cell"), many).agg(F.sum("n"), F.count("*")).first()
     assert n[0] > 10**9 and n[1] == 4 * many.where("cell IS NOT NULL").count()
+
+
+def test_parent_cells_of_crowded_places(spark, tmp_path):
+    """G05 as registered counts each place's own disc, though it is made once a cell."""
+    import time as clock
+
+    from waymark.plans import registry
+    from waymark.plans.base import places
+
+    spark.range(400).selectExpr("id % 3 * 46200 + id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'T' AS p_type", "CAST(id % 50 AS int) AS p_size", "1.0 AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    p = places(spark, str(tmp_path))
+    found = registry.QUERIES["g05_parent"](spark, str(tmp_path))
+    plain = tiles.occupied(tiles.disc_cells(p.select("place_id", "lat", "lng"), F.lit(6000.0)), p.where("type_domain = 'practical' AND size >= 45")).groupBy("place_id").agg(F.count("*"))
+    assert found.columns == ["place_id", "n"] and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() > 300
+    began = clock.time()
+    spark.range(60_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'T' AS p_type", "CAST(id % 50 AS int) AS p_size", "1.0 AS p_retailprice").write.parquet(f"{tmp_path}/many/part.parquet")
+    assert registry.QUERIES["g05_parent"](spark, f"{tmp_path}/many").count() > 50_000 and clock.time() - began < 40

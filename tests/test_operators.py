@@ -477,3 +477,21 @@ def test_scout_runs_of_crowded_tiles(spark):
     assert by["nearby", 1][:3] == (sides[0], sides[0], 0) and by["nearby", 0][:3] == (sides[1], sides[1], sides[1]) and by["history", 0][0] == sides[0] + sides[1]
     most = max(p.where(f"cell.q = {q} AND type_domain = 'practical'").count() for q in (0, 1))
     assert by["practical", 0][3] == most and len(by) == 5
+
+
+def test_pairs_by_likeness_are_those_by_names(spark, monkeypatch):
+    """Names compared once a pair of lists give the pairs and scores of names compared pair by pair; more lists are left to that."""
+    names = [["Café Nord"], ["cafe nord"], ["Nordic Café", "Nord"], [], None, ["Museum"], ["Østre Museum"], ["  Museum  "]]
+    kinds = [("cafe", "food_drink"), ("museum", "museum_gallery"), (None, None), ("park", "nature_landscape")]
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice(names), 59.3 + rng.random() * 0.02, 18.0 + rng.random() * 0.03, *rng.choice(kinds)) for i in range(150)]
+    items = spark.createDataFrame(rows, "id long, source string, names array<string>, lat double, lng double, type string, domain string")
+    like = resolve.likeness(items)
+    by_names = resolve.scored_pairs(resolve.blocked_pairs(items))
+    by_code = resolve.scored_pairs(resolve.blocked_pairs(items, like=like), like)
+    one, two = (sorted(map(str, x.select(by_names.columns).collect())) for x in (by_names, by_code))
+    assert len(one) > 200 and one == two and by_code.columns == by_names.columns
+    monkeypatch.setattr(resolve, "FEW_NAMES", 6)
+    assert resolve.likeness(items) is None
+    plain = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and geo.metres(a[3], a[4], b[3], b[4], geo.RADIUS["match"]) <= 350]
+    assert sorted(map(tuple, resolve.near_pairs(items, 350.0).select("a_id", "b_id").collect())) == sorted(plain)

@@ -515,3 +515,20 @@ def test_nearest_rows_of_many_vectors(spark, tmp_path):
     spark.range(40_000).select(F.col("id").alias("vec_id"), many.alias("embedding")).write.parquet(f"{tmp_path}/many/embeddings.parquet")
     began = clock.time()
     assert registry.QUERIES["s_embed_cosine"](spark, f"{tmp_path}/many").count() == 2_000 and clock.time() - began < 30
+
+
+def test_resolver_reads_the_squares_around(spark):
+    """A resolver finds the places within reach, across squares, and no other: as a look at every place has it."""
+    from types import SimpleNamespace
+
+    rng, resolver = random.Random(5), resolve._Resolver()
+    make = lambda i: SimpleNamespace(id=i, source="osm", external_id=str(i), refs=None, names=[f"{rng.choice('abcd')}{rng.choice('efgh')} street"], lat=59.3 + rng.random() * 0.01, lng=18.0 + rng.random() * 0.02, type=rng.choice(["cafe", "park", None]), domain="food_drink", tier=1)
+    for i in range(300):
+        item = make(i)
+        away = {p: geo.metres(item.lat, item.lng, q.lat, q.lng, geo.RADIUS["match"]) for p, q in resolver.places.items()}
+        every = [(f, -k, p) for k, (p, q) in enumerate(resolver.places.items()) if away[p] <= resolve.BLOCK_M and (f := resolve._scored(item, q, away[p], -1.0)) and f[0] >= resolve.REVIEW]
+        best = max(every, key=lambda x: (x[0][0], x[1]), default=None)
+        found = resolver._best(item)
+        assert (found[1:] if found and found[1] != "distinct" else None) == ((best[0][1], best[2]) if best else None)
+        resolver.resolve(item)
+    assert len(resolver.squares) > 4 and sum(map(len, resolver.squares.values())) == len(resolver.places)

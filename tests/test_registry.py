@@ -40,3 +40,14 @@ def test_shared_id_pairs_read_every_lineitem(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(con.execute(registry.ORACLES["j16_shared_id_pairs"]).fetchall()) == [(1, 2, 2), (2, 3, 1), (6, 7, 1)]
+
+
+def test_shared_id_pairs_travel_as_lists(spark, tmp_path):
+    """What is shuffled to the counting tasks is a list an order and part, not a row a pair."""
+    rows = [(o, o % 4, o % 7) for o in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").selectExpr("*", "CAST('1999-01-01' AS timestamp) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.QUERIES["j16_shared_id_pairs"](spark, str(tmp_path))
+    plain = {(a[0], b[0], 1) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2]}
+    assert set(map(tuple, found.collect())) == plain
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression [a")

@@ -51,3 +51,9 @@ def test_shared_id_pairs_travel_as_lists(spark, tmp_path):
     assert set(map(tuple, found.collect())) == plain
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("RepartitionByExpression [a")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rollup_joins_its_facts_once(spark):
+    plan = registry.QUERIES["a03_rollup_by_user"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "RepartitionByExpression [day" in plan
